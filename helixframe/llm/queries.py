@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe, decontaminate, exact_dedup, langid, secrets, sharding
+from helixframe.llm import bpe, decontaminate, exact_dedup, langid, secret_scan, sharding, simhash
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -23,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -40,8 +44,8 @@ def contaminated():
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
-    base = [r.kind for r in secrets.BASE_RULES]
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    base = [r.kind for r in secret_scan.BASE_RULES]
     shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     only = F.filter("spans", lambda s: s["kind"].isin(base))
@@ -67,7 +71,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op3_decontaminate, op4_secrets, op6_sharding, op9_langid, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_bpe, op3_decontaminate, op4_secrets, op6_sharding, op9_langid, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ import re
 
 import pytest
 from conftest_llm import ODD, small
-from helixframe.llm import bpe, decontaminate, langid, queries, secrets
+from helixframe.llm import bpe, decontaminate, langid, queries, secret_scan
 
 
 def sha(x):
@@ -102,20 +102,20 @@ def test_secrets(spark, odd, none):
     docs = small() + ODD + [(1000 + i, "".join(rng.choices(bits, k=25))) for i in range(300)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {}
-    for r in secrets.find_secrets(df).collect():
+    for r in secret_scan.find_secrets(df).collect():
         got.setdefault(r["doc_id"], []).append(",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in r["spans"] if s["kind"] in ("assign", "access", "hex")))
     want = {}
     for i, t in docs:
         want.setdefault(i, []).append(brute_secrets(t))
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
-    assert secrets.find_secrets(none).count() == 0 and secrets.find_secrets(odd).count() == odd.count()
+    assert secret_scan.find_secrets(none).count() == 0 and secret_scan.find_secrets(odd).count() == odd.count()
 
 
 def test_trigram_queries():
-    q = {r.kind: secrets.trigram_query(r.pattern) for r in secrets.RULES}
+    q = {r.kind: secret_scan.trigram_query(r.pattern) for r in secret_scan.RULES}
     assert q["hex"] is True and q["access"] == ("and", ("aki", "kia"))
-    assert "tok" in secrets._trigrams(q["assign"]) and q["assign"][0] == "or"
-    assert secrets.trigram_query("ab(cd|ef)?gh+") == ("or", (("and", ("abc", "bcd", "cdg")), ("and", ("abe", "bef", "efg")), ("and", ("abg",)))) or secrets.trigram_query("ab(cd|ef)?gh+") is not True
+    assert "tok" in secret_scan._trigrams(q["assign"]) and q["assign"][0] == "or"
+    assert secret_scan.trigram_query("ab(cd|ef)?gh+") == ("or", (("and", ("abc", "bcd", "cdg")), ("and", ("abe", "bef", "efg")), ("and", ("abg",)))) or secret_scan.trigram_query("ab(cd|ef)?gh+") is not True
 
 
 def test_language_id_on_held_out_rows(spark):
