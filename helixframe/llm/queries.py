@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe, decontaminate, exact_dedup, langid, secret_scan, sharding, simhash
+from helixframe.llm import bpe, decontaminate, exact_dedup, langid, secret_scan, sharding, simhash, substring_dedup, suffix_dedup
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -56,6 +56,16 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def held_out():
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
 
@@ -71,7 +81,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_bpe, op3_decontaminate, op4_secrets, op6_sharding, op9_langid, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_bpe, op3_decontaminate, op4_secrets, op6_sharding, op7_substring_dedup, op8_suffix_dedup, op9_langid, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
