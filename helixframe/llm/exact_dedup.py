@@ -1,55 +1,29 @@
 """Exact dedup by two-pass Bloom filtering, in DataFrame functions only.
 
-Pass one reduces every text to a 64-bit hash and counts, per slot of a bit table, how many rows hit it; a slot that
-two rows or more hit is set. Pass two looks every row up in that table. A row whose slots are not all set has no equal
+Pass one reduces every text to a 64-bit hash and counts, per slot of a bit table, how many rows hit it; slots that two
+rows or more hit make the filter. Pass two looks every row up in it. A row whose slots are not all set has no equal
 anywhere and passes straight through. Only the others, true repeats and a few false hits, are shuffled, and only as
 (id, SHA-256): partial aggregates per digest go first, so a hot text costs one row per task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of the table. 2**27 bits are 16 MB of broadcast, whatever the size of the input; more rows only mean more
-#: false hits, which the exact second step sorts out.
-FILTER_BITS = 1 << 27
-#: Bits that one row of the broadcast table carries.
-WORDS = 512
-LANE = WORDS * 64
+from helixframe.llm import bloom
 
 
-def _slots(key: Column, bits: int) -> list[Column]:
-    """Two slots per hash, from its high and low halves."""
-    return [F.pmod(F.shiftrightunsigned(key, 32), F.lit(bits)), F.pmod(F.xxhash64(key), F.lit(bits))]
-
-
-def repeated_slots(keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """The Bloom filter of slots hit at least twice: rows (lane, words), words being 64-bit words of the lane.
-
-    `keys` has one column `key`. At most `bits / LANE` rows result, which bounds the broadcast."""
-    hit = keys.select(F.explode(F.array_distinct(F.array(*_slots(F.col("key"), bits)))).alias("slot"))
-    twice = hit.groupBy("slot").agg(F.count("*").alias("n")).filter("n > 1").select("slot")
-    word = twice.groupBy(F.floor(F.col("slot") / 64).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("word"))
-    lane = word.groupBy(F.floor(F.col("at") / WORDS).alias("lane")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("at") % WORDS).cast("int"), F.col("word")))).alias("m"))
-    return lane.select("lane", F.expr(f"transform(sequence(0, {WORDS - 1}), i -> coalesce(element_at(m, i), 0L))").alias("words"))
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = FILTER_BITS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = bloom.BITS) -> DataFrame:
     """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the largest id stays (nulls before all ids). A null text counts as empty and so equals an empty one.
     Rows repeated with the same id all carry kept = true if that id stays. An empty table gives no rows; columns other
     than the two named are ignored."""
     rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    filt = F.broadcast(repeated_slots(rows.select(F.xxhash64("text").alias("key")), bits))
+    filt = bloom.of_repeats(rows.select(F.xxhash64("text").alias("key")), bits)
     probe = rows.select("doc_id", F.xxhash64("text").alias("key"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
-    for i, slot in enumerate(_slots(F.col("key"), bits)):
-        mine = filt.select(F.col("lane").alias(f"lane{i}"), F.col("words").alias(f"words{i}"))
-        probe = probe.withColumn(f"slot{i}", slot).join(mine, F.floor(F.col(f"slot{i}") / LANE) == F.col(f"lane{i}"), "left")
-        set_ = F.expr(f"coalesce(shiftrightunsigned(words{i}[cast((slot{i} % {LANE}) div 64 as int)], cast(slot{i} % 64 as int)) & 1L, 0L) = 1")
-        probe = probe.withColumn(f"set{i}", set_).drop(f"words{i}", f"lane{i}", f"slot{i}")
-    probe = probe.select("doc_id", "text_sha256", (F.col("set0") & F.col("set1")).alias("maybe"))
+    probe = bloom.marked(probe, "key", filt, "maybe", bits)
 
     alone = probe.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     again = probe.filter("maybe").select("doc_id", "text_sha256")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe, decontaminate, exact_dedup, langid, secret_scan, sharding, simhash, substring_dedup, suffix_dedup
+from helixframe.llm import bpe, decontaminate, exact_dedup, langid, line_dedup, secret_scan, sharding, simhash, substring_dedup, suffix_dedup
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -52,6 +52,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, base), F.sha2(shown(only).cast("binary"), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.drop_lines(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=8)
 
@@ -81,7 +86,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_bpe, op3_decontaminate, op4_secrets, op6_sharding, op7_substring_dedup, op8_suffix_dedup, op9_langid, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_bpe, op3_decontaminate, op4_secrets, op5_line_dedup, op6_sharding, op7_substring_dedup, op8_suffix_dedup, op9_langid, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

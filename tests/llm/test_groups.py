@@ -5,7 +5,7 @@ import random
 import zlib
 
 from conftest_llm import ODD, small
-from helixframe.llm import exact_dedup, sharding
+from helixframe.llm import bloom, exact_dedup, sharding
 
 
 def rows_of(spark, rows):
@@ -14,7 +14,7 @@ def rows_of(spark, rows):
 
 def test_exact_dedup(spark, odd, none):
     docs = small() + [(5000 + i, "copy") for i in range(500)] + ODD
-    for bits in (exact_dedup.LANE, exact_dedup.FILTER_BITS):
+    for bits in (bloom.LANE, bloom.BITS):
         got = exact_dedup.exact_dedup(rows_of(spark, docs), bits=bits).collect()
         groups = {}
         for i, t in docs:
