@@ -16,12 +16,6 @@ from helixframe.session import ship
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _with_source_rows(docs: DataFrame, judged: DataFrame, *columns: str) -> DataFrame:
-    """The other columns of documents beside what an operator gives per doc_id, null ids included."""
-    rest = docs.drop(*columns).dropDuplicates(["doc_id"])
-    return judged.join(rest.withColumnRenamed("doc_id", "id__"), F.col("doc_id").eqNullSafe(F.col("id__")), "inner").drop("id__")
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in none of the learned languages: those without letters, and those without a text."""
     model = langid.fit(langid.training_sample(docs, ~queries.held_out()))
@@ -31,8 +25,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out repeated lines; a document of which nothing but blanks is left goes."""
-    left = line_dedup.drop_lines(docs).filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
-    return _with_source_rows(docs, left.select("doc_id", "text", F.length("text").cast("long").alias("n_chars")), "text", "n_chars").select(*COLUMNS)
+    left = line_dedup.drop_lines(docs, carry=("lang", "source")).filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
