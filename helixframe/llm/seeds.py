@@ -2,7 +2,8 @@
 
 A window of `window` tokens holds `window - k + 1` k-grams; the one with the smallest hash is its seed. Equal windows
 have equal seeds at equal offsets, so only places with a repeated seed need comparing, and a text has few seeds. The
-neighbourhood of a seed, all tokens that windows with it can cover, is its context. Seeds with equal contexts are
+neighbourhood of a seed, all tokens of windows that have it, is its context; as all of them hold the seed, what any
+of them cover is one span. Seeds with equal contexts are
 collapsed to one representative before anything is compared, which makes crowds of copies as cheap as one document.
 """
 
@@ -32,11 +33,6 @@ class Scheme:
     tokens: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
     grams: Callable[[np.ndarray], np.ndarray]
 
-    @property
-    def left(self) -> int:
-        """Most tokens of a window that come before its seed."""
-        return self.window - self.k
-
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U(31))) * U(0x7FB5D329728EA185)
@@ -117,27 +113,37 @@ def _slide(x: np.ndarray, w: int, of: np.ufunc, fill) -> np.ndarray:
     return of(down[: n - w + 1], up[w - 1 : n])
 
 
-def seeds(x: np.ndarray, offsets: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, position in the slice, hash) of all seeds; windows that would cross texts only add some."""
-    grams, w = scheme.grams(x), scheme.window - scheme.k + 1
+def seeds(x: np.ndarray, offsets: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, position, hash, start, end) of the seeds of a slice; start to end are the context, what windows
+    cover that have this seed. Of equal smallest hashes in a window the leftmost is its seed, so every window has one."""
+    grams, w, window = scheme.grams(x), scheme.window - scheme.k + 1, scheme.window
     none = np.zeros(0, np.int64)
     if len(grams) < w:
-        return none, none, np.zeros(0, np.uint64)
-    grams = np.minimum(grams, TOP - U(1))
-    for j in range(1, scheme.k):  # k-grams that cross texts are none
-        at = offsets[1:-1] - j
-        grams[at[(at >= 0) & (at < len(grams))]] = TOP
+        return none, none, np.zeros(0, np.uint64), none, none
     least = _slide(grams, w, np.minimum, TOP)
     wide = np.concatenate((np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)))
-    at = np.flatnonzero((_slide(wide, w, np.maximum, U(0)) == grams) & (grams != TOP))
-    text = np.searchsorted(offsets, at, side="right") - 1
-    long = (offsets[text + 1] - offsets[text]) >= scheme.window
-    return text[long], at[long], grams[at[long]]
-
-
-def context(x: np.ndarray, low: int, high: int, at: int, scheme: Scheme) -> np.ndarray:
-    """Tokens around the seed at `at` of a text that fills low to high."""
-    return x[max(low, at - scheme.left) : min(high, at + scheme.window)]
+    smallest = _slide(wide, w, np.maximum, U(0)) == grams
+    at = np.flatnonzero(smallest)
+    # Windows that lie within one text, and the first place from each on that has the window's smallest hash.
+    inside = np.zeros(len(least) + 1, np.int32)
+    sizes = np.diff(offsets)
+    long = sizes >= window
+    np.add.at(inside, offsets[:-1][long], 1)
+    np.add.at(inside, offsets[1:][long] - window + 1, -1)
+    starts = np.flatnonzero(np.cumsum(inside[:-1]))
+    chosen = np.searchsorted(at, starts) if len(starts) * 8 < len(least) else (np.cumsum(smallest) - smallest)[starts]
+    wrong = np.flatnonzero(grams[at[chosen]] != least[starts])
+    while len(wrong):
+        chosen[wrong] += 1
+        wrong = wrong[grams[at[chosen[wrong]]] != least[starts[wrong]]]
+    if not len(starts):
+        return none, none, np.zeros(0, np.uint64), none, none
+    text = np.searchsorted(offsets, starts, side="right") - 1
+    new = np.concatenate(([True], (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1])))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(starts)) - 1
+    pos = at[chosen[first]]
+    return text[first], pos, grams[pos], starts[first], starts[last] + window
 
 
 def context_id(around: np.ndarray, before: int) -> int:
@@ -145,18 +151,20 @@ def context_id(around: np.ndarray, before: int) -> int:
 
 
 def find_seeds(rows: DataFrame, scheme: Scheme) -> DataFrame:
-    """(doc_id, row_key, pos, h, c) of all seeds: position in tokens, hashes of the seed and of its context."""
-    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("pos", pa.int32()), ("h", pa.int64()), ("c", pa.int64())])
+    """(doc_id, row_key, pos, before, size, h, c) of all seeds: position in tokens, tokens of the context before it and
+    in all, hashes of the seed and of its context."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("pos", pa.int32()), ("before", pa.int32()), ("size", pa.int32()), ("h", pa.int64()), ("c", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1_000_000):
             x, offsets = scheme.tokens(*text_bytes(batch.column("text")))
-            text, at, h = seeds(x, offsets, scheme)
-            low, high = offsets[text], offsets[text + 1]
-            c = [context_id(x[max(a, p - scheme.left) : min(b, p + scheme.window)], min(p - a, scheme.left)) for a, b, p in zip(low.tolist(), high.tolist(), at.tolist(), strict=True)]
-            yield batch_of(schema, batch.column("doc_id").take(pa.array(text)), batch.column("row_key").take(pa.array(text)), pa.array((at - low).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(np.array(c, np.uint64).view(np.int64)))
+            text, at, h, start, end = seeds(x, offsets, scheme)
+            c = [context_id(x[a:b], p - a) for a, b, p in zip(start.tolist(), end.tolist(), at.tolist(), strict=True)]
+            own = pa.array(text)
+            ints = [pa.array(v.astype(np.int32)) for v in (at - offsets[text], at - start, end - start)]
+            yield batch_of(schema, batch.column("doc_id").take(own), batch.column("row_key").take(own), *ints, pa.array(h.view(np.int64)), pa.array(np.array(c, np.uint64).view(np.int64)))
 
-    return rows.mapInArrow(run, "doc_id long, row_key long, pos int, h long, c long")
+    return rows.mapInArrow(run, "doc_id long, row_key long, pos int, before int, size int, h long, c long")
 
 
 def repeated_seeds(rows: DataFrame, scheme: Scheme, repeated: Column) -> DataFrame:
@@ -169,10 +177,10 @@ def repeated_seeds(rows: DataFrame, scheme: Scheme, repeated: Column) -> DataFra
 
 
 def contexts(reps: DataFrame, rows: DataFrame, scheme: Scheme, carry: str) -> DataFrame:
-    """Adds the contexts to representatives (doc_id, row_key, pos, h, c and the long column `carry`): (h, c, carry,
+    """Adds the contexts to representatives (doc_id, row_key, pos, before, size, h, c and the long column `carry`): (h, c, carry,
     before, around), around being the bytes of the tokens and before how many come before the seed. Texts that are
     needed are joined once, with all their representatives; a repeated row gives its contexts again."""
-    asked = reps.groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("k")).agg(F.collect_list(F.struct("pos", "h", "c", carry)).alias("asked"))
+    asked = reps.groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("k")).agg(F.collect_list(F.struct("pos", "before", "size", "h", "c", carry)).alias("asked"))
     joined = rows.join(asked, (rows["row_key"] == F.col("k")) & rows["doc_id"].eqNullSafe(F.col("d"))).select("text", "asked")
     schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), (carry, pa.int64()), ("before", pa.int32()), ("around", pa.binary())])
 
@@ -182,15 +190,19 @@ def contexts(reps: DataFrame, rows: DataFrame, scheme: Scheme, carry: str) -> Da
             asked = batch.column("asked")
             flat = asked.flatten()
             owner = np.repeat(np.arange(len(asked)), np.diff(asked.offsets.to_numpy()))
-            low, high = offsets[owner], offsets[owner + 1]
-            pos = flat.field("pos").to_numpy(zero_copy_only=False)
-            at = pos + low
-            around = [context(x, a, b, p, scheme).tobytes() for a, b, p in zip(low.tolist(), high.tolist(), at.tolist(), strict=True)]
-            yield batch_of(schema, flat.field("h"), flat.field("c"), flat.field(carry), pa.array(np.minimum(pos, scheme.left).astype(np.int32)), around)
+            pos, before, size = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("pos", "before", "size"))
+            start = offsets[owner] + pos - before
+            around = [x[a : a + n].tobytes() for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+            yield batch_of(schema, flat.field("h"), flat.field("c"), flat.field(carry), flat.field("before"), around)
 
     return joined.mapInArrow(run, f"h long, c long, {carry} long, before int, around binary")
 
 
+def one_span(spans: DataFrame) -> DataFrame:
+    """One row (h, c, start, end) per context: all its spans hold the seed, so their union is one span."""
+    return spans.groupBy("h", "c").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+
+
 def spans_of_rows(spans: DataFrame, rows: DataFrame) -> DataFrame:
     """`rows` (doc_id, row_key, text) with the array of all their spans (start, end); null where there are none."""
     by = spans.groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("k")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))

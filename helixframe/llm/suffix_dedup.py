@@ -117,12 +117,12 @@ class Family:
         return order
 
     def spans(self, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(suffix, start, end) relative to the seeds, of what marked windows of suffixes i to j cover."""
+        """(suffix, start, end) relative to the seeds, of what marked windows of suffixes i to j cover: one span each,
+        since every window holds the seed."""
         marks = self.marks[i:j]
-        edge = np.diff(np.pad(marks, ((0, 0), (1, 1))).view(np.int8), axis=1)
-        row, first = np.nonzero(edge == 1)
-        _, after = np.nonzero(edge == -1)
-        return row + i, 1 - after, self.window - first
+        row = np.flatnonzero(marks.any(axis=1))
+        first, last = marks[row].argmax(axis=1), self.left_len - marks[row][:, ::-1].argmax(axis=1)
+        return row + i, -last, self.window - first
 
 
 def _judged(window: int, batch: int):
@@ -178,21 +178,21 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, batch: int = BATCH, ho
     rows = with_row_key(documents(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")))
     how = scheme(window)
     found = seeds.repeated_seeds(rows, how, F.count("*") > 1)
-    of = found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_key", "pos")).alias("rep"))
+    of = found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_key", "pos", "before", "size")).alias("rep"))
     of = written(of)
     groups = of.groupBy(F.col("h").alias("g")).agg(F.count("*").alias("distinct"))
     several = written(of.join(groups.filter("distinct > 1"), F.col("h") == F.col("g")).select("rep.*", "h", "c", "distinct"))
     around = seeds.contexts(several, rows, how, "distinct")
     around = written(around)
-    # Whole contexts that occur twice are covered from end to end; the last step clips to the text.
-    whole = of.filter("n > 1").select("h", "c", F.lit(-how.left).alias("start"), F.lit(window).alias("end"))
+    # Whole contexts that occur twice are covered from end to end.
+    whole = of.filter("n > 1").select("h", "c", (-F.col("rep.before")).alias("start"), (F.col("rep.size") - F.col("rep.before")).alias("end"))
     few = around.filter(F.col("distinct") <= hot)
     parts = max(1, few.count() // 20_000) + 11
     judged = few.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_judged(window, batch), "h long, c long, start int, end int")
     strings = around.filter(F.col("distinct") > hot).mapInArrow(_strings(window), "s1 long, s2 long, h long, c long, back int")
     twice = strings.groupBy("s1", "s2", "h", "back").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     crowd = strings.join(twice, ["s1", "s2", "h", "back"]).select("h", "c", (-F.col("back")).alias("start"), (F.lit(window) - F.col("back")).alias("end"))
-    spans = written(whole.unionByName(judged).unionByName(crowd))
+    spans = written(seeds.one_span(whole.unionByName(judged).unionByName(crowd)))
     return found.join(spans, ["h", "c"]).select("doc_id", "row_key", (F.col("pos") + F.col("start")).alias("start"), (F.col("pos") + F.col("end")).alias("end"))
 
 
