@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("enrichment", "cells", "stats", "pairwise", "ontology", "graphs", "interactions", "streams")
 
 
 def load_all() -> None:
