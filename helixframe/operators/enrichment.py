@@ -4,11 +4,12 @@ Sets are rows (set_id, member), targets rows (target_id, member), expression row
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.ranks import average_rank, bh_adjusted
 from helixframe.functions.special import hypergeometric_tail
+from helixframe.session import cut
 
 
 def hypergeometric(targets: DataFrame, sets: DataFrame, universe: DataFrame | None = None, min_overlap: int = 3, threshold: float | None = 0.05) -> DataFrame:
@@ -55,10 +56,11 @@ def elimination(targets: DataFrame, terms: DataFrame, ancestry: DataFrame, level
         n = n.join(lost, ["target_id", "term"], "left") if lost is not None else n.withColumn("lost", F.lit(0).cast("long"))
         n = n.withColumn("term_size", F.col("all_size") - F.coalesce("lost", F.lit(0)))
         n = n.withColumn("pval", hypergeometric_tail(F.col("hits"), F.col("term_size"), F.lit(universe_size), F.col("k")))
-        done.append(n.select("target_id", "term", "level", "hits", "term_size", "pval"))
+        n = cut(n.select("target_id", "term", "level", "hits", "term_size", "pval"))
+        done.append(n)
         found = n.filter((F.col("pval") <= elim_threshold) & (F.col("hits") >= min_overlap)).select("target_id", "term")
         new = found.join(mine, "term").join(ancestry.filter("term <> ancestor"), "term").select("target_id", F.col("ancestor").alias("term"), "member").distinct()
-        gone = new if gone is None else gone.unionByName(new).distinct()
+        gone = cut(new if gone is None else gone.unionByName(new).distinct())
     return reduce(DataFrame.unionByName, done).filter(F.col("hits") >= min_overlap)
 
 

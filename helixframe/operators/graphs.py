@@ -10,10 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame, every: bool) -> DataFrame:
-    """Cuts the lineage in the shared checkpoint folder where one is set; local runs keep the plan."""
-    return df.checkpoint() if every and df.sparkSession.sparkContext.getCheckpointDir() else df
+from helixframe.session import cut
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -30,13 +27,13 @@ def personalised_page_rank(edges: DataFrame, seeds: DataFrame, damping: float =
     if sinks is not None:
         out = out.join(sinks.select(F.col("node").alias("src")), "src", "left_anti")
     out = out.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy("src")))
-    out = _cut(out, True)
+    out = cut(out)
     rank = start.withColumnRenamed("p", "r")
-    for i in range(rounds):
-        moved = rank.join(out, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg((damping * F.sum(F.col("r") * F.col("weight"))).alias("got"))
+    for _ in range(rounds):
+        moved = cut(rank.join(out, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg((damping * F.sum(F.col("r") * F.col("weight"))).alias("got")))
         kept = moved.agg(F.coalesce(F.sum("got"), F.lit(0.0)).alias("all_got"))
         back = start.crossJoin(F.broadcast(kept)).select("node", (F.col("p") * (1 - F.col("all_got"))).alias("got"))
-        rank = _cut(moved.unionByName(back).groupBy("node").agg(F.sum("got").alias("r")), i % 5 == 4)
+        rank = moved.unionByName(back).groupBy("node").agg(F.sum("got").alias("r"))
     return rank.select("node", F.col("r").alias("score"))
 
 
@@ -51,13 +48,14 @@ def tied_diffusion(edges: DataFrame, seeds_a: DataFrame, seeds_b: DataFrame, how
 def label_propagation(edges: DataFrame, labels: DataFrame, alpha: float = 0.9, rounds: int = 10) -> DataFrame:
     """(node, label, p): labels (node, label) spread over incoming edges, weights normalised per node, and are drawn back
     to the seeds by 1 - alpha. Shares of a node sum to one."""
-    into = _cut(edges.select(F.col("src").alias("u"), F.col("dst").alias("node"), "weight").withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy("node"))), True)
+    into = cut(edges.select(F.col("src").alias("u"), F.col("dst").alias("node"), "weight").withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy("node"))))
     seed = labels.dropna().select("node", "label", F.lit(1.0).alias("p"))
     state = seed
     for i in range(rounds):
         got = into.join(state.withColumnRenamed("node", "u"), "u").groupBy("node", "label").agg((alpha * F.sum(F.col("p") * F.col("weight"))).alias("p"))
         mix = got.unionByName(seed.withColumn("p", F.col("p") * (1 - alpha))).groupBy("node", "label").agg(F.sum("p").alias("p"))
-        state = _cut(mix.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("node"))), i % 5 == 4)
+        state = mix.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("node")))
+        state = cut(state) if i % 5 == 4 else state
     return state
 
 
@@ -172,7 +170,8 @@ def imputed(norm: DataFrame, edges: DataFrame, steps: int = 3) -> DataFrame:
     t = edges.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy("src")))
     x = norm.select("cell", "gene", F.col("norm").alias("value"))
     for i in range(steps):
-        x = _cut(t.join(x, F.col("dst") == F.col("cell")).groupBy(F.col("src").alias("cell"), "gene").agg(F.sum(F.col("weight") * F.col("value")).alias("value")), i % 3 == 2)
+        x = t.join(x, F.col("dst") == F.col("cell")).groupBy(F.col("src").alias("cell"), "gene").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
+        x = cut(x) if i % 3 == 2 else x
     return x
 
 

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
 
@@ -24,3 +24,12 @@ def ship(spark: SparkSession) -> SparkSession:
                 z.write(p, str(p.relative_to(here.parent)))
         spark.sparkContext.addPyFile(to)
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the folder of spark.checkpoint.dir; one is set here only where
+    none is, as in local runs and tests."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="helixframe-"))
+    return df.checkpoint()
