@@ -44,7 +44,7 @@ def hypergeometric_tail(hits: Column, members: Column, universe: Column, drawn:
 
 
 def normal_tail(z: Column) -> Column:
-    """P(Z > z) of a standard normal."""
+    """P(Z > z) of a standard normal, to about 1e-8 of its value in the far tail."""
     x = F.abs(z.cast("double"))
 
     def poly(c: tuple[float, ...]) -> Column:
