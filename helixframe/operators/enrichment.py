@@ -84,6 +84,22 @@ def ssgsea(expr: DataFrame, sets: DataFrame, alpha: float = 0.25) -> DataFrame:
     return g.filter("n > m").select("sample", "set_id", (F.col("up") - down).alias("score"))
 
 
+def gsva(expr: DataFrame, sets: DataFrame, tau: float = 1.0, max_diff: bool = True) -> DataFrame:
+    """(sample, set_id, score) by the empirical distribution of each feature over the samples: features of a sample are
+    ordered by it, far ranks weigh more, and the score is the sum of the largest deviations up and down of the running
+    sum, or with `max_diff` false the larger of them. Both lie at members, so only members are scanned."""
+    d = expr.select("sample", "feature", F.cume_dist().over(Window.partitionBy("feature").orderBy("value")).alias("d"))
+    w = Window.partitionBy("sample")
+    r = d.select("sample", "feature", F.row_number().over(w.orderBy(F.desc("d"), "feature")).alias("at"), F.count("*").over(w).alias("n"))
+    hit = r.join(sets.select("set_id", F.col("member").alias("feature")).distinct(), "feature").withColumn("x", F.pow(F.abs(F.col("n") / 2 - F.col("at") + 1), F.lit(tau)))
+    own = Window.partitionBy("sample", "set_id")
+    walk = hit.select("sample", "set_id", "at", "n", "x", F.sum("x").over(own.orderBy("at")).alias("c"), F.nullif(F.sum("x").over(own), F.lit(0.0)).alias("t"), F.count("*").over(own).alias("m"), F.row_number().over(own.orderBy("at")).alias("j")).filter("n > m")
+    missed = (F.col("at") - F.col("j")) / (F.col("n") - F.col("m"))
+    g = walk.groupBy("sample", "set_id").agg(F.greatest(F.lit(0.0), F.max(F.coalesce(F.col("c") / F.col("t"), F.lit(0.0)) - missed)).alias("up"), F.least(F.lit(0.0), F.min(F.coalesce((F.col("c") - F.col("x")) / F.col("t"), F.lit(0.0)) - missed)).alias("down"))
+    larger = F.when(F.col("up") >= -F.col("down"), F.col("up")).otherwise(F.col("down"))
+    return g.select("sample", "set_id", ((F.col("up") + F.col("down")) if max_diff else larger).alias("score"))
+
+
 def singscore(expr: DataFrame, sets: DataFrame, centre: bool = True) -> DataFrame:
     """(sample, set_id, score, dispersion) of up-sets of known direction: the mean rank of members, scaled by its least
     and greatest possible value; the dispersion is 1.4826 times the median absolute deviation of ranks."""

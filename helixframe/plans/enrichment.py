@@ -60,6 +60,14 @@ def ssgsea_scores(spark, sf_dir):
     return D.rounded(E.ssgsea(_expr(spark, sf_dir), D.sets(spark, sf_dir)), "score", digits=4)
 
 
+@query(_SEGMENT + """, d AS (SELECT sample, feature, cume_dist() OVER (PARTITION BY feature ORDER BY value) AS d FROM expr), r AS (SELECT sample, feature, row_number() OVER (PARTITION BY sample ORDER BY d DESC, feature) AS pos, count(*) OVER (PARTITION BY sample) AS n FROM d),
+x AS (SELECT sample, s.set_id, pos, CASE WHEN m.member IS NULL THEN 0.0 ELSE abs(n / 2.0 - pos + 1) END AS w, m.member IS NULL AS miss FROM r CROSS JOIN (SELECT DISTINCT set_id FROM sets) s LEFT JOIN sets m ON m.set_id = s.set_id AND m.member = r.feature),
+run AS (SELECT sample, set_id, sum(w) OVER win / sum(w) OVER whole - CAST(sum(CAST(miss AS INT)) OVER win AS DOUBLE) / sum(CAST(miss AS INT)) OVER whole AS d FROM x WINDOW win AS (PARTITION BY sample, set_id ORDER BY pos), whole AS (PARTITION BY sample, set_id))
+SELECT sample, set_id, round(greatest(0.0, max(d)) + least(0.0, min(d)), 5) AS score FROM run GROUP BY 1, 2""")
+def gsva_scores(spark, sf_dir):
+    return D.rounded(E.gsva(_expr(spark, sf_dir), D.sets(spark, sf_dir)), "score", digits=5)
+
+
 @query(_SEGMENT + """, r AS (SELECT *, rank() OVER (PARTITION BY sample ORDER BY value) AS rk, count(*) OVER (PARTITION BY sample) AS n FROM expr),
 h AS (SELECT sample, set_id, avg(rk) AS mean, count(*) AS m, max(n) AS n, 1.4826 * mad(CAST(rk AS DOUBLE)) AS dispersion FROM r JOIN sets ON feature = member GROUP BY 1, 2)
 SELECT sample, set_id, round((mean - (m + 1) / 2.0) / ((2 * n - m + 1) / 2.0 - (m + 1) / 2.0) - 0.5, 6) AS score, round(dispersion, 6) AS dispersion FROM h WHERE n > m""")
