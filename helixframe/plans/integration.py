@@ -86,7 +86,7 @@ def local_correlation(spark, sf_dir):
 
 @query()
 def louvain_communities(spark, sf_dir):
-    return C.louvain(_undirected(spark, sf_dir), levels=3, rounds=6)
+    return C.louvain(_undirected(spark, sf_dir), levels=2, rounds=4)
 
 
 @query()
