@@ -29,19 +29,32 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds row_key, a hash of all columns: stages judge rows, and ids may be null or repeated."""
+    return docs.withColumn("row_key", F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS)))
+
+
+def _same_row():
+    return (F.col("row_key") == F.col("key__")) & F.col("doc_id").eqNullSafe(F.col("id__"))
+
+
+def _ids(judged: DataFrame) -> DataFrame:
+    return judged.select(F.col("doc_id").alias("id__"), F.col("row_key").alias("key__")).distinct()
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; rows without an id all stay."""
-    near = simhash.near_duplicates(docs)
-    stay = near.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("id__")).distinct()
-    kept = docs.join(stay, F.col("doc_id") == F.col("id__"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
+    """Of each group of near copies the row with the smallest id stays, of several the one with the smallest hash of all
+    columns; rows without an id come last. Rows that agree in all columns are copies as well."""
+    docs = _keyed(docs)
+    stay = _ids(simhash.near_duplicates(docs, key="row_key").filter("stays"))
+    return docs.join(stay, _same_row(), "left_semi").dropDuplicates(["doc_id", "row_key"]).select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more stands in windows of benchmark items go."""
-    found = decontaminate.find_contamination(docs, queries.table(spark, sf_dir, "benchmark"))
-    bad = found.filter(queries.contaminated()).select(F.col("doc_id").alias("id__")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("id__")), "left_anti").select(*COLUMNS)
+    docs = _keyed(docs)
+    found = decontaminate.find_contamination(docs, queries.table(spark, sf_dir, "benchmark"), key="row_key")
+    return docs.join(_ids(found.filter(queries.contaminated())), _same_row(), "left_anti").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import batch_of, documents, slices, with_row_key, written
+from helixframe.llm.common import batch_of, slices, with_row_key, written
 
 WINDOW = 13
 #: Bytes of item texts in one automaton. Larger item tables are scanned in as many passes.
@@ -84,14 +84,16 @@ def scan(text: str, auto: ahocorasick.Automaton | None) -> tuple[int, list[tuple
     return len(w), runs, [(int(points[first[a]]), int(points[after[b - 1]])) for a, b in runs], items
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, key: str | None = None) -> DataFrame:
     """One row per row of `docs`: doc_id, n_words, n_hit, items (sorted ids as strings), spans (start, end: code points
     of hit runs in the original text; runs of items in different blocks may overlap).
 
     A window is `window` consecutive words of an item, or all words of a shorter one. Null or wordless texts have no
     words and no hits; items without words give no window; an item with a null id is named by the empty string. Repeated
-    items count once. Item texts travel in blocks of at most `block_bytes`, one automaton a block."""
-    rows = with_row_key(documents(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")))
+    items count once. Item texts travel in blocks of at most `block_bytes`, one automaton a block. With
+    `key`, a column of longs that tells rows apart, that column comes last, as row_key."""
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), *([docs[key].alias("row_key")] if key else []))
+    rows, told = (rows, ["row_key"]) if key else (with_row_key(rows), [])
     tests = items.select(F.coalesce(items[item_id_col].cast("string"), F.lit("")).alias("item"), F.coalesce(items[item_text_col], F.lit("")).alias("text"))
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = size // block_bytes + 1
@@ -101,7 +103,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
         listed = docs.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in mine.collect()])  # block_bytes, about
         parts.append(rows.mapInArrow(_scanner(listed, window, all_rows=blocks == 1), _DDL))
     if blocks == 1:
-        return parts[0].select("doc_id", "n_words", _covered("runs").alias("n_hit"), F.array_sort("items").alias("items"), "spans")
+        return parts[0].select("doc_id", "n_words", _covered("runs").alias("n_hit"), F.array_sort("items").alias("items"), "spans", *told)
     hits = parts[0]
     for p in parts[1:]:
         hits = hits.unionByName(p)
@@ -109,7 +111,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     hits = written(hits).groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("k")).agg(*(one(c).alias(c) for c in ("runs", "spans", "items")))
     counted = rows.mapInArrow(_scanner(None, window, all_rows=True), _DDL).select("doc_id", "row_key", "n_words")
     joined = counted.join(hits, (F.col("row_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
-    return joined.select("doc_id", "n_words", F.coalesce(_covered("runs"), F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<start: int, end: int>>")).alias("spans"))
+    return joined.select("doc_id", "n_words", F.coalesce(_covered("runs"), F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<start: int, end: int>>")).alias("spans"), *told)
 
 
 def _covered(runs: str):

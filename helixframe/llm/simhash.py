@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import batch_of, documents, slices, written
+from helixframe.llm.common import batch_of, slices, written
 from helixframe.llm.graph import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -102,10 +102,11 @@ def fingerprint(texts: list[str]) -> list[int]:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("print", pa.int64())])
+    """The columns of the batches, with the fingerprint in place of the text."""
     for batch in slices(batches, "text"):
         prints = np.array(fingerprint(batch.column("text").to_pylist()), np.uint64).view(np.int64)
-        yield batch_of(schema, batch.column("doc_id"), pa.array(prints))
+        kept = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(prints)], names=[*kept, "print"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,20 +237,23 @@ def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
     return found.filter("v is not null").unionByName(centre.join(around, "word").select("u", "v").filter("u <> v").distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, key: str | None = None) -> DataFrame:
     """One row per row of `docs`: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over
     links of three differing bits or fewer).
 
     A null or wordless text has the fingerprint zero and is linked like any other; equal fingerprints share a component.
     Rows without an id take part in linking but never name a component, unless none of it has an id (then null).
-    An empty table gives no rows."""
-    rows = documents(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    marked = written(rows.mapInArrow(_fingerprints, "doc_id long, print long"))
-    classes = marked.groupBy("print").agg(F.min("doc_id").alias("least"))
+    With `key`, a column of longs that tells rows apart, also row_key (that column) and stays: whether the row comes
+    first in its component by id and key, rows without an id last. An empty table gives no rows."""
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), *([docs[key].alias("row_key")] if key else []))
+    marked = written(rows.mapInArrow(_fingerprints, "doc_id long, row_key long, print long" if key else "doc_id long, print long"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key") if key else F.lit(None)
+    classes = marked.groupBy("print").agg(F.min("doc_id").alias("least"), *([F.min(order).alias("first")] if key else []))
     found = components(links(classes.select("print"), hot))
     # Fingerprints without a link are their own component, so only linked ones take a second step.
-    joined = classes.join(found, classes["print"] == found["node"], "left").select("print", "least", F.coalesce("component", "print").alias("component"))
+    joined = classes.join(found, classes["print"] == found["node"], "left").select("print", "least", *(["first"] if key else []), F.coalesce("component", "print").alias("component"))
     joined = written(joined)
-    named = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    names = joined.join(named, "component").select("print", "component_id")
-    return marked.join(names, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    named = joined.groupBy("component").agg(F.min("least").alias("component_id"), *([F.min("first").alias("head")] if key else []))
+    names = joined.join(named, "component").select("print", "component_id", *(["head"] if key else []))
+    told = [F.col("row_key"), order.eqNullSafe(F.col("head")).alias("stays")] if key else []
+    return marked.join(names, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", *told)
