@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,18 +109,29 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
 
 
 def training_sample(docs: DataFrame, keep: Column, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> list[tuple[str, str]]:
-    """At most per_language texts of each of at most `languages` languages, chosen by hash among rows where `keep`
-    holds, the language is not null and the text has a letter."""
+    """Of each of at most `languages` languages per_language distinct texts, or all if it has fewer, chosen by hash among
+    rows where `keep` holds, the language is not null and the text has a letter. Copies of a text count once."""
     rows = docs.filter(keep & docs[lang_col].isNotNull() & docs[text_col].rlike(r"\p{L}")).select(docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     drawn = F.pmod(F.xxhash64("lang", "text"), F.lit(1_000_003))
-    # Counts come from ids and labels alone; then each language's share of hashes is set to about twice its bound.
-    counts = docs.filter(keep & docs[lang_col].isNotNull()).groupBy(docs[lang_col].alias("lang")).count().orderBy(F.desc("count"), "lang").limit(languages)
-    share = F.broadcast(counts.select(F.col("lang").alias("l"), F.ceil(F.least(F.lit(1.0), F.lit(2.0 * per_language + 50) / F.col("count")) * 1_000_003).alias("below")))
+    # Each language's share of hashes is set to about twice its bound, by a sketch of its distinct texts.
+    counts = rows.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct(F.xxhash64("text")).alias("texts")).orderBy(F.desc("count"), "lang").limit(languages).collect()
+    if not counts:
+        return []
+    below = {r["lang"]: min(1_000_003, int((2 * per_language + 50) / max(1, r["texts"]) * 1_000_003) + 1) for r in counts}
+    share = F.broadcast(docs.sparkSession.createDataFrame(list(below.items()), "l string, below long"))
     some = rows.withColumn("drawn", drawn).join(share, F.col("lang") == F.col("l")).filter("drawn < below").select("lang", "drawn", "text").distinct()
     listed = some.collect()  # about (2 per_language + 50) texts of each language
     by: dict[str, list] = {}
     for r in listed:
         by.setdefault(r["lang"], []).append((r["drawn"], r["text"]))
+    # Where the draw falls short all the same, the smallest hashes are taken exactly.
+    short = [lang for lang, b in below.items() if b < 1_000_003 and len(by.get(lang, [])) < per_language]
+    if short:
+        first = F.row_number().over(Window.partitionBy("lang").orderBy("drawn", "text"))
+        least = rows.filter(F.col("lang").isin(short)).withColumn("drawn", drawn).select("lang", "drawn", "text").distinct().withColumn("k", first).filter(F.col("k") <= per_language)
+        by |= {lang: [] for lang in short}
+        for r in least.collect():
+            by[r["lang"]].append((r["drawn"], r["text"]))
     return [(text, lang) for lang, found in by.items() for _, text in sorted(found)[:per_language]]
 
 

@@ -1,7 +1,7 @@
 """Stages of the pipeline judge rows, not ids: null and repeated ids."""
 
 import corpus_pipeline as cp
-from helixframe.llm import queries
+from helixframe.llm import langid, queries
 from test_pipeline import AT
 
 TEXTS = [
@@ -31,3 +31,12 @@ def test_decontamination_by_row(spark):
     docs = rows_of(spark, [(None, item, "s"), (None, TEXTS[0], "s"), (None, TEXTS[1], "s"), (3, item, "s"), (3, TEXTS[2], "s"), (4, TEXTS[3], "s")])
     got = sorted((str(r["doc_id"]), r["text"]) for r in cp.decontaminated(spark, docs, AT).collect())
     assert got == sorted([("None", TEXTS[0]), ("None", TEXTS[1]), ("3", TEXTS[2]), ("4", TEXTS[3])])
+
+
+def test_training_sample_counts_distinct_texts(spark):
+    few = [f"texto {k} de una lengua con copias" for k in range(40)]
+    rows = [(i, few[i % 40], "es") for i in range(4000)] + [(5000 + i, f"a text of its own {i}", "en") for i in range(300)] + [(6000 + i, None if i % 2 else "12 !", "fr") for i in range(500)] + [(7000, "une phrase", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.training_sample(docs, docs["doc_id"] >= 0, per_language=30)
+    by = {lang: {t for t, g in got if g == lang} for lang in ("es", "en", "fr")}
+    assert {k: len(v) for k, v in by.items()} == {"es": 30, "en": 30, "fr": 1} and len(got) == 61 and by["es"] <= set(few)
