@@ -17,10 +17,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in none of the learned languages: those without letters, and those without a text."""
+    """Rejects documents in none of the learned languages: those whose best score is below langid.FLOOR, those without
+    letters, and those without a text."""
     model = langid.fit(langid.training_sample(docs, ~queries.held_out()))
     told = langid.identify(docs, model, carry=("text", "lang", "source", "n_chars"))
-    return told.filter(F.col("lang_pred") != langid.NONE).select(*COLUMNS)
+    return told.filter((F.col("lang_pred") != langid.NONE) & (F.col("score") >= langid.FLOOR)).select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

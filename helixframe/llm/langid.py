@@ -28,6 +28,9 @@ LANGUAGES = 256
 LANDMARKS = 160
 RIDGE = 0.1
 NONE = "und"
+#: Best score below which a text counts as one in no learned language. On sf0.01, texts with letters score 0.30 and more
+#: (the lowest is a single word), symbols with one letter and scripts that were not learned below 0.15.
+FLOOR = 0.2
 
 
 def ngrams(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...] = LENGTHS) -> tuple[np.ndarray, np.ndarray]:

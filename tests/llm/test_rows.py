@@ -40,3 +40,13 @@ def test_training_sample_counts_distinct_texts(spark):
     got = langid.training_sample(docs, docs["doc_id"] >= 0, per_language=30)
     by = {lang: {t for t, g in got if g == lang} for lang in ("es", "en", "fr")}
     assert {k: len(v) for k, v in by.items()} == {"es": 30, "en": 30, "fr": 1} and len(got) == 61 and by["es"] <= set(few)
+
+
+def test_language_id_rejects_by_score(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    odd = ["$$$ 12 %% ## a 44 !! ==", "{}[];:<>()" * 20 + "e", "0123 4567 89 " * 30 + "q", "Это русский текст о погоде", "漢字仮名交じり文はここにある", "Η γρήγορη αλεπού πηδάει"]
+    extra = spark.createDataFrame([(1_000_000 + i, t, None, "s", len(t)) for i, t in enumerate(odd)], docs.schema)
+    got = {r[0] for r in cp.language_id(spark, docs.unionByName(extra), AT).select("doc_id").collect()}
+    assert not {i for i in got if i >= 1_000_000}
+    clean = {r[0] for r in docs.filter(queries.held_out() & docs["text"].rlike(r"\p{L}")).select("doc_id").collect()}
+    assert len(clean) > 150 and clean <= got
