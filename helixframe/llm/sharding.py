@@ -1,10 +1,10 @@
 """Sharding by best-fit-decreasing bin packing.
 
 Equal texts form groups that are not divided. Groups are pre-aggregated by a digest; groups below a small share of the
-total are bundled by hash into a bounded number of bundles, so the packing itself sees at most BUNDLES small items and
-as many large ones, whatever the size of the table. Items sorted by size enter the bin with the tightest remaining
-capacity, found in a balanced tree. Only a group larger than half a bin, which would break the law of near-equal
-bytes, is cut into pieces by a hash of its ids.
+total are bundled by hash into BUNDLES bundles, or so many that a bundle holds about 1 / PARTS of a bin, so the packing
+itself sees a number of items that grows with the bins, not with the table. Items sorted by size enter the bin with the
+tightest remaining capacity, found in a balanced tree. With a number of shards, a group larger than a whole bin, which
+would break the law of near-equal bytes, is cut by a hash of its ids: into as many pieces as it needs bins.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bound of the number of bundles of small groups that the driver packs.
+#: Number of bundles of small groups that the driver packs, unless there are more than BUNDLES / PARTS bins.
 BUNDLES = 16_384
+#: A bundle is at most about this part of a bin, and so is the grain in which a group is cut.
+PARTS = 64
 
 
 class CapacityTree:
@@ -111,7 +113,6 @@ def shard(docs: DataFrame, shards: int | None = 8, capacity: int | None = None,
         F.when(text.isNull(), F.lit(-1)).otherwise(F.xxhash64(text, F.length(text))).alias("group"),
     )
     spark = docs.sparkSession
-    bundle = F.pmod(F.col("group"), F.lit(bundles))
     # Sums per bundle are enough for most; only groups that are large by themselves are listed one by one.
     groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     from helixframe.llm.common import written
@@ -119,21 +120,30 @@ def shard(docs: DataFrame, shards: int | None = 8, capacity: int | None = None,
     groups = written(groups)
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     room = capacity or max(1, -(-total // (shards or 1)))
-    large = groups.filter(F.col("bytes") * bundles > total).select("group", "bytes", F.greatest(F.lit(1), F.ceil(F.col("bytes") * 2 / F.lit(room)).cast("long") * 8).alias("cut"))
-    cut_up = F.col("bytes") * 2 > room if shards else F.lit(False)
-    large = large.withColumn("cut", F.when(cut_up, F.col("cut")).otherwise(F.lit(1)))
+    bundles = max(bundles, -(-total * PARTS // room))
+    bundle = F.pmod(F.col("group"), F.lit(bundles))
+    cut = F.ceil(F.col("bytes") / F.lit(room)).cast("long") if shards else F.lit(1).cast("long")
+    large = groups.filter(F.col("bytes") > total / bundles).select("group", "bytes", cut.alias("cut"))
     listed = large.collect()  # at most `bundles` rows: each holds more than 1 / bundles of all bytes
-    # A group that is cut up: the sizes of its pieces are counted, as they depend on ids.
+    # A group that is cut up: the sizes of its grains are counted, as they depend on ids, and joined to even pieces.
     big = F.broadcast(large.select(F.col("group").alias("g"), "cut"))
-    keyed = rows.join(big, rows["group"] == F.col("g"), "left").withColumn("piece", F.when(F.col("cut") > 1, F.pmod(F.xxhash64("doc_id"), F.col("cut"))).otherwise(F.lit(0)).cast("long"))
+    keyed = rows.join(big, rows["group"] == F.col("g"), "left").withColumn("piece", F.when(F.col("cut") > 1, F.pmod(F.xxhash64("doc_id"), F.col("cut") * PARTS)).otherwise(F.lit(0)).cast("long"))
     keyed = keyed.withColumn("item", F.when(F.col("g").isNotNull(), F.col("group")).otherwise(bundle)).withColumn("lone", F.col("g").isNotNull()).drop("g", "cut", "group")
     items: list[tuple[tuple, int]] = [((True, r["group"], 0), r["bytes"]) for r in listed if r["cut"] == 1]
     small = groups.join(F.broadcast(large.select("group")), "group", "left_anti").groupBy(bundle.alias("b")).agg(F.sum("bytes").alias("bytes"))
     items += [((False, r["b"], 0), r["bytes"]) for r in small.collect()]  # at most `bundles` rows
-    if any(r["cut"] > 1 for r in listed):  # fewer than 2 * shards such groups exist, with a bounded number of pieces each
+    piece_of, sizes = {}, {}
+    if any(r["cut"] > 1 for r in listed):  # fewer than `shards` such groups exist, with fewer than 2 * shards * PARTS grains
         pieces = keyed.join(F.broadcast(large.filter("cut > 1").select(F.col("group").alias("item"))), "item", "left_semi").filter("lone").groupBy("item", "piece").agg(F.sum("size").alias("bytes"))
-        items += [((True, r["item"], r["piece"]), r["bytes"]) for r in pieces.collect()]
+        whole, before = {r["group"]: r for r in listed}, {}
+        for r in sorted(pieces.collect(), key=lambda r: (r["item"], r["piece"])):
+            g, n, start = whole[r["item"]], r["bytes"], before.get(r["item"], 0)
+            at = (True, r["item"], (2 * start + n) * g["cut"] // (2 * g["bytes"]))
+            piece_of[True, r["item"], r["piece"]] = at
+            sizes[at], before[r["item"]] = sizes.get(at, 0) + n, start + n
+        items += sizes.items()
     where = best_fit_decreasing(items, room, shards)
+    where = {k: b for k, b in where.items() if k not in sizes} | {k: where[at] for k, at in piece_of.items()}
     schema = T.StructType([T.StructField("lone", T.BooleanType()), T.StructField("item", T.LongType()), T.StructField("piece", T.LongType()), T.StructField("shard", T.IntegerType())])
     placed = spark.createDataFrame([(*k, b) for k, b in where.items()], schema)
     out = keyed.join(F.broadcast(placed), ["lone", "item", "piece"])
