@@ -1,7 +1,8 @@
 """Pairs: correlations, distances, overlaps of sets, reciprocal best hits, mutual information, topological overlap.
 
 Matrices are long (sample, feature, value). Pairs are made by joining on the sample, and reduced on the map side to one
-row per pair and task; what remains is features squared, never samples times features squared in one place."""
+row per pair and task; what remains is features squared, never samples times features squared in one place. Covariance,
+Pearson and cosine give every pair of features, also those that share no sample."""
 
 from __future__ import annotations
 
@@ -18,13 +19,15 @@ def completed(expr: DataFrame, samples: DataFrame, features: DataFrame) -> DataF
 
 
 def _cross(expr: DataFrame, n: int) -> DataFrame:
-    """(f1, f2, sxy, s1, s2, q1, q2) for f1 < f2 with implicit zeros over n samples; pairs never seen together have no row."""
+    """(f1, f2, sxy, s1, s2, q1, q2) for f1 < f2 with implicit zeros over n samples: all pairs of features, sxy being 0 for those
+    never seen together."""
     m = expr.groupBy("feature").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
     a = expr.select("sample", F.col("feature").alias("f1"), F.col("value").alias("x"))
     b = expr.select("sample", F.col("feature").alias("f2"), F.col("value").alias("y"))
     xy = a.join(b, "sample").filter("f1 < f2").groupBy("f1", "f2").agg(F.sum(F.col("x") * F.col("y")).alias("sxy"))
     of = lambda k: m.select(F.col("feature").alias(f"f{k}"), F.col("s").alias(f"s{k}"), F.col("q").alias(f"q{k}"))
-    return xy.join(of(1), "f1").join(of(2), "f2").withColumn("n", F.lit(float(n)))
+    every = of(1).join(of(2), F.col("f1") < F.col("f2"))  # as many rows as the result
+    return every.join(xy, ["f1", "f2"], "left").withColumn("sxy", F.coalesce(F.col("sxy").cast("double"), F.lit(0.0))).withColumn("n", F.lit(float(n)))
 
 
 def covariance(expr: DataFrame, n: int) -> DataFrame:
@@ -60,9 +63,10 @@ def minkowski(dense: DataFrame, kind: str = "euclidean") -> DataFrame:
 
 
 def differential_correlation(a: DataFrame, n_a: int, b: DataFrame, n_b: int) -> DataFrame:
-    """(f1, f2, cor_a, cor_b, z): difference of the Fisher transforms over its standard error."""
-    both = pearson(a, n_a).withColumnRenamed("cor", "cor_a").join(pearson(b, n_b).withColumnRenamed("cor", "cor_b"), ["f1", "f2"])
-    clip = lambda c: F.least(F.greatest(c, F.lit(-0.9999999)), F.lit(0.9999999))
+    """(f1, f2, cor_a, cor_b, z): difference of the Fisher transforms over its standard error; a feature without values in
+    one half is constant there, so its cor and z are null."""
+    both = pearson(a, n_a).withColumnRenamed("cor", "cor_a").join(pearson(b, n_b).withColumnRenamed("cor", "cor_b"), ["f1", "f2"], "full")
+    clip = lambda c: F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(-0.9999999)), F.lit(0.9999999)))
     z = (F.atanh(clip(F.col("cor_a"))) - F.atanh(clip(F.col("cor_b")))) / (1 / (n_a - 3) + 1 / (n_b - 3)) ** 0.5
     return both.select("f1", "f2", "cor_a", "cor_b", z.alias("z"))
 
