@@ -112,7 +112,7 @@ def label_propagation(spark, sf_dir):
 @query()
 def magic_imputation(spark, sf_dir):
     e = knn(spark, sf_dir).select(F.col("id").alias("src"), F.col("neighbour").alias("dst"), (1 / (1 + F.col("distance"))).alias("weight"))
-    x = vectors(spark, sf_dir).select(F.col("id").alias("cell"), F.posexplode("embedding").alias("gene", "norm")).filter("gene < 4")
+    x = vectors(spark, sf_dir).select(F.col("id").alias("cell"), F.posexplode("embedding").alias("gene", "norm"))
     return D.rounded(G.imputed(x, e, 2), "value", digits=5)
 
 
