@@ -25,9 +25,12 @@ def with_row_key(docs: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where it is unset (local runs, tests) a temporary one is chosen."""
+    """The folder in spark.checkpoint.dir. Only where it is unset and Spark runs in one process (local runs, tests) a
+    temporary one is chosen; on a cluster its machines would not share it."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         at = "file://" + tempfile.mkdtemp(prefix="helixframe-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -51,6 +54,30 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key with more than this part of all rows is hot; so there are at most as many hot keys.
+HOT_PARTS = 10_000
+#: Rows of a key that never make it hot.
+HOT_LEAST = 100
+
+
+def hot_keys(sizes: DataFrame, keys: list[str], n: str = "n") -> DataFrame | None:
+    """Keys of `sizes`, a written table of one row per key with its number of rows in the column `n`, that hold more
+    than 1 / HOT_PARTS of all rows; None if there are none. At most HOT_PARTS rows."""
+    total = sizes.agg(F.sum(n)).first()[0] or 0
+    hot = sizes.filter(F.col(n) > max(HOT_LEAST, total // HOT_PARTS)).select(*keys)
+    return hot if hot.head(1) else None
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
+    """Inner join of `rows` with at most one row per key in `groups`. The groups of hot keys are broadcast, so their rows
+    stay where they are; only the rows of other keys shuffle."""
+    if hot is None:
+        return rows.join(groups, keys)
+    hot = F.broadcast(hot)
+    cold = rows.join(hot, keys, "left_anti").join(groups.join(hot, keys, "left_anti"), keys)
+    return cold.unionByName(rows.join(F.broadcast(groups.join(hot, keys, "left_semi")), keys))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches by rows so that each piece holds about `most` bytes of `column`; a row is never cut."""
     import pyarrow.compute as pc

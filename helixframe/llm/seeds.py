@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import batch_of, forget, slices, text_bytes, written
+from helixframe.llm.common import batch_of, forget, hot_keys, join_groups, slices, text_bytes, written
 
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 U = np.uint64
@@ -170,9 +170,10 @@ def find_seeds(rows: DataFrame, scheme: Scheme) -> DataFrame:
 def repeated_seeds(rows: DataFrame, scheme: Scheme, repeated: Column) -> DataFrame:
     """Of find_seeds(), those whose hash satisfies `repeated`, an aggregate over its rows; a written table."""
     found = written(find_seeds(rows, scheme))
-    twice = found.groupBy(F.col("h").alias("g")).agg(repeated.alias("yes")).filter("yes").select("g")
-    out = written(found.join(twice, F.col("h") == F.col("g")).drop("g"))
+    twice = written(found.groupBy("h").agg(repeated.alias("yes"), F.count("*").alias("n")).filter("yes").drop("yes"))
+    out = written(join_groups(found, twice.select("h"), ["h"], hot_keys(twice, ["h"])))
     forget(found)
+    forget(twice)
     return out
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm import seeds
-from helixframe.llm.common import batch_of, documents, slices, with_row_key, written
+from helixframe.llm.common import batch_of, documents, hot_keys, join_groups, slices, with_row_key, written
 
 WINDOW, K = 400, 32
 #: Suffixes of a new batch, the smallest level.
@@ -180,8 +180,8 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, batch: int = BATCH, ho
     found = seeds.repeated_seeds(rows, how, F.count("*") > 1)
     of = found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_key", "pos", "before", "size")).alias("rep"))
     of = written(of)
-    groups = of.groupBy(F.col("h").alias("g")).agg(F.count("*").alias("distinct"))
-    several = written(of.join(groups.filter("distinct > 1"), F.col("h") == F.col("g")).select("rep.*", "h", "c", "distinct"))
+    groups = written(of.groupBy("h").agg(F.count("*").alias("distinct")).filter("distinct > 1"))
+    several = written(join_groups(of, groups, ["h"], hot_keys(groups, ["h"], "distinct")).select("rep.*", "h", "c", "distinct"))
     around = seeds.contexts(several, rows, how, "distinct")
     around = written(around)
     # Whole contexts that occur twice are covered from end to end.
@@ -190,10 +190,12 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, batch: int = BATCH, ho
     parts = max(1, few.count() // 20_000) + 11
     judged = few.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_judged(window, batch), "h long, c long, start int, end int")
     strings = around.filter(F.col("distinct") > hot).mapInArrow(_strings(window), "s1 long, s2 long, h long, c long, back int")
-    twice = strings.groupBy("s1", "s2", "h", "back").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    crowd = strings.join(twice, ["s1", "s2", "h", "back"]).select("h", "c", (-F.col("back")).alias("start"), (F.lit(window) - F.col("back")).alias("end"))
+    same = ["s1", "s2", "h", "back"]
+    twice = written(strings.groupBy(*same).agg(F.count("*").alias("n")).filter("n > 1"))
+    crowd = join_groups(strings, twice.drop("n"), same, hot_keys(twice, same)).select("h", "c", (-F.col("back")).alias("start"), (F.lit(window) - F.col("back")).alias("end"))
     spans = written(seeds.one_span(whole.unionByName(judged).unionByName(crowd)))
-    return found.join(spans, ["h", "c"]).select("doc_id", "row_key", (F.col("pos") + F.col("start")).alias("start"), (F.col("pos") + F.col("end")).alias("end"))
+    spread = join_groups(found, spans, ["h", "c"], hot_keys(of, ["h", "c"]))
+    return spread.select("doc_id", "row_key", (F.col("pos") + F.col("start")).alias("start"), (F.col("pos") + F.col("end")).alias("end"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, batch: int = BATCH, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
