@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm import seeds
-from helixframe.llm.common import batch_of, documents, slices, with_row_key, written
+from helixframe.llm.common import batch_of, documents, hot_keys, join_groups, slices, with_row_key, written
 
 WINDOW, K = 50, 8
 #: Contexts of one seed that a block holds; beyond, windows are grouped one by one.
@@ -128,9 +128,9 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, hot: int = HOT, id_col
     how = scheme(window)
     order = F.coalesce("doc_id", F.lit(NO_ID))
     found = seeds.repeated_seeds(rows, how, F.min(order) < F.max(order))
-    of = written(found.groupBy("h", "c").agg(F.min(order).alias("least"), F.min(F.struct(order.alias("o"), "doc_id", "row_key", "pos", "before", "size")).alias("rep")))
-    groups = of.groupBy(F.col("h").alias("g")).agg(F.count("*").alias("distinct"))
-    several = of.join(groups.filter("distinct > 1"), F.col("h") == F.col("g")).withColumn("crowd", F.col("distinct") > hot)
+    of = written(found.groupBy("h", "c").agg(F.min(order).alias("least"), F.min(F.struct(order.alias("o"), "doc_id", "row_key", "pos", "before", "size")).alias("rep"), F.count("*").alias("n")))
+    groups = written(of.groupBy("h").agg(F.count("*").alias("distinct")).filter("distinct > 1"))
+    several = join_groups(of, groups, ["h"], hot_keys(groups, ["h"], "distinct")).withColumn("crowd", F.col("distinct") > hot)
     several = written(several.select("rep.doc_id", "rep.row_key", "rep.pos", "rep.before", "rep.size", "h", "c", "least", "crowd"))
     around = written(seeds.contexts(several.drop("crowd"), rows, how, "least"))
     crowded = several.filter("crowd").select("h").distinct()  # each has over `hot` contexts, so they are few
@@ -138,12 +138,13 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, hot: int = HOT, id_col
     parts = max(1, around.count() // 20_000) + 11
     parsed = few.repartition(parts, "h").sortWithinPartitions("h", "least").mapInArrow(_parsed(window), "h long, c long, start int, end int")
     single = around.join(crowded, "h", "left_semi").mapInArrow(_windows(window), "s1 long, s2 long, h long, c long, least long, back int")
-    first = single.groupBy("s1", "s2").agg(F.min("least").alias("first"))
-    crowd = single.join(first, ["s1", "s2"]).filter("first < least").select("h", "c", (-F.col("back")).alias("start"), (F.lit(window) - F.col("back")).alias("end"))
+    first = written(single.groupBy("s1", "s2").agg(F.min("least").alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    crowd = join_groups(single, first.drop("n"), ["s1", "s2"], hot_keys(first, ["s1", "s2"])).filter("first < least").select("h", "c", (-F.col("back")).alias("start"), (F.lit(window) - F.col("back")).alias("end"))
     spans = written(seeds.one_span(parsed.unionByName(crowd)))
     # A row that is not the first with its context repeats all of it; the first one repeats what was parsed.
-    first_rows = found.join(spans, ["h", "c"]).select("doc_id", "row_key", (F.col("pos") + F.col("start")).alias("start"), (F.col("pos") + F.col("end")).alias("end"))
-    later = found.join(of.select("h", "c", "least"), ["h", "c"]).filter(order > F.col("least"))
+    often = hot_keys(of, ["h", "c"])
+    first_rows = join_groups(found, spans, ["h", "c"], often).select("doc_id", "row_key", (F.col("pos") + F.col("start")).alias("start"), (F.col("pos") + F.col("end")).alias("end"))
+    later = join_groups(found, of.filter("n > 1").select("h", "c", "least"), ["h", "c"], often).filter(order > F.col("least"))
     return first_rows.unionByName(later.select("doc_id", "row_key", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") - F.col("before") + F.col("size")).alias("end")))
 
 
