@@ -1,7 +1,8 @@
 """Bloom filters as small tables of bits, in DataFrame functions only.
 
-A filter is a table of lanes, each an array of 64-bit words; BITS bounds what is broadcast, whatever the size of the
-input. More keys only make more false hits, so users of a filter follow it with an exact step.
+A filter is a table of lanes, each an array of 64-bit words. Its size follows the number of keys, SHARE bits each, up to
+MOST bits, which bound what is broadcast. Beyond, more keys only make more false hits; users of a filter follow it with
+an exact step.
 """
 
 from __future__ import annotations
@@ -9,14 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: 2**27 bits are 16 MB.
-BITS = 1 << 27
+#: Bits for a key; 2 slots each leave about one key in 70 with a false hit in a filter of repeats.
+SHARE = 16
+#: 2**30 bits are 128 MB, enough for 67 million keys at SHARE.
+LEAST, MOST = 1 << 16, 1 << 30
 #: Words of one lane.
 WORDS = 512
 LANE = WORDS * 64
 
 
-def slots(key: Column, bits: int = BITS) -> list[Column]:
+def bits_for(keys: int) -> int:
+    """Size of a filter for so many keys, a power of two."""
+    return min(MOST, max(LEAST, 1 << (SHARE * max(1, keys) - 1).bit_length()))
+
+
+def slots(key: Column, bits: int) -> list[Column]:
     """Two slots of a 64-bit hash."""
     return [F.pmod(F.shiftrightunsigned(key, 32), F.lit(bits)), F.pmod(F.xxhash64(key), F.lit(bits))]
 
@@ -28,18 +36,18 @@ def lanes(hit: DataFrame) -> DataFrame:
     return lane.select("lane", F.expr(f"transform(sequence(0, {WORDS - 1}), i -> coalesce(element_at(m, i), 0L))").alias("words"))
 
 
-def of_keys(keys: DataFrame, bits: int = BITS) -> DataFrame:
+def of_keys(keys: DataFrame, bits: int) -> DataFrame:
     """The filter of the hashes in the column `key`."""
     return lanes(keys.select(F.explode(F.array(*slots(F.col("key"), bits))).alias("slot")))
 
 
-def of_repeats(keys: DataFrame, bits: int = BITS) -> DataFrame:
+def of_repeats(keys: DataFrame, bits: int) -> DataFrame:
     """The filter of the slots that at least two of the hashes in the column `key` hit."""
     hit = keys.select(F.explode(F.array_distinct(F.array(*slots(F.col("key"), bits)))).alias("slot"))
     return lanes(hit.groupBy("slot").agg(F.count("*").alias("n")).filter("n > 1").select("slot"))
 
 
-def marked(rows: DataFrame, key: str, filt: DataFrame, as_: str, bits: int = BITS) -> DataFrame:
+def marked(rows: DataFrame, key: str, filt: DataFrame, as_: str, bits: int) -> DataFrame:
     """Adds the boolean column `as_`: false if the filter cannot hold the hash in the column `key`."""
     columns = rows.columns
     filt = F.broadcast(filt)  # at most bits / 8 bytes
