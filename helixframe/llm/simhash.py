@@ -32,6 +32,8 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Fingerprints of one key that are compared with each other; those of larger keys take the second way.
 HOT = 20_000
+#: Fingerprints whose keys one task makes.
+DEALT = 10_000
 #: Shingles whose bits are summed at once.
 SUMMED = 100_000
 
@@ -228,7 +230,8 @@ def _balls(bits: int):
 def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
     """Links (u, v) of distinct fingerprints in the column `print`, with the same components as all pairs within three
     bits; every link is such a pair. A fingerprint occurs in a number of rows that does not grow with its group."""
-    keyed = prints.mapInArrow(_keys, "key long, print long")
+    parts = prints.count() // DEALT + 1  # a fingerprint makes some 80 rows of keys, which sizes in bytes do not tell
+    keyed = prints.repartition(parts).mapInArrow(_keys, "key long, print long")
     dealt = keyed.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
     found = written(dealt.mapInArrow(_verified(hot), "u long, v long").distinct())
     crowd = found.filter("v is null").select(F.col("u").alias("print"))
@@ -249,6 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = written(rows.mapInArrow(_fingerprints, "doc_id long, row_key long, print long" if key else "doc_id long, print long"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key") if key else F.lit(None)
     classes = marked.groupBy("print").agg(F.min("doc_id").alias("least"), *([F.min(order).alias("first")] if key else []))
+    classes = written(classes)
     found = components(links(classes.select("print"), hot))
     # Fingerprints without a link are their own component, so only linked ones take a second step.
     joined = classes.join(found, classes["print"] == found["node"], "left").select("print", "least", *(["first"] if key else []), F.coalesce("component", "print").alias("component"))
