@@ -205,7 +205,7 @@ def module_scores(norm: DataFrame, sets: DataFrame, n_cells: int, bins: int = 24
     binned = avg.withColumn("bin", F.ntile(bins).over(Window.partitionBy(F.lit(0)).orderBy("a", "gene")))  # one row a gene
     sets = sets.select("set_id", F.col("member").alias("gene")).distinct().join(binned, "gene")
     need = sets.groupBy("set_id", "bin").agg(F.count("*").alias("members"))
-    pool = need.join(binned.select("gene", "bin"), "bin").withColumn("i", F.row_number().over(Window.partitionBy("set_id", "bin").orderBy(F.xxhash64("gene", "set_id", F.lit(seed)), "gene"))).filter(F.col("i") <= controls)
+    pool = need.join(binned.select("gene", "bin"), "bin").withColumn("i", F.row_number().over(Window.partitionBy("set_id", "bin").orderBy(F.md5(F.concat_ws("|", F.col("gene").cast("string"), "set_id", F.lit(str(seed)))), "gene"))).filter(F.col("i") <= controls)
     pool = pool.withColumn("w", F.col("members") / F.count("*").over(Window.partitionBy("set_id", "bin")))
     size = need.groupBy("set_id").agg(F.sum("members").alias("m"))
     weights = sets.select("set_id", "gene", F.lit(1.0).alias("w")).unionByName(pool.select("set_id", "gene", (-F.col("w")).alias("w")))

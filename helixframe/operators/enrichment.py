@@ -138,7 +138,7 @@ def gsea_permutations(stats: DataFrame, sets: DataFrame, permutations: int = 100
     real = gsea_statistic(stats, sets, power, min_size, max_size)
     copies = stats.select("*", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
     w = Window.partitionBy("contrast", "perm")
-    dealt = copies.withColumn("a", F.row_number().over(w.orderBy(F.xxhash64("feature", "perm", F.lit(seed)), "feature"))).withColumn("b", F.row_number().over(w.orderBy(F.desc("stat"), "feature")))
+    dealt = copies.withColumn("a", F.row_number().over(w.orderBy(F.md5(F.concat_ws("|", F.col("feature").cast("string"), F.col("perm").cast("string"), F.lit(str(seed)))), "feature"))).withColumn("b", F.row_number().over(w.orderBy(F.desc("stat"), "feature")))
     names, values = dealt.select("contrast", "perm", "feature", F.col("a").alias("at")), dealt.select("contrast", "perm", "stat", F.col("b").alias("at"))
     shuffled = names.join(values, ["contrast", "perm", "at"]).select(F.concat_ws("|", "contrast", "perm").alias("contrast"), "feature", "stat")
     null = gsea_statistic(shuffled, sets, power, min_size, max_size).select(F.expr("substring_index(contrast, '|', greatest(1, size(split(contrast, '[|]')) - 1))").alias("contrast"), "set_id", F.col("es").alias("null_es"))

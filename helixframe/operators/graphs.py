@@ -17,53 +17,118 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
-def personalised_page_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, sinks: DataFrame | None = None) -> DataFrame:
-    """(node, score) of seeds (node, score), normalised to sum 1. Mass of nodes without ways out returns to the seeds; out
-    of sink nodes nothing flows. A round is one join and one aggregate on the node, so it never holds a node's edges in
-    one place beyond the shuffle."""
-    total = seeds.agg(F.sum("score").alias("t"))
-    start = seeds.groupBy("node").agg(F.sum("score").alias("s")).crossJoin(F.broadcast(total)).select("node", (F.col("s") / F.col("t")).alias("p"))
+def shares(edges: DataFrame, by: str) -> DataFrame:
+    """Weights over their sum at the node `by`. Only sums meet, so a hub's edges stay where they are."""
+    total = edges.groupBy(by).agg(F.sum("weight").alias("all__"))
+    return edges.join(total, by).withColumn("weight", F.col("weight") / F.col("all__")).drop("all__")
+
+
+#: Rounds of a diffusion between two cuts of its lineage.
+CHAIN = 4
+
+
+def personalised_page_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-8, sinks: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., node, score) of seeds (by..., node, score), normalised to sum 1; every value of the columns `by` is a
+    diffusion of its own, all of them sharing the rounds. Mass of nodes without ways out returns to the seeds; out of
+    sink nodes nothing flows. A round is one join and one aggregate on the node.
+
+    Rounds add the flow of one more step. What steps to come would add is extrapolated from the last two steps, as flow
+    shrinks by the damping from step to step once it is spread (two steps, as it may go back and forth between two sides);
+    rounds end when CHAIN of them change the extrapolated scores by less than `tolerance` of their sum. Mass that returns
+    to the seeds only scales the result, which normalising does as well."""
+    keys = [*by, "node"]
+    total = seeds.groupBy(*by).agg(F.sum("score").alias("t__"))
+    p = seeds.groupBy(*keys).agg(F.sum("score").alias("s__"))
+    p = (p.join(total, list(by)) if by else p.crossJoin(F.broadcast(total))).withColumn("s__", F.col("s__") / F.col("t__"))
     out = edges.select("src", "dst", "weight")
     if sinks is not None:
         out = out.join(sinks.select(F.col("node").alias("src")), "src", "left_anti")
-    out = out.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy("src")))
-    out = cut(out)
-    rank = start.withColumnRenamed("p", "r")
-    for _ in range(rounds):
-        moved = cut(rank.join(out, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg((damping * F.sum(F.col("r") * F.col("weight"))).alias("got")))
-        kept = moved.agg(F.coalesce(F.sum("got"), F.lit(0.0)).alias("all_got"))
-        back = start.crossJoin(F.broadcast(kept)).select("node", (F.col("p") * (1 - F.col("all_got"))).alias("got"))
-        rank = moved.unionByName(back).groupBy("node").agg(F.sum("got").alias("r"))
-    return rank.select("node", F.col("r").alias("score"))
-
-
-def tied_diffusion(edges: DataFrame, seeds_a: DataFrame, seeds_b: DataFrame, how: str = "min", rounds: int = 20) -> DataFrame:
+    out = cut(shares(out, "src").select("src", "dst", (damping * F.col("weight")).alias("weight")))
+    zero = F.lit(0.0)
+    # sum: flow so far, last and now: flow of the last two steps, seen: scores at the last check.
+    state = cut(p.select(*keys, F.col("s__").alias("sum"), zero.alias("last"), F.col("s__").alias("now"), zero.alias("seen")))
+    ahead = F.col("sum") + (F.col("last") + F.col("now")) * (damping**2 / (1 - damping**2))
+    for i in range(rounds):
+        step = F.col("now") * F.col("weight")
+        moved = state.filter("now > 0").join(out, F.col("node") == F.col("src")).select(*by, F.col("dst").alias("node"), step.alias("sum"), zero.alias("last"), step.alias("now"), zero.alias("seen"))
+        stay = state.select(*keys, "sum", F.col("now").alias("last"), zero.alias("now"), "seen")
+        state = moved.unionByName(stay).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("sum", "last", "now", "seen")))
+        if i % CHAIN == CHAIN - 1:
+            state = cut(state)
+            off, size = state.agg(F.sum(F.abs(ahead - F.col("seen"))), F.sum(ahead)).first()
+            if (off or 0.0) <= tolerance * (size or 0.0):
+                break
+            state = state.withColumn("seen", ahead)
+    state = state.select(*keys, ahead.alias("score"))
+    mass = state.groupBy(*by).agg(F.sum("score").alias("t__"))
+    every = state.join(mass, list(by)) if by else state.crossJoin(F.broadcast(mass))
+    return every.select(*keys, (F.col("score") / F.col("t__")).alias("score"))
+
+
+def personalisation(nodes: DataFrame, weights: DataFrame) -> DataFrame:
+    """(node, score) of every node (node): its weight (node, weight) over the sum of weights of nodes in the graph, 0
+    without one. Weights of other nodes are ignored."""
+    held = nodes.select("node").distinct().join(weights.groupBy("node").agg(F.sum("weight").alias("weight")), "node", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    return held.crossJoin(F.broadcast(held.agg(F.nullif(F.sum("weight"), F.lit(0.0)).alias("t__")))).select("node", (F.col("weight") / F.col("t__")).alias("score"))
+
+
+def permuted_seeds(edges: DataFrame, seeds: DataFrame, permutations: int, bins: int = 10, seed: int = 42) -> DataFrame:
+    """(perm, node, score): seeds moved to other nodes of alike degree. Nodes are cut into `bins` by the rank of their
+    degree; a permutation orders the nodes of a bin by a seeded hash and moves each score to the node at its place."""
+    degree = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+    binned = degree.withColumn("bin", F.ntile(bins).over(Window.partitionBy(F.lit(0)).orderBy("degree", "node")))  # two numbers a node
+    placed = binned.select("bin", "node", F.row_number().over(Window.partitionBy("bin").orderBy("node")).alias("at"))
+    held = placed.join(seeds, "node").select("bin", "at", "score")
+    drawn = placed.select("bin", "node", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
+    key = F.md5(F.concat_ws("|", F.col("node").cast("string"), F.col("perm").cast("string"), F.lit(str(seed))))
+    drawn = drawn.withColumn("at", F.row_number().over(Window.partitionBy("perm", "bin").orderBy(key)))
+    return drawn.join(held, ["bin", "at"]).select("perm", "node", "score")
+
+
+def diffusion_significance(edges: DataFrame, seeds: DataFrame, permutations: int = 20, bins: int = 10, seed: int = 42) -> DataFrame:
+    """(node, score, mean, sd, z): a diffusion against those from permuted_seeds(), all diffused together."""
+    real = personalised_page_rank(edges, seeds)
+    null = personalised_page_rank(edges, permuted_seeds(edges, seeds, permutations, bins, seed), by=("perm",))
+    # Diffusions that do not reach a node count as zero there.
+    g = null.groupBy("node").agg(F.sum("score").alias("s"), F.sum(F.col("score") ** 2).alias("q"))
+    mean = F.coalesce("s", F.lit(0.0)) / permutations
+    sd = F.sqrt(F.greatest(F.lit(0.0), (F.coalesce("q", F.lit(0.0)) - permutations * mean**2) / max(1, permutations - 1)))
+    return real.join(g, "node", "left").select("node", "score", mean.alias("mean"), sd.alias("sd"), ((F.col("score") - mean) / F.nullif(sd, F.lit(0.0))).alias("z"))
+
+
+def tied_diffusion(edges: DataFrame, seeds_a: DataFrame, seeds_b: DataFrame, how: str = "min", rounds: int = 100) -> DataFrame:
     """(node, score): two diffusions, combined by min, max or mean; a node that one does not reach has 0 there."""
-    a = personalised_page_rank(edges, seeds_a, rounds=rounds).withColumnRenamed("score", "a")
-    b = personalised_page_rank(edges, seeds_b, rounds=rounds).withColumnRenamed("score", "b")
-    x, y = F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0))
-    return a.join(b, "node", "full").select("node", {"min": F.least(x, y), "max": F.greatest(x, y), "mean": (x + y) / 2}[how].alias("score"))
+    side = seeds_a.select(F.lit("a").alias("side"), "node", "score").unionByName(seeds_b.select(F.lit("b").alias("side"), "node", "score"))
+    both = personalised_page_rank(edges, side, rounds=rounds, by=("side",))
+    x, y = (F.coalesce(F.sum(F.when(F.col("side") == k, F.col("score"))), F.lit(0.0)) for k in "ab")
+    return both.groupBy("node").agg({"min": F.least(x, y), "max": F.greatest(x, y), "mean": (x + y) / 2}[how].alias("score"))
 
 
 def label_propagation(edges: DataFrame, labels: DataFrame, alpha: float = 0.9, rounds: int = 10) -> DataFrame:
     """(node, label, p): labels (node, label) spread over incoming edges, weights normalised per node, and are drawn back
     to the seeds by 1 - alpha. Shares of a node sum to one."""
-    into = cut(edges.select(F.col("src").alias("u"), F.col("dst").alias("node"), "weight").withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy("node"))))
+    into = cut(shares(edges.select(F.col("src").alias("u"), F.col("dst").alias("node"), "weight"), "node"))
     seed = labels.dropna().select("node", "label", F.lit(1.0).alias("p"))
     state = seed
     for i in range(rounds):
-        got = into.join(state.withColumnRenamed("node", "u"), "u").groupBy("node", "label").agg((alpha * F.sum(F.col("p") * F.col("weight"))).alias("p"))
+        got = into.join(state.withColumnRenamed("node", "u"), "u").select("node", "label", (alpha * F.col("p") * F.col("weight")).alias("p"))
         mix = got.unionByName(seed.withColumn("p", F.col("p") * (1 - alpha))).groupBy("node", "label").agg(F.sum("p").alias("p"))
-        state = mix.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("node")))
+        state = mix.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("node")))  # a row a label
         state = cut(state) if i % 5 == 4 else state
     return state
 
 
-def nearest_neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = None, blocks: int = 8, metric: str = "euclidean") -> DataFrame:
+#: Vectors of one block, and so of queries that meet it at once; distances of a block are made TILE queries at a time.
+BLOCK, TILE = 8_192, 1_024
+
+
+def nearest_neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = None, blocks: int | None = None, metric: str = "euclidean") -> DataFrame:
     """(id, neighbour, distance, rank): exact, without the row itself; ties go to the smaller id.
 
-    Vectors (id, embedding) are dealt to blocks; each query visits each block once, where one matrix product finds its k
-    best there, and k rows a block are merged. Nothing is larger than a block of vectors with the queries dealt to it."""
+    Vectors (id, embedding) are dealt to blocks of about BLOCK rows; each query visits each block once, where matrix
+    products find its k best there, and k rows a block are merged. Nothing is larger than a block of vectors with the
+    queries dealt to it, but the work is rows times queries: approximate_neighbours() is for tables of many blocks."""
+    blocks = blocks or max(vectors.count(), 1 if queries is None else queries.count()) // BLOCK + 1
     deal = F.pmod(F.xxhash64("id"), F.lit(blocks))
     base = vectors.select("id", "embedding", deal.alias("block"), F.lit(0).alias("q"), F.lit(0).alias("part"))
     asked = (queries if queries is not None else vectors).select("id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("q"), deal.alias("part"))
@@ -75,23 +140,106 @@ def nearest_neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = N
         if not len(v) or not len(q):
             return pd.DataFrame({"id": [], "neighbour": [], "distance": []}).astype({"id": "int64", "neighbour": "int64", "distance": "float64"})
         a, b = np.array(v["embedding"].tolist(), np.float64), np.array(q["embedding"].tolist(), np.float64)
-        if metric == "cosine":
-            a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (a, b))
-            d = 1 - b @ a.T
-        else:
-            d = np.sqrt(np.maximum((b * b).sum(1)[:, None] + (a * a).sum(1) - 2 * b @ a.T, 0))
         ids = v["id"].to_numpy()
-        d[q["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
-        at = np.argsort(np.round(d, 9), axis=1, kind="stable")[:, :k]  # equal up to rounding is a tie
-        rows = np.repeat(q["id"].to_numpy(), at.shape[1])
-        out = pd.DataFrame({"id": rows, "neighbour": ids[at.ravel()], "distance": np.take_along_axis(d, at, 1).ravel()})
-        return out[np.isfinite(out["distance"])]
+        tiles = [_nearest(a, ids, b[i : i + TILE], q["id"].to_numpy()[i : i + TILE], k, metric) for i in range(0, len(b), TILE)]
+        return pd.concat(tiles, ignore_index=True)
 
     found = both.groupBy("block", "part").applyInPandas(best, "id long, neighbour long, distance double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.round("distance", 9), "neighbour"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def _nearest(a: np.ndarray, ids: np.ndarray, b: np.ndarray, asked: np.ndarray, k: int, metric: str) -> pd.DataFrame:
+    """The k rows of `a` nearest to each row of `b`, without the row itself; equal up to rounding is a tie."""
+    if metric == "cosine":
+        a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (a, b))
+        d = 1 - b @ a.T
+    else:
+        d = np.sqrt(np.maximum((b * b).sum(1)[:, None] + (a * a).sum(1) - 2 * b @ a.T, 0))
+    d[asked[:, None] == ids[None, :]] = np.inf
+    near = np.round(d, 9)
+    if len(ids) > 8 * k:  # whoever is no farther than the k-th can be among the first k
+        last = np.partition(near, k - 1, axis=1)[:, k - 1 : k]
+        row, col = np.nonzero(near <= last)
+    else:
+        row, col = np.nonzero(np.isfinite(near))
+    order = np.lexsort((ids[col], near[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    row, col = row[place < k], col[place < k]
+    out = pd.DataFrame({"id": asked[row], "neighbour": ids[col], "distance": d[row, col]})
+    return out[np.isfinite(out["distance"])]
+
+
+def approximate_neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = None, lists: int | None = None, probes: int = 8, sample: int = 20_000, seed: int = 42) -> DataFrame:
+    """(id, neighbour, distance, rank) from an inverted file: every vector is listed under its nearest of `lists` centres
+    (by default the root of the number of rows), every query visits its `probes` nearest lists.
+
+    Only the centres, fitted on at most `sample` vectors that a seeded hash draws, meet on the driver and are broadcast;
+    all vectors are indexed. Lists above BLOCK rows are dealt to several groups, so none outgrows a task. How many true
+    neighbours are found depends on `probes`; measure it with neighbour_recall()."""
+    n = vectors.count()
+    lists = lists or max(1, int(n**0.5))
+    drawn = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(min(sample, max(lists * 20, 1))).select("embedding").collect()
+    centres = _centres(np.array([r[0] for r in drawn], np.float64), lists, seed)
+    sent = vectors.sparkSession.sparkContext.broadcast(centres)
+
+    def near(width: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c = sent.value
+            for batch in batches:
+                for b in (batch.slice(i, TILE) for i in range(0, batch.num_rows, TILE)):
+                    x = np.array(b.column("embedding").to_pylist(), np.float64)
+                    d = (c * c).sum(1) - 2 * x @ c.T
+                    at = np.argsort(d, axis=1, kind="stable")[:, :width]
+                    yield pa.RecordBatch.from_arrays([b.column("id"), b.column("embedding"), pa.array(at.tolist(), pa.list_(pa.int64()))], names=["id", "embedding", "at"])
+
+        return run
+
+    schema = f"id long, embedding {vectors.schema['embedding'].dataType.simpleString()}, at array<long>"
+    listed = vectors.select("id", "embedding").mapInArrow(near(1), schema).select("id", "embedding", F.col("at")[0].alias("list"))
+    size = listed.groupBy("list").agg((F.floor(F.count("*") / BLOCK) + 1).alias("parts"))  # one row a list
+    base = listed.join(F.broadcast(size), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).select("id", "embedding", "list", "part", F.lit(0).alias("q"))
+    asked = (queries if queries is not None else vectors).select("id", "embedding").mapInArrow(near(min(probes, len(centres))), schema)
+    asked = asked.select("id", "embedding", F.explode("at").alias("list")).join(F.broadcast(size), "list").select("id", "embedding", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("q"))
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        v, q = pdf[pdf["q"] == 0].sort_values("id"), pdf[pdf["q"] == 1]
+        if not len(v) or not len(q):
+            return pd.DataFrame({"id": [], "neighbour": [], "distance": []}).astype({"id": "int64", "neighbour": "int64", "distance": "float64"})
+        a, b = np.array(v["embedding"].tolist(), np.float64), np.array(q["embedding"].tolist(), np.float64)
+        tiles = [_nearest(a, v["id"].to_numpy(), b[i : i + TILE], q["id"].to_numpy()[i : i + TILE], k, "euclidean") for i in range(0, len(b), TILE)]
+        return pd.concat(tiles, ignore_index=True)
+
+    found = base.unionByName(asked).groupBy("list", "part").applyInPandas(best, "id long, neighbour long, distance double")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.round("distance", 9), "neighbour"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _centres(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
+    """k-means centres of a small sample; empty clusters keep their centre."""
+    if len(x) <= k:
+        return x
+    c = x[np.random.default_rng(seed).choice(len(x), k, replace=False)]
+    for _ in range(rounds):
+        own = ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
+        n = np.bincount(own, minlength=k)
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, x)
+        c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
+    return c
+
+
+def neighbour_recall(exact: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, recall, distance_ratio): share of a row's exact neighbours that were found, and the mean distance of the found
+    ones over that of the exact ones (null where that is 0). Rows of which nothing was found have recall 0."""
+    k = exact.groupBy("id").agg(F.count("*").alias("k"), F.avg("distance").alias("d0"))
+    hit = exact.select("id", "neighbour").join(found.select("id", "neighbour"), ["id", "neighbour"]).groupBy("id").agg(F.count("*").alias("hit"))
+    far = found.groupBy("id").agg(F.avg("distance").alias("d1"))
+    j = k.join(hit, "id", "left").join(far, "id", "left")
+    return j.select("id", (F.coalesce("hit", F.lit(0)) / F.col("k")).alias("recall"), (F.col("d1") / F.nullif("d0", F.lit(0.0))).alias("distance_ratio"))
+
+
 def shared_neighbours(knn: DataFrame, min_weight: float = 1 / 15) -> DataFrame:
     """(src, dst, shared, weight) for src < dst: Jaccard overlap of the neighbourhoods (id, neighbour), each with itself."""
     own = knn.select("id", F.explode(F.array("id", "neighbour")).alias("neighbour")).distinct()
@@ -149,7 +297,13 @@ def silhouette(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     return w.select("id", "a", "b", F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)).alias("width"))
 
 
-def batch_balanced_neighbours(vectors: DataFrame, batches: DataFrame, k: int, blocks: int = 4) -> DataFrame:
+def nearest_of_all(knn: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each row over all its batches: (id, neighbour, distance, rank, ...)."""
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.round("distance", 9), "neighbour"))
+    return knn.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def batch_balanced_neighbours(vectors: DataFrame, batches: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
     """(id, neighbour, distance, rank, batch): the k nearest of every row within each batch."""
     from functools import reduce
 
@@ -167,7 +321,7 @@ def neighbourhood_counts(knn: DataFrame, index: DataFrame, samples: DataFrame) -
 
 def imputed(norm: DataFrame, edges: DataFrame, steps: int = 3) -> DataFrame:
     """(cell, gene, value): expression averaged over row-normalised edges (src, dst, weight), `steps` times."""
-    t = edges.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy("src")))
+    t = shares(edges, "src")
     x = norm.select("cell", "gene", F.col("norm").alias("value"))
     for i in range(steps):
         x = t.join(x, F.col("dst") == F.col("cell")).groupBy(F.col("src").alias("cell"), "gene").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))

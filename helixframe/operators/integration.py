@@ -27,7 +27,7 @@ def doublet_scores(knn: DataFrame, simulated: DataFrame, rate: float, ratio: flo
     return c.select("id", "n_simulated", (q * rate / ratio / (1 - rate - q * (1 - rate - rate / ratio))).alias("score"))
 
 
-def mutual_neighbours(vectors: DataFrame, other: DataFrame, k: int, blocks: int = 8) -> DataFrame:
+def mutual_neighbours(vectors: DataFrame, other: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
     """(a, b, distance): pairs of a row of `vectors` and a row of `other`, each among the k nearest of the other one.
     Ids are unique over both tables."""
     there = nearest_neighbours(other, k, vectors, blocks).select(F.col("id").alias("a"), F.col("neighbour").alias("b"), "distance")
@@ -35,7 +35,7 @@ def mutual_neighbours(vectors: DataFrame, other: DataFrame, k: int, blocks: int
     return there.join(back, ["a", "b"], "left_semi")
 
 
-def matched_batch(vectors: DataFrame, reference: DataFrame, k: int, smooth: int = 10, blocks: int = 8) -> DataFrame:
+def matched_batch(vectors: DataFrame, reference: DataFrame, k: int, smooth: int = 10, blocks: int | None = None) -> DataFrame:
     """(id, embedding): a batch moved onto a reference. Each row takes the mean of the offsets of its `smooth` nearest
     anchors, rows with mutual neighbours in the reference, with Gaussian weights whose width is the distance to the
     farthest of them. Without any anchor the batch stays as it is."""

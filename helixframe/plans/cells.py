@@ -121,7 +121,10 @@ def markers_one_vs_rest(spark, sf_dir):
     return D.rounded(C.markers(n, D.obs(spark, sf_dir), "segment", min_prop=0.02).drop("p"), "lfc", "z", digits=5).withColumns({c: F.round(c, 6) for c in ("prop1", "prop2")})
 
 
-@query()
+@query(f"""{_N}, a AS (SELECT gene, sum(norm) / (SELECT count(*) FROM customer) AS a FROM norm GROUP BY 1), bn AS (SELECT gene, ntile(24) OVER (ORDER BY a, gene) AS bin FROM a), m AS (SELECT set_id, member AS gene, bin FROM sets JOIN bn ON gene = member),
+nd AS (SELECT set_id, bin, count(*) AS members FROM m GROUP BY 1, 2), sz AS (SELECT set_id, count(*) AS m FROM m GROUP BY 1), dr AS (SELECT set_id, bin, members, gene, row_number() OVER (PARTITION BY set_id, bin ORDER BY md5(concat_ws('|', gene, set_id, 42)), gene) AS i FROM nd JOIN bn USING (bin)),
+wt AS (SELECT set_id, gene, sum(w) AS w FROM (SELECT set_id, gene, 1.0 AS w FROM m UNION ALL SELECT set_id, gene, -members / CAST(count(*) OVER (PARTITION BY set_id, bin) AS DOUBLE) FROM dr WHERE i <= 100) GROUP BY 1, 2)
+SELECT cell, set_id, round(sum(norm * w / sz.m), 6) AS score FROM norm JOIN wt USING (gene) JOIN sz USING (set_id) GROUP BY 1, 2""")
 def module_scores(spark, sf_dir):
     return D.rounded(C.module_scores(_norm(spark, sf_dir), D.sets(spark, sf_dir), D.obs(spark, sf_dir).count()), "score")
 
@@ -132,18 +135,22 @@ def _markers(spark, sf_dir):
     return p.filter(F.length("p_brand") == 7).select(F.col("p_brand").alias("cell_type"), F.col("p_partkey").alias("gene"), F.when(F.col("p_size") <= 10, 1).otherwise(-1).alias("sign"))
 
 
-@query(f"""{_N}, n AS (SELECT count(*) AS n FROM obs), mk AS (SELECT p_brand AS cell_type, p_partkey AS gene, CASE WHEN p_size <= 10 THEN 1 ELSE -1 END AS sign FROM part WHERE (p_size <= 10 OR p_size > 45) AND length(p_brand) = 7),
+_TYPES = f"""{_N}, n AS (SELECT count(*) AS n FROM obs), mk AS (SELECT p_brand AS cell_type, p_partkey AS gene, CASE WHEN p_size <= 10 THEN 1 ELSE -1 END AS sign FROM part WHERE (p_size <= 10 OR p_size > 45) AND length(p_brand) = 7),
 g AS (SELECT gene, sum(norm) / max(n) AS mu, sqrt((sum(norm * norm) - max(n) * pow(sum(norm) / max(n), 2)) / (max(n) - 1)) AS sd FROM norm CROSS JOIN n GROUP BY 1),
 sen AS (SELECT gene, 1 - (count(DISTINCT cell_type) - 1.0) / ((SELECT count(DISTINCT cell_type) FROM mk) - 1) AS w FROM mk WHERE sign > 0 GROUP BY 1),
 j AS (SELECT cell_type, mk.gene, sign * coalesce(w, 1.0) AS w, sign, mu, sd FROM mk JOIN g ON mk.gene = g.gene LEFT JOIN sen ON sen.gene = mk.gene WHERE sd > 0),
 k AS (SELECT *, w / sqrt(count(*) OVER (PARTITION BY cell_type, sign)) / sd AS ww FROM j),
-d AS (SELECT cell, cell_type, sum(norm * ww) AS got FROM norm JOIN k USING (gene) GROUP BY 1, 2), b AS (SELECT cell_type, sum(-mu * ww) AS base FROM k GROUP BY 1)
+d AS (SELECT cell, cell_type, sum(norm * ww) AS got FROM norm JOIN k USING (gene) GROUP BY 1, 2), b AS (SELECT cell_type, sum(-mu * ww) AS base FROM k GROUP BY 1)"""
+
+
+@query(_TYPES + """
 SELECT cell, cell_type, round(got + base, 5) AS score FROM d JOIN b USING (cell_type)""")
 def cell_type_scores(spark, sf_dir):
     return D.rounded(C.type_scores(_norm(spark, sf_dir), _markers(spark, sf_dir), D.obs(spark, sf_dir).count()), "score", digits=5)
 
 
-@query()
+@query(_TYPES + """, s AS (SELECT cell, cell_type, got + base AS score FROM d JOIN b USING (cell_type)), t AS (SELECT batch AS cluster, cell_type, sum(score) AS total FROM s JOIN obs USING (cell) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(total, 6) DESC, cell_type) AS r FROM t) SELECT cluster, cell_type, round(total, 4) AS total FROM r WHERE r = 1""")
 def cluster_types(spark, sf_dir):
     s = C.type_scores(_norm(spark, sf_dir), _markers(spark, sf_dir), D.obs(spark, sf_dir).count())
     return D.rounded(C.assign_types(s, D.obs(spark, sf_dir).select("cell", F.col("batch").alias("cluster"))), "total", digits=4)

@@ -11,6 +11,10 @@ from helixframe.plans.registry import query
 _TARGETS = "targets AS (SELECT DISTINCT 'nation ' || c_nationkey AS target_id, l_partkey AS member FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity >= 49)"
 
 
+#: Upper tail of the hypergeometric distribution, of hits, m, n and k.
+_TAIL = "least(1.0, list_sum(list_transform(range(hits, least(m, k) + 1), lambda i: CASE WHEN n - m - k + i < 0 THEN 0.0 ELSE exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) + lgamma(n - m + 1) - lgamma(k - i + 1) - lgamma(n - m - k + i + 1) - lgamma(n + 1) + lgamma(k + 1) + lgamma(n - k + 1)) END)))"
+
+
 def targets(spark, sf_dir):
     """Parts of which a nation's customers bought 49 pieces or more at once."""
     li = D.table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select("l_orderkey", "l_partkey")
@@ -22,7 +26,7 @@ def targets(spark, sf_dir):
 @query(f"""WITH {D.SETS}, {_TARGETS}, n AS (SELECT count(*) AS n FROM part),
 ss AS (SELECT set_id, count(*) AS m FROM sets GROUP BY 1), ts AS (SELECT target_id, count(*) AS k FROM targets GROUP BY 1),
 h AS (SELECT target_id, set_id, count(*) AS hits FROM targets JOIN sets USING (member) GROUP BY 1, 2),
-p AS (SELECT *, least(1.0, list_sum(list_transform(range(hits, least(m, k) + 1), lambda i: CASE WHEN n - m - k + i < 0 THEN 0.0 ELSE exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) + lgamma(n - m + 1) - lgamma(k - i + 1) - lgamma(n - m - k + i + 1) - lgamma(n + 1) + lgamma(k + 1) + lgamma(n - k + 1)) END))) AS pval FROM h JOIN ss USING (set_id) JOIN ts USING (target_id) CROSS JOIN n),
+p AS (SELECT *, {_TAIL} AS pval FROM h JOIN ss USING (set_id) JOIN ts USING (target_id) CROSS JOIN n),
 r AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY pval, set_id) AS rn, (SELECT count(*) FROM ss) AS n_sets FROM p),
 f AS (SELECT *, least(1.0, min(pval * n_sets / rn) OVER (PARTITION BY target_id ORDER BY rn DESC)) AS fdr FROM r)
 SELECT target_id, set_id, hits, m AS set_size, k AS target_size, round(CAST(hits * (n - m - k + hits) AS DOUBLE) / nullif((k - hits) * (m - hits), 0), 6) AS odds_ratio, round(pval, 8) AS pval, round(fdr, 8) AS fdr FROM f WHERE hits >= 3""")
@@ -32,7 +36,21 @@ def hypergeometric_enrichment(spark, sf_dir):
     return D.rounded(D.rounded(out, "odds_ratio"), "pval", "fdr", digits=8)
 
 
-@query()
+def _level(level: int, gone: str | None) -> str:
+    """Tables of one level: its p-values, significant terms, and all that is gone from there up."""
+    left = f"LEFT JOIN {gone} gn ON gn.target_id = t.target_id AND gn.term = tm.term AND gn.member = tm.member" if gone else ""
+    still = "WHERE gn.term IS NULL" if gone else ""
+    lost = f"(SELECT gn.target_id, gn.term, count(*) AS lost FROM {gone} gn JOIN tm ON tm.term = gn.term AND tm.member = gn.member AND tm.level = {level} GROUP BY 1, 2)" if gone else "(SELECT '' AS target_id, '' AS term, 0 AS lost)"
+    more = f"UNION SELECT * FROM {gone}" if gone else ""
+    return f"""h{level} AS (SELECT t.target_id, tm.term, count(*) AS hits FROM targets t JOIN tm ON tm.member = t.member AND tm.level = {level} {left} {still} GROUP BY 1, 2),
+c{level} AS (SELECT h.*, z.n AS all_n, z.n - coalesce(l.lost, 0) AS m, ts.k, u.n FROM h{level} h JOIN (SELECT term, count(*) AS n FROM tm WHERE level = {level} GROUP BY 1) z USING (term) JOIN ts USING (target_id) CROSS JOIN u LEFT JOIN {lost} l ON l.target_id = h.target_id AND l.term = h.term),
+p{level} AS MATERIALIZED (SELECT target_id, term, {level} AS level, hits, m AS term_size, {_TAIL} AS pval FROM c{level}),
+g{level} AS MATERIALIZED (SELECT DISTINCT p.target_id, up.ancestor AS term, tm.member FROM p{level} p JOIN tm ON tm.term = p.term AND tm.level = {level} JOIN up ON up.term = p.term WHERE pval <= 0.05 AND hits >= 1 {more})"""
+
+
+@query(f"""WITH {_TARGETS}, u AS (SELECT count(*) AS n FROM part), ts AS (SELECT target_id, count(*) AS k FROM targets GROUP BY 1), tm AS (SELECT 'all' AS term, 0 AS level, p_partkey AS member FROM part UNION ALL SELECT p_type, 1, p_partkey FROM part UNION ALL SELECT p_type || '/' || p_brand, 2, p_partkey FROM part),
+up AS (SELECT p_type || '/' || p_brand AS term, p_type AS ancestor FROM part UNION SELECT p_type || '/' || p_brand, 'all' FROM part UNION SELECT p_type, 'all' FROM part),
+{_level(2, None)}, {_level(1, "g2")}, {_level(0, "g1")} SELECT target_id, term, level, hits, term_size, round(pval, 8) AS pval FROM (SELECT * FROM p2 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p0) WHERE hits >= 1""")
 def elimination_enrichment(spark, sf_dir):
     """Three levels: all parts, types, and brands within a type."""
     p = D.table(spark, sf_dir, "part")
@@ -94,7 +112,13 @@ def gsea_running_sum(spark, sf_dir):
     return D.rounded(E.gsea_statistic(_stats(spark, sf_dir), D.sets(spark, sf_dir)), "es")
 
 
-@query()
+@query(_STATS + """, n0 AS (SELECT contrast, count(*) AS n FROM stats GROUP BY 1), sh AS (SELECT contrast, perm, feature, row_number() OVER (PARTITION BY contrast, perm ORDER BY md5(concat_ws('|', feature, perm, 42)), feature) AS a, row_number() OVER (PARTITION BY contrast, perm ORDER BY stat DESC, feature) AS b, stat FROM stats CROSS JOIN range(1, 21) t(perm)),
+al AS (SELECT x.contrast, x.perm, x.feature, y.stat FROM sh x JOIN sh y ON x.contrast = y.contrast AND x.perm = y.perm AND x.a = y.b UNION ALL SELECT contrast, 0, feature, stat FROM stats),
+r AS (SELECT *, row_number() OVER (PARTITION BY contrast, perm ORDER BY stat DESC, feature) AS pos FROM al), h AS (SELECT r.contrast, perm, set_id, pos, abs(stat) AS w, count(*) OVER o AS m, row_number() OVER (o ORDER BY pos) AS i FROM r JOIN sets ON feature = member WINDOW o AS (PARTITION BY r.contrast, perm, set_id)),
+q AS (SELECT contrast, perm, set_id, m, w / sum(w) OVER o AS part, sum(w) OVER (o ORDER BY pos) / sum(w) OVER o AS run, (pos - i) / CAST(n - m AS DOUBLE) AS miss FROM h JOIN n0 USING (contrast) WHERE m BETWEEN 5 AND 500 AND m < n WINDOW o AS (PARTITION BY contrast, perm, set_id)),
+g AS (SELECT contrast, perm, set_id, max(m) AS size, max(run - miss) AS hi, min(run - part - miss) AS lo FROM q GROUP BY 1, 2, 3), es AS (SELECT contrast, perm, set_id, size, CASE WHEN hi > -lo THEN hi WHEN hi < -lo THEN lo ELSE 0 END AS es FROM g),
+c AS (SELECT a.contrast, a.set_id, a.size, a.es, count(*) FILTER (sign(b.es) = sign(a.es) AND abs(b.es) >= abs(a.es)) AS far, count(*) FILTER (sign(b.es) = sign(a.es)) AS same FROM es a LEFT JOIN es b ON a.contrast = b.contrast AND a.set_id = b.set_id AND b.perm > 0 WHERE a.perm = 0 GROUP BY 1, 2, 3, 4)
+SELECT contrast, set_id, size, round(es, 6) AS es, round((far + 1) / (same + 1), 6) AS pval FROM c""")
 def gsea_permutation_test(spark, sf_dir):
     return D.rounded(E.gsea_permutations(_stats(spark, sf_dir), D.sets(spark, sf_dir), permutations=20), "es", "pval")
 

@@ -90,39 +90,105 @@ def spatial_fdr(spark, sf_dir):
     return D.rounded(D.rounded(weighted_bh(p), "pvalue"), "weight", "spatial_fdr", digits=5)
 
 
-@query()
+_EDGES = "e0 AS MATERIALIZED (SELECT l_suppkey AS src, CAST(-1 - c_nationkey AS BIGINT) AS dst, CAST(count(*) AS DOUBLE) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2), e AS MATERIALIZED (SELECT src, dst, weight FROM e0 UNION ALL SELECT dst, src, weight FROM e0), w AS MATERIALIZED (SELECT src, dst, 0.85 * weight / sum(weight) OVER (PARTITION BY src) AS weight FROM e)"
+#: Flow after k steps, added up over all steps.
+_FLOW = "t(side, node, score, k) AS (SELECT side, node, CAST(score AS DOUBLE), 0 FROM p UNION ALL SELECT side, dst, sum(score * weight), k + 1 FROM t JOIN w ON node = src WHERE k < 180 GROUP BY side, dst, k), x AS (SELECT side, node, sum(score) AS s FROM t GROUP BY 1, 2), r AS (SELECT side, node, s / sum(s) OVER (PARTITION BY side) AS score FROM x)"
+
+
+def _suppliers(spark, sf_dir):
+    return D.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), "s_acctbal", F.lit(1.0).alias("score"))
+
+
+@query(f"WITH RECURSIVE {_EDGES}, p AS (SELECT 'a' AS side, s_suppkey AS node, 1.0 / count(*) OVER () AS score FROM supplier WHERE s_acctbal > 5000), {_FLOW} SELECT node, round(score, 6) AS score FROM r")
 def page_rank(spark, sf_dir):
-    seeds = D.table(spark, sf_dir, "supplier").filter("s_acctbal > 5000").select(F.col("s_suppkey").alias("node"), F.lit(1.0).alias("score"))
-    return D.rounded(G.personalised_page_rank(G.both_ways(edges(spark, sf_dir)), seeds, rounds=10), "score", digits=9)
+    seeds = _suppliers(spark, sf_dir).filter("s_acctbal > 5000").select("node", "score")
+    return D.rounded(G.personalised_page_rank(G.both_ways(edges(spark, sf_dir)), seeds), "score")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EDGES}, p AS (SELECT 'a' AS side, s_suppkey AS node, 1.0 / count(*) OVER () AS score FROM supplier WHERE s_acctbal > 5000 UNION ALL SELECT 'b', s_suppkey, 1.0 / count(*) OVER () FROM supplier WHERE s_acctbal <= 0), {_FLOW}
+SELECT node, round(least(coalesce(max(score) FILTER (side = 'a'), 0), coalesce(max(score) FILTER (side = 'b'), 0)), 6) AS score FROM r GROUP BY 1""")
 def tied_diffusion(spark, sf_dir):
-    s = D.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), "s_acctbal", F.lit(1.0).alias("score"))
-    return D.rounded(G.tied_diffusion(G.both_ways(edges(spark, sf_dir)), s.filter("s_acctbal > 5000"), s.filter("s_acctbal <= 0"), rounds=5), "score", digits=9)
+    s = _suppliers(spark, sf_dir)
+    return D.rounded(G.tied_diffusion(G.both_ways(edges(spark, sf_dir)), s.filter("s_acctbal > 5000"), s.filter("s_acctbal <= 0")), "score")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EDGES}, dg AS (SELECT src AS node, count(*) AS degree FROM e GROUP BY 1), bn AS (SELECT node, ntile(4) OVER (ORDER BY degree, node) AS bin FROM dg), pl AS (SELECT bin, node, row_number() OVER (PARTITION BY bin ORDER BY node) AS pos FROM bn),
+sd AS (SELECT node, 1.0 AS score FROM supplier JOIN dg ON node = s_suppkey WHERE s_acctbal > 5000), hd AS (SELECT bin, pos, score FROM pl JOIN sd USING (node)),
+dr AS (SELECT bin, node, perm, row_number() OVER (PARTITION BY perm, bin ORDER BY md5(concat_ws('|', node, perm, 42))) AS pos FROM pl CROSS JOIN range(1, 6) t(perm)),
+p0 AS (SELECT perm AS side, node, score FROM dr JOIN hd USING (bin, pos) UNION ALL SELECT 0, s_suppkey, 1.0 FROM supplier WHERE s_acctbal > 5000), p AS (SELECT side, node, score / sum(score) OVER (PARTITION BY side) AS score FROM p0), {_FLOW},
+g AS (SELECT node, max(score) FILTER (side = 0) AS score, coalesce(sum(score) FILTER (side > 0), 0) / 5 AS mean, coalesce(sum(score * score) FILTER (side > 0), 0) AS q FROM r GROUP BY 1)
+SELECT node, round(score, 6) AS score, round(mean, 6) AS mean, round(sqrt(greatest(0, (q - 5 * mean * mean) / 4)), 6) AS sd FROM g WHERE score IS NOT NULL""")
+def diffusion_permutations(spark, sf_dir):
+    """Five permutations within four bins of degree."""
+    seeds = _suppliers(spark, sf_dir).filter("s_acctbal > 5000").select("node", "score")
+    return D.rounded(G.diffusion_significance(G.both_ways(edges(spark, sf_dir)), seeds, 5, 4), "score", "mean", "sd").drop("z")
+
+
+@query("WITH n AS (SELECT DISTINCT l_suppkey AS node FROM lineitem), w AS (SELECT s_suppkey AS node, s_acctbal AS weight FROM supplier WHERE s_acctbal > 5000), h AS (SELECT node, coalesce(weight, 0) AS weight FROM n LEFT JOIN w USING (node)) SELECT node, round(weight / sum(weight) OVER (), 9) AS score FROM h")
+def personalisation_vector(spark, sf_dir):
+    nodes = D.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("node"))
+    w = D.table(spark, sf_dir, "supplier").filter("s_acctbal > 5000").select(F.col("s_suppkey").alias("node"), F.col("s_acctbal").alias("weight"))
+    return D.rounded(G.personalisation(nodes, w), "score", digits=9)
+
+
+def _spread(rounds: int) -> str:
+    """The rounds of label propagation as tables s0, s1, ..."""
+    steps = ["s0 AS MATERIALIZED (SELECT id AS node, label, 1.0::DOUBLE AS p FROM v WHERE id % 4 = 0)"]
+    for i in range(1, rounds + 1):
+        steps.append(f"m{i} AS (SELECT node, label, sum(p) AS p FROM (SELECT k.id AS node, s.label, 0.9 * s.p / c.n AS p FROM knn k JOIN s{i - 1} s ON s.node = k.neighbour JOIN deg c ON c.id = k.id UNION ALL SELECT node, label, 0.1 * p FROM s0) GROUP BY 1, 2), s{i} AS MATERIALIZED (SELECT node, label, p / sum(p) OVER (PARTITION BY node) AS p FROM m{i})")
+    return ", ".join(steps)
+
+
+_VM = _V.replace("knn AS (", "knn AS MATERIALIZED (")
+
+
+@query(f"{_VM}, deg AS (SELECT id, count(*) AS n FROM knn GROUP BY 1), {_spread(10)} SELECT node, label, round(p, 6) AS p FROM s10")
 def label_propagation(spark, sf_dir):
     e = knn(spark, sf_dir).select(F.col("neighbour").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("weight"))
     seeds = labels(spark, sf_dir).filter("id % 4 = 0").withColumnRenamed("id", "node")
-    return D.rounded(G.label_propagation(e, seeds, rounds=5), "p", digits=6)
+    return D.rounded(G.label_propagation(e, seeds), "p")
 
 
-@query()
+def _averaged(steps: int) -> str:
+    t = "t AS MATERIALIZED (SELECT id, neighbour, 1 / (1 + distance) / sum(1 / (1 + distance)) OVER (PARTITION BY id) AS w FROM knn), x0 AS MATERIALIZED (SELECT id AS cell, CAST(g - 1 AS INT) AS gene, e[g] AS value FROM v, range(1, len(v.e) + 1) r(g))"
+    return ", ".join([t, *(f"x{i} AS MATERIALIZED (SELECT t.id AS cell, gene, sum(w * value) AS value FROM t JOIN x{i - 1} ON cell = neighbour GROUP BY 1, 2)" for i in range(1, steps + 1))])
+
+
+@query(f"{_VM}, {_averaged(3)} SELECT cell, gene, round(value, 5) AS value FROM x3")
 def magic_imputation(spark, sf_dir):
     e = knn(spark, sf_dir).select(F.col("id").alias("src"), F.col("neighbour").alias("dst"), (1 / (1 + F.col("distance"))).alias("weight"))
     x = vectors(spark, sf_dir).select(F.col("id").alias("cell"), F.posexplode("embedding").alias("gene", "norm"))
-    return D.rounded(G.imputed(x, e, 2), "value", digits=5)
+    return D.rounded(G.imputed(x, e), "value", digits=5)
 
 
-@query()
+@query(f"""{_VM}, x AS (SELECT id AS cell, CAST(g - 1 AS INT) AS gene, e[g] AS value FROM v, range(1, len(v.e) + 1) r(g)), z AS MATERIALIZED (SELECT cell, gene, (value - avg(value) OVER (PARTITION BY gene)) / stddev_samp(value) OVER (PARTITION BY gene) AS z FROM x)
+SELECT a.gene, round(sum(a.z * b.z), 4) AS g, count(*) AS n FROM knn k JOIN z a ON a.cell = k.id JOIN z b ON b.cell = k.neighbour AND b.gene = a.gene GROUP BY 1""")
 def local_autocorrelation(spark, sf_dir):
     e = knn(spark, sf_dir).select(F.col("id").alias("src"), F.col("neighbour").alias("dst"), F.lit(1.0).alias("weight"))
     x = vectors(spark, sf_dir).select(F.col("id").alias("cell"), F.posexplode("embedding").alias("gene", "value"))
     return D.rounded(G.local_autocorrelation(x, e), "g", digits=4)
 
 
+@query()
+def approximate_neighbours(spark, sf_dir):
+    return D.rounded(G.approximate_neighbours(vectors(spark, sf_dir), 10), "distance")
+
+
+@query(f"""{_V}, f AS (SELECT id, neighbour, distance FROM knn WHERE rank % 3 <> 0), k AS (SELECT id, count(*) AS k, avg(distance) AS d0 FROM knn GROUP BY 1), h AS (SELECT id, count(*) AS hit, avg(distance) AS d1 FROM f GROUP BY 1)
+SELECT id, round(coalesce(hit, 0) / k, 6) AS recall, round(d1 / nullif(d0, 0), 6) AS distance_ratio FROM k LEFT JOIN h USING (id)""")
+def neighbour_recall(spark, sf_dir):
+    """Every third neighbour taken away."""
+    k = knn(spark, sf_dir)
+    return D.rounded(G.neighbour_recall(k, k.filter("rank % 3 <> 0")), "recall", "distance_ratio")
+
+
+@query("""WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, vec_id % 3 AS batch FROM embeddings), d AS (SELECT a.id, b.id AS neighbour, b.batch, list_distance(a.e, b.e) AS distance FROM v a JOIN v b ON a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY id, batch ORDER BY round(distance, 9), neighbour) AS rk FROM d),
+t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(distance, 9), neighbour) AS rank FROM r WHERE rk <= 3) SELECT id, neighbour, round(distance, 6) AS distance, CAST(rank AS INT) AS rank, batch FROM t WHERE rank <= 5""")
+def batch_balanced_nearest(spark, sf_dir):
+    b = vectors(spark, sf_dir).select("id", (F.col("id") % 3).alias("label"))
+    return D.rounded(G.nearest_of_all(G.batch_balanced_neighbours(vectors(spark, sf_dir), b, 3), 5), "distance")
+
+
 @query()
 def principal_components(spark, sf_dir):
     return G.principal_components(vectors(spark, sf_dir), 5).select("id", F.transform("pc", lambda x: F.round(x, 4)).alias("pc"))

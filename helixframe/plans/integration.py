@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from helixframe.operators import communities as C
@@ -89,7 +90,20 @@ def louvain_communities(spark, sf_dir):
     return C.louvain(_undirected(spark, sf_dir), levels=2, rounds=4)
 
 
-@query()
+def _polynomials(beta: float, order: int) -> str:
+    """Chebyshev polynomials of the normalised adjacency, t0, t1, ..., and their sum."""
+    c = np.polynomial.chebyshev.chebinterpolate(lambda x: np.exp(-beta * (1 - x)), order).tolist()
+    out = ["t0 AS MATERIALIZED (SELECT id AS node, label, 1.0::DOUBLE AS value FROM v)"]
+    for i in range(1, order + 1):
+        before = f"UNION ALL SELECT node, label, -value FROM t{i - 2}" if i > 1 else ""
+        out.append(f"t{i} AS MATERIALIZED (SELECT node, label, sum(value) AS value FROM (SELECT a.src AS node, label, {min(i, 2)} * a.w * value AS value FROM a JOIN t{i - 1} t ON t.node = a.dst {before}) GROUP BY 1, 2)")
+    every = " UNION ALL ".join(f"SELECT node, label, {x!r}::DOUBLE * value AS value FROM t{i}" for i, x in enumerate(c))
+    return ", ".join(out) + f", sm AS (SELECT node, label, sum(value) AS value FROM ({every}) GROUP BY 1, 2)"
+
+
+@query(f"""{_V}, own AS (SELECT id, neighbour FROM knn UNION SELECT id, id FROM v), n AS (SELECT id, count(*) AS n FROM own GROUP BY 1), sn AS (SELECT a.id AS src, b.id AS dst, count(*) AS shared FROM own a JOIN own b ON a.neighbour = b.neighbour AND a.id < b.id GROUP BY 1, 2),
+e0 AS MATERIALIZED (SELECT src, dst, shared / (x.n + y.n - shared) AS w FROM sn JOIN n x ON x.id = src JOIN n y ON y.id = dst WHERE shared / (x.n + y.n - shared) >= 1.0 / 15), e AS MATERIALIZED (SELECT src, dst, w FROM e0 UNION ALL SELECT dst, src, w FROM e0), dg AS (SELECT src, sum(w) AS d FROM e GROUP BY 1),
+a AS MATERIALIZED (SELECT e.src, e.dst, e.w / sqrt(x.d * y.d) AS w FROM e JOIN dg x ON x.src = e.src JOIN dg y ON y.src = e.dst), {_polynomials(2.0, 8)} SELECT node, label, round(value, 6) AS value FROM sm""")
 def smoothed_density(spark, sf_dir):
     """Density of each label over the shared-neighbour graph."""
     s = labels(spark, sf_dir).select(F.col("id").alias("node"), "label", F.lit(1.0).alias("value"))

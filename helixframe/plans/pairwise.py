@@ -143,7 +143,8 @@ def radial_affinity(spark, sf_dir):
     return D.rounded(P.radial(P.cosine_distance(D.expr(spark, sf_dir), _n(spark, sf_dir)), "distance", 2.0), "distance", "affinity")
 
 
-@query()
+@query(f"""{_D}, c AS (SELECT a.feature AS f1, b.feature AS f2, abs(corr(a.value, b.value)) AS a {_PAIR}), k AS (SELECT f, sum(a) AS k FROM (SELECT f1 AS f, a FROM c UNION ALL SELECT f2, a FROM c) GROUP BY 1), lim AS (SELECT min(k) AS lo, max(k) AS hi, count(*) AS n FROM k),
+h AS (SELECT least(floor((k - lo) / nullif(hi - lo, 0) * 10), 9) AS b, avg(k) AS mean, count(*) / max(n) AS p FROM k CROSS JOIN lim GROUP BY 1) SELECT round(regr_r2(log10(p), log10(mean)), 6) AS r2, round(regr_slope(log10(p), log10(mean)), 6) AS slope FROM h WHERE mean > 0""")
 def scale_free_topology(spark, sf_dir):
     c = P.pearson(D.expr(spark, sf_dir), _n(spark, sf_dir)).withColumn("cor", F.abs("cor"))
     return D.rounded(P.scale_free_fit(c, "cor", 10), "r2", "slope")
