@@ -168,3 +168,123 @@ def scale_free_fit(pairs: DataFrame, value: str, bins: int = 50) -> DataFrame:
     at = F.coalesce(F.least(F.floor((F.col("k") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins), F.lit(bins - 1)), F.lit(0))
     h = k.crossJoin(F.broadcast(lim)).groupBy(at.alias("b")).agg(F.avg("k").alias("mean"), (F.count("*") / F.first("n")).alias("p")).filter("mean > 0")
     return h.agg(F.regr_r2(F.log10("p"), F.log10("mean")).alias("r2"), F.regr_slope(F.log10("p"), F.log10("mean")).alias("slope"))
+
+
+def pearson_between(a: DataFrame, b: DataFrame, n: int) -> DataFrame:
+    """(f1, f2, cor) of every feature of `a` with every feature of `b` over n shared samples, zeros left out; null for
+    constant features. For Spearman give ranks."""
+    of = lambda t, k: t.groupBy(F.col("feature").alias(f"f{k}")).agg(F.sum("value").alias(f"s{k}"), F.sum(F.col("value") ** 2).alias(f"q{k}"))
+    x, y = a.select("sample", F.col("feature").alias("f1"), F.col("value").alias("x")), b.select("sample", F.col("feature").alias("f2"), F.col("value").alias("y"))
+    xy = x.join(y, "sample").groupBy("f1", "f2").agg(F.sum(F.col("x") * F.col("y")).alias("sxy"))
+    every = of(a, 1).join(of(b, 2)).join(xy, ["f1", "f2"], "left")  # as many rows as the result
+    top = F.coalesce("sxy", F.lit(0.0)) - F.col("s1") * F.col("s2") / n
+    bottom = F.sqrt((F.col("q1") - F.col("s1") ** 2 / n) * (F.col("q2") - F.col("s2") ** 2 / n))
+    return every.select("f1", "f2", (top / F.nullif(bottom, F.lit(0.0))).alias("cor"))
+
+
+def pearson_of_pairs(expr: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """(f1, f2, cor) of given pairs (f1, f2) only, over n samples with zeros left out: values meet by feature and sample,
+    so nothing but the pairs asked for is made."""
+    pairs = pairs.select("f1", "f2").distinct()
+    m = expr.groupBy("feature").agg(F.sum("value").alias("s"), F.sum(F.col("value") ** 2).alias("q"))
+    x = pairs.join(expr.select(F.col("feature").alias("f1"), "sample", F.col("value").alias("x")), "f1")
+    xy = x.join(expr.select(F.col("feature").alias("f2"), "sample", F.col("value").alias("y")), ["f2", "sample"]).groupBy("f1", "f2").agg(F.sum(F.col("x") * F.col("y")).alias("sxy"))
+    of = lambda k: m.select(F.col("feature").alias(f"f{k}"), F.col("s").alias(f"s{k}"), F.col("q").alias(f"q{k}"))
+    j = pairs.join(of(1), "f1").join(of(2), "f2").join(xy, ["f1", "f2"], "left")
+    top = F.coalesce("sxy", F.lit(0.0)) - F.col("s1") * F.col("s2") / n
+    bottom = F.sqrt((F.col("q1") - F.col("s1") ** 2 / n) * (F.col("q2") - F.col("s2") ** 2 / n))
+    return j.select("f1", "f2", (top / F.nullif(bottom, F.lit(0.0))).alias("cor"))
+
+
+def variances(expr: DataFrame, n: int) -> DataFrame:
+    """(feature, var) over n samples, zeros left out."""
+    return expr.groupBy("feature").agg(((F.sum(F.col("value") ** 2) - F.sum("value") ** 2 / n) / (n - 1)).alias("var"))
+
+
+def correlation_of_covariance(cov: DataFrame, var: DataFrame) -> DataFrame:
+    """(f1, f2, cor) of covariances (f1, f2, cov) and variances (feature, var); null where a variance is 0."""
+    of = lambda k: var.select(F.col("feature").alias(f"f{k}"), F.col("var").alias(f"v{k}"))
+    return cov.join(of(1), "f1").join(of(2), "f2").select("f1", "f2", (F.col("cov") / F.nullif(F.sqrt(F.col("v1") * F.col("v2")), F.lit(0.0))).alias("cor"))
+
+
+def upper_triangle(pairs: DataFrame, value: str, diagonal: float | None = None, least: float | None = None) -> DataFrame:
+    """(f1, f2, value) with f1 < f2 of a symmetric table in any order, or f1 <= f2 where the `diagonal` has a value; only
+    absolute values of `least` and more if that is given."""
+    one = pairs.filter("f1 <> f2").groupBy(F.least("f1", "f2").alias("f1"), F.greatest("f1", "f2").alias("f2")).agg(F.max(value).alias(value))
+    if diagonal is not None:
+        names = pairs.select(F.explode(F.array("f1", "f2")).alias("f1")).distinct()
+        one = one.unionByName(names.select("f1", F.col("f1").alias("f2"), F.lit(float(diagonal)).alias(value)))
+    return one if least is None else one.filter(F.abs(value) >= least)
+
+
+def row_jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id, similarity) of the sets of integers (id, items) of two tables, row by row; two empty sets are equal."""
+    j = a.select("id", F.array_distinct("items").alias("x")).join(b.select("id", F.array_distinct("items").alias("y")), "id")
+    both = F.size(F.array_intersect("x", "y"))
+    return j.select("id", F.coalesce(both / F.nullif(F.size("x") + F.size("y") - both, F.lit(0)), F.lit(1.0)).alias("similarity"))
+
+
+def connectivity_by_epsilon(pairs: DataFrame, distance: str, epsilons: list[float], kind: str = "gaussian") -> DataFrame:
+    """(epsilon, feature, k): sum of affinities of each feature for each epsilon, from an upper triangle of distances."""
+    grid = pairs.select("f1", "f2", distance, F.explode(F.array(*map(F.lit, map(float, epsilons)))).alias("epsilon"))
+    x = F.col(distance) * F.col("epsilon")
+    k = {"gaussian": F.exp(-x * x), "inverse_quadratic": 1 / (1 + x * x), "bump": F.when(x < 1, F.exp(-1 / (1 - x * x) + 1)).otherwise(0.0)}[kind]
+    a = grid.select("epsilon", F.explode(F.array("f1", "f2")).alias("feature"), k.alias("a"))
+    return a.groupBy("epsilon", "feature").agg(F.sum("a").alias("k"))
+
+
+def critical_value(values: DataFrame, value: str, key: list[str], alpha: float = 0.05, draws: int = 100_000, seed: int = 42) -> DataFrame:
+    """One row (critical): the 1 - alpha quantile of at most `draws` values drawn by a seeded hash of their key."""
+    order = F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in key), F.lit(str(seed))))
+    return values.orderBy(order, *key).limit(draws).agg(F.percentile(value, F.lit(1 - alpha)).alias("critical"))
+
+
+def above_critical(pairs: DataFrame, value: str, key: list[str], alpha: float = 0.05, draws: int = 100_000, seed: int = 42) -> DataFrame:
+    """Rows whose value reaches the critical one."""
+    return pairs.crossJoin(F.broadcast(critical_value(pairs, value, key, alpha, draws, seed))).filter(F.col(value) >= F.col("critical"))
+
+
+def correlated_best_hits(modules: DataFrame, min_similarity: float, k_best: int = 1) -> DataFrame:
+    """(origin_a, module_a, origin_b, module_b, similarity): reciprocal best hits of modules given as loadings (origin,
+    set_id, feature, value), by the absolute correlation over the features that both origins have."""
+    name = F.struct("origin", "set_id")
+    m = modules.select("origin", "feature", name.alias("m"), "value")
+    a, b = (m.select(F.col("origin").alias(f"o{x}"), "feature", F.col("m").alias(f"m{x}"), F.col("value").alias(f"v{x}")) for x in "ab")
+    both = a.join(b, "feature").filter("oa < ob")
+    s = both.groupBy("ma", "mb").agg(F.abs(F.corr("va", "vb")).alias("similarity")).filter(F.col("similarity") >= min_similarity).withColumn("s6", F.round("similarity", 9))
+    r1 = F.rank().over(Window.partitionBy("ma", "mb.origin").orderBy(F.desc("s6")))
+    r2 = F.rank().over(Window.partitionBy("mb", "ma.origin").orderBy(F.desc("s6")))
+    best = s.withColumn("r1", r1).withColumn("r2", r2).filter((F.col("r1") <= k_best) & (F.col("r2") <= k_best))
+    return best.select(F.col("ma.origin").alias("origin_a"), F.col("ma.set_id").alias("module_a"), F.col("mb.origin").alias("origin_b"), F.col("mb.set_id").alias("module_b"), "similarity")
+
+
+def split_by_sign(pairs: DataFrame, modules: DataFrame, value: str = "cor") -> DataFrame:
+    """(module, feature, sign, mean_cor): members of modules (module, feature) split by the sign of their correlation with
+    the member that correlates most, in absolute terms, with all others."""
+    m = mirrored(pairs, value)
+    of = lambda k: modules.select(F.col("feature").alias(f"f{k}"), F.col("module").alias(f"m{k}"))
+    own = m.join(of(1), "f1").join(of(2), "f2").filter("m1 = m2").select(F.col("m1").alias("module"), "f1", "f2", value)
+    hub = own.groupBy("module", "f1").agg(F.avg(F.abs(value)).alias("a")).withColumn("r", F.row_number().over(Window.partitionBy("module").orderBy(F.desc(F.round("a", 9)), "f1"))).filter("r = 1").select("module", F.col("f1").alias("hub"))
+    with_hub = own.join(hub, "module").filter("f2 = hub").select("module", F.col("f1").alias("feature"), F.col(value).alias("c")).unionByName(hub.select("module", F.col("hub").alias("feature"), F.lit(1.0).alias("c")))
+    mean = own.groupBy("module", F.col("f1").alias("feature")).agg(F.avg(value).alias("mean_cor"))
+    return with_hub.join(mean, ["module", "feature"], "left").select("module", "feature", F.when(F.col("c") < 0, -1).otherwise(1).alias("sign"), "mean_cor")
+
+
+def module_quality(pairs: DataFrame, modules: DataFrame, value: str = "cor") -> DataFrame:
+    """(module, size, r2_median, r2_mad): squared correlations among the members of each module (module, feature)."""
+    of = lambda k: modules.select(F.col("feature").alias(f"f{k}"), F.col("module").alias(f"m{k}"))
+    own = pairs.join(of(1), "f1").join(of(2), "f2").filter("m1 = m2").select(F.col("m1").alias("module"), (F.col(value) ** 2).alias("r2"))
+    mid = own.groupBy("module").agg(F.percentile("r2", F.lit(0.5)).alias("r2_median"))
+    mad = own.join(mid, "module").groupBy("module", "r2_median").agg((1.4826 * F.percentile(F.abs(F.col("r2") - F.col("r2_median")), F.lit(0.5))).alias("r2_mad"))
+    return modules.groupBy("module").agg(F.count("*").alias("size")).join(mad, "module")
+
+
+def cluster_stability(runs: DataFrame) -> DataFrame:
+    """(feature, mean_jaccard, sd_jaccard): how alike a feature's cluster stays over runs (run, feature, cluster): Jaccard
+    overlap of its clusters in each pair of runs, from counts of members that clusters of two runs share."""
+    size = runs.groupBy("run", "cluster").agg(F.count("*").alias("n"))
+    a, b = (runs.select("feature", F.col("run").alias(f"r{x}"), F.col("cluster").alias(f"c{x}")) for x in "ab")
+    both = a.join(b, "feature").filter("ra < rb").groupBy("ra", "ca", "rb", "cb").agg(F.count("*").alias("shared"), F.collect_list("feature").alias("features"))
+    of = lambda x: size.select(F.col("run").alias(f"r{x}"), F.col("cluster").alias(f"c{x}"), F.col("n").alias(f"n{x}"))
+    j = both.join(of("a"), ["ra", "ca"]).join(of("b"), ["rb", "cb"]).withColumn("j", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")))
+    return j.select(F.explode("features").alias("feature"), "j").groupBy("feature").agg(F.avg("j").alias("mean_jaccard"), F.coalesce(F.stddev_samp("j"), F.lit(0.0)).alias("sd_jaccard"))

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: tuple[str, ...] = ("enrichment", "cells", "stats", "pairwise", "ontology", "graphs", "integration", "interactions", "streams")
+MODULES: tuple[str, ...] = ("enrichment", "cells", "stats", "pairwise", "ontology", "graphs", "integration", "interactions", "streams", "bulk")
 
 
 def load_all() -> None:

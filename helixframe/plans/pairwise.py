@@ -148,3 +148,112 @@ h AS (SELECT least(floor((k - lo) / nullif(hi - lo, 0) * 10), 9) AS b, avg(k) AS
 def scale_free_topology(spark, sf_dir):
     c = P.pearson(D.expr(spark, sf_dir), _n(spark, sf_dir)).withColumn("cor", F.abs("cor"))
     return D.rounded(P.scale_free_fit(c, "cor", 10), "r2", "slope")
+
+
+def _classes(spark, sf_dir):
+    """sample = customer, feature = class of size."""
+    p = D.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gene"), (F.col("p_size") % 5).cast("long").alias("feature"))
+    return D.counts(spark, sf_dir).join(p, "gene").groupBy(F.col("cell").alias("sample"), "feature").agg(F.sum("raw").cast("double").alias("value"))
+
+
+@query(f"""{_D}, m AS (SELECT cell AS sample, CAST(p_size % 5 AS BIGINT) AS feature, CAST(sum(raw) AS DOUBLE) AS value FROM counts JOIN part ON gene = p_partkey GROUP BY 1, 2), md AS (SELECT s.sample, f.feature, coalesce(m.value, 0.0) AS value FROM (SELECT DISTINCT sample FROM expr) s CROSS JOIN (SELECT DISTINCT feature FROM m) f LEFT JOIN m ON m.sample = s.sample AND m.feature = f.feature)
+SELECT a.feature AS f1, b.feature AS f2, round(corr(a.value, b.value), 6) AS cor FROM dense a JOIN md b ON a.sample = b.sample GROUP BY 1, 2""")
+def correlation_between(spark, sf_dir):
+    return D.rounded(P.pearson_between(D.expr(spark, sf_dir), _classes(spark, sf_dir), _n(spark, sf_dir)), "cor")
+
+
+@query(f"{_D} SELECT a.feature AS f1, b.feature AS f2, round(covar_samp(a.value, b.value) / sqrt(var_samp(a.value) * var_samp(b.value)), 6) AS cor {_PAIR}")
+def covariance_to_correlation(spark, sf_dir):
+    e, n = D.expr(spark, sf_dir), _n(spark, sf_dir)
+    return D.rounded(P.correlation_of_covariance(P.covariance(e, n), P.variances(e, n)), "cor")
+
+
+def _neighbouring(spark, sf_dir):
+    """Parts with the next part."""
+    k = D.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("f1"))
+    return k.select("f1", (F.col("f1") + 1).alias("f2"))
+
+
+@query(f"""WITH {D.NORM}, n AS (SELECT count(*) AS n FROM customer), m AS (SELECT gene, sum(norm) AS s, sum(norm * norm) AS q FROM norm GROUP BY 1), x AS (SELECT a.gene AS f1, b.gene AS f2, sum(a.norm * b.norm) AS xy FROM norm a JOIN norm b ON a.cell = b.cell AND b.gene = a.gene + 1 GROUP BY 1, 2)
+SELECT a.gene AS f1, b.gene AS f2, round((coalesce(xy, 0) - a.s * b.s / n) / sqrt((a.q - a.s * a.s / n) * (b.q - b.s * b.s / n)), 6) AS cor FROM m a JOIN m b ON b.gene = a.gene + 1 CROSS JOIN n LEFT JOIN x ON x.f1 = a.gene AND x.f2 = b.gene""")
+def gene_pair_correlations(spark, sf_dir):
+    from helixframe.operators.cells import normalised
+
+    norm = normalised(D.counts(spark, sf_dir)).select(F.col("cell").alias("sample"), F.col("gene").alias("feature"), F.col("norm").alias("value"))
+    return D.rounded(P.pearson_of_pairs(norm, _neighbouring(spark, sf_dir), D.obs(spark, sf_dir).count()), "cor")
+
+
+@query(f"{_D}, c AS (SELECT a.feature AS f1, b.feature AS f2, corr(a.value, b.value) AS cor {_PAIR}), d AS (SELECT f1, f2, cor FROM c UNION ALL SELECT DISTINCT feature, feature, 1.0 FROM dense) SELECT f1, f2, round(cor, 6) AS cor FROM d WHERE abs(cor) >= 0.1")
+def upper_triangle_table(spark, sf_dir):
+    c = P.mirrored(P.pearson(D.expr(spark, sf_dir), _n(spark, sf_dir)), "cor")
+    return D.rounded(P.upper_triangle(c, "cor", diagonal=1.0, least=0.1), "cor")
+
+
+@query("""WITH a AS (SELECT o_custkey AS id, list(DISTINCT l_partkey % 100) AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity < 25 GROUP BY 1), b AS (SELECT o_custkey AS id, list(DISTINCT l_partkey % 100) AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 25 GROUP BY 1)
+SELECT id, round(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))), 6) AS similarity FROM a JOIN b USING (id)""")
+def row_jaccard(spark, sf_dir):
+    li = D.table(spark, sf_dir, "lineitem").join(D.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("id"), (F.col("l_partkey") % 100).alias("item"), (F.col("l_quantity") < 25).alias("few"))
+    of = lambda c: li.filter(c).groupBy("id").agg(F.collect_set("item").alias("items"))
+    return D.rounded(P.row_jaccard(of(F.col("few")), of(~F.col("few"))), "similarity")
+
+
+@query(f"""{_D}, c AS (SELECT a.feature AS f1, b.feature AS f2, 1 - abs(sum(a.value * b.value) / sqrt(sum(a.value * a.value) * sum(b.value * b.value))) AS d {_PAIR}), g AS (SELECT f1, f2, e, exp(-pow(d * e, 2)) AS a FROM c CROSS JOIN (SELECT unnest([0.25, 0.5, 1.0, 2.0, 4.0])::DOUBLE AS e))
+SELECT e AS epsilon, f AS feature, round(sum(a), 5) AS k FROM (SELECT e, f1 AS f, a FROM g UNION ALL SELECT e, f2, a FROM g) GROUP BY 1, 2""")
+def connectivity_by_epsilon(spark, sf_dir):
+    d = P.cosine_distance(D.expr(spark, sf_dir), _n(spark, sf_dir))
+    return D.rounded(P.connectivity_by_epsilon(d, "distance", [0.25, 0.5, 1, 2, 4]), "k", digits=5)
+
+
+_SIMS = f"WITH {D.SETS}, z AS (SELECT set_id, count(*) AS n FROM sets GROUP BY 1), j AS (SELECT x.set_id AS l, y.set_id AS r, count(*) AS shared FROM sets x JOIN sets y ON x.member = y.member AND x.set_id < y.set_id GROUP BY 1, 2), s AS (SELECT l, r, shared / (x.n + y.n - shared) AS similarity FROM j JOIN z x ON x.set_id = l JOIN z y ON y.set_id = r), c AS (SELECT quantile_cont(similarity, 0.95) AS critical FROM (SELECT similarity FROM s ORDER BY md5(concat_ws('|', l, r, 42)), l, r LIMIT 500))"
+
+
+def _similarities(spark, sf_dir):
+    s = D.sets(spark, sf_dir)
+    return P.set_similarity(s, s).filter("l < r").select("l", "r", "similarity")
+
+
+@query(f"{_SIMS} SELECT round(critical, 6) AS critical FROM c")
+def critical_value(spark, sf_dir):
+    return D.rounded(P.critical_value(_similarities(spark, sf_dir), "similarity", ["l", "r"], draws=500), "critical")
+
+
+@query(f"{_SIMS} SELECT l, r, round(similarity, 6) AS similarity, round(critical, 6) AS critical FROM s CROSS JOIN c WHERE similarity >= critical")
+def similarities_above_critical(spark, sf_dir):
+    return D.rounded(P.above_critical(_similarities(spark, sf_dir), "similarity", ["l", "r"], draws=500), "similarity", "critical")
+
+
+@query(f"""{_D}, m AS (SELECT CASE WHEN sample % 2 = 0 THEN 'even' ELSE 'odd' END AS origin, feature AS set_id, sample // 2 AS feature, value FROM dense), s AS (SELECT a.set_id AS ma, b.set_id AS mb, abs(corr(a.value, b.value)) AS similarity FROM m a JOIN m b ON a.feature = b.feature AND a.origin = 'even' AND b.origin = 'odd' GROUP BY 1, 2),
+r AS (SELECT *, rank() OVER (PARTITION BY ma ORDER BY round(similarity, 9) DESC) AS r1, rank() OVER (PARTITION BY mb ORDER BY round(similarity, 9) DESC) AS r2 FROM s WHERE similarity >= 0.01) SELECT 'even' AS origin_a, ma AS module_a, 'odd' AS origin_b, mb AS module_b, round(similarity, 6) AS similarity FROM r WHERE r1 = 1 AND r2 = 1""")
+def correlated_best_hits(spark, sf_dir):
+    """Loadings of brands over customers with even and with odd numbers."""
+    d = _dense(spark, sf_dir).select(F.when(F.col("sample") % 2 == 0, "even").otherwise("odd").alias("origin"), F.col("feature").alias("set_id"), F.floor(F.col("sample") / 2).alias("feature"), "value")
+    return D.rounded(P.correlated_best_hits(d, 0.01), "similarity")
+
+
+def _modules(spark, sf_dir):
+    """Brands by their last digit."""
+    return D.table(spark, sf_dir, "part").select(F.col("p_brand").alias("feature"), F.right("p_brand", F.lit(1)).alias("module")).distinct()
+
+
+_MOD = f"{_D}, c AS (SELECT a.feature AS f1, b.feature AS f2, corr(a.value, b.value) AS cor {_PAIR}), mo AS (SELECT DISTINCT p_brand AS feature, right(p_brand, 1) AS module FROM part)"
+
+
+@query(_MOD + """, s AS (SELECT f1, f2, cor FROM c UNION ALL SELECT f2, f1, cor FROM c), o AS (SELECT x.module, f1, f2, cor FROM s JOIN mo x ON x.feature = f1 JOIN mo y ON y.feature = f2 WHERE x.module = y.module), h AS (SELECT module, f1 AS hub, row_number() OVER (PARTITION BY module ORDER BY round(avg(abs(cor)), 9) DESC, f1) AS r FROM o GROUP BY 1, 2),
+w AS (SELECT o.module, f1 AS feature, cor AS c FROM o JOIN h ON h.module = o.module AND r = 1 AND f2 = hub UNION ALL SELECT module, hub, 1.0 FROM h WHERE r = 1), mn AS (SELECT module, f1 AS feature, avg(cor) AS m FROM o GROUP BY 1, 2) SELECT module, feature, CASE WHEN c < 0 THEN -1 ELSE 1 END AS sign, round(m, 6) AS mean_cor FROM w LEFT JOIN mn USING (module, feature)""")
+def modules_by_sign(spark, sf_dir):
+    return D.rounded(P.split_by_sign(P.pearson(D.expr(spark, sf_dir), _n(spark, sf_dir)), _modules(spark, sf_dir)), "mean_cor")
+
+
+@query(_MOD + ", o AS (SELECT x.module, cor * cor AS r2 FROM c JOIN mo x ON x.feature = f1 JOIN mo y ON y.feature = f2 WHERE x.module = y.module), q AS (SELECT module, quantile_cont(r2, 0.5) AS md, 1.4826 * mad(r2) AS mad FROM o GROUP BY 1) SELECT module, (SELECT count(*) FROM mo WHERE mo.module = q.module) AS size, round(md, 9) AS r2_median, round(mad, 9) AS r2_mad FROM q")
+def module_quality(spark, sf_dir):
+    return D.rounded(P.module_quality(P.pearson(D.expr(spark, sf_dir), _n(spark, sf_dir)), _modules(spark, sf_dir)), "r2_median", "r2_mad", digits=9)
+
+
+@query("""WITH r AS (SELECT 1 AS run, p_partkey AS feature, p_brand AS cluster FROM part UNION ALL SELECT 2, p_partkey, p_type FROM part UNION ALL SELECT 3, p_partkey, 's' || p_size FROM part), z AS (SELECT run, cluster, count(*) AS n FROM r GROUP BY 1, 2),
+b AS (SELECT a.feature, a.run AS ra, a.cluster AS ca, b.run AS rb, b.cluster AS cb, count(*) OVER (PARTITION BY a.run, a.cluster, b.run, b.cluster) AS shared FROM r a JOIN r b ON a.feature = b.feature AND a.run < b.run),
+j AS (SELECT feature, shared / (x.n + y.n - shared) AS j FROM b JOIN z x ON x.run = ra AND x.cluster = ca JOIN z y ON y.run = rb AND y.cluster = cb) SELECT feature, round(avg(j), 6) AS mean_jaccard, round(coalesce(stddev_samp(j), 0), 6) AS sd_jaccard FROM j GROUP BY 1""")
+def cluster_stability(spark, sf_dir):
+    """Brand, type and size as three clusterings of parts."""
+    p = D.table(spark, sf_dir, "part")
+    r = p.select(F.col("p_partkey").alias("feature"), F.explode(F.array(F.struct(F.lit(1).alias("run"), F.col("p_brand").alias("cluster")), F.struct(F.lit(2).alias("run"), F.col("p_type").alias("cluster")), F.struct(F.lit(3).alias("run"), F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("cluster")))).alias("x")).select("feature", "x.*")
+    return D.rounded(P.cluster_stability(r), "mean_jaccard", "sd_jaccard")
