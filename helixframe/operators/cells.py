@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions.ranks import bh_adjusted
 from helixframe.functions.special import normal_tail
 
 
@@ -170,8 +171,9 @@ def combine_hvg(per_batch: DataFrame, top: int, how: str = "average") -> DataFra
     return g.select("gene", "n_batches", "mean_score", flag.alias("is_hvg"))
 
 
-def markers(norm: DataFrame, obs: DataFrame, group: str, min_prop: float = 0.05) -> DataFrame:
-    """(group, gene, lfc, prop1, prop2, z, p): Mann-Whitney of each group against the rest, greater alternative.
+def markers(norm: DataFrame, obs: DataFrame, group: str, min_prop: float = 0.05, alternative: str = "greater") -> DataFrame:
+    """(group, gene, lfc, prop1, prop2, z, p, fdr): Mann-Whitney of each group against the rest, for the alternative greater,
+    less or twosided; the fdr is adjusted within a group over the genes that pass `min_prop`.
 
     Zeros are never made rows: the zeros of a gene are one block of ties with a known rank, so sums of ranks and the tie
     correction come from the expressed cells alone. Rest sums are totals minus the group's own."""
@@ -195,7 +197,89 @@ def markers(norm: DataFrame, obs: DataFrame, group: str, min_prop: float = 0.05)
     prop1, prop2 = F.col("c1") / n1, (F.col("nnz") - F.col("c1")) / n2
     lfc = F.log2((F.col("s1") / n1 + 1) / ((F.col("s_all") - F.col("s1")) / n2 + 1))
     out = every.filter((n1 > 0) & (n2 > 0)).select(group, "gene", lfc.alias("lfc"), prop1.alias("prop1"), prop2.alias("prop2"), z.alias("z"))
-    return out.filter(F.greatest("prop1", "prop2") >= min_prop).withColumn("p", normal_tail(F.col("z")))
+    z = F.col("z")
+    p = {"greater": normal_tail(z), "less": normal_tail(-z), "twosided": F.least(F.lit(1.0), 2 * normal_tail(F.abs(z)))}[alternative]
+    out = out.filter(F.greatest("prop1", "prop2") >= min_prop).withColumn("p", p)
+    return out.withColumn("fdr", bh_adjusted(F.col("p"), [group], F.count("p").over(Window.partitionBy(group)), ["gene"]))  # a row a gene
+
+
+def two_group_markers(norm: DataFrame, a: DataFrame, b: DataFrame, min_prop: float = 0.05, alternative: str = "twosided") -> DataFrame:
+    """markers() of the cells of `a` against those of `b`, both (cell); a cell in both counts for `a`."""
+    own = a.select("cell").distinct().withColumn("grp", F.lit("a"))
+    obs = own.unionByName(b.select("cell").distinct().join(own, "cell", "left_anti").withColumn("grp", F.lit("b")))
+    return markers(norm, obs, "grp", min_prop, alternative).filter("grp = 'a'").drop("grp")
+
+
+def specific_markers(norm: DataFrame, obs: DataFrame, group: str) -> DataFrame:
+    """(group, gene, auc_min, auc_median, auc_mean, rivals): the AUROC of a gene in a group against each other group.
+
+    Counts below a value are running sums over the distinct values of a gene, for every group; zeros are one block of
+    ties of each group and never rows."""
+    sizes = obs.groupBy(group).agg(F.count("*").alias("n"))
+    x = norm.select("cell", "gene", "norm").join(obs.select("cell", group), "cell")
+    c = x.groupBy("gene", "norm", group).agg(F.count("*").alias("c"))
+    nnz = c.groupBy("gene", group).agg(F.sum("c").alias("nnz"))
+    rival = sizes.select(F.col(group).alias("rival"), F.col("n").alias("nr"))
+    values = c.select("gene", "norm").distinct().join(F.broadcast(rival))  # groups are few
+    values = values.join(c.select("gene", "norm", F.col(group).alias("rival"), F.col("c").alias("cr")), ["gene", "norm", "rival"], "left").withColumn("cr", F.coalesce("cr", F.lit(0)))
+    below = Window.partitionBy("gene", "rival").orderBy("norm").rowsBetween(Window.unboundedPreceding, -1)
+    values = values.withColumn("below", F.coalesce(F.sum("cr").over(below), F.lit(0)))
+    zr = F.col("nr") - F.coalesce("nnzr", F.lit(0))
+    values = values.join(nnz.select("gene", F.col(group).alias("rival"), F.col("nnz").alias("nnzr")), ["gene", "rival"], "left").withColumn("zr", zr)
+    u = c.join(values.select("gene", "norm", "rival", "cr", "below", "zr", "nr"), ["gene", "norm"]).filter(F.col("rival") != F.col(group))
+    u = u.groupBy(group, "gene", "rival").agg(F.sum(F.col("c") * (F.col("below") + F.col("cr") / 2 + F.col("zr"))).alias("u"), F.first("zr").alias("zr"), F.first("nr").alias("nr"))
+    u = u.join(nnz, [group, "gene"]).join(F.broadcast(sizes), group)
+    auc = (F.col("u") + (F.col("n") - F.col("nnz")) * F.col("zr") / 2) / (F.col("n") * F.col("nr"))
+    return u.withColumn("auc", auc).groupBy(group, "gene").agg(F.min("auc").alias("auc_min"), F.percentile("auc", F.lit(0.5)).alias("auc_median"), F.avg("auc").alias("auc_mean"), F.count("*").alias("rivals"))
+
+
+def rescued(flags: DataFrame, safe: dict[str, tuple[float | None, float | None]], flag: str = "outlier") -> DataFrame:
+    """Flags of cells whose metrics all lie within the given (lower, upper) bounds become false."""
+    return flags.withColumn(flag, F.col(flag) & hard_flags(flags, safe))
+
+
+def isotype_controls(features: DataFrame, name: str = "gene", pattern: str = "isotype") -> DataFrame:
+    """Adds is_isotype: whether a feature's name has the pattern, in either case."""
+    return features.withColumn("is_isotype", F.coalesce(F.lower(F.col(name)).rlike(pattern.lower()), F.lit(False)))
+
+
+def present_markers(lists: DataFrame, genes: DataFrame) -> DataFrame:
+    """(cell_type, gene, sign) of marker lists (cell_type, positive, negative: arrays), only genes that are there."""
+    each = lists.select("cell_type", F.explode("positive").alias("gene"), F.lit(1).alias("sign")).unionByName(lists.select("cell_type", F.explode("negative").alias("gene"), F.lit(-1).alias("sign")))
+    return each.dropna().distinct().join(genes.select("gene").distinct(), "gene", "left_semi").select("cell_type", "gene", "sign")
+
+
+def types_of_cells(scores: DataFrame, edges: DataFrame | None = None, own: float = 0.5) -> DataFrame:
+    """(cell, cell_type, score, margin): the type with the best score (cell, cell_type, score) of each cell, and its lead
+    over the second. With edges (src, dst, weight) scores are first mixed with the weighted mean over the neighbours of
+    a cell, its own having the share `own`; a cell without edges keeps its scores."""
+    s = scores.select("cell", "cell_type", "score")
+    if edges is not None:
+        total = edges.groupBy("src").agg(F.sum("weight").alias("t"))
+        around = edges.join(s.withColumnRenamed("cell", "dst"), "dst").groupBy(F.col("src").alias("cell"), "cell_type").agg(F.sum(F.col("weight") * F.col("score")).alias("a"))
+        j = s.join(around, ["cell", "cell_type"], "full").join(total.withColumnRenamed("src", "cell"), "cell", "left")
+        mixed = own * F.coalesce("score", F.lit(0.0)) + (1 - own) * F.coalesce("a", F.lit(0.0)) / F.col("t")
+        s = j.select("cell", "cell_type", F.when(F.col("t").isNull(), F.col("score")).otherwise(mixed).alias("score"))
+    w = Window.partitionBy("cell").orderBy(F.desc(F.round("score", 9)), "cell_type")  # a row a type
+    r = s.withColumn("r", F.row_number().over(w)).withColumn("next", F.lead("score").over(w))
+    return r.filter("r = 1").select("cell", "cell_type", "score", (F.col("score") - F.col("next")).alias("margin"))
+
+
+def compactness(coordinates: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group_id, n, compactness): variance of coordinates (id, embedding) within each group (id, group_id), averaged over
+    the dimensions; 0 for lone members."""
+    x = coordinates.join(groups, "id").select("group_id", "id", F.posexplode("embedding").alias("i", "x"))
+    d = x.groupBy("group_id", "i").agg(F.var_pop("x").alias("v"), F.count("*").alias("n"))
+    return d.groupBy("group_id").agg(F.first("n").alias("n"), F.avg("v").alias("compactness"))
+
+
+def separation(coordinates: DataFrame, groups: DataFrame, k: int = 1) -> DataFrame:
+    """(group_id, separation): distance from a group's centre to the k-th nearest other centre."""
+    from helixframe.operators.graphs import nearest_neighbours
+
+    x = coordinates.join(groups, "id").select("group_id", F.posexplode("embedding").alias("i", "x")).groupBy("group_id", "i").agg(F.avg("x").alias("x"))
+    centres = x.groupBy(F.col("group_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("s")).select(F.col("id").cast("long").alias("id"), F.col("s.x").alias("embedding"))
+    return nearest_neighbours(centres, k).filter(F.col("rank") == k).select(F.col("id").alias("group_id"), F.col("distance").alias("separation"))
 
 
 def module_scores(norm: DataFrame, sets: DataFrame, n_cells: int, bins: int = 24, controls: int = 100, seed: int = 42) -> DataFrame:

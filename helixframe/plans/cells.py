@@ -109,16 +109,19 @@ def variable_genes_by_batch(spark, sf_dir):
     return D.rounded(C.combine_hvg(per, 100), "mean_score")
 
 
-@query(f"""{_N}, x AS (SELECT c.cell, g.gene, c.segment, coalesce(norm, 0.0) AS v FROM obs c CROSS JOIN (SELECT DISTINCT gene FROM norm) g LEFT JOIN norm n ON n.cell = c.cell AND n.gene = g.gene),
+_MARKERS = f"""{_N}, x AS (SELECT c.cell, g.gene, c.segment, coalesce(norm, 0.0) AS v FROM obs c CROSS JOIN (SELECT DISTINCT gene FROM norm) g LEFT JOIN norm n ON n.cell = c.cell AND n.gene = g.gene),
 r AS (SELECT *, rank() OVER (PARTITION BY gene ORDER BY v) + (count(*) OVER (PARTITION BY gene, v) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY gene, v) AS t FROM x),
 a AS (SELECT gene, count(*) AS n, sum((t * t - 1.0)) AS ties, sum(exp(v) - 1) AS s, count(*) FILTER (v > 0) AS nnz FROM r GROUP BY 1),
 g AS (SELECT segment, gene, count(*) AS n1, sum(rk) AS rs, sum(exp(v) - 1) AS s1, count(*) FILTER (v > 0) AS c1 FROM r GROUP BY 1, 2),
-z AS (SELECT *, n - n1 AS n2 FROM g JOIN a USING (gene) WHERE c1 > 0)
+z AS (SELECT *, n - n1 AS n2 FROM g JOIN a USING (gene) WHERE c1 > 0)"""
+
+
+@query(_MARKERS + """
 SELECT segment, gene, round(log2((s1 / n1 + 1) / ((s - s1) / n2 + 1)), 5) AS lfc, round(c1 / n1, 6) AS prop1, round((nnz - c1) / n2, 6) AS prop2,
 round((rs - n1 * (n1 + 1) / 2.0 - n1 * n2 / 2.0) / sqrt(n1 * n2 / 12.0 * (n + 1 - ties / (n * (n - 1.0)))), 5) AS z FROM z WHERE greatest(c1 / n1, (nnz - c1) / n2) >= 0.02""")
 def markers_one_vs_rest(spark, sf_dir):
     n = C.normalised(D.counts(spark, sf_dir))
-    return D.rounded(C.markers(n, D.obs(spark, sf_dir), "segment", min_prop=0.02).drop("p"), "lfc", "z", digits=5).withColumns({c: F.round(c, 6) for c in ("prop1", "prop2")})
+    return D.rounded(C.markers(n, D.obs(spark, sf_dir), "segment", min_prop=0.02).drop("p", "fdr"), "lfc", "z", digits=5).withColumns({c: F.round(c, 6) for c in ("prop1", "prop2")})
 
 
 @query(f"""{_N}, a AS (SELECT gene, sum(norm) / (SELECT count(*) FROM customer) AS a FROM norm GROUP BY 1), bn AS (SELECT gene, ntile(24) OVER (ORDER BY a, gene) AS bin FROM a), m AS (SELECT set_id, member AS gene, bin FROM sets JOIN bn ON gene = member),
@@ -183,3 +186,72 @@ SELECT exp_id, exp_id || '_' || cell AS cell, gene, raw FROM t WHERE gene IN (SE
 def merged_experiments(spark, sf_dir):
     j = D.counts(spark, sf_dir).join(D.obs(spark, sf_dir), "cell")
     return C.merge_experiments({"a": j.filter("batch < 12").select("cell", "gene", "raw"), "b": j.filter("batch >= 12").select("cell", "gene", "raw")})
+
+
+_RANKS = f"""{_N}, x AS (SELECT c.cell, g.gene, c.segment, coalesce(norm, 0.0) AS v FROM obs c CROSS JOIN (SELECT DISTINCT gene FROM norm) g LEFT JOIN norm n ON n.cell = c.cell AND n.gene = g.gene WHERE segment IN ('BUILDING', 'MACHINERY')),
+r AS (SELECT *, rank() OVER (PARTITION BY gene ORDER BY v) + (count(*) OVER (PARTITION BY gene, v) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY gene, v) AS t FROM x),
+a AS (SELECT gene, count(*) AS n, sum(t * t - 1.0) AS ties, count(*) FILTER (v > 0) AS nnz, count(*) FILTER (segment = 'BUILDING') AS n1, sum(rk) FILTER (segment = 'BUILDING') AS rs, sum(exp(v) - 1) FILTER (segment = 'BUILDING') AS s1, sum(exp(v) - 1) FILTER (segment <> 'BUILDING') AS s2, count(*) FILTER (v > 0 AND segment = 'BUILDING') AS c1 FROM r GROUP BY 1)"""
+
+
+@query(_RANKS + """ SELECT gene, round(log2((s1 / n1 + 1) / (s2 / (n - n1) + 1)), 5) AS lfc, round(c1 / n1, 6) AS prop1, round((nnz - c1) / (n - n1), 6) AS prop2,
+round((rs - n1 * (n1 + 1) / 2.0 - n1 * (n - n1) / 2.0) / sqrt(n1 * (n - n1) / 12.0 * (n + 1 - ties / (n * (n - 1.0)))), 5) AS z FROM a WHERE c1 > 0 AND greatest(c1 / n1, (nnz - c1) / (n - n1)) >= 0.02""")
+def markers_two_groups(spark, sf_dir):
+    o = D.obs(spark, sf_dir)
+    m = C.two_group_markers(_norm(spark, sf_dir), o.filter("segment = 'BUILDING'"), o.filter("segment = 'MACHINERY'"), 0.02)
+    return D.rounded(m.drop("p", "fdr"), "lfc", "z", digits=5).withColumns({c: F.round(c, 6) for c in ("prop1", "prop2")})
+
+
+@query()
+def marker_significance(spark, sf_dir):
+    m = C.markers(C.normalised(D.counts(spark, sf_dir)), D.obs(spark, sf_dir), "segment", 0.02, "twosided")
+    return D.rounded(m.select("segment", "gene", "p", "fdr"), "p", "fdr")
+
+
+@query(f"""{_N}, s AS (SELECT segment, count(*) AS n FROM obs GROUP BY 1), c AS (SELECT gene, norm, segment, count(*) AS c FROM norm JOIN obs USING (cell) GROUP BY 1, 2, 3), z AS (SELECT gene, segment, sum(c) AS nnz FROM c GROUP BY 1, 2),
+p AS (SELECT a.gene, a.segment, b.segment AS rival, sum(a.c * b.c * CASE WHEN a.norm > b.norm THEN 1.0 WHEN a.norm = b.norm THEN 0.5 ELSE 0 END) AS u FROM c a JOIN c b ON a.gene = b.gene AND a.segment <> b.segment GROUP BY 1, 2, 3),
+q AS (SELECT z.gene, z.segment, s2.segment AS rival, (coalesce(u, 0) + z.nnz * (s2.n - coalesce(z2.nnz, 0)) + (s1.n - z.nnz) * (s2.n - coalesce(z2.nnz, 0)) / 2.0) / (s1.n * s2.n) AS auc FROM z JOIN s s1 USING (segment) JOIN s s2 ON s2.segment <> z.segment LEFT JOIN z z2 ON z2.gene = z.gene AND z2.segment = s2.segment LEFT JOIN p ON p.gene = z.gene AND p.segment = z.segment AND p.rival = s2.segment)
+SELECT segment, gene, round(min(auc), 6) AS auc_min, round(quantile_cont(auc, 0.5), 6) AS auc_median, round(avg(auc), 6) AS auc_mean, count(*) AS rivals FROM q GROUP BY 1, 2""")
+def specific_markers(spark, sf_dir):
+    return D.rounded(C.specific_markers(_norm(spark, sf_dir), D.obs(spark, sf_dir), "segment"), "auc_min", "auc_median", "auc_mean")
+
+
+@query(f"{_Q}, m AS (SELECT cell, count(*) AS nnz, sum(raw) AS lib FROM counts GROUP BY 1) SELECT cell, nnz, CAST(lib AS BIGINT) AS lib_size, (nnz < 15 OR lib > 1500) AND (nnz < 12 OR nnz > 60 OR lib > 1600) AS outlier FROM m")
+def rescued_cells(spark, sf_dir):
+    m = C.cell_metrics(D.counts(spark, sf_dir))
+    m = m.withColumn("outlier", C.hard_flags(m, {"nnz": (15, None), "lib_size": (None, 1500)}))
+    return C.rescued(m, {"nnz": (12, 60), "lib_size": (None, 1600)})
+
+
+@query("SELECT p_partkey AS gene, p_name, coalesce(contains(lower(p_name), 'blue'), false) AS is_isotype FROM part")
+def isotype_controls(spark, sf_dir):
+    return C.isotype_controls(D.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gene"), "p_name"), "p_name", "Blue")
+
+
+@query(f"{_Q}, l AS (SELECT p_brand AS cell_type, p_partkey AS gene, CASE WHEN p_size <= 10 THEN 1 ELSE -1 END AS sign FROM part WHERE p_size <= 10 OR p_size > 45) SELECT DISTINCT cell_type, gene, sign FROM l WHERE gene IN (SELECT gene FROM counts)")
+def present_markers(spark, sf_dir):
+    p = D.table(spark, sf_dir, "part")
+    lists = p.groupBy(F.col("p_brand").alias("cell_type")).agg(F.collect_list(F.when(F.col("p_size") <= 10, F.col("p_partkey"))).alias("positive"), F.collect_list(F.when(F.col("p_size") > 45, F.col("p_partkey"))).alias("negative"))
+    return C.present_markers(lists, D.counts(spark, sf_dir))
+
+
+@query(_TYPES + """, s AS (SELECT cell, cell_type, got + base AS score FROM d JOIN b USING (cell_type)), e AS (SELECT a.cell AS src, b.cell AS dst FROM obs a JOIN obs b ON b.cell = a.cell + 1), m AS (SELECT cell, cell_type, sum(o) AS o, sum(a) AS a FROM (SELECT cell, cell_type, score AS o, NULL AS a FROM s UNION ALL SELECT src, cell_type, NULL, score FROM e JOIN s ON s.cell = dst) GROUP BY 1, 2),
+x AS (SELECT m.cell, cell_type, CASE WHEN e.src IS NULL THEN o ELSE 0.5 * coalesce(o, 0) + 0.5 * coalesce(a, 0) END AS score FROM m LEFT JOIN e ON e.src = m.cell), r AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY round(score, 9) DESC, cell_type) AS r, lead(score) OVER (PARTITION BY cell ORDER BY round(score, 9) DESC, cell_type) AS nx FROM x)
+SELECT cell, cell_type, round(score, 5) AS score, round(score - nx, 5) AS margin FROM r WHERE r = 1""")
+def types_of_cells(spark, sf_dir):
+    """Each customer mixed with the next one."""
+    s = C.type_scores(_norm(spark, sf_dir), _markers(spark, sf_dir), D.obs(spark, sf_dir).count())
+    o = D.obs(spark, sf_dir).select(F.col("cell").alias("src"))
+    e = o.join(o.withColumnRenamed("src", "dst"), F.col("dst") == F.col("src") + 1).withColumn("weight", F.lit(1.0))
+    return D.rounded(C.types_of_cells(s, e), "score", "margin", digits=5)
+
+
+@query("WITH x AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, len(embedding) + 1) r(i)), d AS (SELECT label, i, var_pop(x) AS v, count(*) AS n FROM x GROUP BY 1, 2) SELECT label AS group_id, max(n) AS n, round(avg(v), 6) AS compactness FROM d GROUP BY 1")
+def group_compactness(spark, sf_dir):
+    e = D.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("group_id"))
+    return D.rounded(C.compactness(e.select("id", "embedding"), e.select("id", "group_id")), "compactness")
+
+
+@query("WITH x AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, range(1, len(embedding) + 1) r(i) GROUP BY 1, 2), d AS (SELECT a.label, b.label AS other, sqrt(sum(pow(a.x - b.x, 2))) AS d FROM x a JOIN x b ON a.i = b.i AND a.label <> b.label GROUP BY 1, 2) SELECT CAST(label AS BIGINT) AS group_id, round(min(d), 6) AS separation FROM d GROUP BY 1")
+def group_separation(spark, sf_dir):
+    e = D.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("group_id"))
+    return D.rounded(C.separation(e.select("id", "embedding"), e.select("id", "group_id")), "separation")
