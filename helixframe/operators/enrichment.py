@@ -84,11 +84,13 @@ def ssgsea(expr: DataFrame, sets: DataFrame, alpha: float = 0.25) -> DataFrame:
     return g.filter("n > m").select("sample", "set_id", (F.col("up") - down).alias("score"))
 
 
-def gsva(expr: DataFrame, sets: DataFrame, tau: float = 1.0, max_diff: bool = True) -> DataFrame:
-    """(sample, set_id, score) by the empirical distribution of each feature over the samples: features of a sample are
+def gsva(expr: DataFrame, sets: DataFrame, tau: float = 1.0, max_diff: bool = True, kernel: str = "none") -> DataFrame:
+    """(sample, set_id, score) by the distribution of each feature over the samples, the empirical one or that of
+    kernel_distribution(): features of a sample are
     ordered by it, far ranks weigh more, and the score is the sum of the largest deviations up and down of the running
     sum, or with `max_diff` false the larger of them. Both lie at members, so only members are scanned."""
-    d = expr.select("sample", "feature", F.cume_dist().over(Window.partitionBy("feature").orderBy("value")).alias("d"))
+    empirical = expr.select("sample", "feature", F.cume_dist().over(Window.partitionBy("feature").orderBy("value")).alias("d"))
+    d = empirical if kernel == "none" else kernel_distribution(expr, kernel).withColumn("d", F.round("d", 9))
     w = Window.partitionBy("sample")
     r = d.select("sample", "feature", F.row_number().over(w.orderBy(F.desc("d"), "feature")).alias("at"), F.count("*").over(w).alias("n"))
     hit = r.join(sets.select("set_id", F.col("member").alias("feature")).distinct(), "feature").withColumn("x", F.pow(F.abs(F.col("n") / 2 - F.col("at") + 1), F.lit(tau)))
@@ -136,12 +138,7 @@ def gsea_permutations(stats: DataFrame, sets: DataFrame, permutations: int = 100
     A permutation deals the statistics to features anew, by a seeded hash; permutations are further contrasts, so they
     run distributed in the same plan. Values depend on the seed, not on the partitioning."""
     real = gsea_statistic(stats, sets, power, min_size, max_size)
-    copies = stats.select("*", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
-    w = Window.partitionBy("contrast", "perm")
-    dealt = copies.withColumn("a", F.row_number().over(w.orderBy(F.md5(F.concat_ws("|", F.col("feature").cast("string"), F.col("perm").cast("string"), F.lit(str(seed)))), "feature"))).withColumn("b", F.row_number().over(w.orderBy(F.desc("stat"), "feature")))
-    names, values = dealt.select("contrast", "perm", "feature", F.col("a").alias("at")), dealt.select("contrast", "perm", "stat", F.col("b").alias("at"))
-    shuffled = names.join(values, ["contrast", "perm", "at"]).select(F.concat_ws("|", "contrast", "perm").alias("contrast"), "feature", "stat")
-    null = gsea_statistic(shuffled, sets, power, min_size, max_size).select(F.expr("substring_index(contrast, '|', greatest(1, size(split(contrast, '[|]')) - 1))").alias("contrast"), "set_id", F.col("es").alias("null_es"))
+    null = permuted_statistics(stats, sets, permutations, seed, power, min_size, max_size)
     both = real.join(null, ["contrast", "set_id"], "left")
     same = F.signum("null_es") == F.signum("es")
     return both.groupBy("contrast", "set_id", "size", "es").agg(((F.count_if(same & (F.abs("null_es") >= F.abs("es"))) + 1) / (F.count_if(same) + 1)).alias("pval"))
@@ -178,3 +175,157 @@ def recovery_enrichment(sets: DataFrame, rankings: DataFrame, max_rank: int, min
     w = Window.partitionBy("set_id")
     out = auc.withColumn("nes", (F.col("auc") - F.avg("auc").over(w)) / F.nullif(F.stddev_samp("auc").over(w), F.lit(0.0))).select("set_id", "motif", "auc", "nes")
     return out.filter(F.col("nes") >= min_nes) if min_nes is not None else out
+
+
+def rank_matrix(expr: DataFrame, stable: DataFrame | None = None) -> DataFrame:
+    """(sample, feature, rank): ranks from 1 in ascending order, ties sharing the smallest. With stable features (feature)
+    the rank is the share of them, within the sample, whose value is not above."""
+    if stable is None:
+        return expr.select("sample", "feature", F.rank().over(Window.partitionBy("sample").orderBy("value")).alias("rank"))
+    mark = expr.join(stable.select("feature").distinct().withColumn("ref", F.lit(1)), "feature", "left")
+    upto = Window.partitionBy("sample").orderBy("value").rangeBetween(Window.unboundedPreceding, 0)
+    all_ = Window.partitionBy("sample")
+    ref = F.coalesce("ref", F.lit(0))
+    return mark.select("sample", "feature", (F.sum(ref).over(upto) / F.nullif(F.sum(ref).over(all_), F.lit(0))).alias("rank"))
+
+
+def singscore_two_sided(expr: DataFrame, up: DataFrame, down: DataFrame, centre: bool = True, known_direction: bool = True) -> DataFrame:
+    """(sample, set_id, up_score, down_score, score): scores of up-sets by ascending and of down-sets by descending ranks,
+    and their sum; sets (set_id, member) that have only one side score by that. Without a known direction distances of
+    ranks from the middle are scored, and only of up-sets."""
+    w = Window.partitionBy("sample")
+    r = expr.select("sample", "feature", F.rank().over(w.orderBy("value")).alias("low"), F.rank().over(w.orderBy(F.desc("value"))).alias("high"), F.count("*").over(w).alias("n"))
+
+    def side(sets: DataFrame, rank: str, name: str) -> DataFrame:
+        hit = r.join(sets.select("set_id", F.col("member").alias("feature")).distinct(), "feature")
+        x = F.col(rank) if known_direction else F.abs(F.col(rank) - F.ceil(F.col("n") / 2))
+        g = hit.groupBy("sample", "set_id").agg(F.avg(x).alias("mean"), F.count("*").cast("double").alias("m"), F.first("n").alias("n")).filter("n > m")
+        if known_direction:
+            low, high = (F.col("m") + 1) / 2, (2 * F.col("n") - F.col("m") + 1) / 2
+        else:
+            low = (F.ceil(F.col("m") / 2) + 1) / 2
+            high = (F.col("n") - F.ceil(F.col("m") / 2) + 1) / 2
+        return g.select("sample", "set_id", ((F.col("mean") - low) / (high - low) - (0.5 if centre and known_direction else 0)).alias(name))
+
+    if not known_direction:
+        return side(up, "low", "up_score").select("sample", "set_id", "up_score", F.lit(None).cast("double").alias("down_score"), F.col("up_score").alias("score"))
+    j = side(up, "low", "up_score").join(side(down, "high", "down_score"), ["sample", "set_id"], "full")
+    return j.select("sample", "set_id", "up_score", "down_score", (F.coalesce("up_score", F.lit(0.0)) + F.coalesce("down_score", F.lit(0.0))).alias("score"))
+
+
+def singscore_permutations(expr: DataFrame, sets: DataFrame, permutations: int = 100, seed: int = 42) -> DataFrame:
+    """(sample, set_id, score, pval): share of random sets of the same size, drawn by a seeded hash, that score as high,
+    counting the real one. Draws depend on the size alone, so sets of one size share them."""
+    real = singscore(expr, sets).select("sample", "set_id", "score")
+    features = expr.select("feature").distinct()
+    sizes = sets.join(features.withColumnRenamed("feature", "member"), "member", "left_semi").distinct().groupBy("set_id").agg(F.count("*").alias("m"))
+    key = F.md5(F.concat_ws("|", F.col("feature").cast("string"), F.col("draw").cast("string"), F.lit(str(seed))))
+    order = features.select("feature", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("draw")).withColumn("at", F.row_number().over(Window.partitionBy("draw").orderBy(key)))
+    w = Window.partitionBy("sample")
+    r = expr.select("sample", "feature", F.rank().over(w.orderBy("value")).alias("rank"), F.count("*").over(w).alias("n"))
+    # The mean rank of the first m features of a draw, for each size m that occurs.
+    most = sizes.agg(F.max("m")).first()[0] or 0
+    run = r.join(order.filter(F.col("at") <= most), "feature")
+    upto = Window.partitionBy("sample", "draw").orderBy("at")
+    run = run.select("sample", "draw", F.row_number().over(upto).alias("m"), "n", F.avg("rank").over(upto.rowsBetween(Window.unboundedPreceding, 0)).alias("mean"))
+    null = run.join(F.broadcast(sizes.select("m").distinct()), "m").filter("n > m")
+    low, high = (F.col("m") + 1) / 2, (2 * F.col("n") - F.col("m") + 1) / 2
+    null = null.select("sample", "m", ((F.col("mean") - low) / (high - low) - 0.5).alias("null_score"))
+    j = real.join(sizes, "set_id").join(null, ["sample", "m"])
+    return j.groupBy("sample", "set_id", "score").agg(((F.count_if(F.col("null_score") >= F.col("score")) + 1) / (F.count("*") + 1)).alias("pval"))
+
+
+def set_positions(stats: DataFrame, sets: DataFrame, min_size: int = 5, max_size: int = 500) -> DataFrame:
+    """(contrast, set_id, size, positions): places of a set's members in the order of descending statistics, from 1."""
+    at = F.row_number().over(Window.partitionBy("contrast").orderBy(F.desc("stat"), "feature"))
+    hit = stats.withColumn("at", at).join(sets.select("set_id", F.col("member").alias("feature")).distinct(), "feature")
+    g = hit.groupBy("contrast", "set_id").agg(F.count("*").alias("size"), F.sort_array(F.collect_list("at")).alias("positions"))
+    return g.filter(F.col("size").between(min_size, max_size))
+
+
+def normalised_enrichment(real: DataFrame, null: DataFrame) -> DataFrame:
+    """(contrast, set_id, es, nes, pval, fdr) of statistics (contrast, set_id, es) against permuted ones (contrast, set_id,
+    null_es): nes over the mean of permuted ones of its sign, the fdr adjusted per contrast."""
+    j = real.join(null, ["contrast", "set_id"], "left")
+    same = F.signum("null_es") == F.signum("es")
+    g = j.groupBy("contrast", "set_id", "es").agg(F.avg(F.when(same, F.abs("null_es"))).alias("m"), ((F.count_if(same & (F.abs("null_es") >= F.abs("es"))) + 1) / (F.count_if(same) + 1)).alias("pval"))
+    g = g.withColumn("nes", F.col("es") / F.nullif("m", F.lit(0.0)))
+    return g.withColumn("fdr", bh_adjusted(F.col("pval"), ["contrast"], F.count("pval").over(Window.partitionBy("contrast")), ["set_id"])).select("contrast", "set_id", "es", "nes", "pval", "fdr")
+
+
+def permuted_statistics(stats: DataFrame, sets: DataFrame, permutations: int, seed: int = 42, power: float = 1.0, min_size: int = 5, max_size: int = 500) -> DataFrame:
+    """(contrast, set_id, null_es) of statistics dealt to features anew, by a seeded hash; see gsea_permutations()."""
+    copies = stats.select("*", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
+    w = Window.partitionBy("contrast", "perm")
+    key = F.md5(F.concat_ws("|", F.col("feature").cast("string"), F.col("perm").cast("string"), F.lit(str(seed))))
+    dealt = copies.withColumn("a", F.row_number().over(w.orderBy(key, "feature"))).withColumn("b", F.row_number().over(w.orderBy(F.desc("stat"), "feature")))
+    names, values = dealt.select("contrast", "perm", "feature", F.col("a").alias("at")), dealt.select("contrast", "perm", "stat", F.col("b").alias("at"))
+    shuffled = names.join(values, ["contrast", "perm", "at"]).select(F.struct("contrast", "perm").alias("contrast"), "feature", "stat")
+    return gsea_statistic(shuffled, sets, power, min_size, max_size).select(F.col("contrast.contrast").alias("contrast"), "set_id", F.col("es").alias("null_es"))
+
+
+def gsea_leading_edge(stats: DataFrame, sets: DataFrame, power: float = 1.0, min_size: int = 5, max_size: int = 500) -> DataFrame:
+    """(contrast, set_id, feature, at): members up to the maximum of the running sum where that is the larger deviation,
+    from the minimum on where that is; none where both are equal."""
+    w = Window.partitionBy("contrast")
+    ranked = stats.withColumn("at", F.row_number().over(w.orderBy(F.desc("stat"), "feature"))).withColumn("n", F.count("*").over(w))
+    own = Window.partitionBy("contrast", "set_id")
+    hit = ranked.join(sets.select("set_id", F.col("member").alias("feature")).distinct(), "feature").withColumn("m", F.count("*").over(own))
+    hit = hit.filter(F.col("m").between(min_size, max_size) & (F.col("m") < F.col("n")))
+    x = F.pow(F.abs("stat"), F.lit(power))
+    hit = hit.withColumn("part", x / F.sum(x).over(own)).withColumn("i", F.row_number().over(own.orderBy("at")))
+    miss = (F.col("at") - F.col("i")) / (F.col("n") - F.col("m"))
+    high = F.sum("part").over(own.orderBy("at")) - miss
+    hit = hit.withColumn("high", F.round(high, 12)).withColumn("low", F.round(F.col("high") - F.col("part"), 12))
+    up, down = F.max("high").over(own), F.min("low").over(own)
+    hit = hit.withColumn("up", up).withColumn("down", down)
+    peak_up = F.min(F.when(F.col("high") == F.col("up"), F.col("at"))).over(own)
+    peak_down = F.max(F.when(F.col("low") == F.col("down"), F.col("at"))).over(own)
+    hit = hit.withColumn("pu", peak_up).withColumn("pd", peak_down)
+    edge = ((F.col("up") > -F.col("down")) & (F.col("at") <= F.col("pu"))) | ((F.col("up") < -F.col("down")) & (F.col("at") >= F.col("pd")))
+    return hit.filter(edge).select("contrast", "set_id", "feature", "at")
+
+
+def gsea_elimination(stats: DataFrame, terms: DataFrame, ancestry: DataFrame, levels: list[int], permutations: int = 100, elim_threshold: float = 0.05, min_size: int = 5, max_size: int = 500, seed: int = 42) -> DataFrame:
+    """(contrast, term, level, size, es, pval): gsea_permutations() from the deepest level up; the members of a significant
+    term leave all its ancestors, in that contrast only. One step per level of the ontology."""
+    from functools import reduce
+
+    gone, done = None, []
+    for level in sorted(levels, reverse=True):
+        mine = terms.filter(F.col("level") == level).select(F.col("term").alias("set_id"), "member").distinct()
+        own = stats.select("contrast").distinct().crossJoin(mine).select("contrast", "set_id", "member")
+        own = own.join(gone, ["contrast", "set_id", "member"], "left_anti") if gone is not None else own
+        # Sets differ between contrasts, so a set is named by both; a contrast meets only its own.
+        both = F.struct("contrast", "set_id")
+        real = gsea_statistic(stats, own.select(both.alias("set_id"), "member"), 1.0, min_size, max_size).filter("contrast = set_id.contrast")
+        null = permuted_statistics(stats, own.select(both.alias("set_id"), "member"), permutations, seed, 1.0, min_size, max_size).filter("contrast = set_id.contrast")
+        j = real.join(null, ["contrast", "set_id"], "left")
+        same = F.signum("null_es") == F.signum("es")
+        n = j.groupBy("contrast", "set_id", "size", "es").agg(((F.count_if(same & (F.abs("null_es") >= F.abs("es"))) + 1) / (F.count_if(same) + 1)).alias("pval"))
+        n = cut(n.select("contrast", F.col("set_id.set_id").alias("term"), F.lit(level).alias("level"), "size", "es", "pval"))
+        done.append(n)
+        found = n.filter(F.col("pval") <= elim_threshold).select("contrast", F.col("term").alias("set_id"))
+        new = found.join(mine, "set_id").join(ancestry.filter("term <> ancestor").withColumnRenamed("term", "set_id"), "set_id").select("contrast", F.col("ancestor").alias("set_id"), "member").distinct()
+        gone = cut(new if gone is None else gone.unionByName(new).distinct())
+    return reduce(DataFrame.unionByName, done)
+
+
+def kernel_distribution(expr: DataFrame, kernel: str = "gaussian") -> DataFrame:
+    """(sample, feature, d): the kernel estimate of a feature's distribution over the samples at its own value. `gaussian`
+    has a bandwidth of a quarter of the standard deviation, `poisson` takes counts with rate value + 0.5. Values meet
+    within a feature only: samples squared rows a feature, reduced where they are made."""
+    from helixframe.functions.special import lgamma, normal_tail
+
+    sd = expr.groupBy("feature").agg(F.coalesce(F.nullif(F.stddev_samp("value") / 4, F.lit(0.0)), F.lit(0.001)).alias("h"))
+    a = expr.select("sample", "feature", F.col("value").alias("x")).join(sd, "feature")
+    b = expr.select("feature", F.col("value").alias("y"))
+    if kernel == "gaussian":
+        p = normal_tail((F.col("y") - F.col("x")) / F.col("h"))
+    elif kernel == "poisson":
+        rate = F.col("y") + 0.5
+        terms = F.transform(F.sequence(F.lit(0), F.floor("x").cast("int")), lambda k: F.exp(k * F.log(rate) - rate - lgamma(k + 1)))
+        p = F.aggregate(terms, F.lit(0.0), lambda t, x: t + x)
+    else:
+        raise ValueError(kernel)
+    return a.join(b, "feature").groupBy("sample", "feature").agg(F.avg(p).alias("d"))

@@ -147,3 +147,76 @@ def motif_recovery(spark, sf_dir):
     rank = F.row_number().over(Window.partitionBy("contrast").orderBy(F.desc("stat"), "feature"))
     rankings = _stats(spark, sf_dir).select(F.col("contrast").alias("motif"), "feature", rank.alias("rank"))
     return D.rounded(D.rounded(E.recovery_enrichment(D.sets(spark, sf_dir), rankings, 100), "auc", digits=9), "nes", digits=5)
+
+
+@query(_SEGMENT + " SELECT sample, feature, rank() OVER (PARTITION BY sample ORDER BY value) AS rank FROM expr")
+def rank_matrix(spark, sf_dir):
+    return E.rank_matrix(_expr(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(_SEGMENT + ", m AS (SELECT *, CAST(feature % 20 = 0 AS INT) AS ref FROM expr) SELECT sample, feature, round(sum(ref) OVER (PARTITION BY sample ORDER BY value RANGE UNBOUNDED PRECEDING) / CAST(sum(ref) OVER (PARTITION BY sample) AS DOUBLE), 6) AS rank FROM m")
+def stable_rank_matrix(spark, sf_dir):
+    """Every twentieth part is a stable one."""
+    stable = D.table(spark, sf_dir, "part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("feature"))
+    return D.rounded(E.rank_matrix(_expr(spark, sf_dir), stable), "rank")
+
+
+def _sides(spark, sf_dir):
+    p = D.table(spark, sf_dir, "part")
+    of = lambda c: p.filter(c).select(F.col("p_brand").alias("set_id"), F.col("p_partkey").alias("member"))
+    return of("p_size <= 25"), of("p_size > 25")
+
+
+@query(_SEGMENT + """, r AS (SELECT *, rank() OVER (PARTITION BY sample ORDER BY value) AS lo, rank() OVER (PARTITION BY sample ORDER BY value DESC) AS hi, count(*) OVER (PARTITION BY sample) AS n FROM expr),
+u AS (SELECT sample, p_brand AS set_id, avg(lo) AS mean, count(*) AS m, max(n) AS n FROM r JOIN part ON feature = p_partkey WHERE p_size <= 25 GROUP BY 1, 2), w AS (SELECT sample, p_brand AS set_id, avg(hi) AS mean, count(*) AS m, max(n) AS n FROM r JOIN part ON feature = p_partkey WHERE p_size > 25 GROUP BY 1, 2),
+a AS (SELECT sample, set_id, (mean - (m + 1) / 2.0) / ((2 * n - m + 1) / 2.0 - (m + 1) / 2.0) - 0.5 AS s FROM u WHERE n > m), b AS (SELECT sample, set_id, (mean - (m + 1) / 2.0) / ((2 * n - m + 1) / 2.0 - (m + 1) / 2.0) - 0.5 AS s FROM w WHERE n > m)
+SELECT sample, set_id, round(a.s, 6) AS up_score, round(b.s, 6) AS down_score, round(coalesce(a.s, 0) + coalesce(b.s, 0), 6) AS score FROM a FULL JOIN b USING (sample, set_id)""")
+def singscore_two_sided(spark, sf_dir):
+    return D.rounded(E.singscore_two_sided(_expr(spark, sf_dir), *_sides(spark, sf_dir)), "up_score", "down_score", "score")
+
+
+@query(_SEGMENT + """, r AS (SELECT *, rank() OVER (PARTITION BY sample ORDER BY value) AS rk, count(*) OVER (PARTITION BY sample) AS n FROM expr), z AS (SELECT set_id, count(*) AS m FROM sets WHERE member IN (SELECT feature FROM expr) GROUP BY 1),
+re AS (SELECT sample, set_id, avg(rk) AS mean, count(*) AS m, max(n) AS n FROM r JOIN sets ON feature = member GROUP BY 1, 2), rs AS (SELECT sample, set_id, (mean - (m + 1) / 2.0) / ((2 * n - m + 1) / 2.0 - (m + 1) / 2.0) - 0.5 AS score FROM re WHERE n > m),
+o AS (SELECT feature, draw, row_number() OVER (PARTITION BY draw ORDER BY md5(concat_ws('|', feature, draw, 42))) AS pos FROM (SELECT DISTINCT feature FROM expr) CROSS JOIN range(1, 21) t(draw)),
+rn AS (SELECT sample, draw, n, row_number() OVER (PARTITION BY sample, draw ORDER BY pos) AS m, avg(rk) OVER (PARTITION BY sample, draw ORDER BY pos) AS mean FROM r JOIN o USING (feature) WHERE pos <= (SELECT max(m) FROM z)),
+nu AS (SELECT sample, m, (mean - (m + 1) / 2.0) / ((2 * n - m + 1) / 2.0 - (m + 1) / 2.0) - 0.5 AS s FROM rn WHERE m IN (SELECT m FROM z) AND n > m)
+SELECT rs.sample, rs.set_id, round(score, 6) AS score, round((count(*) FILTER (s >= score) + 1) / (count(*) + 1.0), 6) AS pval FROM rs JOIN z USING (set_id) JOIN nu ON nu.sample = rs.sample AND nu.m = z.m GROUP BY rs.sample, rs.set_id, score""")
+def singscore_permutation_test(spark, sf_dir):
+    return D.rounded(E.singscore_permutations(_expr(spark, sf_dir), D.sets(spark, sf_dir), 20), "score", "pval")
+
+
+@query(_STATS + ", r AS (SELECT contrast, feature, row_number() OVER (PARTITION BY contrast ORDER BY stat DESC, feature) AS pos FROM stats) SELECT contrast, set_id, count(*) AS size, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM r JOIN sets ON feature = member GROUP BY 1, 2 HAVING count(*) BETWEEN 5 AND 500")
+def set_positions(spark, sf_dir):
+    p = E.set_positions(_stats(spark, sf_dir), D.sets(spark, sf_dir))
+    return p.withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
+
+
+@query(_STATS + """, r AS (SELECT *, row_number() OVER (PARTITION BY contrast ORDER BY stat DESC, feature) AS pos, count(*) OVER (PARTITION BY contrast) AS n FROM stats), h AS (SELECT contrast, set_id, feature, pos, n, abs(stat) AS w, count(*) OVER o AS m, row_number() OVER (o ORDER BY pos) AS i FROM r JOIN sets ON feature = member WINDOW o AS (PARTITION BY contrast, set_id)),
+q AS (SELECT *, w / sum(w) OVER o AS part, (pos - i) / CAST(n - m AS DOUBLE) AS miss FROM h WHERE m BETWEEN 5 AND 500 AND m < n WINDOW o AS (PARTITION BY contrast, set_id)), g AS (SELECT *, round(sum(part) OVER (PARTITION BY contrast, set_id ORDER BY pos) - miss, 12) AS hi FROM q),
+k AS (SELECT *, round(hi - part, 12) AS lo, max(hi) OVER o AS up, min(round(hi - part, 12)) OVER o AS down FROM g WINDOW o AS (PARTITION BY contrast, set_id)), e AS (SELECT *, min(pos) FILTER (hi = up) OVER o AS pu, max(pos) FILTER (lo = down) OVER o AS pd FROM k WINDOW o AS (PARTITION BY contrast, set_id))
+SELECT contrast, set_id, feature, pos AS "at" FROM e WHERE (up > -down AND pos <= pu) OR (up < -down AND pos >= pd)""")
+def gsea_leading_edge(spark, sf_dir):
+    return E.gsea_leading_edge(_stats(spark, sf_dir), D.sets(spark, sf_dir)).withColumn("at", F.col("at").cast("long"))
+
+
+@query()
+def gsea_normalised(spark, sf_dir):
+    stats, sets = _stats(spark, sf_dir), D.sets(spark, sf_dir)
+    out = E.normalised_enrichment(E.gsea_statistic(stats, sets).drop("size"), E.permuted_statistics(stats, sets, 20))
+    return D.rounded(out, "es", "nes", "pval", "fdr")
+
+
+@query()
+def gsea_elimination(spark, sf_dir):
+    """Brands within a type below types, below all parts."""
+    p = D.table(spark, sf_dir, "part")
+    pair = F.concat_ws("/", "p_type", "p_brand")
+    rows = lambda term, level: p.select(term.alias("term"), F.lit(level).alias("level"), F.col("p_partkey").alias("member"))
+    terms = rows(F.col("p_type"), 0).unionByName(rows(pair, 1))
+    up = p.select(pair.alias("term"), F.col("p_type").alias("ancestor")).distinct()
+    return D.rounded(E.gsea_elimination(_stats(spark, sf_dir), terms, up, [0, 1], permutations=20), "es", "pval")
+
+
+@query()
+def gsva_gaussian_scores(spark, sf_dir):
+    return D.rounded(E.gsva(_expr(spark, sf_dir), D.sets(spark, sf_dir), kernel="gaussian"), "score", digits=5)
