@@ -78,8 +78,9 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], hot: DataFr
     return cold.unionByName(rows.join(F.broadcast(groups.join(hot, keys, "left_semi")), keys))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches by rows so that each piece holds about `most` bytes of `column`; a row is never cut."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches by rows so that each piece holds about `most` bytes of `column` and at most `rows` rows; a row is
+    never cut."""
     import pyarrow.compute as pc
 
     for batch in batches:
@@ -88,7 +89,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("int64")
         start = held = 0
         for i, n in enumerate(sizes.tolist()):
-            if i > start and held + n > most:
+            if i > start and (held + n > most or i - start >= rows):
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n

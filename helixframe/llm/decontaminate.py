@@ -1,12 +1,15 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the normalised windows of all test items.
+"""Benchmark decontamination: one Aho-Corasick automaton over the normalised texts of all test items.
 
-Every document is normalised (A-Z lower-cased, words joined by one space) and scanned once. A match ends at a word
-boundary by construction, since windows carry a space on both sides; its offsets are mapped back to words and to code
-points of the original text.
+The automaton holds each item as consecutive blocks of words, half a window long: every window of an item holds one of
+them whole, so a document with a window meets a block. Every document is normalised (A-Z lower-cased, words joined by
+one space) and scanned once. A block ends at a word boundary by construction, since blocks carry a space on both sides;
+from it the words are compared with those of the item to either side, and a run as long as a window is a hit. Its
+offsets are mapped back to words and to code points of the original text. An item shorter than a window is one block.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -18,8 +21,9 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import batch_of, slices, with_row_key, written
 
 WINDOW = 13
-#: Bytes of item texts in one automaton. Larger item tables are scanned in as many passes.
-BLOCK_BYTES = 16_000_000
+#: Bytes of item texts in one automaton, which takes some 50 times as many in each Python worker. Larger item tables are
+#: scanned in as many passes.
+BLOCK_BYTES = 3_000_000
 
 #: Bytes that separate words become spaces, A-Z become a-z.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -32,21 +36,63 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def automaton(items: list[tuple[str, str]], window: int = WINDOW) -> ahocorasick.Automaton | None:
-    """Of windows of all (item_id, text); a value holds the window's words and the items that have it."""
-    found: dict[bytes, tuple[int, set[str]]] = {}
-    for item, text in items:
-        w = words(text)
-        for i in range(max(1, len(w) - window + 1) if w else 0):
-            part = w[i : i + window]
-            found.setdefault(b" ".join(part), (len(part), set()))[1].add(item)
-    if not found:
-        return None
-    out = ahocorasick.Automaton()
-    for key, (n, ids) in found.items():
-        out.add_word(f" {key.decode('latin-1')} ", (n, tuple(sorted(ids))))
-    out.make_automaton()
-    return out
+class Items:
+    """The automaton over the blocks of (item_id, text). A block's value holds its number of words, the items that are no
+    longer than it, and its places (number of the item, first word) in longer ones."""
+
+    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW) -> None:
+        self.window, self.ids, self.texts = window, [i for i, _ in items], [words(t) for _, t in items]
+        block = (window + 1) // 2
+        found: dict[bytes, tuple[int, set[str], list[tuple[int, int]]]] = {}
+        for k, w in enumerate(self.texts):
+            if 0 < len(w) < window:
+                found.setdefault(b" ".join(w), (len(w), set(), []))[1].add(self.ids[k])
+            elif w:
+                for i in range(0, len(w) - block + 1, block):
+                    found.setdefault(b" ".join(w[i : i + block]), (block, set(), []))[2].append((k, i))
+        self.auto = ahocorasick.Automaton()
+        for key, (n, whole, places) in found.items():
+            self.auto.add_word(f" {key.decode('latin-1')} ", (n, tuple(sorted(whole)), tuple(places)))
+        self.empty = not found
+        if found:
+            self.auto.make_automaton()
+
+    def hits(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """(runs of words in windows, items hit) of the words of a text."""
+        runs, items, starts, done = [], set(), None, {}
+        for end, (n, whole, places) in self.auto.iter(f" {b' '.join(w).decode('latin-1')} "):
+            if starts is None:
+                sizes = np.fromiter(map(len, w), np.int64, len(w)) + 1
+                starts = np.concatenate(([0], np.cumsum(sizes)))
+            last = int(np.searchsorted(starts, end))  # the space at `end` comes before this word
+            if whole:
+                runs.append((last - n, last))
+                items.update(whole)
+            for k, i in places:
+                shift = last - n - i
+                if done.get((k, shift), 0) >= last:
+                    continue  # within a run that is known
+                text, a, b = self.texts[k], last - n, last
+                while a > 0 and a > shift and w[a - 1] == text[a - 1 - shift]:
+                    a -= 1
+                while b < len(w) and b - shift < len(text) and w[b] == text[b - shift]:
+                    b += 1
+                done[k, shift] = b
+                if b - a >= self.window:
+                    runs.append((a, b))
+                    items.add(self.ids[k])
+        return _merged(runs), items
+
+
+#: The automaton that a Python worker used last, by the table it was made for.
+_LAST: dict[str, Items] = {}
+
+
+def _items(token: str, listed, window: int) -> Items:
+    if token not in _LAST:
+        _LAST.clear()
+        _LAST[token] = Items(listed.value, window)
+    return _LAST[token]
 
 
 def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -59,22 +105,13 @@ def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def scan(text: str, auto: ahocorasick.Automaton | None) -> tuple[int, list[tuple[int, int]], list[tuple[int, int]], set[str]]:
+def scan(text: str, tests: Items | None) -> tuple[int, list[tuple[int, int]], list[tuple[int, int]], set[str]]:
     """(number of words, hit runs of words, the same as code points of `text`, items hit)."""
     raw = text.encode("utf-8", "surrogatepass")
     w = raw.translate(_TABLE).split()
-    if auto is None or not w:
+    if tests is None or tests.empty or not w:
         return len(w), [], [], set()
-    line = f" {b' '.join(w).decode('latin-1')} "
-    runs, items, starts = [], set(), None
-    for end, (n, ids) in auto.iter(line):
-        if starts is None:
-            sizes = np.fromiter(map(len, w), np.int64, len(w)) + 1
-            starts = np.concatenate(([0], np.cumsum(sizes)))
-        last = int(np.searchsorted(starts, end))  # the space at `end` comes before this word
-        runs.append((last - n, last))
-        items.update(ids)
-    runs = _merged(runs)
+    runs, items = tests.hits(w)
     if not runs:
         return len(w), [], [], set()
     kept = np.frombuffer(raw.translate(_TABLE), np.uint8) != 32
@@ -90,7 +127,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 
     A window is `window` consecutive words of an item, or all words of a shorter one. Null or wordless texts have no
     words and no hits; items without words give no window; an item with a null id is named by the empty string. Repeated
-    items count once. Item texts travel in blocks of at most `block_bytes`, one automaton a block. With
+    items count once. Item texts travel in blocks of at most `block_bytes`, one automaton a block, kept by a worker from
+    task to task. Texts of any length are scanned whole, one at a time if they are long. With
     `key`, a column of longs that tells rows apart, that column comes last, as row_key."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), *([docs[key].alias("row_key")] if key else []))
     rows, told = (rows, ["row_key"]) if key else (with_row_key(rows), [])
@@ -126,12 +164,14 @@ def _dicts(pairs: list[tuple[int, int]]) -> list[dict[str, int]]:
 def _scanner(listed, window: int, all_rows: bool):
     """Scans Arrow batches of (doc_id, text, row_key); with all_rows False, rows without a hit are left out."""
 
+    token = uuid.uuid4().hex
+
     def scanner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = automaton(listed.value, window) if listed is not None else None
+        tests = _items(token, listed, window) if listed is not None else None
         for batch in slices(batches, "text"):
             out = []
             for doc, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("row_key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                n, runs, spans, items = scan(text, auto)
+                n, runs, spans, items = scan(text, tests)
                 if all_rows or runs:
                     out.append((doc, key, n, _dicts(runs), _dicts(spans), list(items)))
             if out:

@@ -25,7 +25,12 @@ LENGTHS = (1, 2, 3)
 PER_LANGUAGE = 200
 #: Most languages that are learned: those with most rows.
 LANGUAGES = 256
+#: Bytes of text in the sample, all languages together; each takes an even part, the smallest hashes first, but one text.
+SAMPLE_BYTES = 64_000_000
+#: Landmarks, or as many as there are languages if these are more.
 LANDMARKS = 160
+#: Numbers in the matrix of presence of one slice of documents.
+SLICE_CELLS = 8_000_000
 RIDGE = 0.1
 NONE = "und"
 #: Best score below which a text counts as one in no learned language. On sf0.01, texts with letters score 0.30 and more
@@ -93,7 +98,7 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     for text, lang in rows:
         turn[lang] = turn.get(lang, -1) + 1
         order.append((turn[lang], lang, text))
-    chosen = [t for _, _, t in sorted(order)[:landmarks]]
+    chosen = [t for _, _, t in sorted(order)[: max(landmarks, len(languages))]]
     owner, code = ngrams(*_joined(chosen), lengths)
     codes = np.unique(code)
     presence = np.zeros((len(codes), len(chosen)), np.float32)
@@ -104,16 +109,18 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     values, vectors = np.linalg.eigh((k_mm + k_mm.T) / 2)
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    k = np.concatenate([model.kernel(*_joined([t for t, _ in rows[i : i + 64]])) for i in range(0, len(rows), 64)])
+    step = max(1, min(64, SLICE_CELLS // max(1, len(codes))))
+    k = np.concatenate([model.kernel(*_joined([t for t, _ in rows[i : i + step]])) for i in range(0, len(rows), step)])
     z = k.astype(np.float64) @ root
     y = np.array([[float(lang == c) for c in languages] for _, lang in rows])
     model.weights = (root @ np.linalg.solve(z.T @ z + ridge * np.eye(z.shape[1]), z.T @ y)).astype(np.float32)
     return model
 
 
-def training_sample(docs: DataFrame, keep: Column, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> list[tuple[str, str]]:
+def training_sample(docs: DataFrame, keep: Column, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, sample_bytes: int = SAMPLE_BYTES) -> list[tuple[str, str]]:
     """Of each of at most `languages` languages per_language distinct texts, or all if it has fewer, chosen by hash among
-    rows where `keep` holds, the language is not null and the text has a letter. Copies of a text count once."""
+    rows where `keep` holds, the language is not null and the text has a letter. Copies of a text count once. Whole texts
+    are taken, but of a language not more than its part of `sample_bytes`, so long texts make a smaller sample."""
     rows = docs.filter(keep & docs[lang_col].isNotNull() & docs[text_col].rlike(r"\p{L}")).select(docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     drawn = F.pmod(F.xxhash64("lang", "text"), F.lit(1_000_003))
     # Each language's share of hashes is set to about twice its bound, by a sketch of its distinct texts.
@@ -123,31 +130,36 @@ def training_sample(docs: DataFrame, keep: Column, text_col: str = "text", lang_
     below = {r["lang"]: min(1_000_003, int((2 * per_language + 50) / max(1, r["texts"]) * 1_000_003) + 1) for r in counts}
     share = F.broadcast(docs.sparkSession.createDataFrame(list(below.items()), "l string, below long"))
     some = rows.withColumn("drawn", drawn).join(share, F.col("lang") == F.col("l")).filter("drawn < below").select("lang", "drawn", "text").distinct()
-    listed = some.collect()  # about (2 per_language + 50) texts of each language
+    own = Window.partitionBy("lang").orderBy("drawn", "text")  # about (2 per_language + 50) texts of each language
+    held = F.sum(F.octet_length("text")).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    fits = lambda df: df.withColumn("held", held).withColumn("k", F.row_number().over(own)).filter((F.col("held") <= sample_bytes // len(below)) | (F.col("k") == 1))
+    listed = fits(some).select("lang", "drawn", "text").collect()  # sample_bytes, or a text of each language
     by: dict[str, list] = {}
     for r in listed:
         by.setdefault(r["lang"], []).append((r["drawn"], r["text"]))
     # Where the draw falls short all the same, the smallest hashes are taken exactly.
-    short = [lang for lang, b in below.items() if b < 1_000_003 and len(by.get(lang, [])) < per_language]
+    drawn_n = {r["lang"]: r["count"] for r in some.groupBy("lang").count().collect()}
+    short = [lang for lang, b in below.items() if b < 1_000_003 and drawn_n.get(lang, 0) < per_language]
     if short:
         first = F.row_number().over(Window.partitionBy("lang").orderBy("drawn", "text"))
         least = rows.filter(F.col("lang").isin(short)).withColumn("drawn", drawn).select("lang", "drawn", "text").distinct().withColumn("k", first).filter(F.col("k") <= per_language)
         by |= {lang: [] for lang in short}
-        for r in least.collect():
+        for r in fits(least.drop("k")).collect():
             by[r["lang"]].append((r["drawn"], r["text"]))
     return [(text, lang) for lang, found in by.items() for _, text in sorted(found)[:per_language]]
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1), then the columns `carry`. A null text, one without letters, and every text
-    under a model without languages is `und` with score 0. Ties go to the first language by name."""
+    under a model without languages is `und` with score 0. Ties go to the first language by name. Every row is judged for
+    itself, repeated ones alike; a text counts whole, however long it is."""
     rows = docs.select(docs[id_col].cast("long").alias("id__"), F.coalesce(docs[text_col], F.lit("")).alias("text__"), *(docs[c] for c in carry))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # LANDMARKS columns of at most the n-grams of as many texts
     names = ["doc_id", "lang_pred", "score", *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
-        for batch in slices(batches, "text__", 400_000):
+        for batch in slices(batches, "text__", 400_000, max(1, SLICE_CELLS // max(1, len(m.codes)))):
             texts = batch.column("text__")
             scores = m.scores(*text_bytes(texts)) if m.languages else np.zeros((len(texts), 1))
             best = scores.argmax(axis=1)

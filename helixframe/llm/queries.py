@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe, decontaminate, exact_dedup, langid, line_dedup, secret_scan, sharding, simhash, substring_dedup, suffix_dedup
+from helixframe.llm import bpe, decontaminate, exact_dedup, langid, line_dedup, secret_scan, sharding, simhash, sql, substring_dedup, suffix_dedup
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -90,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": exact_dedup.ORACLE_SQL}
+    return dict(sql.ORACLES)

@@ -66,7 +66,14 @@ def _both(op: str, parts: list):
 
 
 def _of_strings(strings: set[str]):
-    return _both("or", [_both("and", sorted({s[i : i + 3] for i in range(len(s) - 2)})) for s in sorted(strings)])
+    """The query of all UTF-8 trigrams of any of the strings, as bytes written in latin-1."""
+    raw = [s.encode("utf-8", "surrogatepass").decode("latin-1") for s in sorted(strings)]
+    return _both("or", [_both("and", sorted({s[i : i + 3] for i in range(len(s) - 2)})) for s in raw])
+
+
+def _lower(code: int) -> str:
+    """A-Z in lower case, as in the index; other letters stay, since expressions are matched in ASCII mode."""
+    return chr(code + 32 if 65 <= code <= 90 else code)
 
 
 def _strings(tokens) -> set[str] | None:
@@ -75,9 +82,9 @@ def _strings(tokens) -> set[str] | None:
     for op, arg in tokens:
         name = str(op)
         if name == "LITERAL":
-            more = {chr(arg).lower()}
+            more = {_lower(arg)}
         elif name == "IN" and all(str(o) == "LITERAL" for o, _ in arg):
-            more = {chr(a).lower() for _, a in arg}
+            more = {_lower(a) for _, a in arg}
         elif name == "SUBPATTERN":
             more = _strings(arg[3])
         elif name == "BRANCH":
@@ -164,7 +171,8 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("kinds", pa.list_(pa.string())), (
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, spans (array of kind, start, end in code points, end exclusive), by start and
-    then in the order of `rules`. Null and empty texts have no spans; repeated rows are judged each for itself."""
+    then in the order of `rules`. Null and empty texts have no spans; repeated rows are judged each for itself. Texts of
+    any length are scanned whole."""
     rows = documents(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
