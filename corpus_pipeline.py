@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import bpe, decontaminate, langid, line_dedup, queries, simhash
-from helixframe.llm.common import written
+from helixframe.llm.common import sweep, tables, written
 from helixframe.session import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -77,11 +77,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder; each result is written to the shared folder and read again."""
+    """All stages over the documents of a folder; each result is written to the shared folder and read again, and what the
+    stage has left there besides is deleted."""
     ship(spark)
-    docs = queries.table(spark, sf_dir, "documents")
+    docs, before = queries.table(spark, sf_dir, "documents"), tables()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs)
+            sweep(spark, before, docs)
     return docs
