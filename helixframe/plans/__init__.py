@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: tuple[str, ...] = ("enrichment", "cells", "stats", "pairwise", "ontology", "graphs", "integration", "interactions", "streams", "bulk", "regulation", "fusion")
+MODULES: tuple[str, ...] = ("enrichment", "cells", "stats", "pairwise", "ontology", "graphs", "integration", "interactions", "streams", "bulk", "regulation", "fusion", "storage")
 
 
 def load_all() -> None:

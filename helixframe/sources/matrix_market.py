@@ -39,3 +39,48 @@ def write_matrix(counts: DataFrame, path: str, genes: int, cells: int) -> None:
     counts.select(F.concat_ws(" ", (F.col("gene") + 1).cast("string"), (F.col("cell") + 1).cast("string"), F.col("raw").cast("string")).alias("value")).write.mode("overwrite").text(path)
     head = "%%MatrixMarket matrix coordinate integer general\n" + f"{genes} {cells} {n}"
     spark.createDataFrame([(head,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}-header")
+
+
+def read_table(spark: SparkSession, path: str, key: str, sep: str = "\t", header: bool = True) -> DataFrame:
+    """A delimited text file with types inferred and its first column named `key`."""
+    df = spark.read.csv(path, sep=sep, header=header, inferSchema=True)
+    return df.withColumnRenamed(df.columns[0], key)
+
+
+def scan_folders(spark: SparkSession, folders: dict[str, str], cells_as_rows: bool = False) -> DataFrame:
+    """(exp_id, cells, genes, entries) of Matrix Market folders, as their headers say; only headers are read."""
+    found = []
+    for k, at in sorted(folders.items()):  # one short read a folder
+        _, (a, b, n) = read_matrix(spark, f"{at}/matrix.mtx", cells_as_rows)
+        found.append((k, a if cells_as_rows else b, b if cells_as_rows else a, n))
+    return spark.createDataFrame(found, "exp_id string, cells long, genes long, entries long")
+
+
+def read_folders(spark: SparkSession, folders: dict[str, str], how: str = "intersect", cells_as_rows: bool = False) -> DataFrame:
+    """(exp_id, cell, gene, raw) of several folders, cells and genes by name, cells preceded by their experiment; genes of
+    all of them, or with `union` of any."""
+    from functools import reduce
+
+    parts = []
+    for k, at in sorted(folders.items()):
+        counts, _ = read_matrix(spark, f"{at}/matrix.mtx", cells_as_rows)
+        cells = read_names(spark, f"{at}/barcodes.tsv", "barcode").withColumnRenamed("index", "cell")
+        genes = read_names(spark, f"{at}/features.tsv", "feature").withColumnRenamed("index", "gene")
+        parts.append((k, counts.join(cells, "cell").join(genes, "gene").select(F.lit(k).alias("exp_id"), F.concat_ws("_", F.lit(k), "barcode").alias("cell"), F.col("feature").alias("gene"), "raw"), genes.select("feature", F.lit(k).alias("exp_id"))))
+    every = reduce(DataFrame.unionByName, [p for _, p, _ in parts])
+    if how == "union":
+        return every
+    shared = reduce(DataFrame.unionByName, [g for _, _, g in parts]).groupBy(F.col("feature").alias("gene")).agg(F.countDistinct("exp_id").alias("n")).filter(F.col("n") == len(parts))
+    return every.join(shared.select("gene"), "gene", "left_semi").select("exp_id", "cell", "gene", "raw")
+
+
+def write_folder(counts: DataFrame, cells: DataFrame, genes: DataFrame, at: str) -> None:
+    """Writes counts (cell, gene, raw) with names of cells (index, name) and genes (index, name) as a folder that
+    read_folders() reads: the header goes into the first part file, before entries."""
+    spark = counts.sparkSession
+    n = counts.count()
+    head = spark.createDataFrame([(0, 0, "%%MatrixMarket matrix coordinate integer general"), (0, 1, f"{genes.count()} {cells.count()} {n}")], "part int, line long, value string")
+    rows = counts.select(F.lit(1).alias("part"), F.xxhash64("cell", "gene").alias("line"), F.concat_ws(" ", (F.col("gene") + 1).cast("string"), (F.col("cell") + 1).cast("string"), F.col("raw").cast("string")).alias("value"))
+    head.unionByName(rows).orderBy("part", "line").select("value").write.mode("overwrite").text(f"{at}/matrix.mtx")
+    for table, name in ((cells, "barcodes"), (genes, "features")):
+        table.orderBy("index").select(F.col("name").cast("string").alias("value")).write.mode("overwrite").text(f"{at}/{name}.tsv")
