@@ -86,3 +86,14 @@ def ligand_activity(influence: DataFrame, targets: DataFrame) -> DataFrame:
     auroc = (p * m - F.col("ranks") - p * (p - 1) / 2) / (p * (m - p))  # non-targets behind each target
     return g.filter("pos > 0 and pos < n").select("ligand", auroc.alias("auroc"), (F.col("ap") / p - p / m).alias("aupr_corrected"))
 
+
+
+def ligand_influence(seeds: DataFrame, signalling: DataFrame, regulation: DataFrame, damping: float = 0.5, cutoff: float = 0.9) -> DataFrame:
+    """(ligand, target, influence): each ligand (ligand, node) diffuses over the signalling network (src, dst, weight); of
+    its scores those above their `cutoff` quantile go on along the regulation network (src, dst, weight) to targets."""
+    from helixframe.operators.graphs import personalised_page_rank
+
+    p = personalised_page_rank(signalling, seeds.select("ligand", "node", F.lit(1.0).alias("score")), damping, by=("ligand",))
+    high = p.groupBy("ligand").agg(F.percentile("score", F.lit(cutoff)).alias("cut"))
+    kept = p.join(high, "ligand").filter("score >= cut")
+    return kept.join(regulation, F.col("node") == F.col("src")).groupBy("ligand", F.col("dst").alias("target")).agg(F.sum(F.col("score") * F.col("weight")).alias("influence"))

@@ -255,3 +255,25 @@ def group_compactness(spark, sf_dir):
 def group_separation(spark, sf_dir):
     e = D.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("group_id"))
     return D.rounded(C.separation(e.select("id", "embedding"), e.select("id", "group_id")), "separation")
+
+
+def _steps():
+    return [("filter", lambda c: C.quality_filter(c, 2, 10, 2), ("cell", "gene", "raw")), ("normalise", C.normalised, ("cell", "gene", "raw")), ("mean", lambda n: n.groupBy("gene").agg(F.avg("norm").alias("mean"), F.count("*").alias("n")), ("gene", "norm"))]
+
+
+_STEPS = """, k AS ({k} FROM {c} GROUP BY {g} gene HAVING count(*) >= 2), l AS (SELECT c.* FROM {c} c JOIN k ON {on} k.gene = c.gene), q AS (SELECT {g} cell, sum(raw) AS lib FROM l GROUP BY {g} cell HAVING sum(raw) >= 10 AND count(*) >= 2)
+SELECT {g} gene, round(avg(ln(1 + raw / lib * 10000.0)), 6) AS mean, count(*) AS n FROM l JOIN q USING ({g} cell) GROUP BY {g} gene"""
+
+
+@query(_Q + _STEPS.format(k="SELECT gene", c="counts", g="", on=""))
+def pipeline_of_steps(spark, sf_dir):
+    from helixframe.operators.steps import applied
+
+    return D.rounded(applied(D.counts(spark, sf_dir), _steps()), "mean")
+
+
+@query(_Q + ", sc AS (SELECT counts.*, segment FROM counts JOIN obs USING (cell))" + _STEPS.format(k="SELECT segment, gene", c="sc", g="segment,", on="k.segment = c.segment AND"))
+def pipeline_per_group(spark, sf_dir):
+    from helixframe.operators.steps import applied_per_group
+
+    return D.rounded(applied_per_group(D.counts(spark, sf_dir), D.obs(spark, sf_dir), "segment", _steps()), "mean")

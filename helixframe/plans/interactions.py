@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helixframe.operators import interactions as I
 from helixframe.plans import data as D
+from helixframe.plans.graphs import _EDGES, _FLOW
 from helixframe.plans.registry import query
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -57,3 +58,16 @@ def ligand_activity(spark, sf_dir):
     inf = D.counts(spark, sf_dir).join(D.obs(spark, sf_dir), "cell").groupBy(F.col("segment").alias("ligand"), "gene").agg(F.sum("raw").alias("score"))
     targets = D.table(spark, sf_dir, "part").filter("p_size <= 5").select(F.col("p_partkey").alias("gene"))
     return D.rounded(I.ligand_activity(inf, targets), "auroc", "aupr_corrected")
+
+
+@query(f"""WITH RECURSIVE {_EDGES.replace("0.85", "0.5")}, p AS (SELECT s_suppkey AS side, s_suppkey AS node, 1.0 AS score FROM supplier WHERE s_suppkey < 5), {_FLOW.replace("k < 180", "k < 60")}, q AS (SELECT side, quantile_cont(score, 0.5) AS cut FROM r GROUP BY 1)
+SELECT side AS ligand, n_regionkey AS target, round(sum(score), 6) AS influence FROM r JOIN q USING (side) JOIN nation ON node = -1 - n_nationkey WHERE score >= cut GROUP BY 1, 2""")
+def ligand_influence(spark, sf_dir):
+    """Five suppliers as ligands, suppliers and nations as signalling, nations to regions as regulation."""
+    from helixframe.operators.graphs import both_ways
+    from helixframe.plans.graphs import edges
+
+    net = both_ways(edges(spark, sf_dir))
+    seeds = D.table(spark, sf_dir, "supplier").filter("s_suppkey < 5").select(F.col("s_suppkey").alias("ligand"), F.col("s_suppkey").alias("node"))
+    reg = D.table(spark, sf_dir, "nation").select((-1 - F.col("n_nationkey")).cast("long").alias("src"), F.col("n_regionkey").alias("dst"), F.lit(1.0).alias("weight"))
+    return D.rounded(I.ligand_influence(seeds, net, reg, 0.5, 0.5), "influence")

@@ -100,3 +100,30 @@ def module_membership(spark, sf_dir):
 def binarised_activity(spark, sf_dir):
     e = D.expr(spark, sf_dir).select(F.col("feature").alias("set_id"), F.col("value").alias("score"))
     return D.rounded(S.binarised(e, e.groupBy("set_id").agg(F.avg("score").alias("threshold"))), "on_fraction")
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM customer), r AS (SELECT c_custkey AS id, rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2.0 AS rk FROM customer), d AS (SELECT draw, rk, row_number() OVER (PARTITION BY draw ORDER BY md5(concat_ws('|', id, draw, 42))) AS pos FROM r CROSS JOIN range(1, 51) t(draw)) SELECT draw, round((sum(rk) - 30 * 31 / 2.0) / (30 * (max(n) - 30)), 6) AS auc FROM d CROSS JOIN n WHERE pos <= 30 GROUP BY 1")
+def random_aurocs(spark, sf_dir):
+    c = D.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("score"))
+    return D.rounded(S.random_aurocs(c, 30, 50), "auc")
+
+
+@query("SELECT c_custkey, round((c_acctbal - min(c_acctbal) OVER ()) / (max(c_acctbal) OVER () - min(c_acctbal) OVER ()) * 4 + 1, 6) AS scaled FROM customer")
+def range_normalised(spark, sf_dir):
+    return D.rounded(S.range_normalised(D.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", 1, 5).drop("c_acctbal"), "scaled")
+
+
+@query(f"WITH {D.NORM}, t AS (SELECT c_custkey AS cell, c_acctbal / 10000 AS t FROM customer), g AS (SELECT cell, p, exp(-pow(t - p, 2) / 0.02) AS w FROM t CROSS JOIN (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS p)), z AS (SELECT p, sum(w) AS z FROM g GROUP BY 1) SELECT p AS point, gene, round(sum(w * norm) / max(z), 6) AS trend FROM norm JOIN g USING (cell) JOIN z USING (p) GROUP BY 1, 2")
+def gene_trends(spark, sf_dir):
+    from helixframe.operators.cells import normalised
+
+    t = D.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cell"), (F.col("c_acctbal") / 10000).alias("t"))
+    return D.rounded(S.trends(normalised(D.counts(spark, sf_dir)), t, [0, 0.25, 0.5, 0.75, 1], 0.1), "trend")
+
+
+@query()
+def module_eigengenes(spark, sf_dir):
+    """Of brands by their last digit, over customers."""
+    from helixframe.plans.pairwise import _dense, _modules
+
+    return D.rounded(S.eigengenes(_dense(spark, sf_dir), _modules(spark, sf_dir)), "value", digits=4)

@@ -4,26 +4,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
-
 from helixframe.plans import data as D
 from helixframe.plans.registry import query
-from helixframe.streaming.quality import windowed_metrics
+from helixframe.session import shared_folder
+from helixframe.streaming.quality import collected_windows, windowed_metrics
 
 
 @query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def event_quality_windows(spark, sf_dir):
-    """The stream writes all windows to the shared folder of checkpoints, or to a temporary one in local runs."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="helixframe-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """Update mode lets the watermark drop closed windows from the state; a batch writes the windows that it changed to a
+    folder of its own, so a repeated batch replaces what it wrote, and the last version of each window counts."""
+    at = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = D.table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-
-    def save(batch, _):
-        batch.write.mode("overwrite").parquet(f"{at}/out")
-
-    q = windowed_metrics(stream).writeStream.outputMode("complete").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(save).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{at}/out").withColumn("total", F.round("total", 2))
+    return D.rounded(collected_windows(windowed_metrics(stream), at), "total", digits=2)
