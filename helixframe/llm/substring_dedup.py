@@ -23,7 +23,7 @@ from helixframe.llm.common import batch_of, documents, hot_keys, join_groups, sl
 
 WINDOW, K = 50, 8
 #: Contexts of one seed that a block holds; beyond, windows are grouped one by one.
-HOT = 1_000
+HOT = 10_000
 #: What an id counts as where it is null: larger than all.
 NO_ID = (1 << 63) - 1
 

@@ -28,7 +28,7 @@ WINDOW, K = 400, 32
 #: Suffixes of a new batch, the smallest level.
 BATCH = 4_096
 #: Contexts of one seed that the family holds; beyond, strings are grouped one by one.
-HOT = 1_000
+HOT = 30_000
 
 
 def scheme(window: int = WINDOW) -> seeds.Scheme:
