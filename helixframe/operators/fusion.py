@@ -95,7 +95,7 @@ def weighted_neighbours(first: DataFrame, second: DataFrame, knn_first: DataFram
     j = j.join(width(knn_first, "wa"), "id").join(width(knn_second, "wb"), "id")
     kernel = lambda d, w: F.coalesce(F.exp(-F.col(d) / F.col(w)), F.lit(1.0))
     lead_a, lead_b = kernel("aa", "wa") / (kernel("ab", "wa") + 1e-4), kernel("bb", "wb") / (kernel("ba", "wb") + 1e-4)
-    share = j.select("id", (F.exp(lead_a) / (F.exp(lead_a) + F.exp(lead_b))).alias("share_first"), "wa", "wb")
+    share = j.select("id", (1 / (1 + F.exp(lead_b - lead_a))).alias("share_first"), "wa", "wb")
     near = knn_first.select("id", "neighbour").unionByName(knn_second.select("id", "neighbour")).distinct()
 
     def distance(vectors: DataFrame, name: str) -> DataFrame:

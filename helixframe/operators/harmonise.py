@@ -54,7 +54,7 @@ def _soft(x: np.ndarray, centres: np.ndarray, sigma: float, penalty: np.ndarray
     return r / r.sum(1, keepdims=True)
 
 
-def harmony(vectors: DataFrame, batches: DataFrame, clusters: int | None = None, theta: float = 2.0, sigma: float = 0.1, ridge: float | None = 1.0, rounds: int = 10, inner: int = 5, sample: int = 20_000, seed: int = 42) -> DataFrame:
+def harmony(vectors: DataFrame, batches: DataFrame, clusters: int | None = None, theta: float = 2.0, sigma: float = 0.1, ridge: float | None = 1.0, rounds: int = 10, inner: int = 10, sample: int = 20_000, seed: int = 42) -> DataFrame:
     """(id, embedding): vectors (id, embedding) without what batches (id, label) add to them.
 
     Rows are softly clustered by cosine, with a penalty `theta` on clusters in which their batch is over its share, and
@@ -100,7 +100,8 @@ def harmony(vectors: DataFrame, batches: DataFrame, clusters: int | None = None,
             centres = _unit(m[:, nb:])
             seen = m[:, :nb]
             expected = seen.sum(1, keepdims=True) * share
-            penalty = ((expected + 1) / (seen + 1)) ** theta
+            # All rows move at once, so the penalty follows in part only; else batches would swap clusters back and forth.
+            penalty = penalty**0.8 * ((expected + 1) / (seen + 1)) ** (0.2 * theta)
 
         def by_batch(b: pa.RecordBatch, c=centres, p=penalty) -> np.ndarray:
             x, own = _matrix(b, "embedding"), b.column("batch").to_numpy(zero_copy_only=False)
