@@ -6,10 +6,15 @@ Pearson and cosine give every pair of features, also those that share no sample.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.ranks import average_rank
+from helixframe.session import cut
 
 
 def completed(expr: DataFrame, samples: DataFrame, features: DataFrame) -> DataFrame:
@@ -18,13 +23,57 @@ def completed(expr: DataFrame, samples: DataFrame, features: DataFrame) -> DataF
     return every.join(expr, ["sample", "feature"], "left").select("sample", "feature", F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
 
 
-def _cross(expr: DataFrame, n: int) -> DataFrame:
+#: Features whose matrix of products a task holds whole: 32 MB.
+GRAM = 2_048
+
+
+def _gram(expr: DataFrame) -> DataFrame:
+    """(f1, f2, sxy, s1): sums of products for f1 <= f2, and on the diagonal the sum of the feature, of few features. A sample
+    is one row; a task adds up one matrix and gives what is not zero in it, so rows of the shuffle do not grow with the
+    samples."""
+    feature, sample = expr.schema["feature"].dataType.simpleString(), F.col("sample")
+    rows = expr.select("sample", F.struct("feature", F.col("value").cast("double").alias("value")).alias("x")).groupBy(sample).agg(F.collect_list("x").alias("x")).select("x")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: dict = {}
+        g, s = np.zeros((64, 64)), np.zeros(64)
+        for b in (batch.slice(k, 1_024) for batch in batches for k in range(0, batch.num_rows, 1_024)):
+            lists = b.column("x")
+            flat = lists.flatten()
+            coded = flat.field("feature").dictionary_encode()
+            at = np.array([place.setdefault(f, len(place)) for f in coded.dictionary.to_pylist()], np.int64)
+            while len(place) > len(s):
+                g, s = np.pad(g, (0, len(s))), np.pad(s, (0, len(s)))
+            x = np.zeros((b.num_rows, len(s)))
+            owner = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            np.add.at(x, (owner, at[coded.indices.to_numpy(zero_copy_only=False)]), flat.field("value").to_numpy(zero_copy_only=False))
+            g += x.T @ x
+            s += x.sum(0)
+        if place:
+            names = sorted(place)
+            order = np.array([place[f] for f in names])
+            g, s = g[np.ix_(order, order)], s[order]
+            i, j = np.nonzero(np.triu(g != 0) | np.eye(len(names), dtype=bool))
+            value = pa.array(names)
+            yield pa.RecordBatch.from_arrays([value.take(pa.array(i)), value.take(pa.array(j)), pa.array(g[i, j]), pa.array(np.where(i == j, s[i], 0.0))], names=["f1", "f2", "sxy", "s1"])
+
+    made = rows.mapInArrow(run, f"f1 {feature}, f2 {feature}, sxy double, s1 double")
+    return made.groupBy("f1", "f2").agg(F.sum("sxy").alias("sxy"), F.sum("s1").alias("s1"))
+
+
+def _cross(expr: DataFrame, n: int, features: int | None = None) -> DataFrame:
     """(f1, f2, sxy, s1, s2, q1, q2) for f1 < f2 with implicit zeros over n samples: all pairs of features, sxy being 0 for those
-    never seen together."""
-    m = expr.groupBy("feature").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
-    a = expr.select("sample", F.col("feature").alias("f1"), F.col("value").alias("x"))
-    b = expr.select("sample", F.col("feature").alias("f2"), F.col("value").alias("y"))
-    xy = a.join(b, "sample").filter("f1 < f2").groupBy("f1", "f2").agg(F.sum(F.col("x") * F.col("y")).alias("sxy"))
+    never seen together. Up to GRAM features are multiplied as matrices, more are joined on the sample; `features`, an
+    upper bound of their number, saves counting them."""
+    features = expr.select("feature").distinct().count() if features is None else features
+    if features <= GRAM:
+        g = cut(_gram(expr))
+        m, xy = g.filter("f1 = f2").select(F.col("f1").alias("feature"), F.col("s1").alias("s"), F.col("sxy").alias("q")), g.filter("f1 < f2").select("f1", "f2", "sxy")
+    else:
+        m = expr.groupBy("feature").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
+        a = expr.select("sample", F.col("feature").alias("f1"), F.col("value").alias("x"))
+        b = expr.select("sample", F.col("feature").alias("f2"), F.col("value").alias("y"))
+        xy = a.join(b, "sample").filter("f1 < f2").groupBy("f1", "f2").agg(F.sum(F.col("x") * F.col("y")).alias("sxy"))
     of = lambda k: m.select(F.col("feature").alias(f"f{k}"), F.col("s").alias(f"s{k}"), F.col("q").alias(f"q{k}"))
     every = of(1).join(of(2), F.col("f1") < F.col("f2"))  # as many rows as the result
     return every.join(xy, ["f1", "f2"], "left").withColumn("sxy", F.coalesce(F.col("sxy").cast("double"), F.lit(0.0))).withColumn("n", F.lit(float(n)))
@@ -78,7 +127,7 @@ def mirrored(pairs: DataFrame, value: str) -> DataFrame:
 
 def topological_overlap(pairs: DataFrame, value: str = "cor") -> DataFrame:
     """(f1, f2, tom) unsigned, from |value| of an upper triangle: (shared + a) / (min degree + 1 - a)."""
-    a = mirrored(pairs.select("f1", "f2", F.abs(value).alias("a")), "a")
+    a = cut(mirrored(pairs.select("f1", "f2", F.abs(value).alias("a")), "a"))  # read four times
     k = a.groupBy(F.col("f1").alias("f")).agg(F.sum("a").alias("k"))
     left, right = a.select("f1", F.col("f2").alias("u"), F.col("a").alias("x")), a.select(F.col("f1").alias("u"), "f2", F.col("a").alias("y"))
     shared = left.join(right, "u").filter("f1 < f2").groupBy("f1", "f2").agg(F.sum(F.col("x") * F.col("y")).alias("l"))
