@@ -76,9 +76,9 @@ def batch_balanced_neighbours(spark, sf_dir):
     return D.rounded(G.batch_balanced_neighbours(vectors(spark, sf_dir), b, 3), "distance")
 
 
-@query(f"{_V}, h AS (SELECT id, neighbour AS cell FROM knn WHERE id % 5 = 0 UNION ALL SELECT id, id FROM v WHERE id % 5 = 0) SELECT h.id AS nhood, v.label AS sample, count(*) AS n FROM h JOIN v ON v.id = h.cell GROUP BY 1, 2")
+@query(f"{_V}, h AS (SELECT id, neighbour AS cell FROM knn UNION ALL SELECT id, id FROM v) SELECT h.id AS nhood, v.label AS sample, count(*) AS n FROM h JOIN v ON v.id = h.cell GROUP BY 1, 2")
 def neighbourhood_counts(spark, sf_dir):
-    return G.neighbourhood_counts(knn(spark, sf_dir), vectors(spark, sf_dir).filter("id % 5 = 0"), labels(spark, sf_dir))
+    return G.neighbourhood_counts(knn(spark, sf_dir), vectors(spark, sf_dir), labels(spark, sf_dir))
 
 
 @query(f"""{_V}, p AS (SELECT id, round(max(d6), 6) AS kth, (id * 37 % 101) / 101.0 AS pvalue FROM knn GROUP BY 1), w AS (SELECT id, pvalue, CASE WHEN kth = 0 THEN 1.0 ELSE 1 / kth END AS weight FROM p),
