@@ -101,6 +101,17 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], hot: DataFr
     return cold.unionByName(rows.join(F.broadcast(groups.join(hot, keys, "left_semi")), keys))
 
 
+#: Rows of an Arrow batch of whole texts: a batch is held on both sides of the pipe, and texts are long.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows of Arrow batches in this session, unless it asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches by rows so that each piece holds about `most` bytes of `column` and at most `rows` rows; a row is
     never cut."""

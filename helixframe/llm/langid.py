@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import slices, text_bytes
+from helixframe.llm.common import slices, small_batches, text_bytes
 
 #: Lengths of n-grams, in bytes; 3 at most, as a code has 24 bits.
 LENGTHS = (1, 2, 3)
@@ -153,6 +153,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """doc_id, lang_pred, score (0 to 1), then the columns `carry`. A null text, one without letters, and every text
     under a model without languages is `und` with score 0. Ties go to the first language by name. Every row is judged for
     itself, repeated ones alike; a text counts whole, however long it is."""
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("id__"), F.coalesce(docs[text_col], F.lit("")).alias("text__"), *(docs[c] for c in carry))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # LANDMARKS columns of at most the n-grams of as many texts
     names = ["doc_id", "lang_pred", "score", *carry]
