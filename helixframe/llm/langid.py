@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import slices, small_batches, text_bytes
+from helixframe.llm.common import slices, small_batches, text_bytes, written
 
 #: Lengths of n-grams, in bytes; 3 at most, as a code has 24 bits.
 LENGTHS = (1, 2, 3)
@@ -130,6 +130,7 @@ def training_sample(docs: DataFrame, keep: Column, text_col: str = "text", lang_
     below = {r["lang"]: min(1_000_003, int((2 * per_language + 50) / max(1, r["texts"]) * 1_000_003) + 1) for r in counts}
     share = F.broadcast(docs.sparkSession.createDataFrame(list(below.items()), "l string, below long"))
     some = rows.withColumn("drawn", drawn).join(share, F.col("lang") == F.col("l")).filter("drawn < below").select("lang", "drawn", "text").distinct()
+    some = written(some)  # small, and read twice
     own = Window.partitionBy("lang").orderBy("drawn", "text")  # about (2 per_language + 50) texts of each language
     held = F.sum(F.octet_length("text")).over(own.rowsBetween(Window.unboundedPreceding, 0))
     fits = lambda df: df.withColumn("held", held).withColumn("k", F.row_number().over(own)).filter((F.col("held") <= sample_bytes // len(below)) | (F.col("k") == 1))
