@@ -215,3 +215,19 @@ def voom_weights(counts: DataFrame, groups: DataFrame, bins: int = 50, prior: fl
     x0, x1, y0, y1 = F.element_at(xs, i), F.element_at(xs, F.least(i + 1, F.lit(len(knots)))), F.element_at(ys, i), F.element_at(ys, F.least(i + 1, F.lit(len(knots))))
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("at__") - x0) / F.coalesce(F.nullif(x1 - x0, F.lit(0.0)), F.lit(1.0))))
     return j.withColumn("at__", at).select("sample", "gene", "value", (1 / F.greatest(y0 + share * (y1 - y0), F.lit(1e-6)) ** 4).alias("weight"))
+
+
+def tested_neighbourhoods(counts: DataFrame, groups: DataFrame, a: str, b: str, weights: DataFrame | None = None) -> DataFrame:
+    """(gene, lfc, t, p, spatial_fdr): differential abundance of neighbourhoods between two groups of samples, from counts
+    (nhood, sample, n) and groups (sample, grp), by moderated t on log counts per million; nhood comes back as `gene`.
+    Weights (gene, weight) of the adjustment are 1 without any. Missing counts are zero."""
+    from helixframe.functions.ranks import weighted_bh
+
+    n = counts.select(F.col("nhood").alias("gene"), "sample", F.col("n").alias("count"))
+    every = n.select("gene").distinct().join(F.broadcast(groups.select("sample").distinct()))  # samples of a design are few
+    full = every.join(n, ["gene", "sample"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    lib = full.groupBy("sample").agg(F.sum("count").alias("lib"))
+    v = full.join(lib, "sample").select("sample", "gene", F.log2((F.col("count") + 0.5) / (F.col("lib") + 1) * 1e6).alias("value"), F.lit(1.0).alias("weight"))
+    m = moderated(contrast_fits(group_fits(v, groups), a, b))
+    m = m.join(weights, "gene", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))) if weights is not None else m.withColumn("weight", F.lit(1.0))
+    return weighted_bh(m, "p", "weight", "gene").drop("weight")

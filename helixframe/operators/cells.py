@@ -67,9 +67,9 @@ def mad_outliers(metrics: DataFrame, value: str, group: str | None = None, thres
     """Adds median, lower, upper and outlier per group. Medians are exact and found by two distributed aggregates."""
     rows = metrics.withColumn("g__", F.col(group) if group else F.lit(0))
     mid = rows.groupBy("g__").agg(F.percentile(value, F.lit(0.5)).alias("median"))
-    dev = rows.join(F.broadcast(mid), "g__").groupBy("g__", "median").agg((scale * threshold * F.percentile(F.abs(F.col(value) - F.col("median")), F.lit(0.5))).alias("off"))
+    dev = rows.join(mid, "g__").groupBy("g__", "median").agg((scale * threshold * F.percentile(F.abs(F.col(value) - F.col("median")), F.lit(0.5))).alias("off"))
     none = F.lit(None).cast("double")
-    out = rows.join(F.broadcast(dev), "g__").drop("g__")
+    out = rows.join(dev, "g__").drop("g__")
     out = out.withColumn("lower", F.col("median") - F.col("off") if direction != "above" else none).withColumn("upper", F.col("median") + F.col("off") if direction != "below" else none)
     low = F.coalesce(F.col(value) < F.col("lower"), F.lit(False))
     high = F.coalesce(F.col(value) > F.col("upper"), F.lit(False))

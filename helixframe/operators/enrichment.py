@@ -170,7 +170,7 @@ def recovery_enrichment(sets: DataFrame, rankings: DataFrame, max_rank: int, min
     sets = sets.select("set_id", F.col("member").alias("feature")).distinct()
     hit = rankings.filter(F.col("rank") < max_rank).join(sets, "feature").groupBy("set_id", "motif").agg(F.sum(F.lit(max_rank) - F.col("rank")).alias("area"))
     size = sets.groupBy("set_id").agg(F.count("*").alias("m"))
-    every = size.crossJoin(F.broadcast(rankings.select("motif").distinct()))  # the motif catalogue, a fixed list
+    every = size.crossJoin(rankings.select("motif").distinct())  # as many rows as the result, zeros count in the z-scores
     auc = every.join(hit, ["set_id", "motif"], "left").withColumn("auc", F.coalesce("area", F.lit(0)) / (F.col("m") * F.lit(max_rank)))
     w = Window.partitionBy("set_id")
     out = auc.withColumn("nes", (F.col("auc") - F.avg("auc").over(w)) / F.nullif(F.stddev_samp("auc").over(w), F.lit(0.0))).select("set_id", "motif", "auc", "nes")

@@ -125,3 +125,43 @@ def nonnegative_factors(vectors: DataFrame, k: int, rounds: int = 30, sweeps: in
                 h[j] = np.maximum(1e-12, h[j] + (wx[j] - ww[j] @ h) / max(ww[j, j], 1e-12))
         h = h / h.sum(1, keepdims=True)
     return mapped(vectors, lambda x: _weights(np.maximum(x, 0), h, sweeps), "weights"), h
+
+
+def factor_loss(vectors: DataFrame, factors: np.ndarray, sweeps: int = 20) -> float:
+    """Summed squared difference of embeddings, negative entries as zero, from weights @ factors."""
+
+    def off(x: np.ndarray) -> np.ndarray:
+        x = np.maximum(x, 0)
+        return np.array([[((x - _weights(x, factors, sweeps) @ factors) ** 2).sum()]])
+
+    return float(summed(vectors.filter("embedding is not null"), off, (1, 1))[0, 0])
+
+
+def restarted_factors(vectors: DataFrame, k: int, runs: int = 10, rounds: int = 30, seed: int = 1) -> tuple[DataFrame, dict[int, float], list[np.ndarray]]:
+    """((id, weights) of the run with the smallest loss, loss of each run, factors of each run) of nonnegative_factors() from
+    as many random starts. Runs follow each other; each spreads over all tasks and carries nothing but its factors."""
+    done = [nonnegative_factors(vectors, k, rounds, seed=seed + i) for i in range(runs)]
+    losses = {seed + i: factor_loss(vectors, h) for i, (_, h) in enumerate(done)}
+    return done[min(losses, key=losses.get) - seed][0], losses, [h for _, h in done]
+
+
+def stability(runs: list[np.ndarray]) -> np.ndarray:
+    """Of each factor of the first run the mean, over the other runs, of its largest absolute correlation with one of
+    theirs: 1 where every start finds it again."""
+    first = runs[0]
+    best = [np.abs(np.corrcoef(first, h)[: len(first), len(first) :]).max(1) for h in runs[1:]]
+    return np.mean(best, axis=0) if best else np.ones(len(first))
+
+
+def singular_vectors(vectors: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
+    """((id, u), singular values) of the matrix of embeddings as it is, uncentred: the right side comes from sums of outer
+    products, dimensions squared, and each row is projected on it. Signs make each right vector sum up positive; values
+    that are null within rounding are left out."""
+    vectors = vectors.filter("embedding is not null")
+    _, _, g = gram(vectors)
+    values, basis = np.linalg.eigh(g)
+    best = np.argsort(values)[::-1][:k]
+    best = best[values[best] > max(values.max(), 0) * 1e-12]
+    basis, s = basis[:, best], np.sqrt(values[best])
+    basis = basis * np.where(basis.sum(0) < 0, -1.0, 1.0)
+    return mapped(vectors, lambda x: x @ basis / s, "u"), s

@@ -99,3 +99,15 @@ def moderated_contrast(spark, sf_dir):
 def precision_weighted_contrast(spark, sf_dir):
     v = B.voom_weights(dense(spark, sf_dir), regions(spark, sf_dir))
     return D.rounded(B.moderated(B.contrast_fits(B.group_fits(v, regions(spark, sf_dir)), 0, 1)), "lfc", "t", "p")
+
+
+@query()
+def tested_neighbourhoods(spark, sf_dir):
+    """Neighbourhoods of embeddings; samples are the last digits of the ids, groups their parity."""
+    from helixframe.operators import graphs as G
+    from helixframe.plans.graphs import knn, vectors
+
+    v = vectors(spark, sf_dir)
+    counts = G.neighbourhood_counts(knn(spark, sf_dir), v, v.select("id", (F.col("id") % 10).alias("label")))
+    groups = spark.range(10).select(F.col("id").alias("sample"), F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("grp"))
+    return D.rounded(B.tested_neighbourhoods(counts, groups, "even", "odd"), "lfc", "t", "p", "spatial_fdr", digits=5)

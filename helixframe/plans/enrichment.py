@@ -97,7 +97,7 @@ def _stats(spark, sf_dir):
     """contrast = segment, stat = pieces less those that the mean over parts would give."""
     e = _expr(spark, sf_dir)
     mean = e.groupBy("sample").agg(F.avg("value").alias("mu"))
-    return e.join(F.broadcast(mean), "sample").select(F.col("sample").alias("contrast"), "feature", F.round(F.col("value") - F.col("mu"), 3).alias("stat"))
+    return e.join(mean, "sample").select(F.col("sample").alias("contrast"), "feature", F.round(F.col("value") - F.col("mu"), 3).alias("stat"))
 
 
 _STATS = _SEGMENT + ", stats AS (SELECT sample AS contrast, feature, round(value - avg(value) OVER (PARTITION BY sample), 3) AS stat FROM expr)"

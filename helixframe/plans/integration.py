@@ -119,3 +119,15 @@ def independent_components(spark, sf_dir):
 def nonnegative_factors(spark, sf_dir):
     v = vectors(spark, sf_dir).select("id", F.transform("embedding", lambda x: F.greatest(x, F.lit(0.0).cast("float"))).alias("embedding"))
     return X.nonnegative_factors(v, 4, rounds=8)[0].select("id", F.transform("weights", lambda x: F.round(x, 4)).alias("weights"))
+
+
+@query()
+def restarted_factors(spark, sf_dir):
+    """Of three starts the best."""
+    v = vectors(spark, sf_dir).select("id", F.transform("embedding", lambda x: F.greatest(x, F.lit(0.0).cast("float"))).alias("embedding"))
+    return X.restarted_factors(v, 4, runs=3, rounds=6)[0].select("id", F.transform("weights", lambda x: F.round(x, 4)).alias("weights"))
+
+
+@query()
+def singular_vectors(spark, sf_dir):
+    return X.singular_vectors(vectors(spark, sf_dir), 5)[0].select("id", F.transform("u", lambda x: F.round(x, 5)).alias("u"))
