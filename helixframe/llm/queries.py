@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe, decontaminate, exact_dedup, langid, line_dedup, secret_scan, sharding, simhash, sql, substring_dedup, suffix_dedup
+from helixframe.llm import bpe, decontaminate, exact_dedup, langid, line_dedup, mixing, ranked_search, secret_scan, sharding, simhash, sql, substring_dedup, suffix_dedup, whitening
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -85,8 +85,27 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def whitened_rows(rows: DataFrame, model: whitening.Model) -> DataFrame:
+    """A row a vector and component. A deviation from 2^63 on, which no 64-bit integer holds, is null."""
+    explained = F.array(*(F.lit(x) for x in model.explained)).cast("array<double>")
+    rows = rows.select("vec_id", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    return rows.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", F.get(explained, "at").alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_rows(*whitening.whitened(table(spark, sf_dir, "embeddings")))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_bpe, op3_decontaminate, op4_secrets, op5_line_dedup, op6_sharding, op7_substring_dedup, op8_suffix_dedup, op9_langid, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_bpe, op3_decontaminate, op4_secrets, op5_line_dedup, op6_sharding, op7_substring_dedup, op8_suffix_dedup, op9_langid, op10_exact_dedup, op11_whitening, op12_ranked_search, op13_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

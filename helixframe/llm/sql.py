@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixframe.llm import exact_dedup, line_dedup, secret_scan, substring_dedup, suffix_dedup
+from helixframe.llm import exact_dedup, line_dedup, mixing, ranked_search, secret_scan, substring_dedup, suffix_dedup
 from helixframe.llm.decontaminate import WINDOW
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -90,4 +90,4 @@ k AS (SELECT d.doc_id, max(length(x) // 2) AS n_bytes, sum(z - a) AS n_removed,
 SELECT d.doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
 """
 
-ORACLES = {"op3_decontaminate": DECONTAMINATE, "op4_secrets": SECRETS, "op5_line_dedup": LINES, "op7_substring_dedup": SUBSTRINGS, "op8_suffix_dedup": SUFFIXES, "op10_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLES = {"op3_decontaminate": DECONTAMINATE, "op4_secrets": SECRETS, "op5_line_dedup": LINES, "op7_substring_dedup": SUBSTRINGS, "op8_suffix_dedup": SUFFIXES, "op10_exact_dedup": exact_dedup.ORACLE_SQL, "op12_ranked_search": ranked_search.ORACLE_SQL, "op13_mixing": mixing.ORACLE_SQL}
