@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.session import forget, shared_folder, sweep, tables, written  # noqa: F401  for the operators
+
 #: Bytes of text that one numpy step of a Python worker holds at once; a longer text is taken alone.
 SLICE_BYTES = 2_000_000
 
@@ -24,59 +24,6 @@ def with_row_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("row_key", F.xxhash64(F.col("doc_id"), F.col("text")))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where it is unset and Spark runs in one process (local runs, tests) a
-    temporary one is chosen; on a cluster its machines would not share it."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        at = "file://" + tempfile.mkdtemp(prefix="helixframe-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-#: Folders of tables that written() has made and forget() or sweep() not deleted yet.
-_made: list[str] = []
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Writes a table into the shared folder and reads it back: later steps neither repeat its work nor depend on
-    shuffle files of executors that may be lost. Lazy results read these tables, so they stay until sweep()."""
-    spark = df.sparkSession
-    at = f"{shared_folder(spark).rstrip('/')}/helixframe-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    _made.append(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
-def _delete(spark: SparkSession, at: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def tables() -> frozenset[str]:
-    """Folders that written() has made and nobody deleted."""
-    return frozenset(_made)
-
-
-def sweep(spark: SparkSession, but: frozenset[str], *keep: DataFrame) -> None:
-    """Deletes the tables that written() has made since `but` was taken with tables(), except those that `keep` reads: for
-    when results that read them are no longer needed or have been written themselves."""
-    held = {f.rpartition("/")[0].rpartition("/")[2] for df in keep for f in df.inputFiles()}
-    for at in [x for x in _made if x not in but and x.rpartition("/")[2] not in held]:
-        _delete(spark, at)
-        _made.remove(at)
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes a table that written() has made."""
-    spark = df.sparkSession
-    for at in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/helixframe-" in at:
-            _delete(spark, at)
-
-
 #: A key with more than this part of all rows is hot; so there are at most as many hot keys.
 HOT_PARTS = 10_000
 #: Rows of a key that never make it hot.

@@ -19,7 +19,7 @@ WEIGHTS = (5, 2, 1)
 #: A source is taken at most so many times.
 MOST_EPOCHS = 3
 #: Rows of a range of keys, about: what one window sorts.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 4_096
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix"
 
