@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Sequence
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.operators.graphs import both_ways
-from helixframe.session import cut
+from helixframe.session import cut, sweep, tables, written
+
+#: Directed edges of a block of nodes, about: what one task moves at a time.
+BLOCK_EDGES = 500_000
+_KEYS = ["resolution", "block"]
 
 
 def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> float:
@@ -28,54 +36,222 @@ def _quality(way: DataFrame, labels: DataFrame, resolution: float) -> float:
     return 0.0 if not r["m"] else r["i"] / r["m"] - resolution * r["q"] / r["m"] ** 2
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, levels: int = 5, rounds: int = 8) -> DataFrame:
-    """(node, label): communities of high modularity; a label is the smallest node of its community.
+class _Block:
+    """The nodes of a block with their edges: from rows (node, dst, weight, label, size, members), the node's own row with
+    dst null and its degree as the weight. Labels of nodes in other blocks are those of the last round."""
 
-    In a round every node weighs its neighbours' communities at once, and a pseudo-random half of those that gain by a
-    move make it, so that neighbours do not swap for ever. The best state of a level is contracted to the next graph.
-    Communities are joined by label, never gathered in one place. Edges without positive weight are left out, and nodes
-    without edges have no row."""
-    way = cut(_directed(edges))
-    every = cut(way.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
-    total = way.agg(F.sum("weight")).first()[0]
-    if not total:
-        return every
-    best = _quality(way, every, resolution)
-    for _ in range(levels):
-        own, gained = _moved(way, total, resolution, rounds, best)
-        if gained <= best + 1e-9:
-            break
-        best = gained
-        every = cut(every.join(own.select(F.col("node").alias("label"), F.col("label").alias("to")), "label").select("node", F.col("to").alias("label")))
-        of = lambda n: own.select(F.col("node").alias(n), F.col("label").alias(f"{n}_to"))  # noqa: E731, B023
-        way = cut(way.join(of("src"), "src").join(of("dst"), "dst").groupBy(F.col("src_to").alias("src"), F.col("dst_to").alias("dst")).agg(F.sum("weight").alias("weight")))
-    least = every.groupBy("label").agg(F.min("node").alias("least"))
-    return every.join(least, "label").select("node", F.col("least").alias("label"))
-
-
-def _moved(way: DataFrame, total: float, resolution: float, rounds: int, start: float) -> tuple[DataFrame, float]:
-    """The best state (node, label) of some rounds of moves, each node starting by itself, and its modularity."""
-    degree = way.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k"))
-    state = cut(degree.withColumn("label", F.col("node")))
-    best, quality, idle = state, start, 0
-    links = way.filter("src <> dst")
-    for i in range(rounds):
-        size = state.groupBy("label").agg(F.sum("k").alias("size"))
-        seen = links.join(state.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node"), "label").agg(F.sum("weight").alias("w"))
-        seen = seen.unionByName(state.select("node", "label", F.lit(0.0).alias("w"))).groupBy("node", "label").agg(F.sum("w").alias("w"))
-        mine = state.select("node", "k", F.col("label").alias("own"))
-        other = F.col("size") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(0.0)
-        gain = seen.join(mine, "node").join(size, "label").withColumn("gain", F.round(F.col("w") - resolution * F.col("k") * other / total, 9))
-        choice = gain.groupBy("node").agg(F.first("k").alias("k"), F.first("own").alias("own"), F.max(F.struct("gain", (-F.col("label")).alias("minus"))).alias("to"), F.max(F.when(F.col("label") == F.col("own"), F.col("gain"))).alias("stay"))
-        turn = (F.pmod(F.xxhash64("node", F.lit(i)), F.lit(2)) == 0) & (F.col("to.gain") > F.col("stay") + 1e-9)
-        state = cut(choice.select("node", "k", F.when(turn, -F.col("to.minus")).otherwise(F.col("own")).alias("label")))
-        now = _quality(way, state, resolution)
-        idle = 0 if now > quality + 1e-9 else idle + 1
-        if not idle:
-            best, quality = state, now
-        if idle == 2:
+    def __init__(self, rows: pd.DataFrame) -> None:
+        own = rows[rows["dst"].isna()].sort_values("node")
+        edges = rows[rows["dst"].notna()]
+        self.node = own["node"].to_numpy(np.int64)
+        self.degree = own["weight"].to_numpy(np.float64)
+        self.names, codes = np.unique(np.concatenate([own["label"].to_numpy(np.int64), edges["label"].to_numpy(np.int64)]), return_inverse=True)
+        self.label = codes[: len(own)].tolist()
+        seen = np.concatenate([own["size"].to_numpy(np.float64), edges["size"].to_numpy(np.float64)])
+        some = np.concatenate([own["members"].to_numpy(np.int64), edges["members"].to_numpy(np.int64)])
+        size, members = np.zeros(len(self.names)), np.zeros(len(self.names), np.int64)
+        size[codes], members[codes] = seen, some
+        self.size, self.members = size.tolist(), members.tolist()
+        src = np.searchsorted(self.node, edges["node"].to_numpy(np.int64))
+        dst = edges["dst"].to_numpy(np.int64)
+        at = np.minimum(np.searchsorted(self.node, dst), len(self.node) - 1)
+        inside = np.where(self.node[at] == dst, at, -1)
+        order = np.lexsort((dst, src))
+        self.first = np.searchsorted(src[order], np.arange(len(self.node) + 1)).tolist()
+        self.to, self.outer, self.weight = inside[order].tolist(), codes[len(own) :][order].tolist(), edges["weight"].to_numpy(np.float64)[order].tolist()
+        mine = set(own["label"].tolist()) | set(self.node.tolist())
+        self.ours = [int(x) in mine for x in self.names]
+
+    def around(self, v: int) -> dict[int, float]:
+        """Weight of a node's edges by label."""
+        out: dict[int, float] = {}
+        for e in range(self.first[v], self.first[v + 1]):
+            l = self.label[self.to[e]] if self.to[e] >= 0 else self.outer[e]
+            out[l] = out.get(l, 0.0) + self.weight[e]
+        return out
+
+    def put(self, v: int, to: int) -> None:
+        own = self.label[v]
+        self.size[own] -= self.degree[v]
+        self.members[own] -= 1
+        self.size[to] += self.degree[v]
+        self.members[to] += 1
+        self.label[v] = to
+
+    def inner(self, v: int) -> list[int]:
+        return [self.to[e] for e in range(self.first[v], self.first[v + 1]) if self.to[e] >= 0]
+
+    def moved(self, rate: float) -> int:
+        """Moves nodes to the neighbouring community of the largest gain until none gains; a node is looked at again when a
+        neighbour has moved elsewhere. Two nodes that are alone, in two blocks, do not swap: only one may follow."""
+        queue, waiting, moves = deque(range(len(self.node))), [True] * len(self.node), 0
+        while queue:
+            v = queue.popleft()
+            waiting[v] = False
+            near, own, k = self.around(v), self.label[v], self.degree[v]
+            stay = near.pop(own, 0.0) - rate * k * (self.size[own] - k)
+            best, to = stay + 1e-9, own
+            for l, w in near.items():
+                gain = w - rate * k * self.size[l]
+                if gain > best + 1e-12 or (gain > best - 1e-12 and to != own and l < to):
+                    if self.members[own] == 1 and self.members[l] == 1 and not self.ours[l] and l > own:
+                        continue
+                    best, to = gain, l
+            if to != own:
+                self.put(v, to)
+                moves += 1
+                for u in self.inner(v):
+                    if self.label[u] != to and not waiting[u]:
+                        waiting[u] = True
+                        queue.append(u)
+        return moves
+
+    def refined(self, rate: float, community: dict[int, float], moving: bool) -> None:
+        """Merges nodes that are alone into parts of their community, here one per label; edges lead to the same community
+        only. Parts of several nodes keep them all, so a part grows along edges and is connected. Nodes alone in other
+        blocks are followed only in rounds in which those blocks stay."""
+        for v in range(len(self.node)):
+            own, k, all_ = self.label[v], self.degree[v], community[v]
+            if self.members[own] > 1 or not moving:
+                continue
+            near = self.around(v)
+            near.pop(own, None)
+            if sum(near.values()) < rate * k * (all_ - k):  # too weakly held by the rest of its community
+                continue
+            best, to = 1e-9, own
+            for l, w in near.items():
+                gain = w - rate * k * self.size[l]
+                if gain > best + 1e-12 or (gain > best - 1e-12 and to != own and l < to):
+                    if self.members[l] > 1 or self.ours[l] or self.stays[l]:
+                        best, to = gain, l
+            if to != own:
+                self.put(v, to)
+
+
+def _frames(way: DataFrame, nodes: DataFrame, by: str, blocks: int) -> DataFrame:
+    """Rows for blocks of nodes: edges with the label of their end, and the nodes. `by` names the labels' column."""
+    size = nodes.groupBy("resolution", by).agg(F.sum("k").alias("size"), F.count("*").alias("members"))
+    known = nodes.join(size, ["resolution", by])
+    block = F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("block")
+    own = known.select("resolution", block, "node", F.lit(None).cast("long").alias("dst"), F.col("k").alias("weight"), F.col(by).alias("label"), "size", "members", "community")
+    end = known.select("resolution", F.col("node").alias("dst"), F.col(by).alias("label"), "size", "members", F.col("community").alias("there"))
+    ways = way.join(end, ["resolution", "dst"]).withColumnRenamed("src", "node")
+    return own.unionByName(ways.select("resolution", block, "node", "dst", "weight", "label", "size", "members", F.col("there").alias("community")))
+
+
+def _shifted(way: DataFrame, nodes: DataFrame, totals: dict[float, float], blocks: int) -> DataFrame:
+    """Nodes (resolution, node, k, community, moved) after one round of moves in all blocks."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        r = float(rows["resolution"].iloc[0])
+        block = _Block(rows)
+        before = list(block.label)
+        block.moved(r / totals[r])
+        return pd.DataFrame({"resolution": r, "node": block.node, "k": block.degree, "community": block.names[block.label], "moved": [a != b for a, b in zip(before, block.label, strict=True)]})
+
+    return _frames(way, nodes, "community", blocks).groupBy(*_KEYS).applyInPandas(run, "resolution double, node long, k double, community long, moved boolean")
+
+
+def _parts(way: DataFrame, nodes: DataFrame, totals: dict[float, float], blocks: int, turn: int) -> DataFrame:
+    """Nodes (resolution, node, k, community, part) after one round of merging inside communities."""
+    inner = way.join(nodes.select("resolution", F.col("node").alias("src"), F.col("community").alias("a")), ["resolution", "src"]).join(nodes.select("resolution", F.col("node").alias("dst"), F.col("community").alias("b")), ["resolution", "dst"]).filter("a = b").drop("a", "b")
+    whole = nodes.groupBy("resolution", "community").agg(F.sum("k").alias("whole"))
+    turns = lambda b: (b * 2654435761 + turn * 40503) >> 7 & 1  # noqa: E731  of blocks, at random
+    rows = _frames(inner, nodes, "part", blocks).join(whole, ["resolution", "community"])
+    rows = rows.withColumn("home", F.pmod(F.xxhash64("label"), F.lit(blocks)))  # the block of the node that names a part
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, b = float(pdf["resolution"].iloc[0]), int(pdf["block"].iloc[0])
+        block = _Block(pdf)
+        own = pdf[pdf["dst"].isna()].sort_values("node")
+        homes = dict(zip(pdf["label"].tolist(), pdf["home"].tolist(), strict=True))
+        block.stays = [not turns(homes[int(x)]) for x in block.names]
+        block.refined(r / totals[r], own["whole"].tolist(), blocks == 1 or bool(turns(b)))
+        return pd.DataFrame({"resolution": r, "node": block.node, "k": block.degree, "community": own["community"].to_numpy(), "part": block.names[block.label]})
+
+    return rows.groupBy(*_KEYS).applyInPandas(run, "resolution double, node long, k double, community long, part long")
+
+
+def _connected(way: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes with `community` cut into its connected pieces, named by their smallest node."""
+    of = lambda n, l: nodes.select("resolution", F.col("node").alias(n), F.col("community").alias(l))
+    inner = written(way.filter("src <> dst").join(of("src", "a"), ["resolution", "src"]).join(of("dst", "b"), ["resolution", "dst"]).filter("a = b").select("resolution", "src", "dst"))
+    state = nodes.select("resolution", "node", F.col("node").alias("piece"))
+    while True:
+        near = inner.join(state.withColumnRenamed("node", "dst"), ["resolution", "dst"]).select("resolution", F.col("src").alias("node"), "piece")
+        least = state.unionByName(near).groupBy("resolution", "node").agg(F.min("piece").alias("piece"))
+        jump = least.select("resolution", F.col("node").alias("piece"), F.col("piece").alias("further"))
+        new = least.join(jump, ["resolution", "piece"]).select("resolution", "node", F.col("further").alias("piece"))
+        new = written(new.join(state.withColumnRenamed("piece", "was"), ["resolution", "node"]))
+        state = new.select("resolution", "node", "piece")
+        if not new.filter("piece <> was").head(1):
+            return nodes.drop("community").join(state.withColumnRenamed("piece", "community"), ["resolution", "node"])
+
+
+def leiden(edges: DataFrame, resolutions: Sequence[float] = (1.0,), levels: int = 5, rounds: int = 8, refine: bool = True, block_edges: int = BLOCK_EDGES) -> DataFrame:
+    """(resolution, node, label): communities of high modularity at every resolution, all in the same passes, with the
+    resolution as a key; a label is the smallest node of its community.
+
+    A level moves nodes, refines, and contracts. Nodes are dealt to blocks of about `block_edges` edges. A block moves its
+    nodes one after the other, with a queue of those whose neighbourhood has changed, until none gains, knowing the labels
+    of other blocks as of the last round; rounds end when no block moves a node, or after `rounds` of them. Refining starts
+    anew from single nodes and merges them inside their community only; what it gives becomes the nodes of the next level,
+    which start in their communities, so that badly attached parts can leave. In the end communities are cut into connected
+    pieces, which can only raise modularity, so every community is connected. Without `refine` whole communities are
+    contracted (Louvain's method). Sums by label are joined, never gathered, but a node's edges meet in its block.
+
+    Edges without positive weight are left out, and nodes without edges have no row."""
+    before = tables()
+    keyed = F.explode(F.array(*(F.lit(float(r)) for r in dict.fromkeys(resolutions)))).alias("resolution")
+    way = written(_directed(edges).select(keyed, "src", "dst", "weight"))
+    found = way.groupBy("resolution").agg(F.sum("weight").alias("total"), F.count("*").alias("n")).collect()  # a row a resolution
+    totals = {r["resolution"]: r["total"] for r in found}
+    n_edges = max((r["n"] for r in found), default=0)
+    nodes = written(way.groupBy("resolution", F.col("src").alias("node")).agg(F.sum("weight").alias("k")).withColumn("community", F.col("node")))
+    every = nodes.select("resolution", "node", F.col("node").alias("at"))
+    for level in range(levels):
+        blocks = n_edges // block_edges + 1
+        links, any_moved = way.filter("src <> dst"), False
+        for _ in range(rounds):
+            shifted = written(_shifted(links, nodes, totals, blocks))
+            moves = shifted.filter("moved").count()
+            any_moved |= moves > 0
+            nodes = shifted.drop("moved")
+            if blocks == 1 or not moves:
+                break
+        if not any_moved:
             break
-    return best.select("node", "label"), quality
+        parts = nodes.withColumn("part", F.col("node") if refine else F.col("community"))
+        for turn in range((1 if blocks == 1 else 6) if refine else 0):
+            parts = written(_parts(links, parts, totals, blocks, turn))
+        of = lambda n: parts.select("resolution", F.col("node").alias(n), F.col("part").alias(f"{n}_to"))  # noqa: E731, B023
+        every = written(every.join(of("at"), ["resolution", "at"]).select("resolution", "node", F.col("at_to").alias("at")))
+        way = written(way.join(of("src"), ["resolution", "src"]).join(of("dst"), ["resolution", "dst"]).groupBy("resolution", F.col("src_to").alias("src"), F.col("dst_to").alias("dst")).agg(F.sum("weight").alias("weight")))
+        nodes = written(parts.groupBy("resolution", F.col("part").alias("node")).agg(F.sum("k").alias("k"), F.min("community").alias("community")))
+        n_edges = way.count()
+    if refine:
+        nodes = _connected(way, nodes)
+    done = every.join(nodes.select("resolution", F.col("node").alias("at"), "community"), ["resolution", "at"])
+    least = done.groupBy("resolution", "community").agg(F.min("node").alias("label"))
+    out = written(done.join(least, ["resolution", "community"]).select("resolution", "node", "label"))
+    sweep(edges.sparkSession, before, out)
+    return out
+
+
+def louvain(edges: DataFrame, resolution: float = 1.0, levels: int = 5, rounds: int = 8) -> DataFrame:
+    """(node, label): as leiden(), without refinement, at one resolution; communities may be disconnected."""
+    return leiden(edges, (resolution,), levels, rounds, refine=False).select("node", "label")
+
+
+def resolution_summary(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(resolution, n_communities, largest, modularity) of labels (resolution, node, label)."""
+    way = _directed(edges)
+    of = lambda n, l: labels.select("resolution", F.col("node").alias(n), F.col("label").alias(l))
+    e = way.join(of("src", "a"), "src").join(of("dst", "b").withColumnRenamed("resolution", "r"), "dst").filter("r = resolution")
+    s = e.groupBy("resolution", F.col("a").alias("label")).agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("weight")).otherwise(0.0)).alias("inner"), F.sum("weight").alias("all"))
+    s = s.join(labels.groupBy("resolution", "label").agg(F.count("*").alias("size")), ["resolution", "label"])
+    m = s.groupBy("resolution").agg(F.count("*").alias("n_communities"), F.max("size").alias("largest"), F.sum("inner").alias("i"), F.sum("all").alias("m"), F.sum(F.col("all") ** 2).alias("q"))
+    return m.select("resolution", "n_communities", "largest", (F.col("i") / F.col("m") - F.col("resolution") * F.col("q") / F.col("m") ** 2).alias("modularity"))
 
 
 def smoothed_signal(edges: DataFrame, signal: DataFrame, beta: float = 1.0, order: int = 12) -> DataFrame:

@@ -87,7 +87,24 @@ def local_correlation(spark, sf_dir):
 
 @query()
 def louvain_communities(spark, sf_dir):
-    return C.louvain(_undirected(spark, sf_dir), levels=2, rounds=4)
+    return C.louvain(_undirected(spark, sf_dir))
+
+
+#: Resolutions of the queries on communities.
+RESOLUTIONS = (0.5, 1.0, 2.0)
+
+
+@query()
+def leiden_communities(spark, sf_dir):
+    """Communities of the shared-neighbour graph at several resolutions."""
+    return C.leiden(_undirected(spark, sf_dir), RESOLUTIONS)
+
+
+@query()
+def resolution_grid(spark, sf_dir):
+    """Number, size and modularity of the communities of each resolution."""
+    e = _undirected(spark, sf_dir)
+    return D.rounded(C.resolution_summary(e, C.leiden(e, RESOLUTIONS)), "modularity")
 
 
 def _polynomials(beta: float, order: int) -> str:

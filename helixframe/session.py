@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -39,6 +40,48 @@ def shared_folder(spark: SparkSession) -> str:
     return at
 
 
+#: Folders of tables that written() has made and sweep() not deleted yet.
+_made: list[str] = []
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a table in the shared folder. Unlike after a checkpoint, Spark knows the table's size, so small
+    ones are broadcast, and infers nothing from how it came about, so plans of many rounds stay small. Lazy results read
+    these tables: they stay until sweep()."""
+    spark = df.sparkSession
+    at = f"{shared_folder(spark).rstrip('/')}/helixframe-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    _made.append(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def tables() -> frozenset[str]:
+    """Folders that written() has made and nobody deleted."""
+    return frozenset(_made)
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the tables that a result of written() reads."""
+    folders = {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}
+    for at in [x for x in _made if x.rpartition("/")[2] in folders]:
+        _delete(df.sparkSession, at)
+        _made.remove(at)
+
+
+def sweep(spark: SparkSession, but: frozenset[str], *keep: DataFrame) -> None:
+    """Deletes the tables that written() has made since `but` was taken with tables(), except those that `keep` reads: for
+    when results that read them are no longer needed or have been written themselves."""
+    held = {f.rpartition("/")[0].rpartition("/")[2] for df in keep for f in df.inputFiles()}
+    for at in [x for x in _made if x not in but and x.rpartition("/")[2] not in held]:
+        _delete(spark, at)
+        _made.remove(at)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
