@@ -171,17 +171,34 @@ def _nearest(a: np.ndarray, ids: np.ndarray, b: np.ndarray, asked: np.ndarray, k
     return out[np.isfinite(out["distance"])]
 
 
-def approximate_neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = None, lists: int | None = None, probes: int = 8, sample: int = 20_000, seed: int = 42) -> DataFrame:
+def approximate_neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = None, lists: int | None = None, probes: int | None = None, sample: int = 20_000, recall: float = 0.93, seed: int = 42) -> DataFrame:
     """(id, neighbour, distance, rank) from an inverted file: every vector is listed under its nearest of `lists` centres
     (by default the root of the number of rows), every query visits its `probes` nearest lists.
 
     Only the centres, fitted on at most `sample` vectors that a seeded hash draws, meet on the driver and are broadcast;
     all vectors are indexed. Lists above BLOCK rows are dealt to several groups, so none outgrows a task. How many true
-    neighbours are found depends on `probes`; measure it with neighbour_recall()."""
+    neighbours are found depends on `probes`: unless it is given, it is doubled from 8 on until MEASURED vectors that a hash
+    draws find `recall` of their exact neighbours, or all lists are visited."""
     n = vectors.count()
     lists = lists or max(1, int(n**0.5))
     drawn = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(min(sample, max(lists * 20, 1))).select("embedding").collect()
     centres = _centres(np.array([r[0] for r in drawn], np.float64), lists, seed)
+    if probes is not None:
+        return _of_lists(vectors, k, queries, centres, probes)
+    asked = cut(vectors.orderBy(F.xxhash64("id", F.lit(seed + 1)), "id").limit(MEASURED).select("id", "embedding"))
+    exact = cut(nearest_neighbours(vectors, k, queries=asked).select("id", "neighbour"))
+    wanted, probes = exact.count(), min(8, len(centres))
+    while probes < len(centres) and _of_lists(vectors, k, asked, centres, probes).join(F.broadcast(exact), ["id", "neighbour"], "left_semi").count() < recall * wanted:  # MEASURED * k rows
+        probes = min(2 * probes, len(centres))
+    return _of_lists(vectors, k, queries, centres, probes)
+
+
+#: Vectors whose neighbours are searched exactly to choose the number of lists that are visited.
+MEASURED = 500
+
+
+def _of_lists(vectors: DataFrame, k: int, queries: DataFrame | None, centres: np.ndarray, probes: int) -> DataFrame:
+    """The k best of the vectors listed under the `probes` centres nearest to each query."""
     sent = vectors.sparkSession.sparkContext.broadcast(centres)
 
     def near(width: int):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.ranks import weighted_bh
 from helixframe.operators import graphs as G
+from helixframe.operators import neighbours as N
 from helixframe.plans import data as D
 from helixframe.plans.registry import query
 
@@ -21,7 +22,8 @@ def labels(spark, sf_dir):
 
 
 def knn(spark, sf_dir):
-    return G.nearest_neighbours(vectors(spark, sf_dir), 10)
+    """Exact, as SQL of the same rows is exact; the other ways have queries of their own."""
+    return N.neighbours(vectors(spark, sf_dir), 10, method="exact")
 
 
 def edges(spark, sf_dir):
@@ -171,7 +173,12 @@ def local_autocorrelation(spark, sf_dir):
 
 @query()
 def approximate_neighbours(spark, sf_dir):
-    return D.rounded(G.approximate_neighbours(vectors(spark, sf_dir), 10), "distance")
+    return D.rounded(N.neighbours(vectors(spark, sf_dir), 10, method="lists"), "distance")
+
+
+@query()
+def descended_neighbours(spark, sf_dir):
+    return D.rounded(N.neighbours(vectors(spark, sf_dir), 10, method="descent"), "distance")
 
 
 @query(f"""{_V}, f AS (SELECT id, neighbour, distance FROM knn WHERE rank % 3 <> 0), k AS (SELECT id, count(*) AS k, avg(distance) AS d0 FROM knn GROUP BY 1), h AS (SELECT id, count(*) AS hit, avg(distance) AS d1 FROM f GROUP BY 1)
