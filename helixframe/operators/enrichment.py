@@ -113,14 +113,20 @@ def singscore(expr: DataFrame, sets: DataFrame, centre: bool = True) -> DataFram
     return g.filter("n > m").select("sample", "set_id", ((F.col("mean") - low) / (high - low) - (0.5 if centre else 0)).alias("score"), "dispersion")
 
 
+def _members(sets: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(set_id, feature) and what they are joined on: also the contrast, where sets have one."""
+    on = [*(["contrast"] if "contrast" in sets.columns else []), "feature"]
+    return sets.withColumnRenamed("member", "feature").select("set_id", *on).distinct(), on
+
+
 def gsea_statistic(stats: DataFrame, sets: DataFrame, power: float = 1.0, min_size: int = 5, max_size: int = 500) -> DataFrame:
     """(contrast, set_id, size, es): the largest deviation of the running sum over features by descending statistic.
 
     `stats` has (contrast, feature, stat). Extremes lie at members, so only members are scanned: just after one for the
-    maximum, just before it for the minimum."""
+    maximum, just before it for the minimum. Sets with a column `contrast` are those of that contrast alone."""
     w = Window.partitionBy("contrast")
     ranked = stats.withColumn("at", F.row_number().over(w.orderBy(F.desc("stat"), "feature"))).withColumn("n", F.count("*").over(w))
-    hit = ranked.join(sets.select("set_id", F.col("member").alias("feature")).distinct(), "feature")
+    hit = ranked.join(*_members(sets))
     own = Window.partitionBy("contrast", "set_id")
     hit = hit.withColumn("m", F.count("*").over(own)).filter(F.col("m").between(min_size, max_size) & (F.col("m") < F.col("n")))
     part = F.pow(F.abs("stat"), F.lit(power))
@@ -261,6 +267,9 @@ def permuted_statistics(stats: DataFrame, sets: DataFrame, permutations: int, se
     dealt = copies.withColumn("a", F.row_number().over(w.orderBy(key, "feature"))).withColumn("b", F.row_number().over(w.orderBy(F.desc("stat"), "feature")))
     names, values = dealt.select("contrast", "perm", "feature", F.col("a").alias("at")), dealt.select("contrast", "perm", "stat", F.col("b").alias("at"))
     shuffled = names.join(values, ["contrast", "perm", "at"]).select(F.struct("contrast", "perm").alias("contrast"), "feature", "stat")
+    if "contrast" in sets.columns:  # each permutation meets the sets of its contrast
+        every = F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm")
+        sets = sets.select("*", every).withColumn("contrast", F.struct("contrast", "perm")).drop("perm")
     return gsea_statistic(shuffled, sets, power, min_size, max_size).select(F.col("contrast.contrast").alias("contrast"), "set_id", F.col("es").alias("null_es"))
 
 
@@ -296,14 +305,12 @@ def gsea_elimination(stats: DataFrame, terms: DataFrame, ancestry: DataFrame, le
         mine = terms.filter(F.col("level") == level).select(F.col("term").alias("set_id"), "member").distinct()
         own = stats.select("contrast").distinct().crossJoin(mine).select("contrast", "set_id", "member")
         own = own.join(gone, ["contrast", "set_id", "member"], "left_anti") if gone is not None else own
-        # Sets differ between contrasts, so a set is named by both; a contrast meets only its own.
-        both = F.struct("contrast", "set_id")
-        real = gsea_statistic(stats, own.select(both.alias("set_id"), "member"), 1.0, min_size, max_size).filter("contrast = set_id.contrast")
-        null = permuted_statistics(stats, own.select(both.alias("set_id"), "member"), permutations, seed, 1.0, min_size, max_size).filter("contrast = set_id.contrast")
+        real = gsea_statistic(stats, own, 1.0, min_size, max_size)
+        null = permuted_statistics(stats, own, permutations, seed, 1.0, min_size, max_size)
         j = real.join(null, ["contrast", "set_id"], "left")
         same = F.signum("null_es") == F.signum("es")
         n = j.groupBy("contrast", "set_id", "size", "es").agg(((F.count_if(same & (F.abs("null_es") >= F.abs("es"))) + 1) / (F.count_if(same) + 1)).alias("pval"))
-        n = cut(n.select("contrast", F.col("set_id.set_id").alias("term"), F.lit(level).alias("level"), "size", "es", "pval"))
+        n = cut(n.select("contrast", F.col("set_id").alias("term"), F.lit(level).alias("level"), "size", "es", "pval"))
         done.append(n)
         found = n.filter(F.col("pval") <= elim_threshold).select("contrast", F.col("term").alias("set_id"))
         new = found.join(mine, "set_id").join(ancestry.filter("term <> ancestor").withColumnRenamed("term", "set_id"), "set_id").select("contrast", F.col("ancestor").alias("set_id"), "member").distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.operators import enrichment as E
+from helixframe.operators import multilevel as M
 from helixframe.plans import data as D
 from helixframe.plans.registry import query
 
@@ -206,14 +207,31 @@ def gsea_normalised(spark, sf_dir):
     return D.rounded(out, "es", "nes", "pval", "fdr")
 
 
-@query()
-def gsea_elimination(spark, sf_dir):
-    """Brands within a type below types, below all parts."""
+def _terms(spark, sf_dir):
+    """Brands within a type below types, and which are below which."""
     p = D.table(spark, sf_dir, "part")
     pair = F.concat_ws("/", "p_type", "p_brand")
     rows = lambda term, level: p.select(term.alias("term"), F.lit(level).alias("level"), F.col("p_partkey").alias("member"))
     terms = rows(F.col("p_type"), 0).unionByName(rows(pair, 1))
-    up = p.select(pair.alias("term"), F.col("p_type").alias("ancestor")).distinct()
+    return terms, p.select(pair.alias("term"), F.col("p_type").alias("ancestor")).distinct()
+
+
+@query()
+def gsea_multilevel(spark, sf_dir):
+    out = M.multilevel_enrichment(_stats(spark, sf_dir), D.sets(spark, sf_dir))
+    return D.rounded(out, "es", "nes", "pval", "log2err", "fdr", digits=9)
+
+
+@query()
+def gsea_multilevel_elimination(spark, sf_dir):
+    out = M.multilevel_elimination(_stats(spark, sf_dir), *_terms(spark, sf_dir), [0, 1])
+    return D.rounded(out, "es", "nes", "pval", "log2err", "fdr", digits=9)
+
+
+@query()
+def gsea_elimination(spark, sf_dir):
+    """Brands within a type below types, below all parts."""
+    terms, up = _terms(spark, sf_dir)
     return D.rounded(E.gsea_elimination(_stats(spark, sf_dir), terms, up, [0, 1], permutations=20), "es", "pval")
 
 
