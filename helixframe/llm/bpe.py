@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
+import sys
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -20,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from helixframe.llm.common import batch_of, documents, slices
 
@@ -40,8 +43,23 @@ def byte_symbols() -> list[str]:
     return out
 
 
+@lru_cache(maxsize=1)
+def unassigned() -> re.Pattern:
+    """Code points that Python's Unicode tables do not know; those of other libraries, older or newer, may."""
+    edges, before = [], False
+    for c in range(sys.maxunicode + 2):
+        now = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
+        if now != before:
+            edges.append(c)
+        before = now
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{z - 1:08x}" for a, z in zip(edges[::2], edges[1::2], strict=True)) + "]")
+
+
 class Vocabulary:
-    """Of a tokenizer file: ids, merges as ranks, and the split into words."""
+    """Of a tokenizer file: ids, merges as ranks, and the split into words.
+
+    Letters in lower case, composed characters and classes of code points depend on the version of Unicode. All versions
+    agree on what Python's tables know; a text with other code points is normalised and split by the tokenizers library."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -56,13 +74,22 @@ class Vocabulary:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges.setdefault(self.ids[a] << 20 | self.ids[b], (rank, self.ids[a + b]))
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"]).findall
+        self.regular = regex.compile(split["pattern"]["Regex"]).findall
+        self.odd = unassigned().search
+        self.other = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
+        self.split = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True).pre_tokenize_str
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         symbols = byte_symbols()
         self.inner = [self.ids[s] for s in symbols]
         self.last = [self.ids[s + self.mark] for s in symbols]
         self.known: dict[str, bytes] = {}
 
+    def words(self, text: str) -> list[str]:
+        """The normalised words of a text."""
+        if not text.isascii() and self.odd(text):
+            return [word for word, _ in self.split(self.other(text))]
+        return self.regular(self.normal(text))
+
     def normal(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text) if not text.isascii() else text
         return text.replace("Σ", "σ").lower()  # each letter by itself, so no final sigma
@@ -117,7 +144,7 @@ class Vocabulary:
             if piece in self.special:
                 out.append(array("i", [self.special[piece]]).tobytes())
                 continue
-            for word in self.words(self.normal(piece)):
+            for word in self.words(piece):
                 ids = known.get(word)
                 if ids is None:
                     if len(known) >= CACHED:
@@ -144,7 +171,8 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("de
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, ids (array of int), decoded (string). `path` is the tokenizer file, the same
-    on all machines. Null and empty texts give no ids and an empty string; special tokens in a text are recognised."""
+    on all machines. Null and empty texts give no ids and an empty string; special tokens in a text are recognised. Repeated
+    rows are encoded each. A text of any length is encoded whole; a long one makes a batch of its own."""
     rows = documents(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

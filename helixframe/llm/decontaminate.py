@@ -1,10 +1,10 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the normalised texts of all test items.
 
 The automaton holds each item as consecutive blocks of words, half a window long: every window of an item holds one of
-them whole, so a document with a window meets a block. Every document is normalised (A-Z lower-cased, words joined by
-one space) and scanned once. A block ends at a word boundary by construction, since blocks carry a space on both sides;
-from it the words are compared with those of the item to either side, and a run as long as a window is a hit. Its
-offsets are mapped back to words and to code points of the original text. An item shorter than a window is one block.
+them whole, so a document with a window meets a block. Every document is normalised (A-Z lower-cased, cut into words) and
+scanned once, word by word. Around the blocks that are met, each place of the document is looked up among the windows of
+the items, by hash and then word by word. Hits are mapped back to code points of the original text. An item shorter than a
+window is one block.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import batch_of, slices, with_row_key, written
 
 WINDOW = 13
-#: Bytes of item texts in one automaton, which takes some 50 times as many in each Python worker. Larger item tables are
+#: Bytes of item texts in one automaton, which takes some 40 times as many in each Python worker. Larger item tables are
 #: scanned in as many passes.
-BLOCK_BYTES = 3_000_000
+BLOCK_BYTES = 8_000_000
 
 #: Bytes that separate words become spaces, A-Z become a-z.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -37,51 +37,93 @@ def words(text: str) -> list[bytes]:
 
 
 class Items:
-    """The automaton over the blocks of (item_id, text). A block's value holds its number of words, the items that are no
-    longer than it, and its places (number of the item, first word) in longer ones."""
+    """The automaton over the blocks of (item_id, text), and the windows of the items by hash.
+
+    Words are numbers, and the automaton's letters are words. Where a block ends in a document, the windows that hold it are
+    looked up: their hashes in a sorted array, their words beside those of the item, so that every place of a document is
+    looked up once, however often blocks and items repeat."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW) -> None:
-        self.window, self.ids, self.texts = window, [i for i, _ in items], [words(t) for _, t in items]
-        block = (window + 1) // 2
-        found: dict[bytes, tuple[int, set[str], list[tuple[int, int]]]] = {}
-        for k, w in enumerate(self.texts):
-            if 0 < len(w) < window:
-                found.setdefault(b" ".join(w), (len(w), set(), []))[1].add(self.ids[k])
-            elif w:
-                for i in range(0, len(w) - block + 1, block):
-                    found.setdefault(b" ".join(w[i : i + block]), (block, set(), []))[2].append((k, i))
-        self.auto = ahocorasick.Automaton()
-        for key, (n, whole, places) in found.items():
-            self.auto.add_word(f" {key.decode('latin-1')} ", (n, tuple(sorted(whole)), tuple(places)))
-        self.empty = not found
-        if found:
+        self.window, block = window, (window + 1) // 2
+        texts: dict[bytes, set[str]] = {}
+        for name, text in items:
+            texts.setdefault(b" ".join(words(text)), set()).add(name)
+        texts.pop(b"", None)
+        self.number: dict[bytes, int] = {}
+        self.names = [sorted(x) for x in texts.values()]
+        keys: dict[tuple[int, ...], list[int]] = {}
+        flat, first, owner, at = [], [], [], 0
+        for k, text in enumerate(texts):
+            w = [self.number.setdefault(x, len(self.number) + 1) for x in text.split()]
+            if len(w) < window:
+                keys.setdefault(tuple(w), []).append(k)
+                continue
+            for i in range(0, len(w) - block + 1, block):
+                keys.setdefault(tuple(w[i : i + block]), [])
+            flat += w
+            starts = np.arange(at, at + len(w) - window + 1)
+            first.append(starts)
+            owner.append(np.full(len(starts), k))
+            at += len(w)
+        self.auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for key, own in keys.items():
+            self.auto.add_word(key, (len(key), own, len(key) == block))
+        self.empty = not keys
+        if keys:
             self.auto.make_automaton()
+        self.flat = np.array(flat, np.int64)
+        first, owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first, owner))
+        rng = np.random.default_rng(0)
+        while True:  # until windows with equal hashes are equal
+            self.factors = rng.integers(1, 1 << 63, window, np.uint64) * 2 + 1
+            hashes = self._hashes(self.flat, first)
+            self.hashes, place, of = np.unique(hashes, return_index=True, return_inverse=True)
+            self.place = first[place]
+            if all((self.flat[first + j] == self.flat[self.place[of] + j]).all() for j in range(window)):
+                break
+        pairs = np.unique(np.stack([of, owner]), axis=1)
+        self.owners, self.first = pairs[1], np.searchsorted(pairs[0], np.arange(len(self.hashes) + 1))
+
+    def _hashes(self, numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(starts), np.uint64)
+        for j in range(self.window):
+            x = numbers[starts + j].astype(np.uint64)
+            out += (x ^ (x << np.uint64(21))) * self.factors[j]
+        return out
 
     def hits(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """(runs of words in windows, items hit) of the words of a text."""
-        runs, items, starts, done = [], set(), None, {}
-        for end, (n, whole, places) in self.auto.iter(f" {b' '.join(w).decode('latin-1')} "):
-            if starts is None:
-                sizes = np.fromiter(map(len, w), np.int64, len(w)) + 1
-                starts = np.concatenate(([0], np.cumsum(sizes)))
-            last = int(np.searchsorted(starts, end))  # the space at `end` comes before this word
-            if whole:
-                runs.append((last - n, last))
-                items.update(whole)
-            for k, i in places:
-                shift = last - n - i
-                if done.get((k, shift), 0) >= last:
-                    continue  # within a run that is known
-                text, a, b = self.texts[k], last - n, last
-                while a > 0 and a > shift and w[a - 1] == text[a - 1 - shift]:
-                    a -= 1
-                while b < len(w) and b - shift < len(text) and w[b] == text[b - shift]:
-                    b += 1
-                done[k, shift] = b
-                if b - a >= self.window:
-                    runs.append((a, b))
-                    items.add(self.ids[k])
-        return _merged(runs), items
+        get = self.number.get
+        numbers = tuple([get(x, 0) for x in w])
+        ends, edge, found = [], np.zeros(len(w) + 1, np.int64), set()
+        for end, (n, own, block) in self.auto.iter(numbers):
+            if own:
+                edge[end + 1 - n] += 1
+                edge[end + 1] -= 1
+                found.update(own)
+            if block:
+                ends.append(end)
+        if ends:
+            ends, window = np.array(ends), self.window
+            near = np.zeros(len(w) + 1, np.int64)
+            np.add.at(near, np.maximum(ends - window + 1, 0), 1)
+            np.add.at(near, ends - (window + 1) // 2 + 2, -1)
+            starts = np.flatnonzero(np.cumsum(near)[: max(0, len(w) - window + 1)] > 0)
+            numbers = np.array(numbers, np.int64)
+            hashes = self._hashes(numbers, starts)
+            of = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+            same = self.hashes[of] == hashes
+            starts, of = starts[same], of[same]
+            for j in range(window):
+                same = numbers[starts + j] == self.flat[self.place[of] + j]
+                starts, of = starts[same], of[same]
+            np.add.at(edge, starts, 1)
+            np.add.at(edge, starts + window, -1)
+            for k in np.unique(of).tolist():
+                found.update(self.owners[self.first[k] : self.first[k + 1]].tolist())
+        covered = np.diff(np.concatenate(([0], (np.cumsum(edge) > 0).astype(np.int8), [0])))
+        runs = list(zip(np.flatnonzero(covered == 1).tolist(), np.flatnonzero(covered == -1).tolist(), strict=True))
+        return runs, {name for k in found for name in self.names[k]}
 
 
 #: The automaton that a Python worker used last, by the table it was made for.
@@ -95,16 +137,6 @@ def _items(token: str, listed, window: int) -> Items:
     return _LAST[token]
 
 
-def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(runs):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
 def scan(text: str, tests: Items | None) -> tuple[int, list[tuple[int, int]], list[tuple[int, int]], set[str]]:
     """(number of words, hit runs of words, the same as code points of `text`, items hit)."""
     raw = text.encode("utf-8", "surrogatepass")
@@ -127,7 +159,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 
     A window is `window` consecutive words of an item, or all words of a shorter one. Null or wordless texts have no
     words and no hits; items without words give no window; an item with a null id is named by the empty string. Repeated
-    items count once. Item texts travel in blocks of at most `block_bytes`, one automaton a block, kept by a worker from
+    items count once, and repeated documents are judged each. Item texts travel in blocks of at most `block_bytes`, one automaton a block, kept by a worker from
     task to task. Texts of any length are scanned whole, one at a time if they are long. With
     `key`, a column of longs that tells rows apart, that column comes last, as row_key."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), *([docs[key].alias("row_key")] if key else []))
