@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from helixframe.plans import data as D
 from helixframe.plans.registry import query
 from helixframe.session import shared_folder
+from helixframe.sources import h5ad as H
 from helixframe.sources import matrix_market as M
 from helixframe.sources import store as S
 
@@ -152,3 +153,52 @@ def plain_text_obs(spark, sf_dir):
     at = f"{_folder(spark)}/obs.tsv"
     D.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment")).write.csv(at, sep="\t", header=True)
     return M.read_table(spark, at, "cell").withColumn("cell", F.col("cell").cast("long"))
+
+
+def _h5(spark, sf_dir, where: str = "true", genes: str = "true", **more) -> str:
+    """Counts of customers by parts as a file, with segments, balances and brands."""
+    from pyspark.sql import Window
+
+    at = f"{_folder(spark)}.h5"
+    place = lambda df: df.withColumn("index", (F.row_number().over(Window.orderBy("key")) - 1).cast("long"))  # noqa: E731  a row a cell or gene
+    obs = place(D.table(spark, sf_dir, "customer").filter(where).select(F.col("c_custkey").alias("key"), F.concat(F.lit("c"), F.col("c_custkey")).alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"), (F.col("c_acctbal") > 0).alias("positive")))
+    var = place(D.table(spark, sf_dir, "part").filter(genes).select(F.col("p_partkey").alias("key"), F.concat(F.lit("g"), F.col("p_partkey")).alias("name"), F.col("p_brand").alias("gene_name"), F.col("p_size").alias("size")))
+    x = D.counts(spark, sf_dir).join(obs.select(F.col("key").alias("cell"), F.col("index").alias("i")), "cell").join(var.select(F.col("key").alias("gene"), F.col("index").alias("j")), "gene")
+    H.write_h5(x.select(F.col("i").alias("cell"), F.col("j").alias("gene"), "raw"), obs.drop("key"), var.drop("key"), at, **more)
+    return at
+
+
+_PLACED = "c AS (SELECT c_custkey AS cell, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer), g AS (SELECT p_partkey AS gene, row_number() OVER (ORDER BY p_partkey) - 1 AS j FROM part)"
+_H5_COUNTS = f"WITH {D.COUNTS}, {_PLACED} SELECT i AS cell, j AS gene, CAST(raw AS DOUBLE) AS raw FROM counts JOIN c USING (cell) JOIN g USING (gene)"
+
+
+@query(_H5_COUNTS)
+def h5ad_counts(spark, sf_dir):
+    return H.read_h5(spark, _h5(spark, sf_dir))
+
+
+@query(_H5_COUNTS)
+def h5ad_counts_by_gene(spark, sf_dir):
+    return H.read_h5(spark, _h5(spark, sf_dir, by="gene"))
+
+
+@query("""SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS "index", 'c' || c_custkey AS name, c_mktsegment AS segment, c_acctbal AS balance, c_acctbal > 0 AS positive FROM customer""")
+def h5ad_obs(spark, sf_dir):
+    return H.read_h5(spark, _h5(spark, sf_dir), "obs")
+
+
+@query("""SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS "index", 'g' || p_partkey AS name, p_brand AS gene_name, p_size AS size FROM part""")
+def h5ad_var(spark, sf_dir):
+    return H.read_h5(spark, _h5(spark, sf_dir), "var").withColumn("size", F.col("size").cast("long"))
+
+
+@query(_H5_COUNTS)
+def tenx_counts(spark, sf_dir):
+    return H.read_h5(spark, _h5(spark, sf_dir, layout="tenx"), layout="tenx")
+
+
+@query(f"WITH {D.COUNTS} SELECT CASE WHEN c_nationkey < 12 THEN 'a' ELSE 'b' END AS exp_id, CASE WHEN c_nationkey < 12 THEN 'a_c' ELSE 'b_c' END || cell AS cell, 'g' || gene AS gene, CAST(raw AS DOUBLE) AS raw FROM counts JOIN customer ON cell = c_custkey JOIN part ON gene = p_partkey WHERE p_size > 5 AND p_size <= 45")
+def h5ad_experiments(spark, sf_dir):
+    """Two files; genes that both have."""
+    files = {"a": _h5(spark, sf_dir, "c_nationkey < 12", "p_size > 5"), "b": _h5(spark, sf_dir, "c_nationkey >= 12", "p_size <= 45")}
+    return H.read_many(spark, files)
