@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.operators import cells as C
+from helixframe.operators import networks as N
 from helixframe.operators import regulation as R
 from helixframe.plans import data as D
 from helixframe.plans.graphs import _V, knn
@@ -108,3 +109,12 @@ SELECT set_id, round((n - 1) * d / (2 * w * n * v), 6) AS c, round(1 - (n - 1) *
 def score_autocorrelation(spark, sf_dir):
     e = knn(spark, sf_dir).select(F.col("id").alias("src"), F.col("neighbour").alias("dst"), F.lit(1.0).alias("weight"))
     return D.rounded(R.geary(_vision(spark, sf_dir), e), "c", "consistency")
+
+
+@query()
+def factor_importances(spark, sf_dir):
+    """Parts of the first size explain the pieces bought of all parts."""
+    tf = D.table(spark, sf_dir, "part").filter("p_size = 1").select(F.col("p_partkey").alias("tf"))
+    expr = D.counts(spark, sf_dir).withColumnRenamed("raw", "value")
+    found = N.factor_importances(expr, tf, cells=D.obs(spark, sf_dir).count())
+    return D.rounded(found, "importance", digits=9)
