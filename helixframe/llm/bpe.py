@@ -43,6 +43,10 @@ def byte_symbols() -> list[str]:
     return out
 
 
+#: Bytes of UTF-8 of code points below U+0340, which all versions of Unicode know.
+_KNOWN = bytes(range(0xCD))
+
+
 @lru_cache(maxsize=1)
 def unassigned() -> re.Pattern:
     """Code points that Python's Unicode tables do not know; those of other libraries, older or newer, may."""
@@ -86,7 +90,7 @@ class Vocabulary:
 
     def words(self, text: str) -> list[str]:
         """The normalised words of a text."""
-        if not text.isascii() and self.odd(text):
+        if not text.isascii() and text.encode("utf-8", "surrogatepass").translate(None, _KNOWN) and self.odd(text):
             return [word for word, _ in self.split(self.other(text))]
         return self.regular(self.normal(text))
 
