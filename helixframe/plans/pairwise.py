@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.operators import pairwise as P
+from helixframe.operators import trees as T
 from helixframe.plans import data as D
 from helixframe.plans.registry import query
 
@@ -257,3 +258,10 @@ def cluster_stability(spark, sf_dir):
     p = D.table(spark, sf_dir, "part")
     r = p.select(F.col("p_partkey").alias("feature"), F.explode(F.array(F.struct(F.lit(1).alias("run"), F.col("p_brand").alias("cluster")), F.struct(F.lit(2).alias("run"), F.col("p_type").alias("cluster")), F.struct(F.lit(3).alias("run"), F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("cluster")))).alias("x")).select("feature", "x.*")
     return D.rounded(P.cluster_stability(r), "mean_jaccard", "sd_jaccard")
+
+
+@query()
+def correlation_modules(spark, sf_dir):
+    """Modules of brands by the correlations of their pieces over customers."""
+    found = T.correlation_modules(correlation_pearson(spark, sf_dir), k_max=30, junk=0.0)[0]
+    return D.rounded(found, "r2")
