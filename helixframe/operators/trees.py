@@ -16,6 +16,16 @@ def _joined(linkage: str, d1: Column, d2: Column, between: Column, n1: Column, n
     return {"average": (n1 * d1 + n2 * d2) / (n1 + n2), "complete": F.greatest(d1, d2), "single": F.least(d1, d2)}[linkage]
 
 
+def _half(d: DataFrame, part: DataFrame, linkage: str) -> DataFrame:
+    """Pairs (b, a, d, nb, na) of (a, b, d, na, nb), turned round, with the clusters a merged as `part` says."""
+    rows = d.join(part.withColumnRenamed("node", "a"), "a", "left").filter("low is null or (b <> low and b <> high)")
+    to = F.coalesce("low", "a")
+    d1, d2 = F.max(F.when(F.col("a") == to, F.col("d"))), F.max(F.when(F.col("a") != to, F.col("d")))
+    g = rows.groupBy(to.alias("u"), "b").agg(d1.alias("d1"), d2.alias("d2"), *(F.max(c).alias(c) for c in ("between", "n1", "n2", "na", "nb")))
+    new = F.when(F.col("d2").isNull(), F.col("d1")).otherwise(_joined(linkage, *map(F.col, ("d1", "d2", "between", "n1", "n2", "nb"))))
+    return g.select(F.col("b").alias("a"), F.col("u").alias("b"), new.alias("d"), F.col("nb").alias("na"), F.when(F.col("d2").isNull(), F.col("na")).otherwise(F.col("n1") + F.col("n2")).alias("nb"))
+
+
 def agglomerated(pairs: DataFrame, linkage: str = "average") -> DataFrame:
     """(a, b, height, size, step) of the merges of all nodes of `pairs` (a, b, distance), each pair given once: clusters are
     named by their smallest node, b is merged into a, and steps count by height from 1.
@@ -28,30 +38,20 @@ def agglomerated(pairs: DataFrame, linkage: str = "average") -> DataFrame:
     before = tables()
     spark = pairs.sparkSession
     one = pairs.filter("a <> b").select("a", "b", F.col("distance").cast("double").alias("d"))
-    d = written(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).groupBy("a", "b").agg(F.min("d").alias("d")))
-    size = written(d.select("a").distinct().select(F.col("a").alias("node"), F.lit(1).cast("long").alias("n")))
+    both = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    d = written(both.groupBy("a", "b").agg(F.min("d").alias("d"), F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb")))
     merges = []
     while d.head(1):
-        order = F.struct("d", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
-        near = d.groupBy("a").agg(F.min(order).alias("x")).select("a", F.col("x.d").alias("d"), F.col("x.low").alias("low"), F.col("x.high").alias("high"))
+        first = F.col("a") < F.col("b")
+        low, high = F.struct("a", "na"), F.struct("b", "nb")
+        order = F.struct("d", F.when(first, low).otherwise(F.struct(F.col("b").alias("a"), F.col("nb").alias("na"))).alias("low"), F.when(first, high).otherwise(F.struct(F.col("a").alias("b"), F.col("na").alias("nb"))).alias("high"))
+        near = d.groupBy("a").agg(F.min(order).alias("x")).select("x.low", "x.high", "x.d")
         mutual = near.groupBy("low", "high").agg(F.count("*").alias("votes"), F.min("d").alias("between")).filter("votes = 2")
-        sizes = lambda c, n: size.select(F.col("node").alias(c), F.col("n").alias(n))  # noqa: E731, B023
-        own = written(mutual.join(sizes("low", "n1"), "low").join(sizes("high", "n2"), "high").select("low", "high", "between", "n1", "n2"))
+        own = written(mutual.select(F.col("low.a").alias("low"), F.col("high.b").alias("high"), "between", F.col("low.na").alias("n1"), F.col("high.nb").alias("n2")))
         merges.append(own.select(F.col("low").alias("a"), F.col("high").alias("b"), F.col("between").alias("height"), (F.col("n1") + F.col("n2")).alias("size")))
-        part = own.select("low", F.explode(F.array("low", "high")).alias("node"), "between", "n1", "n2")
-        # One side: rows of both parts become the row of their union, whatever the other side still is.
-        side = d.join(part.withColumnRenamed("node", "a"), "a", "left").join(sizes("b", "n"), "b")
-        to = F.coalesce("low", "a")
-        side = side.filter("low is null or (b <> low and b <> a)").join(own.select(F.col("high").alias("b_high"), F.col("low").alias("b_low")), (F.col("b") == F.col("b_high")) & (F.col("low") == F.col("b_low")), "left_anti")
-        first, second = F.max(F.when(F.col("a") == to, F.col("d"))), F.max(F.when(F.col("a") != to, F.col("d")))
-        g = side.groupBy(to.alias("u"), "b").agg(first.alias("d1"), second.alias("d2"), F.max("between").alias("between"), F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.max("n").alias("n"))
-        half = g.select(F.col("u").alias("a"), "b", F.when(F.col("d2").isNull(), F.col("d1")).otherwise(_joined(linkage, *map(F.col, ("d1", "d2", "between", "n1", "n2", "n")))).alias("d"))
-        size = written(size.join(own.select(F.col("high").alias("node")), "node", "left_anti").join(own.select(F.col("low").alias("node"), F.col("n2").alias("more")), "node", "left").select("node", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
-        other = half.join(part.withColumnRenamed("node", "b"), "b", "left").join(size.select(F.col("node").alias("a"), "n"), "a")
-        to = F.coalesce("low", "b")
-        first, second = F.max(F.when(F.col("b") == to, F.col("d"))), F.max(F.when(F.col("b") != to, F.col("d")))
-        g = other.groupBy("a", to.alias("u")).agg(first.alias("d1"), second.alias("d2"), F.max("between").alias("between"), F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.max("n").alias("n"))
-        d = written(g.select("a", F.col("u").alias("b"), F.when(F.col("d2").isNull(), F.col("d1")).otherwise(_joined(linkage, *map(F.col, ("d1", "d2", "between", "n1", "n2", "n")))).alias("d")).filter("a <> b"))
+        part = own.select("low", "high", F.explode(F.array("low", "high")).alias("node"), "between", "n1", "n2")
+        # One side of the table, then the other: rows of both parts become the row of their union.
+        d = written(_half(_half(d, part, linkage), part, linkage))
     if not merges:
         kind = pairs.schema["a"].dataType.simpleString()
         return spark.createDataFrame([], f"a {kind}, b {kind}, height double, size long, step int")
