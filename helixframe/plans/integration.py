@@ -9,6 +9,7 @@ from helixframe.operators import communities as C
 from helixframe.operators import factors as X
 from helixframe.operators import graphs as G
 from helixframe.operators import integration as I
+from helixframe.operators import trajectory as J
 from helixframe.plans import data as D
 from helixframe.plans.graphs import _V, knn, labels, vectors
 from helixframe.plans.registry import query
@@ -148,3 +149,17 @@ def restarted_factors(spark, sf_dir):
 @query()
 def singular_vectors(spark, sf_dir):
     return X.singular_vectors(vectors(spark, sf_dir), 5)[0].select("id", F.transform("u", lambda x: F.round(x, 5)).alias("u"))
+
+
+@query()
+def diffusion_components(spark, sf_dir):
+    dc, _, _ = J.diffusion_map(knn(spark, sf_dir), 6)
+    return dc.select("id", F.transform("dc", lambda x: F.round(x, 4)).alias("dc"))
+
+
+@query()
+def palantir_pseudotime(spark, sf_dir):
+    """From the cell with the smallest id to those with the largest id of three labels."""
+    found = labels(spark, sf_dir).groupBy("label").agg(F.min("id").alias("low"), F.max("id").alias("high")).orderBy("label").collect()
+    told, _ = J.palantir(knn(spark, sf_dir), min(r["low"] for r in found), [r["high"] for r in found[1:4]])
+    return D.rounded(told, "pseudotime", "entropy", digits=4).withColumn("fates", F.transform("fates", lambda x: F.round(x, 4)))
