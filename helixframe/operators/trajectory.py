@@ -83,8 +83,7 @@ def leading_vectors(a: DataFrame, components: int, block: int = 8, tolerance: fl
     values, vectors, worst, m = np.zeros(0), np.zeros((0, 0)), np.inf, 0
     for step in range(most):
         m += block
-        own = written(state)
-        full = own.join(_times(a, own, "new", block), "id").select("id", F.concat("q", "new").alias("q"), F.concat("p", "out").alias("p"), "out")
+        full = state.join(_times(a, state, "new", block), "id").select("id", F.concat("q", "new").alias("q"), F.concat("p", "out").alias("p"), "out")
         full = written(full)
         sweep(spark, before, a, full)
         gram = products(full.select(F.concat("q", "p").alias("l"), F.concat("q", "p").alias("r")), "l", "r")
@@ -118,7 +117,7 @@ def leading_vectors(a: DataFrame, components: int, block: int = 8, tolerance: fl
 def diffusion_map(knn: DataFrame, components: int = 10, **more) -> tuple[DataFrame, np.ndarray, float]:
     """((id, dc array), eigenvalues, residual): right eigenvectors of the random walk on adaptive_kernel(), of unit length,
     the largest entry positive where it is told apart; the first is constant and has the eigenvalue 1."""
-    k = written(adaptive_kernel(knn))
+    k = written(adaptive_kernel(written(knn.select("id", "neighbour", "distance", "rank"))))
     degree = written(k.groupBy("src").agg(F.sum("weight").alias("d")))
     a = k.join(degree, "src").join(degree.select(F.col("src").alias("dst"), F.col("d").alias("e")), "dst").select("src", "dst", (F.col("weight") / F.sqrt(F.col("d") * F.col("e"))).alias("weight"))
     found, values, residual = leading_vectors(a, components, **more)
@@ -157,8 +156,8 @@ def palantir(knn: DataFrame, start: int, ends: list[int], waypoints: int = 60, c
     most, repeated until it settles. Fates are absorption probabilities of a walk on the way points that does not go back,
     carried to the cells by the same weights; those below `least` are zero. Way points, a parameter, squared are what meets
     on the driver. Cells that no way reaches have null results."""
-    spark = knn.sparkSession
-    dc, values, _ = diffusion_map(knn, components)
+    spark, knn = knn.sparkSession, written(knn.select("id", "neighbour", "distance", "rank"))
+    dc, values, _ = diffusion_map(knn, components, tolerance=1e-3, most=12)
     x = written(multiscale(dc, values))
     wide = len(x.first()["x"])
     span = x.select(*(F.min(F.col("x")[j]).alias(f"a{j}") for j in range(wide)), *(F.max(F.col("x")[j]).alias(f"z{j}") for j in range(wide))).first()

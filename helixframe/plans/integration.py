@@ -153,7 +153,7 @@ def singular_vectors(spark, sf_dir):
 
 @query()
 def diffusion_components(spark, sf_dir):
-    dc, _, _ = J.diffusion_map(knn(spark, sf_dir), 6)
+    dc, _, _ = J.diffusion_map(knn(spark, sf_dir), 6, tolerance=1e-3)
     return dc.select("id", F.transform("dc", lambda x: F.round(x, 4)).alias("dc"))
 
 
