@@ -10,11 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.ranks import average_rank
-from helixframe.session import cut
+from helixframe.session import written
 
 
 def completed(expr: DataFrame, samples: DataFrame, features: DataFrame) -> DataFrame:
@@ -54,61 +54,91 @@ def _gram(expr: DataFrame) -> DataFrame:
             order = np.array([place[f] for f in names])
             g, s = g[np.ix_(order, order)], s[order]
             i, j = np.nonzero(np.triu(g != 0) | np.eye(len(names), dtype=bool))
-            value = pa.array(names)
+            value = pa.array(names, coded.dictionary.type)
             yield pa.RecordBatch.from_arrays([value.take(pa.array(i)), value.take(pa.array(j)), pa.array(g[i, j]), pa.array(np.where(i == j, s[i], 0.0))], names=["f1", "f2", "sxy", "s1"])
 
     made = rows.mapInArrow(run, f"f1 {feature}, f2 {feature}, sxy double, s1 double")
     return made.groupBy("f1", "f2").agg(F.sum("sxy").alias("sxy"), F.sum("s1").alias("s1"))
 
 
-def _cross(expr: DataFrame, n: int, features: int | None = None) -> DataFrame:
-    """(f1, f2, sxy, s1, s2, q1, q2) for f1 < f2 with implicit zeros over n samples: all pairs of features, sxy being 0 for those
-    never seen together. Up to GRAM features are multiplied as matrices, more are joined on the sample; `features`, an
-    upper bound of their number, saves counting them."""
-    features = expr.select("feature").distinct().count() if features is None else features
+def _cross(expr: DataFrame, n: int | None, features: int | None = None) -> DataFrame:
+    """(f1, f2, sxy, s1, s2, q1, q2, n) for f1 < f2 with implicit zeros over n samples, or over those of `expr` if n is None:
+    all pairs of features, sxy being 0 for those never seen together. Up to GRAM features are multiplied as matrices, more
+    are joined on the sample. `features`, an upper bound of their number, and n save the two counts; for a count the matrix
+    is written once, so that what makes it is not run again."""
+    if n is None or features is None:
+        expr = written(expr.select("sample", "feature", F.col("value").cast("double").alias("value")))
+        n = expr.select("sample").distinct().count() if n is None else n
+        features = expr.select("feature").distinct().count() if features is None else features
     if features <= GRAM:
-        g = cut(_gram(expr))
+        g = written(_gram(expr))  # features squared, read three times
         m, xy = g.filter("f1 = f2").select(F.col("f1").alias("feature"), F.col("s1").alias("s"), F.col("sxy").alias("q")), g.filter("f1 < f2").select("f1", "f2", "sxy")
     else:
         m = expr.groupBy("feature").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
-        a = expr.select("sample", F.col("feature").alias("f1"), F.col("value").alias("x"))
-        b = expr.select("sample", F.col("feature").alias("f2"), F.col("value").alias("y"))
-        xy = a.join(b, "sample").filter("f1 < f2").groupBy("f1", "f2").agg(F.sum(F.col("x") * F.col("y")).alias("sxy"))
+        xy = _shared(expr, F.col("x") * F.col("y")).withColumnRenamed("part", "sxy")
     of = lambda k: m.select(F.col("feature").alias(f"f{k}"), F.col("s").alias(f"s{k}"), F.col("q").alias(f"q{k}"))
     every = of(1).join(of(2), F.col("f1") < F.col("f2"))  # as many rows as the result
     return every.join(xy, ["f1", "f2"], "left").withColumn("sxy", F.coalesce(F.col("sxy").cast("double"), F.lit(0.0))).withColumn("n", F.lit(float(n)))
 
 
-def covariance(expr: DataFrame, n: int) -> DataFrame:
+def _shared(expr: DataFrame, part: Column) -> DataFrame:
+    """(f1, f2, part): sums over the samples that two features share, of an expression of their values x and y."""
+    a = expr.select("sample", F.col("feature").alias("f1"), F.col("value").alias("x"))
+    b = expr.select("sample", F.col("feature").alias("f2"), F.col("value").alias("y"))
+    return a.join(b, "sample").filter("f1 < f2").groupBy("f1", "f2").agg(F.sum(part).alias("part"))
+
+
+def covariance(expr: DataFrame, n: int | None = None) -> DataFrame:
     """(f1, f2, cov) of the upper triangle."""
     return _cross(expr, n).select("f1", "f2", ((F.col("sxy") - F.col("s1") * F.col("s2") / F.col("n")) / (F.col("n") - 1)).alias("cov"))
 
 
-def pearson(expr: DataFrame, n: int) -> DataFrame:
+def pearson(expr: DataFrame, n: int | None = None) -> DataFrame:
     """(f1, f2, cor) of the upper triangle; null for constant features."""
     top = F.col("sxy") - F.col("s1") * F.col("s2") / F.col("n")
     bottom = F.sqrt((F.col("q1") - F.col("s1") ** 2 / F.col("n")) * (F.col("q2") - F.col("s2") ** 2 / F.col("n")))
     return _cross(expr, n).select("f1", "f2", (top / F.nullif(bottom, F.lit(0.0))).alias("cor"))
 
 
-def spearman(dense: DataFrame, n: int) -> DataFrame:
-    """Pearson of ranks with shared ties; needs the zeros as rows."""
-    return pearson(dense.select("sample", "feature", average_rank(["feature"], F.col("value")).alias("value")), n)
+def spearman(expr: DataFrame, n: int | None = None) -> DataFrame:
+    """(f1, f2, cor): Pearson of ranks with shared ties, zeros implicit.
 
+    The zeros of a feature are one block of ties. Ranks are taken less the rank of that block, which changes no correlation
+    and makes the zeros zeros again, so only values that are not zero are ranked."""
+    if n is None:
+        expr = written(expr.select("sample", "feature", F.col("value").cast("double").alias("value")))
+        n = expr.select("sample").distinct().count()
+    x, of = F.col("value"), Window.partitionBy("feature")
+    some = expr.filter("value <> 0")
+    ranked = some.withColumns({"rank": average_rank(["feature"], x), "zeros": F.lit(n) - F.count("*").over(of), "below": F.sum((x < 0).cast("long")).over(of)})
+    level = F.col("below") + (F.col("zeros") + 1) / 2
+    shifted = F.col("rank") + F.when(x > 0, F.col("zeros")).otherwise(0) - level
+    # A feature of zeros alone stays, as a constant one.
+    empty = expr.groupBy("feature").agg(F.max((x != 0).cast("int")).alias("any"), F.first("sample").alias("sample")).filter("any = 0")
+    return pearson(ranked.select("sample", "feature", shifted.alias("value")).unionByName(empty.select("sample", "feature", F.lit(0.0).alias("value"))), n)
 
-def cosine_distance(expr: DataFrame, n: int) -> DataFrame:
+
+def cosine_distance(expr: DataFrame, n: int | None = None) -> DataFrame:
     """(f1, f2, distance) = 1 - |cosine|."""
     return _cross(expr, n).select("f1", "f2", (1 - F.abs(F.col("sxy") / F.sqrt(F.col("q1") * F.col("q2")))).alias("distance"))
 
 
-def minkowski(dense: DataFrame, kind: str = "euclidean") -> DataFrame:
-    """(f1, f2, distance): euclidean, manhattan or canberra."""
-    a = dense.select("sample", F.col("feature").alias("f1"), F.col("value").alias("x"))
-    b = dense.select("sample", F.col("feature").alias("f2"), F.col("value").alias("y"))
-    d = F.col("x") - F.col("y")
-    part = {"euclidean": d * d, "manhattan": F.abs(d), "canberra": F.coalesce(F.abs(d) / F.nullif(F.abs("x") + F.abs("y"), F.lit(0.0)), F.lit(0.0))}[kind]
-    out = a.join(b, "sample").filter("f1 < f2").groupBy("f1", "f2").agg(F.sum(part).alias("distance"))
-    return out.withColumn("distance", F.sqrt("distance")) if kind == "euclidean" else out
+def minkowski(expr: DataFrame, kind: str = "euclidean") -> DataFrame:
+    """(f1, f2, distance): euclidean, manhattan or canberra, zeros implicit.
+
+    What a feature adds beside zeros alone is one number; samples that two features share correct the sum of two of them.
+    Euclidean distances of nearly equal features with large values lose digits by that."""
+    if kind == "euclidean":
+        return _cross(expr, 0).select("f1", "f2", F.sqrt(F.greatest(F.col("q1") + F.col("q2") - 2 * F.col("sxy"), F.lit(0.0))).alias("distance"))
+    x, y, v = F.col("x"), F.col("y"), F.col("value")
+    alone, both = {
+        "manhattan": (F.abs(v), F.abs(x - y) - F.abs(x) - F.abs(y)),
+        "canberra": (F.lit(1.0), F.abs(x - y) / (F.abs(x) + F.abs(y)) - 2),
+    }[kind]
+    expr = written(expr.select("sample", "feature", v.cast("double").alias("value")))
+    m = expr.groupBy("feature").agg(F.sum(F.when(v != 0, alone).otherwise(0.0)).alias("s"))
+    of = lambda k: m.select(F.col("feature").alias(f"f{k}"), F.col("s").alias(f"s{k}"))
+    return of(1).join(of(2), F.col("f1") < F.col("f2")).join(_shared(expr.filter("value <> 0"), both), ["f1", "f2"], "left").select("f1", "f2", (F.col("s1") + F.col("s2") + F.coalesce("part", F.lit(0.0))).alias("distance"))
 
 
 def differential_correlation(a: DataFrame, n_a: int, b: DataFrame, n_b: int) -> DataFrame:
@@ -126,11 +156,13 @@ def mirrored(pairs: DataFrame, value: str) -> DataFrame:
 
 
 def topological_overlap(pairs: DataFrame, value: str = "cor") -> DataFrame:
-    """(f1, f2, tom) unsigned, from |value| of an upper triangle: (shared + a) / (min degree + 1 - a)."""
-    a = cut(mirrored(pairs.select("f1", "f2", F.abs(value).alias("a")), "a"))  # read four times
+    """(f1, f2, tom) unsigned, from |value| of an upper triangle: (shared + a) / (min degree + 1 - a). What two features
+    share is the square of the matrix: of up to GRAM features one product of blocks of rows a task, of more a join."""
+    a = written(mirrored(pairs.select("f1", "f2", F.abs(value).alias("a")), "a"))  # read four times
     k = a.groupBy(F.col("f1").alias("f")).agg(F.sum("a").alias("k"))
-    left, right = a.select("f1", F.col("f2").alias("u"), F.col("a").alias("x")), a.select(F.col("f1").alias("u"), "f2", F.col("a").alias("y"))
-    shared = left.join(right, "u").filter("f1 < f2").groupBy("f1", "f2").agg(F.sum(F.col("x") * F.col("y")).alias("l"))
+    rows = a.filter("a > 0").select(F.col("f1").alias("sample"), F.col("f2").alias("feature"), F.col("a").alias("value"))
+    small = k.count() <= GRAM
+    shared = (_gram(rows).filter("f1 < f2") if small else _shared(rows, F.col("x") * F.col("y")).withColumnRenamed("part", "sxy")).select("f1", "f2", F.col("sxy").alias("l"))
     of = lambda i: k.select(F.col("f").alias(f"f{i}"), F.col("k").alias(f"k{i}"))
     j = a.filter("f1 < f2").join(shared, ["f1", "f2"], "left").join(of(1), "f1").join(of(2), "f2")
     return j.select("f1", "f2", ((F.coalesce("l", F.lit(0.0)) + F.col("a")) / (F.least("k1", "k2") + 1 - F.col("a"))).alias("tom"))

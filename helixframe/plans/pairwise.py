@@ -24,37 +24,37 @@ def _dense(spark, sf_dir):
 
 @query(f"{_D} SELECT a.feature AS f1, b.feature AS f2, round(corr(a.value, b.value), 6) AS cor {_PAIR}")
 def correlation_pearson(spark, sf_dir):
-    return D.rounded(P.pearson(D.expr(spark, sf_dir), _n(spark, sf_dir)), "cor")
+    return D.rounded(P.pearson(D.expr(spark, sf_dir)), "cor")
 
 
 @query(f"{_D} SELECT a.feature AS f1, b.feature AS f2, round(covar_samp(a.value, b.value), 4) AS cov {_PAIR}")
 def covariance(spark, sf_dir):
-    return D.rounded(P.covariance(D.expr(spark, sf_dir), _n(spark, sf_dir)), "cov", digits=4)
+    return D.rounded(P.covariance(D.expr(spark, sf_dir)), "cov", digits=4)
 
 
 @query(f"{_D}, r AS (SELECT sample, feature, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS value FROM dense) SELECT a.feature AS f1, b.feature AS f2, round(corr(a.value, b.value), 6) AS cor {_PAIR.replace('dense', 'r')}")
 def correlation_spearman(spark, sf_dir):
-    return D.rounded(P.spearman(_dense(spark, sf_dir), _n(spark, sf_dir)), "cor")
+    return D.rounded(P.spearman(D.expr(spark, sf_dir)), "cor")
 
 
 @query(f"{_D} SELECT a.feature AS f1, b.feature AS f2, round(1 - abs(sum(a.value * b.value) / sqrt(sum(a.value * a.value) * sum(b.value * b.value))), 6) AS distance {_PAIR}")
 def cosine_distance(spark, sf_dir):
-    return D.rounded(P.cosine_distance(D.expr(spark, sf_dir), _n(spark, sf_dir)), "distance")
+    return D.rounded(P.cosine_distance(D.expr(spark, sf_dir)), "distance")
 
 
 @query(f"{_D} SELECT a.feature AS f1, b.feature AS f2, round(sqrt(sum(pow(a.value - b.value, 2))), 6) AS distance {_PAIR}")
 def euclidean_distance(spark, sf_dir):
-    return D.rounded(P.minkowski(_dense(spark, sf_dir), "euclidean"), "distance")
+    return D.rounded(P.minkowski(D.expr(spark, sf_dir), "euclidean"), "distance")
 
 
 @query(f"{_D} SELECT a.feature AS f1, b.feature AS f2, round(sum(abs(a.value - b.value)), 6) AS distance {_PAIR}")
 def manhattan_distance(spark, sf_dir):
-    return D.rounded(P.minkowski(_dense(spark, sf_dir), "manhattan"), "distance")
+    return D.rounded(P.minkowski(D.expr(spark, sf_dir), "manhattan"), "distance")
 
 
 @query(f"{_D} SELECT a.feature AS f1, b.feature AS f2, round(sum(CASE WHEN a.value + b.value = 0 THEN 0 ELSE abs(a.value - b.value) / (a.value + b.value) END), 6) AS distance {_PAIR}")
 def canberra_distance(spark, sf_dir):
-    return D.rounded(P.minkowski(_dense(spark, sf_dir), "canberra"), "distance")
+    return D.rounded(P.minkowski(D.expr(spark, sf_dir), "canberra"), "distance")
 
 
 def _halves(spark, sf_dir):
@@ -73,7 +73,7 @@ def differential_correlation(spark, sf_dir):
 l AS (SELECT x.f1, y.f2, sum(x.a * y.a) AS l FROM s x JOIN s y ON x.f2 = y.f1 AND x.f1 < y.f2 GROUP BY 1, 2)
 SELECT c.f1, c.f2, round((l + a) / (least(k1.k, k2.k) + 1 - a), 6) AS tom FROM c JOIN l ON l.f1 = c.f1 AND l.f2 = c.f2 JOIN k k1 ON k1.f = c.f1 JOIN k k2 ON k2.f = c.f2""")
 def topological_overlap(spark, sf_dir):
-    return D.rounded(P.topological_overlap(P.pearson(D.expr(spark, sf_dir), _n(spark, sf_dir))), "tom")
+    return D.rounded(P.topological_overlap(P.pearson(D.expr(spark, sf_dir))), "tom")
 
 
 _SIM = """, a AS (SELECT set_id, count(*) AS n FROM sets GROUP BY 1), j AS (SELECT x.set_id AS l, y.set_id AS r, count(*) AS shared FROM sets x JOIN sets y ON x.member = y.member GROUP BY 1, 2)
@@ -141,13 +141,13 @@ def gower_distance(spark, sf_dir):
 
 @query(f"{_D}, c AS (SELECT a.feature AS f1, b.feature AS f2, 1 - abs(sum(a.value * b.value) / sqrt(sum(a.value * a.value) * sum(b.value * b.value))) AS distance {_PAIR}) SELECT f1, f2, round(distance, 6) AS distance, round(exp(-pow(2 * distance, 2)), 6) AS affinity FROM c")
 def radial_affinity(spark, sf_dir):
-    return D.rounded(P.radial(P.cosine_distance(D.expr(spark, sf_dir), _n(spark, sf_dir)), "distance", 2.0), "distance", "affinity")
+    return D.rounded(P.radial(P.cosine_distance(D.expr(spark, sf_dir)), "distance", 2.0), "distance", "affinity")
 
 
 @query(f"""{_D}, c AS (SELECT a.feature AS f1, b.feature AS f2, abs(corr(a.value, b.value)) AS a {_PAIR}), k AS (SELECT f, sum(a) AS k FROM (SELECT f1 AS f, a FROM c UNION ALL SELECT f2, a FROM c) GROUP BY 1), lim AS (SELECT min(k) AS lo, max(k) AS hi, count(*) AS n FROM k),
 h AS (SELECT least(floor((k - lo) / nullif(hi - lo, 0) * 10), 9) AS b, avg(k) AS mean, count(*) / max(n) AS p FROM k CROSS JOIN lim GROUP BY 1) SELECT round(regr_r2(log10(p), log10(mean)), 6) AS r2, round(regr_slope(log10(p), log10(mean)), 6) AS slope FROM h WHERE mean > 0""")
 def scale_free_topology(spark, sf_dir):
-    c = P.pearson(D.expr(spark, sf_dir), _n(spark, sf_dir)).withColumn("cor", F.abs("cor"))
+    c = P.pearson(D.expr(spark, sf_dir)).withColumn("cor", F.abs("cor"))
     return D.rounded(P.scale_free_fit(c, "cor", 10), "r2", "slope")
 
 
@@ -186,7 +186,7 @@ def gene_pair_correlations(spark, sf_dir):
 
 @query(f"{_D}, c AS (SELECT a.feature AS f1, b.feature AS f2, corr(a.value, b.value) AS cor {_PAIR}), d AS (SELECT f1, f2, cor FROM c UNION ALL SELECT DISTINCT feature, feature, 1.0 FROM dense) SELECT f1, f2, round(cor, 6) AS cor FROM d WHERE abs(cor) >= 0.1")
 def upper_triangle_table(spark, sf_dir):
-    c = P.mirrored(P.pearson(D.expr(spark, sf_dir), _n(spark, sf_dir)), "cor")
+    c = P.mirrored(P.pearson(D.expr(spark, sf_dir)), "cor")
     return D.rounded(P.upper_triangle(c, "cor", diagonal=1.0, least=0.1), "cor")
 
 
@@ -201,7 +201,7 @@ def row_jaccard(spark, sf_dir):
 @query(f"""{_D}, c AS (SELECT a.feature AS f1, b.feature AS f2, 1 - abs(sum(a.value * b.value) / sqrt(sum(a.value * a.value) * sum(b.value * b.value))) AS d {_PAIR}), g AS (SELECT f1, f2, e, exp(-pow(d * e, 2)) AS a FROM c CROSS JOIN (SELECT unnest([0.25, 0.5, 1.0, 2.0, 4.0])::DOUBLE AS e))
 SELECT e AS epsilon, f AS feature, round(sum(a), 5) AS k FROM (SELECT e, f1 AS f, a FROM g UNION ALL SELECT e, f2, a FROM g) GROUP BY 1, 2""")
 def connectivity_by_epsilon(spark, sf_dir):
-    d = P.cosine_distance(D.expr(spark, sf_dir), _n(spark, sf_dir))
+    d = P.cosine_distance(D.expr(spark, sf_dir))
     return D.rounded(P.connectivity_by_epsilon(d, "distance", [0.25, 0.5, 1, 2, 4]), "k", digits=5)
 
 
@@ -242,12 +242,12 @@ _MOD = f"{_D}, c AS (SELECT a.feature AS f1, b.feature AS f2, corr(a.value, b.va
 @query(_MOD + """, s AS (SELECT f1, f2, cor FROM c UNION ALL SELECT f2, f1, cor FROM c), o AS (SELECT x.module, f1, f2, cor FROM s JOIN mo x ON x.feature = f1 JOIN mo y ON y.feature = f2 WHERE x.module = y.module), h AS (SELECT module, f1 AS hub, row_number() OVER (PARTITION BY module ORDER BY round(avg(abs(cor)), 9) DESC, f1) AS r FROM o GROUP BY 1, 2),
 w AS (SELECT o.module, f1 AS feature, cor AS c FROM o JOIN h ON h.module = o.module AND r = 1 AND f2 = hub UNION ALL SELECT module, hub, 1.0 FROM h WHERE r = 1), mn AS (SELECT module, f1 AS feature, avg(cor) AS m FROM o GROUP BY 1, 2) SELECT module, feature, CASE WHEN c < 0 THEN -1 ELSE 1 END AS sign, round(m, 6) AS mean_cor FROM w LEFT JOIN mn USING (module, feature)""")
 def modules_by_sign(spark, sf_dir):
-    return D.rounded(P.split_by_sign(P.pearson(D.expr(spark, sf_dir), _n(spark, sf_dir)), _modules(spark, sf_dir)), "mean_cor")
+    return D.rounded(P.split_by_sign(P.pearson(D.expr(spark, sf_dir)), _modules(spark, sf_dir)), "mean_cor")
 
 
 @query(_MOD + ", o AS (SELECT x.module, cor * cor AS r2 FROM c JOIN mo x ON x.feature = f1 JOIN mo y ON y.feature = f2 WHERE x.module = y.module), q AS (SELECT module, quantile_cont(r2, 0.5) AS md, 1.4826 * mad(r2) AS mad FROM o GROUP BY 1) SELECT module, (SELECT count(*) FROM mo WHERE mo.module = q.module) AS size, round(md, 9) AS r2_median, round(mad, 9) AS r2_mad FROM q")
 def module_quality(spark, sf_dir):
-    return D.rounded(P.module_quality(P.pearson(D.expr(spark, sf_dir), _n(spark, sf_dir)), _modules(spark, sf_dir)), "r2_median", "r2_mad", digits=9)
+    return D.rounded(P.module_quality(P.pearson(D.expr(spark, sf_dir)), _modules(spark, sf_dir)), "r2_median", "r2_mad", digits=9)
 
 
 @query("""WITH r AS (SELECT 1 AS run, p_partkey AS feature, p_brand AS cluster FROM part UNION ALL SELECT 2, p_partkey, p_type FROM part UNION ALL SELECT 3, p_partkey, 's' || p_size FROM part), z AS (SELECT run, cluster, count(*) AS n FROM r GROUP BY 1, 2),
