@@ -93,11 +93,11 @@ def covariance(expr: DataFrame, n: int | None = None) -> DataFrame:
     return _cross(expr, n).select("f1", "f2", ((F.col("sxy") - F.col("s1") * F.col("s2") / F.col("n")) / (F.col("n") - 1)).alias("cov"))
 
 
-def pearson(expr: DataFrame, n: int | None = None) -> DataFrame:
+def pearson(expr: DataFrame, n: int | None = None, features: int | None = None) -> DataFrame:
     """(f1, f2, cor) of the upper triangle; null for constant features."""
     top = F.col("sxy") - F.col("s1") * F.col("s2") / F.col("n")
     bottom = F.sqrt((F.col("q1") - F.col("s1") ** 2 / F.col("n")) * (F.col("q2") - F.col("s2") ** 2 / F.col("n")))
-    return _cross(expr, n).select("f1", "f2", (top / F.nullif(bottom, F.lit(0.0))).alias("cor"))
+    return _cross(expr, n, features).select("f1", "f2", (top / F.nullif(bottom, F.lit(0.0))).alias("cor"))
 
 
 def spearman(expr: DataFrame, n: int | None = None) -> DataFrame:
@@ -105,9 +105,9 @@ def spearman(expr: DataFrame, n: int | None = None) -> DataFrame:
 
     The zeros of a feature are one block of ties. Ranks are taken less the rank of that block, which changes no correlation
     and makes the zeros zeros again, so only values that are not zero are ranked."""
-    if n is None:
-        expr = written(expr.select("sample", "feature", F.col("value").cast("double").alias("value")))
-        n = expr.select("sample").distinct().count()
+    expr = written(expr.select("sample", "feature", F.col("value").cast("double").alias("value")))
+    n = expr.select("sample").distinct().count() if n is None else n
+    features = expr.select("feature").distinct().count()
     x, of = F.col("value"), Window.partitionBy("feature")
     some = expr.filter("value <> 0")
     ranked = some.withColumns({"rank": average_rank(["feature"], x), "zeros": F.lit(n) - F.count("*").over(of), "below": F.sum((x < 0).cast("long")).over(of)})
@@ -115,7 +115,7 @@ def spearman(expr: DataFrame, n: int | None = None) -> DataFrame:
     shifted = F.col("rank") + F.when(x > 0, F.col("zeros")).otherwise(0) - level
     # A feature of zeros alone stays, as a constant one.
     empty = expr.groupBy("feature").agg(F.max((x != 0).cast("int")).alias("any"), F.first("sample").alias("sample")).filter("any = 0")
-    return pearson(ranked.select("sample", "feature", shifted.alias("value")).unionByName(empty.select("sample", "feature", F.lit(0.0).alias("value"))), n)
+    return pearson(ranked.select("sample", "feature", shifted.alias("value")).unionByName(empty.select("sample", "feature", F.lit(0.0).alias("value"))), n, features)
 
 
 def cosine_distance(expr: DataFrame, n: int | None = None) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.ranks import weighted_bh
 from helixframe.operators import graphs as G
+from helixframe.operators import layout as L
 from helixframe.operators import neighbours as N
 from helixframe.plans import data as D
 from helixframe.plans.registry import query
+from helixframe.session import written
 
 _V = "WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), d AS (SELECT a.id, b.id AS neighbour, round(list_distance(a.e, b.e), 6) AS d6, list_distance(a.e, b.e) AS distance FROM v a JOIN v b ON a.id <> b.id), knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(distance, 9), neighbour) AS rank FROM d) WHERE rank <= 10)"
 
@@ -205,3 +207,21 @@ def principal_components(spark, sf_dir):
 def contrastive_components(spark, sf_dir):
     v = D.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
     return G.contrastive_components(v.filter("label < 5"), v.filter("label >= 5"), 1.0, 3).select("id", F.transform("pc", lambda x: F.round(x, 4)).alias("pc"))
+
+
+@query(f"""{_V.replace("WITH", "WITH RECURSIVE", 1)}, r AS (SELECT id, list(distance ORDER BY distance) AS d, coalesce(min(distance) FILTER (distance > 0), 0) AS rho, avg(distance) AS mean FROM knn GROUP BY 1),
+s AS (SELECT id, d, rho, mean, 0 AS i, CAST(0 AS DOUBLE) AS low, CAST(-1 AS DOUBLE) AS high, CAST(1 AS DOUBLE) AS mid FROM r
+UNION ALL SELECT id, d, rho, mean, i + 1, CASE WHEN t > log2(len(d) + 1) THEN low ELSE mid END, CASE WHEN t > log2(len(d) + 1) THEN mid ELSE high END, CASE WHEN t > log2(len(d) + 1) THEN (low + mid) / 2 WHEN high < 0 THEN mid * 2 ELSE (mid + high) / 2 END
+FROM (SELECT *, list_sum(list_transform(d, lambda x: exp(-greatest(x - rho, 0) / mid))) AS t FROM s WHERE i < 64)),
+w AS (SELECT knn.id AS src, neighbour AS dst, exp(-greatest(distance - rho, 0) / greatest(mid, mean / 1000)) AS w FROM knn JOIN s ON s.id = knn.id AND i = 64), b AS (SELECT * FROM w UNION ALL SELECT dst, src, w FROM w)
+SELECT src, dst, round(sum(w) - CASE WHEN count(*) > 1 THEN min(w) * max(w) ELSE 0 END, 6) AS weight FROM b GROUP BY 1, 2""")
+def fuzzy_neighbour_graph(spark, sf_dir):
+    return D.rounded(L.fuzzy_graph(knn(spark, sf_dir)), "weight")
+
+
+@query()
+def umap_layout(spark, sf_dir):
+    """Two dimensions of the embeddings, from a spectral start."""
+    g = written(L.fuzzy_graph(knn(spark, sf_dir)))
+    at = L.umap(g, L.spectral_start(g, 2, tolerance=1e-2, most=4))
+    return at.select("id", F.col("at")[0].alias("umap_1"), F.col("at")[1].alias("umap_2"))
