@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.operators import cells as C
+from helixframe.operators import canonical as K
 from helixframe.operators import fusion as U
 from helixframe.operators import graphs as G
 from helixframe.operators import harmonise as H
@@ -140,3 +141,28 @@ def protein_components(spark, sf_dir):
     c = every.join(c, ["cell", "gene"], "left").withColumn("raw", F.coalesce("raw", F.lit(0)))
     x = C.clr(c, 25).select("cell", "gene", F.col("clr").alias("norm"))
     return H.expression_components(x, c.select("gene"), D.obs(spark, sf_dir).count(), 3).select("cell", F.transform("pc", lambda x: F.round(x, 4)).alias("pc"))
+
+
+def _batch(spark, sf_dir, b: int):
+    return vectors(spark, sf_dir).filter(F.col("id") % 3 == b)
+
+
+@query()
+def canonical_components(spark, sf_dir):
+    """Components that two thirds of the embeddings share, with their singular values."""
+    u, v, s, _ = K.canonical_vectors(K.standardised(_batch(spark, sf_dir, 0)), K.standardised(_batch(spark, sf_dir, 1)), 8)
+    told = F.array(*(F.lit(float(x)) for x in s))
+    return u.unionByName(v).select("id", F.posexplode("u").alias("component", "value")).withColumn("singular_value", F.element_at(told, F.col("component") + 1))
+
+
+@query()
+def canonical_anchors(spark, sf_dir):
+    return D.rounded(K.canonical_anchors(_batch(spark, sf_dir, 0), _batch(spark, sf_dir, 1), dims=10, top=32), "score")
+
+
+@query()
+def canonical_integration(spark, sf_dir):
+    """Three batches of embeddings brought together along anchors."""
+    v = vectors(spark, sf_dir)
+    out = K.integrated(v, v, v.select("id", (F.col("id") % 3).alias("batch")), dims=10, top=32)
+    return out.select("id", F.transform("embedding", lambda x: F.round(x, 5)).alias("embedding"))
