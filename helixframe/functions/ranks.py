@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions.ranges import ranged, running
+
 
 def average_rank(by: list[str], order: Column) -> Column:
     """Rank in ascending order; ties share the mean of their ranks."""
@@ -21,16 +23,14 @@ def bh_adjusted(p: Column, by: list[str], tests: Column, tie: list[str]) -> Colu
 
 
 def weighted_bh(rows: DataFrame, p: str = "pvalue", weight: str = "weight", tie: str = "id") -> DataFrame:
-    """Adds spatial_fdr: sum of weights times p over the running weight, made monotone from the largest p down.
-
-    One row per neighbourhood, so the frame is small beside the cells. Null p-values keep a null result."""
-    some = rows.filter(F.col(p).isNotNull())
-    up = Window.partitionBy(F.lit(0)).orderBy(p, tie).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy(F.lit(0))
-    raw = some.withColumn("raw__", F.sum(weight).over(all_) * F.col(p) / F.sum(weight).over(up))
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc(p), F.desc(tie)).rowsBetween(Window.unboundedPreceding, 0)
-    done = raw.withColumn("spatial_fdr", F.least(F.lit(1.0), F.min("raw__").over(down))).drop("raw__")
-    return done.unionByName(rows.filter(F.col(p).isNull()).withColumn("spatial_fdr", F.lit(None).cast("double")))
+    """Adds spatial_fdr: sum of weights times p over the running weight, made monotone from the largest p down. The order is
+    cut into ranges, so no task holds all rows. Null p-values keep a null result."""
+    some = ranged(rows.filter(F.col(p).isNotNull()), p, tie)
+    total = some.agg(F.sum(weight)).first()[0]
+    raw = running(some, [p, tie], F.col(weight), "up__").withColumn("raw__", F.lit(total).cast("double") * F.col(p) / F.col("up__")).drop("up__")
+    done = running(raw, [p, tie], F.col("raw__"), "spatial_fdr", least=True, backwards=True).drop("raw__", "range__")
+    none = rows.filter(F.col(p).isNull()).withColumn("spatial_fdr", F.lit(None).cast("double"))
+    return done.withColumn("spatial_fdr", F.least(F.lit(1.0), "spatial_fdr")).unionByName(none)
 
 
 def quantile_scaled(x: Column, by: list[Column], cut: float) -> Column:

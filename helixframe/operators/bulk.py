@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions.ranges import positions, tile
+from helixframe.session import written
+
 
 def sample_quality(counts: DataFrame, genes: int, threshold: float = 2.0) -> DataFrame:
     """(sample, detected, share, outlier): genes with a count in each sample; samples more than `threshold` standard
@@ -204,7 +207,8 @@ def voom_weights(counts: DataFrame, groups: DataFrame, bins: int = 50, prior: fl
     scale = lib.agg(F.avg(F.log2(F.col("lib") + 1)).alias("scale__"))
     size = v.groupBy("gene").agg(F.avg("value").alias("a")).join(fit.select("gene", F.sqrt(F.sqrt("s2")).alias("spread")).distinct(), "gene").crossJoin(F.broadcast(scale))
     size = size.select("gene", (F.col("a") + F.col("scale__") - math.log2(1e6)).alias("x"), "spread").dropna()
-    cut = size.withColumn("bin", F.ntile(bins).over(Window.partitionBy(F.lit(0)).orderBy("x", "gene")))  # one row a gene
+    placed = written(positions(size, "x", "gene"))
+    cut = placed.withColumn("bin", tile(F.col("position"), placed.count(), bins))
     knots = sorted(tuple(r) for r in cut.groupBy("bin").agg(F.avg("x").alias("x"), F.avg("spread").alias("y")).select("x", "y").collect())
     xs = F.array(*(F.lit(float(x)) for x, _ in knots))
     ys = F.array(*(F.lit(float(y)) for _, y in knots))

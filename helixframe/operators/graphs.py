@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.session import cut
+from helixframe.functions.ranges import positions, tile
+from helixframe.session import cut, written
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -76,7 +77,8 @@ def permuted_seeds(edges: DataFrame, seeds: DataFrame, permutations: int, bins:
     """(perm, node, score): seeds moved to other nodes of alike degree. Nodes are cut into `bins` by the rank of their
     degree; a permutation orders the nodes of a bin by a seeded hash and moves each score to the node at its place."""
     degree = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
-    binned = degree.withColumn("bin", F.ntile(bins).over(Window.partitionBy(F.lit(0)).orderBy("degree", "node")))  # two numbers a node
+    at = written(positions(degree, "degree", "node"))
+    binned = at.select("node", tile(F.col("position"), at.count(), bins).alias("bin"))
     placed = binned.select("bin", "node", F.row_number().over(Window.partitionBy("bin").orderBy("node")).alias("at"))
     held = placed.join(seeds, "node").select("bin", "at", "score")
     drawn = placed.select("bin", "node", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))

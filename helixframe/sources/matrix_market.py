@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.functions.ranges import positions
+
 
 def read_matrix(spark: SparkSession, path: str, cells_as_rows: bool = False) -> tuple[DataFrame, tuple[int, int, int]]:
     """(counts (cell, gene, raw) with indices from 0, (rows, columns, entries)). Lines are split in parallel; only the
@@ -25,10 +27,8 @@ def read_matrix(spark: SparkSession, path: str, cells_as_rows: bool = False) ->
 
 def read_names(spark: SparkSession, path: str, column: str, sep: str = "\t") -> DataFrame:
     """(index from 0, name) of the first column of a file of barcodes or features; its order is that of the file."""
-    from pyspark.sql import Window
-
     rows = spark.read.text(path).select(F.split("value", sep)[0].alias(column), F.monotonically_increasing_id().alias("o"))
-    return rows.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("o")) - 1).cast("long").alias("index"), column)  # one row a name
+    return positions(rows, "o").select((F.col("position") - 1).cast("long").alias("index"), column)
 
 
 def write_matrix(counts: DataFrame, path: str, genes: int, cells: int) -> None:
