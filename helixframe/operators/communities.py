@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Sequence
 
@@ -10,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.functions.ranges import positions
 from helixframe.operators.graphs import both_ways
 from helixframe.session import cut, sweep, tables, written
 
@@ -243,15 +245,76 @@ def louvain(edges: DataFrame, resolution: float = 1.0, levels: int = 5, rounds:
     return leiden(edges, (resolution,), levels, rounds, refine=False).select("node", "label")
 
 
-def resolution_summary(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """(resolution, n_communities, largest, modularity) of labels (resolution, node, label)."""
+def _by_resolution(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(resolution, n_communities, largest, i, m, q): weights inside, in all, and squared sums of degrees of communities."""
     way = _directed(edges)
     of = lambda n, l: labels.select("resolution", F.col("node").alias(n), F.col("label").alias(l))
     e = way.join(of("src", "a"), "src").join(of("dst", "b").withColumnRenamed("resolution", "r"), "dst").filter("r = resolution")
     s = e.groupBy("resolution", F.col("a").alias("label")).agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("weight")).otherwise(0.0)).alias("inner"), F.sum("weight").alias("all"))
     s = s.join(labels.groupBy("resolution", "label").agg(F.count("*").alias("size")), ["resolution", "label"])
-    m = s.groupBy("resolution").agg(F.count("*").alias("n_communities"), F.max("size").alias("largest"), F.sum("inner").alias("i"), F.sum("all").alias("m"), F.sum(F.col("all") ** 2).alias("q"))
-    return m.select("resolution", "n_communities", "largest", (F.col("i") / F.col("m") - F.col("resolution") * F.col("q") / F.col("m") ** 2).alias("modularity"))
+    return s.groupBy("resolution").agg(F.count("*").alias("n_communities"), F.max("size").alias("largest"), F.sum("inner").alias("i"), F.sum("all").alias("m"), F.sum(F.col("all") ** 2).alias("q"))
+
+
+def resolution_summary(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(resolution, n_communities, largest, modularity) of labels (resolution, node, label)."""
+    return _by_resolution(edges, labels).select("resolution", "n_communities", "largest", (F.col("i") / F.col("m") - F.col("resolution") * F.col("q") / F.col("m") ** 2).alias("modularity"))
+
+
+def resolution_steps(low: float = 0.1, high: float = 10.0, number: int = 15) -> list[float]:
+    """Resolutions at equal ratios."""
+    return [float(x) for x in np.geomspace(low, high, number)]
+
+
+def hit_communities(hits: DataFrame, resolutions: Sequence[float]) -> DataFrame:
+    """(resolution, origin, module, label, modularity): communities of reciprocal best hits (origin_a, module_a, origin_b,
+    module_b, similarity) at every resolution; modularity is that of the resolution's communities at a resolution of one.
+    Labels are numbers of modules in the order of origin and name."""
+    of = lambda x: hits.select(F.col(f"origin_{x}").alias("origin"), F.col(f"module_{x}").alias("module"))
+    names = written(positions(of("a").unionByName(of("b")).distinct(), "origin", "module"))
+    at = lambda x, n: names.select(F.col("origin").alias(f"origin_{x}"), F.col("module").alias(f"module_{x}"), F.col("position").alias(n))
+    edges = written(hits.join(at("a", "src"), ["origin_a", "module_a"]).join(at("b", "dst"), ["origin_b", "module_b"]).select("src", "dst", F.col("similarity").alias("weight")))
+    found = leiden(edges, resolutions)
+    quality = _by_resolution(edges, found).select("resolution", (F.col("i") / F.col("m") - F.col("q") / F.col("m") ** 2).alias("modularity"))
+    return found.join(names.withColumnRenamed("position", "node"), "node").join(quality, "resolution").select("resolution", "origin", "module", "label", "modularity")
+
+
+def privileged_communities(edges: DataFrame, scores: DataFrame, *seeds: DataFrame, share: float = 0.5, resolution: float = 0.5, max_nodes: int = 300, min_nodes: int = 10, min_seeds: int = 2, step: float = 0.05, most: int = 100) -> DataFrame:
+    """(node, label, size, seeds_1, ...): communities of the part of a graph that a diffusion reaches best, which hold at least
+    `min_nodes` nodes and at least `min_seeds` nodes of every table of seeds (node). The part is the `share` of nodes with the
+    highest scores (node, score), rounded up, ties to the smaller node.
+
+    Communities of over `max_nodes` nodes are divided again, each as a graph of its own at a resolution raised by `step` a
+    time, all of them in one pass: with each graph's weights scaled to a sum of one, the sum over their number is what a
+    joint pass at that number times the resolution sees. What is still too large after `most` times is left out, as are
+    nodes that have no edge inside."""
+    before = tables()
+    ranked = written(positions(scores.select("node", (-F.col("score")).alias("less")).dropna(), "less", "node"))
+    kept = ranked.filter(F.col("position") <= math.ceil(share * ranked.count())).select("node")
+    end = lambda c: kept.select(F.col("node").alias(c))
+    inner = written(edges.join(end("src"), "src", "left_semi").join(end("dst"), "dst", "left_semi").select("src", "dst", "weight"))
+    labels, good = leiden(inner, (resolution,)).select("node", "label"), None
+    for turn in range(1, most + 1):
+        sized = written(labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label"))
+        small = sized.filter(F.col("size") <= max_nodes)
+        good = written(small if good is None else good.unionByName(small))
+        big = sized.filter(F.col("size") > max_nodes).select("node", "label")
+        graphs = big.select("label").distinct().count()
+        if not graphs or turn == most:
+            break
+        of = lambda c, l: big.select(F.col("node").alias(c), F.col("label").alias(l))  # noqa: E731, B023
+        parts = inner.join(of("src", "a"), "src").join(of("dst", "b"), "dst").filter("a = b and weight > 0")
+        total = parts.groupBy("a").agg(F.sum("weight").alias("total"))
+        scaled = written(parts.join(total, "a").select("src", "dst", (F.col("weight") / F.col("total")).alias("weight")))
+        labels = leiden(scaled, ((resolution + turn * step) * graphs,)).select("node", "label")
+    told = good
+    for i, s in enumerate(seeds, 1):
+        told = told.join(s.select("node").distinct().withColumn(f"s{i}", F.lit(1)), "node", "left")
+    per = told.groupBy("label").agg(F.count("*").alias("size"), *(F.sum(F.coalesce(f"s{i}", F.lit(0))).alias(f"seeds_{i}") for i in range(1, len(seeds) + 1)))
+    for i in range(1, len(seeds) + 1):
+        per = per.filter(F.col(f"seeds_{i}") >= min_seeds)
+    out = written(good.select("node", "label").join(per.filter(F.col("size") >= min_nodes), "label").select("node", "label", "size", *(f"seeds_{i}" for i in range(1, len(seeds) + 1))))
+    sweep(edges.sparkSession, before, out)
+    return out
 
 
 def smoothed_signal(edges: DataFrame, signal: DataFrame, beta: float = 1.0, order: int = 12) -> DataFrame:

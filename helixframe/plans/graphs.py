@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.functions.ranks import weighted_bh
+from helixframe.operators import communities as C
 from helixframe.operators import graphs as G
 from helixframe.operators import layout as L
 from helixframe.operators import neighbours as N
@@ -225,3 +226,11 @@ def umap_layout(spark, sf_dir):
     g = written(L.fuzzy_graph(knn(spark, sf_dir)))
     at = L.umap(g, L.spectral_start(g, 2, tolerance=1e-2, most=4))
     return at.select("id", F.col("at")[0].alias("umap_1"), F.col("at")[1].alias("umap_2"))
+
+
+@query()
+def privileged_communities(spark, sf_dir):
+    """Suppliers and nations that a diffusion from ten suppliers reaches best."""
+    e = G.both_ways(edges(spark, sf_dir))
+    seeds = D.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), F.lit(1.0).alias("score")).filter("node <= 10")
+    return C.privileged_communities(edges(spark, sf_dir), G.personalised_page_rank(e, seeds), seeds, resolution=1.0, min_nodes=5, max_nodes=50, min_seeds=1, most=10)

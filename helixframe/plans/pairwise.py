@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from helixframe.operators import communities as C
 from helixframe.operators import pairwise as P
 from helixframe.operators import trees as T
 from helixframe.plans import data as D
@@ -98,9 +99,18 @@ s AS (SELECT j.*, c / (a.n + b.n - c) AS sim FROM j JOIN n a ON a.origin = oa AN
 r AS (SELECT *, rank() OVER (PARTITION BY oa, ma, ob ORDER BY round(sim, 9) DESC) AS r1, rank() OVER (PARTITION BY ob, mb, oa ORDER BY round(sim, 9) DESC) AS r2 FROM s WHERE sim >= 0.01)
 SELECT oa AS origin_a, ma AS module_a, ob AS origin_b, mb AS module_b, round(sim, 6) AS similarity FROM r WHERE r1 = 1 AND r2 = 1""")
 def reciprocal_best_hits(spark, sf_dir):
+    return D.rounded(P.reciprocal_best_hits(_part_modules(spark, sf_dir), 0.01), "similarity")
+
+
+@query()
+def hit_communities(spark, sf_dir):
+    """Communities of brands, types and sizes that are each other's best hits, at several resolutions."""
+    return D.rounded(C.hit_communities(P.reciprocal_best_hits(_part_modules(spark, sf_dir), 0.01), C.resolution_steps(0.5, 5.0, 4)), "modularity")
+
+
+def _part_modules(spark, sf_dir):
     p = D.table(spark, sf_dir, "part")
-    m = p.select(F.explode(F.array(*(F.struct(F.lit(o).alias("origin"), c.alias("set_id")) for o, c in (("brand", F.col("p_brand")), ("type", F.col("p_type")), ("size", F.concat(F.lit("size "), F.col("p_size").cast("string"))))))).alias("o"), F.col("p_partkey").alias("member")).select("o.*", "member")
-    return D.rounded(P.reciprocal_best_hits(m, 0.01), "similarity")
+    return p.select(F.explode(F.array(*(F.struct(F.lit(o).alias("origin"), c.alias("set_id")) for o, c in (("brand", F.col("p_brand")), ("type", F.col("p_type")), ("size", F.concat(F.lit("size "), F.col("p_size").cast("string"))))))).alias("o"), F.col("p_partkey").alias("member")).select("o.*", "member")
 
 
 @query(f"""{_D}, lim AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM dense GROUP BY 1), b AS (SELECT sample, feature, CAST(least(floor((value - lo) / nullif(hi - lo, 0) * 8), 7) AS INT) AS b FROM dense JOIN lim USING (feature)),

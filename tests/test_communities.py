@@ -1,5 +1,6 @@
 """Leiden and Louvain: planted groups, several resolutions, blocks, connected communities."""
 
+import numpy as np
 import pytest
 
 from helixframe.operators import communities
@@ -68,3 +69,31 @@ def test_disconnected_communities_are_cut(spark):
     nodes = spark.createDataFrame([(1.0, i, 7) for i in range(4)] + [(1.0, 4, 8)], "resolution double, node long, community long")
     got = {r["node"]: r["community"] for r in communities._connected(way, nodes).collect()}
     assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
+
+
+def test_privileged_communities(spark):
+    rng = np.random.default_rng(8)
+    groups = np.arange(90) // 15  # six groups, of which the first four are reached; then far nodes
+    rows = [(i, j, 1.0) for i in range(90) for j in range(i + 1, 90) if groups[i] == groups[j] and rng.random() < 0.6]
+    rows += [(i, i + 15, 0.05) for i in range(75)]
+    edges = spark.createDataFrame(rows, "src long, dst long, weight double")
+    scores = spark.createDataFrame([(i, float(1 + (i < 60))) for i in range(90)], "node long, score double")
+    seeds = spark.createDataFrame([(0,), (1,), (16,), (20,), (31,), (59,)], "node long")
+    for resolution in (1.0, 1e-6):  # told apart at once, or divided again from one community
+        out = communities.privileged_communities(edges, scores, seeds, share=2 / 3, resolution=resolution, max_nodes=20, min_nodes=10, min_seeds=2, step=0.5).collect()
+        got = {}
+        for r in out:
+            got.setdefault(r["label"], set()).add(r["node"])
+            assert (r["size"], r["seeds_1"]) == (15, 2)
+        assert sorted(map(sorted, got.values())) == [list(range(15)), list(range(15, 30))]
+
+
+def test_communities_of_hits(spark):
+    hits = spark.createDataFrame([("x", "a", "y", "b", 0.5), ("y", "b", "z", "c", 0.4), ("x", "d", "y", "e", 0.9)], "origin_a string, module_a string, origin_b string, module_b string, similarity double")
+    out = communities.hit_communities(hits, (0.5, 1.0)).collect()
+    for r in (0.5, 1.0):
+        label = {(x["origin"], x["module"]): x["label"] for x in out if x["resolution"] == r}
+        assert len(label) == 5 and label["x", "a"] == label["y", "b"] == label["z", "c"] != label["x", "d"] == label["y", "e"]
+        assert {round(x["modularity"], 9) for x in out if x["resolution"] == r} == {0.5}
+    steps = communities.resolution_steps()
+    assert len(steps) == 15 and abs(steps[0] - 0.1) < 1e-12 and abs(steps[7] - 1) < 1e-9
