@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions.ranges import positions, tile
 from helixframe.functions.ranks import bh_adjusted
 from helixframe.functions.special import normal_tail
+from helixframe.session import written
 
 
 def quality_filter(counts: DataFrame, min_cells: int, min_lib_size: int, min_genes: int) -> DataFrame:
@@ -286,7 +288,8 @@ def module_scores(norm: DataFrame, sets: DataFrame, n_cells: int, bins: int = 24
     """(cell, set_id, score): mean expression of a set less that of control genes drawn, by a seeded hash, from the
     expression bins of its members, weighted by how many members a bin has."""
     avg = norm.groupBy("gene").agg((F.sum("norm") / n_cells).alias("a"))
-    binned = avg.withColumn("bin", F.ntile(bins).over(Window.partitionBy(F.lit(0)).orderBy("a", "gene")))  # one row a gene
+    placed = written(positions(avg, "a", "gene"))
+    binned = placed.withColumn("bin", tile(F.col("position"), placed.count(), bins)).drop("position")
     sets = sets.select("set_id", F.col("member").alias("gene")).distinct().join(binned, "gene")
     need = sets.groupBy("set_id", "bin").agg(F.count("*").alias("members"))
     pool = need.join(binned.select("gene", "bin"), "bin").withColumn("i", F.row_number().over(Window.partitionBy("set_id", "bin").orderBy(F.md5(F.concat_ws("|", F.col("gene").cast("string"), "set_id", F.lit(str(seed)))), "gene"))).filter(F.col("i") <= controls)
