@@ -8,11 +8,24 @@ from pyspark.sql import functions as F
 from helixframe.functions.ranges import positions
 
 
+def _lines(df: DataFrame) -> DataFrame:
+    return df.filter(~F.col("value").startswith("%") & (F.length(F.trim("value")) > 0))
+
+
+def _head(spark: SparkSession, path: str) -> str:
+    """The line of dimensions: the first line of the first part file that has one. Spark reads large files of a folder
+    first, so the first row of the whole folder may be an entry."""
+    for file in sorted(spark.read.text(path).inputFiles(), key=lambda f: (len(f), f)):
+        if found := _lines(spark.read.text(file)).head(1):
+            return found[0]["value"]
+    raise ValueError(f"{path} has no line of dimensions")
+
+
 def read_matrix(spark: SparkSession, path: str, cells_as_rows: bool = False) -> tuple[DataFrame, tuple[int, int, int]]:
     """(counts (cell, gene, raw) with indices from 0, (rows, columns, entries)). Lines are split in parallel; only the
     line of dimensions is looked at by the driver. Plain and gzipped files are read alike."""
-    lines = spark.read.text(path).filter(~F.col("value").startswith("%") & (F.length(F.trim("value")) > 0))
-    head = lines.first()["value"]
+    lines = _lines(spark.read.text(path))
+    head = _head(spark, path)
     dims = tuple(map(int, head.split()))
     part = F.split(F.trim("value"), r"\s+")
     same = lines.filter(F.col("value") == head)
@@ -26,9 +39,12 @@ def read_matrix(spark: SparkSession, path: str, cells_as_rows: bool = False) ->
 
 
 def read_names(spark: SparkSession, path: str, column: str, sep: str = "\t") -> DataFrame:
-    """(index from 0, name) of the first column of a file of barcodes or features; its order is that of the file."""
-    rows = spark.read.text(path).select(F.split("value", sep)[0].alias(column), F.monotonically_increasing_id().alias("o"))
-    return positions(rows, "o").select((F.col("position") - 1).cast("long").alias("index"), column)
+    """(index from 0, name) of the first column of a file of barcodes or features; its order is that of the file, or of
+    part files by name."""
+    file = F.col("_metadata.file_path")
+    order = {"l__": F.length(file), "f__": file, "b__": F.col("_metadata.file_block_start"), "o__": F.monotonically_increasing_id()}
+    rows = spark.read.text(path).select(F.split("value", sep)[0].alias(column), *(v.alias(k) for k, v in order.items()))
+    return positions(rows, *order).select((F.col("position") - 1).cast("long").alias("index"), column)
 
 
 def write_matrix(counts: DataFrame, path: str, genes: int, cells: int) -> None:
@@ -51,7 +67,7 @@ def scan_folders(spark: SparkSession, folders: dict[str, str], cells_as_rows: bo
     """(exp_id, cells, genes, entries) of Matrix Market folders, as their headers say; only headers are read."""
     found = []
     for k, at in sorted(folders.items()):  # one short read a folder
-        _, (a, b, n) = read_matrix(spark, f"{at}/matrix.mtx", cells_as_rows)
+        a, b, n = map(int, _head(spark, f"{at}/matrix.mtx").split())
         found.append((k, a if cells_as_rows else b, b if cells_as_rows else a, n))
     return spark.createDataFrame(found, "exp_id string, cells long, genes long, entries long")
 
