@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -117,16 +117,33 @@ def dispersion_hvg(counts: DataFrame, n_cells: int, top: int) -> DataFrame:
     return g.join(best, "gene", "left").withColumn("is_hvg", F.coalesce("is_hvg", F.lit(False)))
 
 
-def _loess(x: np.ndarray, y: np.ndarray, span: float) -> np.ndarray:
-    """Local quadratic fit with tricube weights at every x."""
-    k = max(3, min(len(x), int(np.ceil(span * len(x)))))
-    out = np.empty(len(x))
-    for i in range(len(x)):
-        d = np.abs(x - x[i])
-        reach = np.partition(d, k - 1)[k - 1] or 1e-12
-        near = d <= reach
-        w = (1 - np.minimum(1, d[near] / reach) ** 3) ** 3 + 1e-12
-        a = np.vander(x[near] - x[i], 3, increasing=True) * np.sqrt(w)[:, None]
+def _loess(x: np.ndarray, y: np.ndarray, span: float, n: np.ndarray | None = None, at: np.ndarray | None = None) -> np.ndarray:
+    """Local quadratic fit with tricube weights at every x, or at those of the places `at`. With `n`, x is sorted and distinct
+    and y the mean of as many points, which gives the fit of all of them."""
+    if n is None:
+        distinct, of, n = np.unique(x, return_inverse=True, return_counts=True)
+        return _loess(distinct, np.bincount(of, weights=y) / n, span, n)[of]
+    at = np.arange(len(x)) if at is None else at
+    upto = np.cumsum(n)
+    k = max(3, int(np.ceil(span * upto[-1]))) if upto[-1] >= 3 else int(upto[-1])
+    k = min(k, int(upto[-1]))
+    point = lambda j: x[np.searchsorted(upto, j, side="right")]  # noqa: E731  x of the point j, were each repeated n times
+    # The k nearest points follow one another. They start no later than where their ends are as far from x on the right.
+    low, high = np.zeros(len(at), np.int64), np.full(len(at), upto[-1] - k)
+    while (low < high).any():
+        middle = (low + high) // 2
+        right = point(middle + k - 1) - x[at] >= x[at] - point(middle)
+        right |= low == high
+        low, high = np.where(right, low, middle + 1), np.where(right, middle, high)
+    farthest = lambda j: np.maximum(np.abs(x[at] - point(j)), np.abs(point(j + k - 1) - x[at]))
+    reach = np.minimum(farthest(low), farthest(np.maximum(low - 1, 0)))
+    reach[reach == 0] = 1e-12
+    out = np.empty(len(at))
+    for i, (place, r) in enumerate(zip(at, reach, strict=True)):
+        d = np.abs(x - x[place])
+        near = d <= r
+        w = ((1 - np.minimum(1, d[near] / r) ** 3) ** 3 + 1e-12) * n[near]
+        a = np.vander(x[near] - x[place], 3, increasing=True) * np.sqrt(w)[:, None]
         out[i] = np.linalg.lstsq(a, y[near] * np.sqrt(w), rcond=None)[0][0]
     return out
 
@@ -135,27 +152,30 @@ def vst_hvg(counts: DataFrame, n_cells: int, top: int, span: float = 0.3) -> Dat
     """(gene, mean, variance, variance_std, is_hvg): variance of counts standardised by the variance that a local fit of
     log variance on log mean expects, clipped at the square root of the number of cells.
 
-    Moments are one aggregate and the fit runs once over one row a gene (tens of thousands); the clipped sums are a
-    second aggregate over the counts."""
+    Moments are one aggregate, written once; the clipped sums are a second aggregate over the counts. Genes of one mean are
+    one point of the fit, so points are at most as many as different totals of counts; places to fit at are dealt to tasks."""
     x = F.col("raw").cast("double")
     g = counts.groupBy("gene").agg((F.sum(x) / n_cells).alias("mean"), (F.sum(x * x) / n_cells).alias("sq"), F.count("*").alias("nnz"))
-    g = g.withColumn("variance", F.greatest(F.col("sq") - F.col("mean") ** 2, F.lit(0.0)))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        some = pdf["variance"] > 0
-        pdf["expected_sd"] = np.nan
-        if some.any():
-            pdf.loc[some, "expected_sd"] = np.sqrt(10 ** _loess(np.log10(pdf.loc[some, "mean"].to_numpy()), np.log10(pdf.loc[some, "variance"].to_numpy()), span))
-        return pdf[["gene", "mean", "variance", "nnz", "expected_sd"]]
-
-    fitted = g.groupBy(F.lit(0).alias("all")).applyInPandas(fit, "gene long, mean double, variance double, nnz long, expected_sd double")
+    g = written(g.select("gene", "mean", F.greatest(F.col("sq") - F.col("mean") ** 2, F.lit(0.0)).alias("variance"), "nnz"))
+    points = g.filter("variance > 0").groupBy("mean").agg(F.count("*").alias("n"), F.avg(F.log10("variance")).alias("y")).orderBy("mean").toPandas()
+    mean, n, y = points["mean"].to_numpy(np.float64), points["n"].to_numpy(np.int64), points["y"].to_numpy(np.float64)
+    logs = np.log10(mean)
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at = pdf["id"].to_numpy()
+            yield pd.DataFrame({"mean": mean[at], "expected_sd": np.sqrt(10 ** _loess(logs, y, span, n, at))})
+
+    places = g.sparkSession.range(0, len(mean), 1, max(1, -(-len(mean) // 64)))
+    expected = written(places.mapInPandas(fit, "mean double, expected_sd double"))
+    fitted = g.withColumn("some__", F.when(F.col("variance") > 0, F.col("mean"))).join(F.broadcast(expected.withColumnRenamed("mean", "some__")), "some__", "left").drop("some__")
     bound = float(np.sqrt(n_cells))
     clip = lambda z: F.least(F.greatest(z, F.lit(-bound)), F.lit(bound))
     z = clip((F.col("raw") - F.col("mean")) / F.col("expected_sd"))
     sums = counts.join(fitted.select("gene", "mean", "expected_sd"), "gene").groupBy("gene").agg(F.sum(z).alias("s"), F.sum(z * z).alias("ss"))
     zero = clip(-F.col("mean") / F.col("expected_sd"))
     full = fitted.join(sums, "gene").withColumn("s", F.col("s") + (n_cells - F.col("nnz")) * zero).withColumn("ss", F.col("ss") + (n_cells - F.col("nnz")) * zero * zero)
-    full = full.withColumn("variance_std", F.coalesce(F.nanvl(F.col("ss") / n_cells - (F.col("s") / n_cells) ** 2, F.lit(0.0)), F.lit(0.0)))
+    full = full.withColumn("variance_std", F.when(F.col("expected_sd") > 0, F.col("ss") / n_cells - (F.col("s") / n_cells) ** 2).otherwise(0.0))
     best = full.orderBy(F.desc("variance_std"), "gene").limit(top).select("gene", F.lit(True).alias("is_hvg"))
     return full.join(best, "gene", "left").select("gene", "mean", "variance", "variance_std", F.coalesce("is_hvg", F.lit(False)).alias("is_hvg"))
 
