@@ -51,3 +51,39 @@ def test_small_and_odd_tables(spark):
     assert key(neighbours.neighbours(v, 5)) == key(exact)
     with pytest.raises(ValueError):
         neighbours.neighbours(v, 5, "lists", "cosine")
+
+
+def test_vectors_travel_in_proportion():
+    """Copies of a vector that are shuffled, for the exact search of a table in itself on 12 cores: 148 before at 600,000."""
+    copies = lambda n, dims: sum(graphs.tiled(n, n, dims, 12))
+    assert copies(600_000, 64) <= 24 and copies(100_000, 64) <= 32
+    assert graphs.tiled(600_000, 500, 64, 12)[1] == 1  # a few queries travel, not the table
+    assert graphs.tiled(10, 0, 64, 12)[0] == 1
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+@pytest.mark.parametrize("scale", [1.0, 1e-12, 1e17])
+def test_closest_is_exact_with_ties(metric, scale):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3_000, 6)) * scale
+    x[rng.integers(0, 3_000, 300)] = x[7]
+    ids, asked = rng.permutation(3_000) * 2, 40
+    own, near, _ = graphs._closest(x, ids, x[:asked], ids[:asked], 9, metric)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = 1 - u[:asked] @ u.T if metric == "cosine" else np.sqrt(((x[:asked, None] - x) ** 2).sum(axis=2))
+    d[ids[:asked, None] == ids] = np.inf
+    for i in range(asked):
+        best = np.sort(ids[np.lexsort((ids, np.round(d[i], 9)))[:9]])
+        assert np.array_equal(np.sort(near[own == ids[i]]), best)
+
+
+def test_lists_are_dealt_to_blocks(spark):
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(size=(900, 5)), np.full((300, 5), 9.0) + rng.normal(size=(300, 5)) * 1e-3])  # one list outgrows a block
+    v = vectors(spark, x)
+    centres = np.array([[0.0] * 5, [9.0] * 5, [4.0] * 5])
+    _, sizes = graphs._listed(v, centres)
+    dealt = graphs._blocks_of_lists(sizes, centres, 8)
+    assert sum(sizes.values()) == 1_200 and {each for each, _, _ in dealt} == set(sizes) and max(pieces for _, _, pieces in dealt) > 1
+    key = lambda df: sorted((r["id"], r["rank"], r["neighbour"]) for r in df.collect())
+    assert key(graphs._of_lists(v, 6, None, centres, 3)) == key(graphs.nearest_neighbours(v, 6))
