@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.ranks import average_rank, bh_adjusted
 from helixframe.functions.special import hypergeometric_tail
-from helixframe.session import cut
+from helixframe.session import cut, written
 
 
 def hypergeometric(targets: DataFrame, sets: DataFrame, universe: DataFrame | None = None, min_overlap: int = 3, threshold: float | None = 0.05) -> DataFrame:
@@ -126,16 +126,21 @@ def gsea_statistic(stats: DataFrame, sets: DataFrame, power: float = 1.0, min_si
     maximum, just before it for the minimum. Sets with a column `contrast` are those of that contrast alone."""
     w = Window.partitionBy("contrast")
     ranked = stats.withColumn("at", F.row_number().over(w.orderBy(F.desc("stat"), "feature"))).withColumn("n", F.count("*").over(w))
-    hit = ranked.join(*_members(sets))
     own = Window.partitionBy("contrast", "set_id")
-    hit = hit.withColumn("m", F.count("*").over(own)).filter(F.col("m").between(min_size, max_size) & (F.col("m") < F.col("n")))
+    hit = ranked.join(*_members(sets)).withColumn("m", F.count("*").over(own))
+    return _extremes(hit.filter(F.col("m").between(min_size, max_size) & (F.col("m") < F.col("n"))), ["contrast"], power)
+
+
+def _extremes(hit: DataFrame, by: list[str], power: float) -> DataFrame:
+    """(by..., set_id, size, es) from members of sets with their place `at` among n features, m members a set."""
+    own = Window.partitionBy(*by, "set_id")
     part = F.pow(F.abs("stat"), F.lit(power))
     upto = own.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     hit = hit.withColumn("part", part / F.sum(part).over(own)).withColumn("run", F.sum("part").over(upto)).withColumn("i", F.row_number().over(own.orderBy("at")))
     miss = (F.col("at") - F.col("i")) / (F.col("n") - F.col("m"))
-    g = hit.groupBy("contrast", "set_id").agg(F.first("m").alias("size"), F.max(F.col("run") - miss).alias("high"), F.min(F.col("run") - F.col("part") - miss).alias("low"))
+    g = hit.groupBy(*by, "set_id").agg(F.first("m").alias("size"), F.max(F.col("run") - miss).alias("high"), F.min(F.col("run") - F.col("part") - miss).alias("low"))
     es = F.when(F.col("high") > -F.col("low"), F.col("high")).when(F.col("high") < -F.col("low"), F.col("low")).otherwise(F.lit(0.0))
-    return g.select("contrast", "set_id", "size", es.alias("es"))
+    return g.select(*by, "set_id", "size", es.alias("es"))
 
 
 def gsea_permutations(stats: DataFrame, sets: DataFrame, permutations: int = 100, seed: int = 42, power: float = 1.0, min_size: int = 5, max_size: int = 500) -> DataFrame:
@@ -259,18 +264,29 @@ def normalised_enrichment(real: DataFrame, null: DataFrame) -> DataFrame:
     return g.withColumn("fdr", bh_adjusted(F.col("pval"), ["contrast"], F.count("pval").over(Window.partitionBy("contrast")), ["set_id"])).select("contrast", "set_id", "es", "nes", "pval", "fdr")
 
 
-def permuted_statistics(stats: DataFrame, sets: DataFrame, permutations: int, seed: int = 42, power: float = 1.0, min_size: int = 5, max_size: int = 500) -> DataFrame:
-    """(contrast, set_id, null_es) of statistics dealt to features anew, by a seeded hash; see gsea_permutations()."""
-    copies = stats.select("*", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
+def dealt_statistics(stats: DataFrame, permutations: int, seed: int = 42) -> DataFrame:
+    """(contrast, perm, feature, stat, at): statistics dealt to features anew, by a seeded hash, and their places by
+    descending statistic. A permutation is shuffled once, as names and as values; hashes are made where they are sorted."""
+    every = F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm")
+    together = lambda t: t.select("*", every).repartition("contrast", "perm")
     w = Window.partitionBy("contrast", "perm")
     key = F.md5(F.concat_ws("|", F.col("feature").cast("string"), F.col("perm").cast("string"), F.lit(str(seed))))
-    dealt = copies.withColumn("a", F.row_number().over(w.orderBy(key, "feature"))).withColumn("b", F.row_number().over(w.orderBy(F.desc("stat"), "feature")))
-    names, values = dealt.select("contrast", "perm", "feature", F.col("a").alias("at")), dealt.select("contrast", "perm", "stat", F.col("b").alias("at"))
-    shuffled = names.join(values, ["contrast", "perm", "at"]).select(F.struct("contrast", "perm").alias("contrast"), "feature", "stat")
-    if "contrast" in sets.columns:  # each permutation meets the sets of its contrast
-        every = F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm")
-        sets = sets.select("*", every).withColumn("contrast", F.struct("contrast", "perm")).drop("perm")
-    return gsea_statistic(shuffled, sets, power, min_size, max_size).select(F.col("contrast.contrast").alias("contrast"), "set_id", F.col("es").alias("null_es"))
+    down = F.row_number().over(Window.partitionBy("contrast").orderBy(F.desc("stat"), "feature"))
+    names = together(stats.select("contrast", "feature")).withColumn("at", F.row_number().over(w.orderBy(key, "feature")))
+    values = together(stats.select("contrast", "stat", down.alias("at")))
+    shuffled = names.join(values, ["contrast", "perm", "at"]).drop("at")
+    return shuffled.select("contrast", "perm", "feature", "stat", F.row_number().over(w.orderBy(F.desc("stat"), "feature")).alias("at"))
+
+
+def permuted_statistics(stats: DataFrame, sets: DataFrame, permutations: int, seed: int = 42, power: float = 1.0, min_size: int = 5, max_size: int = 500, dealt: DataFrame | None = None) -> DataFrame:
+    """(contrast, set_id, null_es) of dealt_statistics(); see gsea_permutations(). A permutation changes neither the size of
+    a set nor the number of features, so only members of sets that count meet permutations."""
+    dealt = dealt_statistics(stats, permutations, seed) if dealt is None else dealt
+    n = stats.groupBy("contrast").agg(F.count("*").alias("n"))
+    held = stats.select("contrast", "feature").join(*_members(sets)).withColumn("m", F.count("*").over(Window.partitionBy("contrast", "set_id")))
+    held = held.join(F.broadcast(n), "contrast").filter(F.col("m").between(min_size, max_size) & (F.col("m") < F.col("n")))  # a row a contrast
+    hit = dealt.join(held.select("contrast", "feature", "set_id", "m", "n"), ["contrast", "feature"])
+    return _extremes(hit, ["contrast", "perm"], power).select("contrast", "set_id", F.col("es").alias("null_es"))
 
 
 def gsea_leading_edge(stats: DataFrame, sets: DataFrame, power: float = 1.0, min_size: int = 5, max_size: int = 500) -> DataFrame:
@@ -300,13 +316,15 @@ def gsea_elimination(stats: DataFrame, terms: DataFrame, ancestry: DataFrame, le
     term leave all its ancestors, in that contrast only. One step per level of the ontology."""
     from functools import reduce
 
+    stats = written(stats)
+    dealt = written(dealt_statistics(stats, permutations, seed))  # the same at all levels
     gone, done = None, []
     for level in sorted(levels, reverse=True):
         mine = terms.filter(F.col("level") == level).select(F.col("term").alias("set_id"), "member").distinct()
         own = stats.select("contrast").distinct().crossJoin(mine).select("contrast", "set_id", "member")
         own = own.join(gone, ["contrast", "set_id", "member"], "left_anti") if gone is not None else own
         real = gsea_statistic(stats, own, 1.0, min_size, max_size)
-        null = permuted_statistics(stats, own, permutations, seed, 1.0, min_size, max_size)
+        null = permuted_statistics(stats, own, permutations, seed, 1.0, min_size, max_size, dealt)
         j = real.join(null, ["contrast", "set_id"], "left")
         same = F.signum("null_es") == F.signum("es")
         n = j.groupBy("contrast", "set_id", "size", "es").agg(((F.count_if(same & (F.abs("null_es") >= F.abs("es"))) + 1) / (F.count_if(same) + 1)).alias("pval"))

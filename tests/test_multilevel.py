@@ -89,3 +89,21 @@ def test_elimination(spark):
     got = {(r["contrast"], r["term"]): r for r in multilevel.multilevel_elimination(stats, low.unionByName(high), up, [0, 1], elim_threshold=1e-6).collect()}
     n = high.count()
     assert got["a", "both"]["size"] == n - 15 and got["b", "both"]["size"] == n
+
+
+def test_statistics_are_dealt_once(spark):
+    """Places of dealt statistics by their definition, ties to the smaller feature; sets that are too large meet none."""
+    import hashlib
+
+    stat = {f: float(f * 7 % 5) for f in range(12)}
+    stats = spark.createDataFrame([("c", f, s) for f, s in stat.items()], "contrast string, feature long, stat double")
+    dealt = enrichment.dealt_statistics(stats, 2, 42)
+    got = {(r["perm"], r["feature"]): (r["stat"], r["at"]) for r in dealt.collect()}
+    for perm in (1, 2):
+        names = sorted(stat, key=lambda f: hashlib.md5(f"{f}|{perm}|42".encode()).hexdigest())
+        values = dict(zip(names, sorted(stat.values(), reverse=True), strict=True))
+        for at, f in enumerate(sorted(stat, key=lambda f: (-values[f], f)), 1):
+            assert got[perm, f] == (values[f], at)
+    sets = spark.createDataFrame([("small", f) for f in range(5)] + [("large", f) for f in range(11)], "set_id string, member long")
+    null = enrichment.permuted_statistics(stats, sets, 2, 42, max_size=8, dealt=dealt)
+    assert sorted(r["set_id"] for r in null.collect()) == ["small", "small"]
