@@ -235,24 +235,29 @@ def two_group_markers(norm: DataFrame, a: DataFrame, b: DataFrame, min_prop: flo
 def specific_markers(norm: DataFrame, obs: DataFrame, group: str) -> DataFrame:
     """(group, gene, auc_min, auc_median, auc_mean, rivals): the AUROC of a gene in a group against each other group.
 
-    Counts below a value are running sums over the distinct values of a gene, for every group; zeros are one block of
-    ties of each group and never rows."""
-    sizes = obs.groupBy(group).agg(F.count("*").alias("n"))
-    x = norm.select("cell", "gene", "norm").join(obs.select("cell", group), "cell")
-    c = x.groupBy("gene", "norm", group).agg(F.count("*").alias("c"))
-    nnz = c.groupBy("gene", group).agg(F.sum("c").alias("nnz"))
-    rival = sizes.select(F.col(group).alias("rival"), F.col("n").alias("nr"))
-    values = c.select("gene", "norm").distinct().join(F.broadcast(rival))  # groups are few
-    values = values.join(c.select("gene", "norm", F.col(group).alias("rival"), F.col("c").alias("cr")), ["gene", "norm", "rival"], "left").withColumn("cr", F.coalesce("cr", F.lit(0)))
-    below = Window.partitionBy("gene", "rival").orderBy("norm").rowsBetween(Window.unboundedPreceding, -1)
-    values = values.withColumn("below", F.coalesce(F.sum("cr").over(below), F.lit(0)))
-    zr = F.col("nr") - F.coalesce("nnzr", F.lit(0))
-    values = values.join(nnz.select("gene", F.col(group).alias("rival"), F.col("nnz").alias("nnzr")), ["gene", "rival"], "left").withColumn("zr", zr)
-    u = c.join(values.select("gene", "norm", "rival", "cr", "below", "zr", "nr"), ["gene", "norm"]).filter(F.col("rival") != F.col(group))
-    u = u.groupBy(group, "gene", "rival").agg(F.sum(F.col("c") * (F.col("below") + F.col("cr") / 2 + F.col("zr"))).alias("u"), F.first("zr").alias("zr"), F.first("nr").alias("nr"))
-    u = u.join(nnz, [group, "gene"]).join(F.broadcast(sizes), group)
-    auc = (F.col("u") + (F.col("n") - F.col("nnz")) * F.col("zr") / 2) / (F.col("n") * F.col("nr"))
-    return u.withColumn("auc", auc).groupBy(group, "gene").agg(F.min("auc").alias("auc_min"), F.percentile("auc", F.lit(0.5)).alias("auc_median"), F.avg("auc").alias("auc_mean"), F.count("*").alias("rivals"))
+    Counts below a value are running sums over the distinct values of a gene, a column for each group, so that counts are
+    shuffled once, by gene; zeros are one block of ties of each group and never rows."""
+    sizes = [(r[group], r["n"]) for r in obs.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n")).orderBy(group).collect()]  # groups are few
+    if len(sizes) < 2:
+        nothing = [F.lit(0.0).alias(c) for c in ("auc_min", "auc_median", "auc_mean")]
+        return norm.join(obs, "cell").select(group, "gene", *nothing, F.lit(0).cast("long").alias("rivals")).limit(0)
+    every, rivals = range(len(sizes)), len(sizes) - 1
+    x = norm.select("cell", "gene", "norm").join(obs.select("cell", group), "cell").select("gene", "norm", group).repartition("gene")
+    values = x.groupBy("gene", "norm").agg(*(F.count_if(F.col(group) == F.lit(sizes[i][0])).alias(f"c{i}") for i in every))
+    whole = Window.partitionBy("gene")
+    below = whole.orderBy("norm").rowsBetween(Window.unboundedPreceding, -1)
+    level = lambda i: (F.coalesce(F.sum(f"c{i}").over(below), F.lit(0)) + F.col(f"c{i}") / 2).alias(f"b{i}")
+    own = F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"c{i}").alias("c")) for i in every))
+    held = values.select("gene", own.alias("own"), *(level(i) for i in every), *(F.sum(f"c{i}").over(whole).alias(f"t{i}") for i in every))
+    held = held.select("gene", F.explode(F.filter("own", lambda x: x["c"] > 0)).alias("own"), *(f"b{i}" for i in every), *(f"t{i}" for i in every))
+    u = held.groupBy("gene", F.col("own.i").alias("i")).agg(F.sum("own.c").alias("nnz"), *(F.sum(F.col("own.c") * F.col(f"b{i}")).alias(f"u{i}") for i in every), *(F.first(f"t{i}").alias(f"t{i}") for i in every))
+    names, n = F.array(*(F.lit(x) for x, _ in sizes)), F.array(*(F.lit(x) for _, x in sizes))
+    u = u.select("gene", "i", "nnz", F.get(names, "i").alias(group), F.get(n, "i").alias("n"), *(f"u{i}" for i in every), *((F.lit(sizes[i][1]) - F.col(f"t{i}")).alias(f"z{i}") for i in every))
+    auc = lambda i: F.when(F.col("i") != i, (F.col(f"u{i}") + F.col("nnz") * F.col(f"z{i}") + (F.col("n") - F.col("nnz")) * F.col(f"z{i}") / 2) / (F.col("n") * sizes[i][1]))
+    u = u.withColumn("aucs", F.sort_array(F.array_compact(F.array(*(auc(i) for i in every)))))
+    median = (F.get("aucs", F.lit((rivals - 1) // 2)) + F.get("aucs", F.lit(rivals // 2))) / 2
+    mean = F.aggregate("aucs", F.lit(0.0), lambda s, x: s + x) / rivals
+    return u.select(group, "gene", F.get("aucs", F.lit(0)).alias("auc_min"), median.alias("auc_median"), mean.alias("auc_mean"), F.lit(rivals).cast("long").alias("rivals"))
 
 
 def rescued(flags: DataFrame, safe: dict[str, tuple[float | None, float | None]], flag: str = "outlier") -> DataFrame:

@@ -174,3 +174,20 @@ def test_store(spark, tmp_path):
     with pytest.raises(ValueError):
         store.dropped(kept, ["cell"])
     assert store.snake_case(spark.range(1).withColumnRenamed("id", "nCount RNA")).columns == ["n_count_rna"]
+
+
+def test_specific_markers_shuffle_counts_once(spark):
+    """Counts meet by gene once, beside the join with the groups; of one group there are no rivals."""
+    from helixframe.operators import cells
+
+    norm = spark.createDataFrame([(c, c % 3, float(c % 4 + 1)) for c in range(1, 25)], "cell long, gene long, norm double")
+    obs = spark.createDataFrame([(c, "abc"[c % 5 % 3]) for c in range(1, 31)] + [(31, None)], "cell long, grp string")
+    out = cells.specific_markers(norm, obs, "grp")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+    for r in out.collect():
+        dense = {c: 0.0 for c in range(1, 31)} | {x["cell"]: x["norm"] for x in norm.collect() if x["gene"] == r["gene"]}
+        of = lambda g: [v for c, v in dense.items() if "abc"[c % 5 % 3] == g]
+        aucs = sorted(sum((x > y) + (x == y) / 2 for x in of(r["grp"]) for y in of(g)) / len(of(r["grp"])) / len(of(g)) for g in "abc" if g != r["grp"])
+        assert abs(r["auc_min"] - aucs[0]) < 1e-9 and abs(r["auc_median"] - sum(aucs) / 2) < 1e-9 and abs(r["auc_mean"] - sum(aucs) / 2) < 1e-9 and r["rivals"] == 2
+    assert cells.specific_markers(norm, obs.filter("grp = 'a'"), "grp").count() == 0
