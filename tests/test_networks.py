@@ -69,3 +69,17 @@ def test_one_split_is_the_best_split():
                 best[j, b] = y[left].sum() ** 2 / left.sum() + y[~left].sum() ** 2 / (~left).sum() - y.sum() ** 2 / 300
     (j, _), most = max(best.items(), key=lambda x: x[1])
     assert gains.argmax() == j and abs(gains[j] - most) < 1e-9 and (gains > 0).sum() == 1
+
+
+def test_factors_of_few_cells_never_split_and_stay_behind(spark):
+    """Drawn among all factors, those of at least `least` cells give what all of them give."""
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random((400, 30)) < np.where(np.arange(30) % 3 == 0, 0.2, 0.01), rng.poisson(3.0, (400, 30)) + 1.0, 0.0)
+    y = x[:, [0, 3, 6]] * 2 + rng.normal(size=(400, 3))
+    often = np.flatnonzero((x > 0).sum(axis=0) >= 10)
+    assert 0 < len(often) < 15
+    whole, _ = networks.Booster(networks.binned(x), 3, 0.1, 40, 10, 0.9, "sqrt", 10, [1]).importances(y)
+    part, _ = networks.Booster(networks.binned(x[:, often]), 3, 0.1, 40, 10, 0.9, "sqrt", 10, [1], often, 30).importances(y)
+    assert np.array_equal(whole[:, often], part) and not np.delete(whole, often, axis=1).any() and part.any()
+    expr, tf = frame(spark, x[:, np.setdiff1d(np.arange(30), often)], y)
+    assert networks.factor_importances(expr, tf).count() == 0
