@@ -37,6 +37,24 @@ def test_descent_from_a_poor_start(spark, monkeypatch):
         assert r["distance"] == pytest.approx(np.linalg.norm(x[r["id"]] - x[r["neighbour"]]), abs=1e-6)
 
 
+def test_descent_starts_well(spark, monkeypatch):
+    """In blocks of 256 in two ways the start found under a third."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4_000, 16)).astype(np.float32)
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, embedding array<float>")
+    exact = graphs.nearest_neighbours(v, 5).cache()
+    recall = lambda found: graphs.neighbour_recall(exact, found).agg(F.avg("recall")).first()[0]
+    start = lambda: graphs._ranked(neighbours._start(v, 5, 4_000, 16, 1).distinct(), 5)
+    assert recall(start()) == 1  # one block
+    monkeypatch.setattr(neighbours, "START_ROWS", 512)
+    assert recall(start()) > 0.6
+    found = neighbours.descended_neighbours(v, 5)
+    doubles = neighbours.descended_neighbours(v.select("id", F.col("embedding").cast("array<double>").alias("embedding")), 5)
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(found) == key(doubles)  # single precision travels, doubles are measured
+    assert recall(found) > 0.9
+
+
 def test_small_and_odd_tables(spark):
     rng = np.random.default_rng(4)
     v = vectors(spark, np.repeat(rng.normal(size=(4, 3)), 3, axis=0))  # equal vectors, fewer than the width
