@@ -93,3 +93,12 @@ def test_batches_mix(spark):
     assert apart(out) < 0.35 * apart(both)
     centre = np.stack([out[kind == k].mean(0) for k in range(3)])
     assert (np.linalg.norm(out[:, None] - centre[None], axis=2).argmin(1) == kind).all()
+
+
+def test_tables_of_one_block_are_searched_exactly(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(C, "approximate_neighbours", lambda *_: None)
+    v = spark.range(40_000).select("id", F.array(F.col("id").cast("double")).alias("embedding"))
+    found = C._near(v, 2, v.filter("id in (0, 7000)"))
+    assert sorted((r["id"], r["neighbour"]) for r in found.collect()) == [(0, 1), (0, 2), (7000, 6999), (7000, 7001)]
