@@ -38,7 +38,7 @@ def test_descent_from_a_poor_start(spark, monkeypatch):
 
 
 def test_descent_starts_well(spark, monkeypatch):
-    """In blocks of 256 in two ways the start found under a third."""
+    """One block is searched exactly; several, cut in STARTS ways, find most neighbours."""
     rng = np.random.default_rng(5)
     x = rng.normal(size=(4_000, 16)).astype(np.float32)
     v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, embedding array<float>")
