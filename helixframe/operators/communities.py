@@ -16,7 +16,7 @@ from helixframe.operators.graphs import both_ways
 from helixframe.session import cut, sweep, tables, written
 
 #: Directed edges of a block of nodes, about: what one task moves at a time.
-BLOCK_EDGES = 500_000
+BLOCK_EDGES = 2_000_000
 _KEYS = ["resolution", "block"]
 
 
@@ -25,6 +25,11 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return _quality(_directed(edges), labels, resolution)
 
 
+def _met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join by shuffle on both sides: tables of nodes in rounds would go through the driver as often as there are rounds."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _directed(edges: DataFrame) -> DataFrame:
     """Both directions of each edge, summed, so that a row's sum is the degree."""
     return both_ways(edges.filter("weight > 0 and src is not null and dst is not null")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
@@ -133,11 +138,11 @@ class _Block:
 def _frames(way: DataFrame, nodes: DataFrame, by: str, blocks: int) -> DataFrame:
     """Rows for blocks of nodes: edges with the label of their end, and the nodes. `by` names the labels' column."""
     size = nodes.groupBy("resolution", by).agg(F.sum("k").alias("size"), F.count("*").alias("members"))
-    known = nodes.join(size, ["resolution", by])
+    known = _met(nodes, size, ["resolution", by])
     block = F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("block")
     own = known.select("resolution", block, "node", F.lit(None).cast("long").alias("dst"), F.col("k").alias("weight"), F.col(by).alias("label"), "size", "members", "community")
     end = known.select("resolution", F.col("node").alias("dst"), F.col(by).alias("label"), "size", "members", F.col("community").alias("there"))
-    ways = way.join(end, ["resolution", "dst"]).withColumnRenamed("src", "node")
+    ways = _met(way, end, ["resolution", "dst"]).withColumnRenamed("src", "node")
     return own.unionByName(ways.select("resolution", block, "node", "dst", "weight", "label", "size", "members", F.col("there").alias("community")))
 
 
@@ -154,12 +159,18 @@ def _shifted(way: DataFrame, nodes: DataFrame, totals: dict[float, float], block
     return _frames(way, nodes, "community", blocks).groupBy(*_KEYS).applyInPandas(run, "resolution double, node long, k double, community long, moved boolean")
 
 
+def _inner(way: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges inside communities."""
+    of = lambda n, l: nodes.select("resolution", F.col("node").alias(n), F.col("community").alias(l))
+    return _met(_met(way, of("src", "a"), ["resolution", "src"]), of("dst", "b"), ["resolution", "dst"]).filter("a = b").drop("a", "b")
+
+
 def _parts(way: DataFrame, nodes: DataFrame, totals: dict[float, float], blocks: int, turn: int) -> DataFrame:
     """Nodes (resolution, node, k, community, part) after one round of merging inside communities."""
-    inner = way.join(nodes.select("resolution", F.col("node").alias("src"), F.col("community").alias("a")), ["resolution", "src"]).join(nodes.select("resolution", F.col("node").alias("dst"), F.col("community").alias("b")), ["resolution", "dst"]).filter("a = b").drop("a", "b")
+    inner = _inner(way, nodes)
     whole = nodes.groupBy("resolution", "community").agg(F.sum("k").alias("whole"))
     turns = lambda b: (b * 2654435761 + turn * 40503) >> 7 & 1  # noqa: E731  of blocks, at random
-    rows = _frames(inner, nodes, "part", blocks).join(whole, ["resolution", "community"])
+    rows = _met(_frames(inner, nodes, "part", blocks), whole, ["resolution", "community"])
     rows = rows.withColumn("home", F.pmod(F.xxhash64("label"), F.lit(blocks)))  # the block of the node that names a part
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -176,18 +187,90 @@ def _parts(way: DataFrame, nodes: DataFrame, totals: dict[float, float], blocks:
 
 def _connected(way: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes with `community` cut into its connected pieces, named by their smallest node."""
-    of = lambda n, l: nodes.select("resolution", F.col("node").alias(n), F.col("community").alias(l))
-    inner = written(way.filter("src <> dst").join(of("src", "a"), ["resolution", "src"]).join(of("dst", "b"), ["resolution", "dst"]).filter("a = b").select("resolution", "src", "dst"))
+    inner = written(_inner(way.filter("src <> dst"), nodes).select("resolution", "src", "dst"))
     state = nodes.select("resolution", "node", F.col("node").alias("piece"))
     while True:
-        near = inner.join(state.withColumnRenamed("node", "dst"), ["resolution", "dst"]).select("resolution", F.col("src").alias("node"), "piece")
+        near = _met(inner, state.withColumnRenamed("node", "dst"), ["resolution", "dst"]).select("resolution", F.col("src").alias("node"), "piece")
         least = state.unionByName(near).groupBy("resolution", "node").agg(F.min("piece").alias("piece"))
         jump = least.select("resolution", F.col("node").alias("piece"), F.col("piece").alias("further"))
-        new = least.join(jump, ["resolution", "piece"]).select("resolution", "node", F.col("further").alias("piece"))
-        new = written(new.join(state.withColumnRenamed("piece", "was"), ["resolution", "node"]))
+        new = _met(least, jump, ["resolution", "piece"]).select("resolution", "node", F.col("further").alias("piece"))
+        new = written(_met(new, state.withColumnRenamed("piece", "was"), ["resolution", "node"]))
         state = new.select("resolution", "node", "piece")
         if not new.filter("piece <> was").head(1):
-            return nodes.drop("community").join(state.withColumnRenamed("piece", "community"), ["resolution", "node"])
+            return _met(nodes.drop("community"), state.withColumnRenamed("piece", "community"), ["resolution", "node"])
+
+
+def _block_rows(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, node: np.ndarray, k: np.ndarray, label: np.ndarray) -> pd.DataFrame:
+    """The rows that _Block takes of a whole graph: edges between the numbers of nodes in `node`, which is sorted."""
+    names, codes = np.unique(label, return_inverse=True)
+    size, members = np.bincount(codes, k, len(names)), np.bincount(codes, minlength=len(names))
+    of = np.concatenate([np.arange(len(node)), dst])
+    no = pd.Series(pd.NA, range(len(node)), "Int64")
+    ends = pd.concat([no, pd.Series(node[dst], dtype="Int64")], ignore_index=True)
+    return pd.DataFrame({"node": node[np.concatenate([np.arange(len(node)), src])], "dst": ends, "weight": np.concatenate([k, weight]), "label": label[of], "size": size[codes[of]], "members": members[codes[of]]})
+
+
+def _pieces(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of the connected nodes 0 to n - 1 for each of them."""
+    root = np.arange(n)
+    while True:
+        least = root.copy()
+        np.minimum.at(least, src, root[dst])
+        least = least[least]
+        if (least == root).all():
+            return root
+        root = least
+
+
+def _ended(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, node: np.ndarray, k: np.ndarray, community: np.ndarray, rate: float, levels: int, refine: bool) -> np.ndarray:
+    """Communities of the nodes of a graph of one block after all levels, as leiden() finds them; edges are between the
+    numbers of nodes in `node`, which is sorted."""
+    at = np.arange(len(node))  # the node of the level that each node has become part of
+    for _ in range(levels):
+        link = src != dst
+        block = _Block(_block_rows(src[link], dst[link], weight[link], node, k, community))
+        moves = block.moved(rate)
+        community = block.names[block.label]
+        if not moves:
+            break
+        part = community
+        if refine:
+            link &= community[src] == community[dst]
+            block = _Block(_block_rows(src[link], dst[link], weight[link], node, k, node))
+            codes = np.unique(community, return_inverse=True)[1]
+            block.refined(rate, np.bincount(codes, k)[codes].tolist(), True)
+            part = block.names[block.label]
+        node, codes = np.unique(part, return_inverse=True)
+        at = codes[at]
+        k = np.bincount(codes, k, len(node))
+        least = np.full(len(node), np.iinfo(np.int64).max)
+        np.minimum.at(least, codes, community)
+        community = least
+        pair, place = np.unique(codes[src] * len(node) + codes[dst], return_inverse=True)
+        weight = np.bincount(place, weight, len(pair))
+        src, dst = pair // len(node), pair % len(node)
+    if refine:
+        link = community[src] == community[dst]
+        community = node[_pieces(src[link], dst[link], len(node))]
+    return community[at]
+
+
+def _finished(way: DataFrame, nodes: DataFrame, totals: dict[float, float], levels: int, refine: bool) -> DataFrame:
+    """(resolution, node, community) of nodes (resolution, node, k, community) whose edges fit one block: the levels that
+    are left, a task a resolution."""
+    none = F.lit(None).cast("long")
+    rows = way.select("resolution", "src", "dst", "weight", none.alias("community")).unionByName(nodes.select("resolution", F.col("node").alias("src"), none.alias("dst"), F.col("k").alias("weight"), "community"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = float(pdf["resolution"].iloc[0])
+        own = pdf[pdf["dst"].isna()].sort_values("src")
+        edges = pdf[pdf["dst"].notna()]
+        node = own["src"].to_numpy(np.int64)
+        src, dst = (np.searchsorted(node, edges[c].to_numpy(np.int64)) for c in ("src", "dst"))
+        found = _ended(src, dst, edges["weight"].to_numpy(np.float64), node, own["weight"].to_numpy(np.float64), own["community"].to_numpy(np.int64), r / totals[r], levels, refine)
+        return pd.DataFrame({"resolution": r, "node": node, "community": found})
+
+    return rows.groupBy("resolution").applyInPandas(run, "resolution double, node long, community long")
 
 
 def leiden(edges: DataFrame, resolutions: Sequence[float] = (1.0,), levels: int = 5, rounds: int = 8, refine: bool = True, block_edges: int = BLOCK_EDGES) -> DataFrame:
@@ -200,7 +283,9 @@ def leiden(edges: DataFrame, resolutions: Sequence[float] = (1.0,), levels: int
     anew from single nodes and merges them inside their community only; what it gives becomes the nodes of the next level,
     which start in their communities, so that badly attached parts can leave. In the end communities are cut into connected
     pieces, which can only raise modularity, so every community is connected. Without `refine` whole communities are
-    contracted (Louvain's method). Sums by label are joined, never gathered, but a node's edges meet in its block.
+    contracted (Louvain's method). Sums by label are joined, never gathered, but a node's edges meet in its block. Once the
+    edges of a level fit one block, a task a resolution goes through the levels that are left. Joins of the rounds are
+    shuffles, so no table of nodes goes through the driver.
 
     Edges without positive weight are left out, and nodes without edges have no row."""
     before = tables()
@@ -210,32 +295,37 @@ def leiden(edges: DataFrame, resolutions: Sequence[float] = (1.0,), levels: int
     totals = {r["resolution"]: r["total"] for r in found}
     n_edges = max((r["n"] for r in found), default=0)
     nodes = written(way.groupBy("resolution", F.col("src").alias("node")).agg(F.sum("weight").alias("k")).withColumn("community", F.col("node")))
-    every = nodes.select("resolution", "node", F.col("node").alias("at"))
+    every, done = None, False
     for level in range(levels):
         blocks = n_edges // block_edges + 1
+        if blocks == 1:
+            nodes, done = written(_finished(way, nodes, totals, levels - level, refine)), True
+            break
         links, any_moved = way.filter("src <> dst"), False
         for _ in range(rounds):
             shifted = written(_shifted(links, nodes, totals, blocks))
             moves = shifted.filter("moved").count()
             any_moved |= moves > 0
             nodes = shifted.drop("moved")
-            if blocks == 1 or not moves:
+            if not moves:
                 break
         if not any_moved:
             break
         parts = nodes.withColumn("part", F.col("node") if refine else F.col("community"))
-        for turn in range((1 if blocks == 1 else 6) if refine else 0):
+        for turn in range(6 if refine else 0):
             parts = written(_parts(links, parts, totals, blocks, turn))
         of = lambda n: parts.select("resolution", F.col("node").alias(n), F.col("part").alias(f"{n}_to"))  # noqa: E731, B023
-        every = written(every.join(of("at"), ["resolution", "at"]).select("resolution", "node", F.col("at_to").alias("at")))
-        way = written(way.join(of("src"), ["resolution", "src"]).join(of("dst"), ["resolution", "dst"]).groupBy("resolution", F.col("src_to").alias("src"), F.col("dst_to").alias("dst")).agg(F.sum("weight").alias("weight")))
+        mine = of("node").withColumnRenamed("node_to", "at") if every is None else _met(every, of("at"), ["resolution", "at"]).select("resolution", "node", F.col("at_to").alias("at"))
+        every = written(mine)
+        way = written(_met(_met(way, of("src"), ["resolution", "src"]), of("dst"), ["resolution", "dst"]).groupBy("resolution", F.col("src_to").alias("src"), F.col("dst_to").alias("dst")).agg(F.sum("weight").alias("weight")))
         nodes = written(parts.groupBy("resolution", F.col("part").alias("node")).agg(F.sum("k").alias("k"), F.min("community").alias("community")))
-        n_edges = way.count()
-    if refine:
+        n_edges = max((r["n"] for r in way.groupBy("resolution").agg(F.count("*").alias("n")).collect()), default=0)  # a row a resolution
+    if refine and not done:
         nodes = _connected(way, nodes)
-    done = every.join(nodes.select("resolution", F.col("node").alias("at"), "community"), ["resolution", "at"])
-    least = done.groupBy("resolution", "community").agg(F.min("node").alias("label"))
-    out = written(done.join(least, ["resolution", "community"]).select("resolution", "node", "label"))
+    last = nodes.select("resolution", F.col("node").alias("at"), "community")
+    told = _met(every, last, ["resolution", "at"]) if every is not None else last.withColumnRenamed("at", "node")
+    least = told.groupBy("resolution", "community").agg(F.min("node").alias("label"))
+    out = written(_met(told, least, ["resolution", "community"]).select("resolution", "node", "label"))
     sweep(edges.sparkSession, before, out)
     return out
 
@@ -249,9 +339,9 @@ def _by_resolution(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(resolution, n_communities, largest, i, m, q): weights inside, in all, and squared sums of degrees of communities."""
     way = _directed(edges)
     of = lambda n, l: labels.select("resolution", F.col("node").alias(n), F.col("label").alias(l))
-    e = way.join(of("src", "a"), "src").join(of("dst", "b").withColumnRenamed("resolution", "r"), "dst").filter("r = resolution")
+    e = _met(_met(way, of("src", "a"), "src"), of("dst", "b"), ["resolution", "dst"])
     s = e.groupBy("resolution", F.col("a").alias("label")).agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("weight")).otherwise(0.0)).alias("inner"), F.sum("weight").alias("all"))
-    s = s.join(labels.groupBy("resolution", "label").agg(F.count("*").alias("size")), ["resolution", "label"])
+    s = _met(s, labels.groupBy("resolution", "label").agg(F.count("*").alias("size")), ["resolution", "label"])
     return s.groupBy("resolution").agg(F.count("*").alias("n_communities"), F.max("size").alias("largest"), F.sum("inner").alias("i"), F.sum("all").alias("m"), F.sum(F.col("all") ** 2).alias("q"))
 
 
