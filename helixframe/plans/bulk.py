@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from helixframe.operators import bulk as B
 from helixframe.plans import data as D
 from helixframe.plans.registry import query
+from helixframe.session import written
 
 _B = f"WITH {D.COUNTS}, bulk AS (SELECT c_nationkey AS sample, gene, CAST(sum(raw) AS DOUBLE) AS count FROM counts JOIN customer ON cell = c_custkey GROUP BY 1, 2), grp AS (SELECT n_nationkey AS sample, n_regionkey AS grp FROM nation)"
 _DENSE = _B + ", dense AS (SELECT s.sample, g.gene, coalesce(b.count, 0.0) AS count FROM (SELECT DISTINCT sample FROM bulk) s CROSS JOIN (SELECT DISTINCT gene FROM bulk) g LEFT JOIN bulk b ON b.sample = s.sample AND b.gene = g.gene)"
@@ -22,7 +23,7 @@ def regions(spark, sf_dir):
 
 
 def dense(spark, sf_dir):
-    b = bulk(spark, sf_dir)
+    b = written(bulk(spark, sf_dir))  # read three times
     every = b.select("sample").distinct().join(b.select("gene").distinct())
     return every.join(b, ["sample", "gene"], "left").withColumn("count", F.coalesce("count", F.lit(0.0)))
 

@@ -128,3 +128,25 @@ def test_late_rows_are_dropped(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     got = {(r["window_start"].day, r["event_type"]): (r["n"], r["total"]) for r in collected_windows(windowed_metrics(stream), f"file://{tmp_path}/at").collect()}
     assert got == {(20, "a"): (2, 3.0), (21, "a"): (1, 1.0), (21, "b"): (1, 1.0)}
+
+
+def test_student_tails_at_many_degrees():
+    """Closed forms for one and two degrees, also far out, where a rule on a grid of angles loses digits; the normal limit."""
+    t = np.array([0.0, 1e-3, 0.5, 2.0, 40.0, 1e4, 1e7])
+    assert np.allclose(bulk._t_tail(t, np.ones(7)), 2 * np.arctan2(1, t) / np.pi, rtol=1e-10)
+    assert np.allclose(bulk._t_tail(-t, np.full(7, 2.0)), 2 / (np.sqrt(2 + t * t) * (np.sqrt(2 + t * t) + t)), rtol=1e-10)
+    assert np.allclose(bulk._t_tail(t[:4], np.full(4, 9e5)), bulk._t_tail(t[:4], np.full(4, 2e6)), rtol=1e-4)
+
+
+def test_weights_and_neighbourhoods_read_their_counts_once(spark, tmp_path):
+    """What lies behind the counts, joins of whole tables, is not computed again for each sum."""
+    rows = [(s, g, float((s * 7 + g * 3) % 11 + g)) for s in range(6) for g in range(20)]
+    at = str(tmp_path / "counts")
+    spark.createDataFrame(rows, "sample long, gene long, count double").write.parquet(at)
+    groups = spark.createDataFrame([(s, s % 2) for s in range(6)], "sample long, grp long")
+    read = spark.read.parquet(at)
+    v = bulk.voom_weights(read, groups)
+    assert v.count() == len(rows) and not any(at in f for f in v.inputFiles())
+    near = read.select(bulk.F.col("gene").alias("nhood"), "sample", bulk.F.col("count").alias("n"))
+    told = bulk.tested_neighbourhoods(near, groups, 0, 1)
+    assert told.count() == 20 and not any(at in f for f in told.inputFiles())
