@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions.ranges import positions
 from helixframe.functions.ranks import average_rank, bh_adjusted
 from helixframe.functions.special import hypergeometric_tail
 from helixframe.session import cut, written
@@ -119,13 +120,23 @@ def _members(sets: DataFrame) -> tuple[DataFrame, list[str]]:
     return sets.withColumnRenamed("member", "feature").select("set_id", *on).distinct(), on
 
 
-def gsea_statistic(stats: DataFrame, sets: DataFrame, power: float = 1.0, min_size: int = 5, max_size: int = 500) -> DataFrame:
+def placed(stats: DataFrame) -> DataFrame:
+    """(contrast, feature, stat, at, n), written: the place of each feature by descending statistic among the n of its
+    contrast, found over ranges, so that no task holds a contrast."""
+    key = F.when(F.isnan("stat"), 0).when(F.col("stat").isNotNull(), 1).otherwise(2)  # where a descending order has them
+    whole = positions(stats.select("contrast", "feature", "stat", key.alias("kind__"), (-F.col("stat")).alias("less__")), "contrast", "kind__", "less__", "feature")
+    first = whole.groupBy("contrast").agg((F.min("position") - 1).alias("before__"), F.count("*").alias("n"))  # a row a contrast
+    return written(whole.join(F.broadcast(first), "contrast").select("contrast", "feature", "stat", (F.col("position") - F.col("before__")).alias("at"), "n"))
+
+
+def gsea_statistic(stats: DataFrame, sets: DataFrame, power: float = 1.0, min_size: int = 5, max_size: int = 500, ranked: DataFrame | None = None) -> DataFrame:
     """(contrast, set_id, size, es): the largest deviation of the running sum over features by descending statistic.
 
     `stats` has (contrast, feature, stat). Extremes lie at members, so only members are scanned: just after one for the
-    maximum, just before it for the minimum. Sets with a column `contrast` are those of that contrast alone."""
+    maximum, just before it for the minimum. Sets with a column `contrast` are those of that contrast alone. `ranked` is
+    what placed() gives of the statistics, if it is at hand."""
     w = Window.partitionBy("contrast")
-    ranked = stats.withColumn("at", F.row_number().over(w.orderBy(F.desc("stat"), "feature"))).withColumn("n", F.count("*").over(w))
+    ranked = ranked if ranked is not None else stats.withColumn("at", F.row_number().over(w.orderBy(F.desc("stat"), "feature"))).withColumn("n", F.count("*").over(w))
     own = Window.partitionBy("contrast", "set_id")
     hit = ranked.join(*_members(sets)).withColumn("m", F.count("*").over(own))
     return _extremes(hit.filter(F.col("m").between(min_size, max_size) & (F.col("m") < F.col("n"))), ["contrast"], power)

@@ -17,11 +17,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.ranks import bh_adjusted
-from helixframe.operators.enrichment import gsea_statistic
-from helixframe.session import cut
+from helixframe.operators.enrichment import gsea_statistic, placed
+from helixframe.session import cut, written
 
 #: Random numbers that are drawn at a time.
 _DRAWN = 4_000_000
+#: Statistics that travel in one row.
+CHUNK = 65_536
+#: Tasks among which the sizes of a contrast are dealt; each receives the contrast's statistics once.
+DEALT = 16
 
 
 def digamma(x: float) -> float:
@@ -139,28 +143,32 @@ def _of_one_size(weights: np.ndarray, m: int, es: list[float], draws: int, sampl
     return out
 
 
-def multilevel_enrichment(stats: DataFrame, sets: DataFrame, permutations: int = 1000, sample: int = 101, eps: float = 1e-50, power: float = 1.0, min_size: int = 5, max_size: int = 500, seed: int = 42) -> DataFrame:
+def multilevel_enrichment(stats: DataFrame, sets: DataFrame, permutations: int = 1000, sample: int = 101, eps: float = 1e-50, power: float = 1.0, min_size: int = 5, max_size: int = 500, seed: int = 42, ranked: DataFrame | None = None) -> DataFrame:
     """(contrast, set_id, size, es, nes, pval, log2err, fdr): gsea_statistic() with p-values among random sets of the same
     size and sign, and the standard deviation of their log2.
 
     `permutations` plain draws come first; where their error is larger than that of `sample` sets driven up by levels, those
-    tell the p-value, down to `eps`, below which it is eps and its error null. A task has the sets of one size of one
-    contrast, with the contrast's statistics; no row is made for a draw. Results depend on the seed, not on partitions."""
-    real = gsea_statistic(stats, sets, power, min_size, max_size)
-    # Statistics of a contrast in falling order: a number a feature.
-    order = stats.groupBy("contrast").agg(F.array_sort(F.collect_list(F.struct((-F.col("stat")).alias("minus"), "feature", F.pow(F.abs("stat"), F.lit(power)).alias("w")))).alias("order"))
-    order = order.select("contrast", F.transform("order", lambda x: x["w"]).alias("weights"))
-    group = real.groupBy("contrast", "size").agg(F.array_sort(F.collect_list(F.struct("set_id", "es"))).alias("found")).join(order, "contrast")
+    tell the p-value, down to `eps`, below which it is eps and its error null. A task has the sets of a share of the sizes of
+    one contrast, with the contrast's statistics, which travel in rows of CHUNK and once a task; no row is made for a draw.
+    Results depend on the seed, not on partitions. `ranked` is what placed() gives of the statistics, if it is at hand."""
+    ranked = ranked if ranked is not None else placed(stats)
+    real = gsea_statistic(stats, sets, power, min_size, max_size, ranked)
+    deal = F.pmod(F.xxhash64("size"), F.lit(DEALT)).alias("deal")
+    group = written(real.groupBy("contrast", "size").agg(F.array_sort(F.collect_list(F.struct("set_id", "es"))).alias("found")).withColumn("deal", deal))
+    pair = F.struct("at", F.pow(F.abs("stat"), F.lit(power)).alias("w"))
+    chunks = ranked.groupBy("contrast", F.floor((F.col("at") - 1) / CHUNK).alias("part")).agg(F.array_sort(F.collect_list(pair)).alias("order"))
+    chunks = chunks.select("contrast", "part", F.transform("order", lambda x: x["w"]).alias("weights")).join(group.select("contrast", F.col("deal").alias("to")).distinct(), "contrast")
     told = "contrast {0}, size long, at int, nes double, pval double, log2err double".format(stats.schema["contrast"].dataType.simpleString())
 
-    def run(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                rows = _of_one_size(np.array(r.weights, np.float64), int(r.size), [float(x["es"]) for x in r.found], permutations, sample, eps, seed)
-                yield pd.DataFrame({"contrast": [r.contrast] * len(rows), "size": r.size, "at": range(len(rows)), "nes": [x[0] for x in rows], "pval": [x[1] for x in rows], "log2err": [x[2] for x in rows]})
+    def run(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        weights = np.concatenate([np.asarray(w, np.float64) for w in parts.sort_values("part")["weights"]]) if len(parts) else np.zeros(0)
+        done = []
+        for r in own.itertuples():
+            rows = _of_one_size(weights, int(r.size), [float(x["es"]) for x in r.found], permutations, sample, eps, seed)
+            done.append(pd.DataFrame({"contrast": [r.contrast] * len(rows), "size": r.size, "at": range(len(rows)), "nes": [x[0] for x in rows], "pval": [x[1] for x in rows], "log2err": [x[2] for x in rows]}))
+        return pd.concat(done) if done else pd.DataFrame({"contrast": [], "size": [], "at": [], "nes": [], "pval": [], "log2err": []})
 
-    spread = group.repartition("contrast", "size")  # as dear as their sizes, so one by one
-    got = spread.select("contrast", "size", "found", "weights").mapInPandas(run, told)
+    got = group.groupBy("contrast", "deal").cogroup(chunks.groupBy("contrast", "to")).applyInPandas(run, told)
     named = group.select("contrast", "size", F.posexplode("found").alias("at", "x")).select("contrast", "size", "at", F.col("x.set_id").alias("set_id"), F.col("x.es").alias("es"))
     out = named.join(got, ["contrast", "size", "at"])
     out = out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("nes", "log2err")})
@@ -174,12 +182,12 @@ def multilevel_elimination(stats: DataFrame, terms: DataFrame, ancestry: DataFra
     contrast. One step per level of the ontology."""
     from functools import reduce
 
-    gone, done = None, []
+    gone, done, ranked = None, [], placed(stats)
     for level in sorted(levels, reverse=True):
         mine = terms.filter(F.col("level") == level).select(F.col("term").alias("set_id"), "member").distinct()
-        own = stats.select("contrast").distinct().crossJoin(mine)  # a contrast has its own sets
+        own = ranked.select("contrast").distinct().crossJoin(mine)  # a contrast has its own sets
         own = own.join(gone, ["contrast", "set_id", "member"], "left_anti") if gone is not None else own
-        n = cut(multilevel_enrichment(stats, own, **more).drop("fdr").withColumnRenamed("set_id", "term").withColumn("level", F.lit(level)))
+        n = cut(multilevel_enrichment(stats, own, ranked=ranked, **more).drop("fdr").withColumnRenamed("set_id", "term").withColumn("level", F.lit(level)))
         done.append(n)
         found = n.filter(F.col("pval") <= elim_threshold).select("contrast", F.col("term").alias("set_id"))
         new = found.join(mine, "set_id").join(ancestry.filter("term <> ancestor").withColumnRenamed("term", "set_id"), "set_id").select("contrast", F.col("ancestor").alias("set_id"), "member").distinct()

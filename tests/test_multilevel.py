@@ -107,3 +107,20 @@ def test_statistics_are_dealt_once(spark):
     sets = spark.createDataFrame([("small", f) for f in range(5)] + [("large", f) for f in range(11)], "set_id string, member long")
     null = enrichment.permuted_statistics(stats, sets, 2, 42, max_size=8, dealt=dealt)
     assert sorted(r["set_id"] for r in null.collect()) == ["small", "small"]
+
+
+def test_statistics_travel_in_chunks(spark, monkeypatch):
+    """No row holds a contrast's statistics, and the places found over ranges are those of the window."""
+    stats, sets = stats_and_sets(spark)
+    monkeypatch.setattr(multilevel, "CHUNK", 64)
+    got = {(r["contrast"], r["set_id"]): r for r in multilevel.multilevel_enrichment(stats, sets).collect()}
+    whole = {(r["contrast"], r["set_id"]): r for r in enrichment.gsea_statistic(stats, sets).collect()}
+    assert got.keys() == whole.keys() and all(got[k]["es"] == pytest.approx(whole[k]["es"], abs=1e-12) for k in got)
+    for c in ("a", "b"):
+        weights = np.array([abs(r["stat"]) for r in stats.filter(stats["contrast"] == c).collect()])
+        value = np.array([r["stat"] for r in stats.filter(stats["contrast"] == c).collect()])
+        weights = weights[np.argsort(-value)]
+        for size in (15, 16):
+            mine = sorted((s, r["es"]) for (k, s), r in got.items() if k == c and r["size"] == size)
+            expected = multilevel._of_one_size(weights, size, [e for _, e in mine], 1000, 101, 1e-50, 42)
+            assert [got[c, s]["pval"] for s, _ in mine] == pytest.approx([p for _, p, _ in expected], rel=1e-9)
