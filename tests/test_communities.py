@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from helixframe.operators import communities
+from helixframe.session import written
 from test_integration import EDGES, plain_modularity, planted
 
 
@@ -103,5 +104,6 @@ def test_rounds_send_no_tables_through_the_driver(spark):
     """Small tables too are met by shuffles: there is one a join, a round and a level."""
     way = spark.createDataFrame([(1.0, 0, 1, 1.0), (1.0, 1, 0, 1.0)], "resolution double, src long, dst long, weight double")
     nodes = spark.createDataFrame([(1.0, 0, 1.0, 0, 0), (1.0, 1, 1.0, 1, 1)], "resolution double, node long, k double, community long, part long")
+    way, nodes = written(way), written(nodes)  # so their sizes are known
     for df in (communities._shifted(way, nodes.drop("part"), {1.0: 2.0}, 2), communities._parts(way, nodes, {1.0: 2.0}, 2, 0)):
         assert df.count() == 2 and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
