@@ -4,9 +4,13 @@ Sets are rows (set_id, member), targets rows (target_id, member), expression row
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions.digests import Texts
 from helixframe.functions.ranges import positions
 from helixframe.functions.ranks import average_rank, bh_adjusted
 from helixframe.functions.special import hypergeometric_tail
@@ -154,16 +158,92 @@ def _extremes(hit: DataFrame, by: list[str], power: float) -> DataFrame:
     return g.select(*by, "set_id", "size", es.alias("es"))
 
 
-def gsea_permutations(stats: DataFrame, sets: DataFrame, permutations: int = 100, seed: int = 42, power: float = 1.0, min_size: int = 5, max_size: int = 500) -> DataFrame:
+def gsea_permutations(stats: DataFrame, sets: DataFrame, permutations: int = 100, seed: int = 42, power: float = 1.0, min_size: int = 5, max_size: int | None = 500) -> DataFrame:
     """gsea_statistic() with pval: the share of permuted sets of the same sign at least as far, counting the real one.
 
-    A permutation deals the statistics to features anew, by a seeded hash; permutations are further contrasts, so they
-    run distributed in the same plan. Values depend on the seed, not on the partitioning."""
-    real = gsea_statistic(stats, sets, power, min_size, max_size)
-    null = permuted_statistics(stats, sets, permutations, seed, power, min_size, max_size)
-    both = real.join(null, ["contrast", "set_id"], "left")
-    same = F.signum("null_es") == F.signum("es")
-    return both.groupBy("contrast", "set_id", "size", "es").agg(((F.count_if(same & (F.abs("null_es") >= F.abs("es"))) + 1) / (F.count_if(same) + 1)).alias("pval"))
+    A permutation deals the statistics to features anew, by a seeded hash, as dealt_statistics() does. Values depend on the
+    seed, not on the partitioning. No limit above the size of sets if `max_size` is None."""
+    return _permuted_tests(written(stats), sets, permutations, seed, power, min_size, max_size)
+
+
+#: Tasks that share the permutations of all contrasts, for each core: a task deals them one by one, so the statistics of a
+#: contrast travel once a task, not once a permutation.
+TASKS_A_CORE = 3
+
+
+def _permuted_tests(stats: DataFrame, sets: DataFrame, permutations: int, seed: int, power: float, min_size: int, max_size: int | None) -> DataFrame:
+    """See gsea_permutations(). A task has the features of a contrast, a few numbers each, and some permutations; it counts
+    how often these are as far, so permuted statistics are never rows. `stats` is a written table, as it is read twice."""
+    contrasts = stats.select("contrast").distinct().count()
+    parts = max(1, min(permutations, -(-TASKS_A_CORE * stats.sparkSession.sparkContext.defaultParallelism // max(1, contrasts))))
+    members, on = _members(sets)
+    codes = positions(members.select("set_id").distinct(), "set_id")
+    held = members.join(codes, "set_id").groupBy(*on).agg(F.collect_list(F.col("position").cast("int")).alias("codes"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    rows = stats.join(held.hint("merge"), on, "left").select("contrast", "feature", F.col("feature").cast("string").alias("name"), F.col("stat").cast("double").alias("stat"), "codes", every)
+
+    def run(table: pa.Table) -> pa.Table:
+        return _dealt_tests(table, permutations, parts, seed, power, min_size, max_size)
+
+    kind = stats.schema["contrast"].dataType.simpleString()
+    done = rows.groupBy("contrast", "part").applyInArrow(run, f"contrast {kind}, position long, size long, es double, far long, same long")
+    counted = done.groupBy("contrast", "position").agg(F.max("size").alias("size"), F.max("es").alias("es"), F.sum("far").alias("far"), F.sum("same").alias("same"))
+    return counted.join(codes, "position").select("contrast", "set_id", "size", "es", ((F.col("far") + 1) / (F.col("same") + 1)).alias("pval"))
+
+
+def _dealt_tests(table: pa.Table, permutations: int, parts: int, seed: int, power: float, min_size: int, max_size: int | None) -> pa.Table:
+    """(contrast, position, size, es, far, same) of one contrast: its sets by their number, and of this part's permutations
+    how many have the sign and how many are also as far."""
+    part, contrast = table.column("part")[0].as_py(), table.column("contrast").slice(0, 1)
+    table = table.select(["feature", "name", "stat", "codes"]).take(pc.sort_indices(table.column("feature")))  # the order of ties
+    n, names = len(table), Texts(table.column("name"))
+    stat = table.column("stat").to_numpy().astype(np.float64)
+    lists = table.column("codes").combine_chunks()
+    code = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    feature = np.repeat(np.arange(n), pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False))
+    size = np.bincount(code) if len(code) else np.zeros(0, np.int64)
+    fine = (size >= max(1, min_size)) & (size <= (n if max_size is None else max_size)) & (size < n)
+    numbers = np.flatnonzero(fine)
+    kept = fine[code]
+    code, feature = (np.cumsum(fine) - 1)[code[kept]], feature[kept]
+    size = size[numbers]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    first, before = np.repeat(np.arange(len(size)) * n, size), np.arange(ends[-1]) - np.repeat(ends[:-1], size)
+    others = np.repeat(n - size, size).astype(np.float64)
+    by = np.argsort(-stat, kind="stable")  # places by descending statistic
+    level = np.concatenate([[0], np.cumsum(stat[by][1:] != stat[by][:-1])]) * n  # places that tie
+    weight = np.abs(stat[by]) ** power
+
+    def scores(features: np.ndarray) -> np.ndarray:
+        """Of all sets, the features being in the order of their places."""
+        at = np.empty(n, np.int64)
+        at[features] = np.arange(n)
+        place = np.sort(code * n + at[feature]) - first
+        share, run = weight[place], np.empty(len(place))
+        for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            np.cumsum(share[a:z], out=run[a:z])
+        total = np.repeat(np.maximum(run[ends[1:] - 1], 1e-300), size)
+        run, share = run / total, share / total
+        run -= (place - before) / others
+        high, low = np.maximum.reduceat(run, ends[:-1]), np.minimum.reduceat(run - share, ends[:-1])
+        return np.where(high > -low, high, np.where(high < -low, low, 0.0))
+
+    far = same = np.zeros(len(size), np.int64)
+    es = np.zeros(0)
+    if len(size):
+        es = scores(by)
+        for turn in range(part + 1, permutations + 1, parts):
+            key = names.digests(f"|{turn}|{seed}".encode())
+            top = np.ascontiguousarray(key[:, 0])
+            order = np.argsort(top)
+            if (top[order][1:] == top[order][:-1]).any():
+                order = np.lexsort((key[:, 1], top))
+            null = scores(np.sort(level + order) - level)
+            alike = np.sign(null) == np.sign(es)
+            same = same + alike
+            far = far + (alike & (np.abs(null) >= np.abs(es)))
+    told = pa.concat_arrays([contrast.combine_chunks()]).take(pa.array(np.zeros(len(size), np.int64)))
+    return pa.table({"contrast": told, "position": numbers, "size": size.astype(np.int64), "es": es, "far": far, "same": same})
 
 
 def aucell(counts: DataFrame, sets: DataFrame, top: int) -> DataFrame:
@@ -322,23 +402,19 @@ def gsea_leading_edge(stats: DataFrame, sets: DataFrame, power: float = 1.0, min
     return hit.filter(edge).select("contrast", "set_id", "feature", "at")
 
 
-def gsea_elimination(stats: DataFrame, terms: DataFrame, ancestry: DataFrame, levels: list[int], permutations: int = 100, elim_threshold: float = 0.05, min_size: int = 5, max_size: int = 500, seed: int = 42) -> DataFrame:
+def gsea_elimination(stats: DataFrame, terms: DataFrame, ancestry: DataFrame, levels: list[int], permutations: int = 100, elim_threshold: float = 0.05, min_size: int = 5, max_size: int | None = 500, seed: int = 42) -> DataFrame:
     """(contrast, term, level, size, es, pval): gsea_permutations() from the deepest level up; the members of a significant
     term leave all its ancestors, in that contrast only. One step per level of the ontology."""
     from functools import reduce
 
     stats = written(stats)
-    dealt = written(dealt_statistics(stats, permutations, seed))  # the same at all levels
+    contrasts = F.broadcast(written(stats.select("contrast").distinct()))  # a row a contrast
     gone, done = None, []
     for level in sorted(levels, reverse=True):
         mine = terms.filter(F.col("level") == level).select(F.col("term").alias("set_id"), "member").distinct()
-        own = stats.select("contrast").distinct().crossJoin(mine).select("contrast", "set_id", "member")
-        own = own.join(gone, ["contrast", "set_id", "member"], "left_anti") if gone is not None else own
-        real = gsea_statistic(stats, own, 1.0, min_size, max_size)
-        null = permuted_statistics(stats, own, permutations, seed, 1.0, min_size, max_size, dealt)
-        j = real.join(null, ["contrast", "set_id"], "left")
-        same = F.signum("null_es") == F.signum("es")
-        n = j.groupBy("contrast", "set_id", "size", "es").agg(((F.count_if(same & (F.abs("null_es") >= F.abs("es"))) + 1) / (F.count_if(same) + 1)).alias("pval"))
+        own = mine.crossJoin(contrasts).select("contrast", "set_id", "member")
+        own = own.join(gone.hint("merge"), ["contrast", "set_id", "member"], "left_anti") if gone is not None else own
+        n = _permuted_tests(stats, own, permutations, seed, 1.0, min_size, max_size)
         n = cut(n.select("contrast", F.col("set_id").alias("term"), F.lit(level).alias("level"), "size", "es", "pval"))
         done.append(n)
         found = n.filter(F.col("pval") <= elim_threshold).select("contrast", F.col("term").alias("set_id"))

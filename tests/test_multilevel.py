@@ -124,3 +124,42 @@ def test_statistics_travel_in_chunks(spark, monkeypatch):
             mine = sorted((s, r["es"]) for (k, s), r in got.items() if k == c and r["size"] == size)
             expected = multilevel._of_one_size(weights, size, [e for _, e in mine], 1000, 101, 1e-50, 42)
             assert [got[c, s]["pval"] for s, _ in mine] == pytest.approx([p for _, p, _ in expected], rel=1e-9)
+
+
+def test_digests_of_many_texts():
+    import hashlib
+
+    import pyarrow as pa
+
+    from helixframe.functions.digests import Texts
+
+    texts = ["", "a", "abcd", "x" * 49, "x" * 60, "é漢"] + [str(i) for i in range(20_000)]
+    for tail in (b"|1|42", b"|100|42"):
+        got = Texts(pa.chunked_array([texts[:4], texts[4:]])).digests(tail)
+        want = np.frombuffer(b"".join(hashlib.md5(t.encode() + tail).digest() for t in texts), ">u8").reshape(-1, 2)
+        assert (got == want).all()
+
+
+def test_permuted_statistics_are_no_rows(spark, monkeypatch):
+    """Tests count inside tasks what the rows of permuted statistics give, ties and overlapping sets included."""
+    from pyspark.sql import functions as F
+
+    stats, sets = stats_and_sets(spark)
+    stats = stats.withColumn("stat", F.round("stat", 1))
+    real, null = enrichment.gsea_statistic(stats, sets), enrichment.permuted_statistics(stats, sets, 30)
+    both = real.join(null, ["contrast", "set_id"]).collect()
+    want = {}
+    for r in both:
+        alike = np.sign(r["null_es"]) == np.sign(r["es"])
+        at = want.setdefault((r["contrast"], r["set_id"]), [r["size"], r["es"], 0, 0])
+        at[2] += int(alike and abs(r["null_es"]) >= abs(r["es"]))
+        at[3] += int(alike)
+    monkeypatch.setattr(enrichment, "dealt_statistics", None)
+    got = {(r["contrast"], r["set_id"]): r for r in enrichment.gsea_permutations(stats, sets, 30).collect()}
+    assert got.keys() == want.keys()
+    for key, (size, es, far, same) in want.items():
+        assert got[key]["size"] == size and got[key]["es"] == pytest.approx(es, abs=1e-12) and got[key]["pval"] == (far + 1) / (same + 1)
+    one = sets.select(F.col("set_id").alias("term"), F.lit(0).alias("level"), "member")
+    up = spark.createDataFrame([], "term string, ancestor string")
+    eliminated = enrichment.gsea_elimination(stats, one, up, [0], 30).collect()
+    assert {(r["contrast"], r["term"]): r["pval"] for r in eliminated} == {k: r["pval"] for k, r in got.items()}
