@@ -113,17 +113,21 @@ def gsea_running_sum(spark, sf_dir):
     return D.rounded(E.gsea_statistic(_stats(spark, sf_dir), D.sets(spark, sf_dir)), "es")
 
 
-#: Statistics dealt to features anew, as permutations 1 to 20; 0 are the real ones.
-_DEALT = _STATS + """, n0 AS (SELECT contrast, count(*) AS n FROM stats GROUP BY 1), sh AS (SELECT contrast, perm, feature, row_number() OVER (PARTITION BY contrast, perm ORDER BY md5(concat_ws('|', feature, perm, 42)), feature) AS a, row_number() OVER (PARTITION BY contrast, perm ORDER BY stat DESC, feature) AS b, stat FROM stats CROSS JOIN range(1, 21) t(perm)),
+def _dealt(permutations: int) -> str:
+    """Statistics dealt to features anew, as permutations from 1 on; 0 are the real ones."""
+    return _STATS + f""", n0 AS (SELECT contrast, count(*) AS n FROM stats GROUP BY 1), sh AS (SELECT contrast, perm, feature, row_number() OVER (PARTITION BY contrast, perm ORDER BY md5(concat_ws('|', feature, perm, 42)), feature) AS a, row_number() OVER (PARTITION BY contrast, perm ORDER BY stat DESC, feature) AS b, stat FROM stats CROSS JOIN range(1, {permutations + 1}) t(perm)),
 al AS (SELECT x.contrast, x.perm, x.feature, y.stat FROM sh x JOIN sh y ON x.contrast = y.contrast AND x.perm = y.perm AND x.a = y.b UNION ALL SELECT contrast, 0, feature, stat FROM stats),
 r AS (SELECT *, row_number() OVER (PARTITION BY contrast, perm ORDER BY stat DESC, feature) AS pos FROM al)"""
 
 
-def _tested(sets: str, own: bool = False, mark: str = "") -> str:
+_DEALT = _dealt(20)
+
+
+def _tested(sets: str, own: bool = False, mark: str = "", sizes: str = "m BETWEEN 5 AND 500") -> str:
     """Tables h, q, g, es and c of scores and p-values for a table of sets (set_id, member), `own` if sets have a contrast."""
     joined = f"JOIN {sets} s ON feature = member" + (" AND s.contrast = r.contrast" if own else "")
     return f"""h{mark} AS (SELECT r.contrast, perm, set_id, pos, abs(stat) AS w, count(*) OVER o AS m, row_number() OVER (o ORDER BY pos) AS i FROM r {joined} WINDOW o AS (PARTITION BY r.contrast, perm, set_id)),
-q{mark} AS (SELECT contrast, perm, set_id, m, w / sum(w) OVER o AS part, sum(w) OVER (o ORDER BY pos) / sum(w) OVER o AS run, (pos - i) / CAST(n - m AS DOUBLE) AS miss FROM h{mark} JOIN n0 USING (contrast) WHERE m BETWEEN 5 AND 500 AND m < n WINDOW o AS (PARTITION BY contrast, perm, set_id)),
+q{mark} AS (SELECT contrast, perm, set_id, m, w / sum(w) OVER o AS part, sum(w) OVER (o ORDER BY pos) / sum(w) OVER o AS run, (pos - i) / CAST(n - m AS DOUBLE) AS miss FROM h{mark} JOIN n0 USING (contrast) WHERE {sizes} AND m < n WINDOW o AS (PARTITION BY contrast, perm, set_id)),
 g{mark} AS (SELECT contrast, perm, set_id, max(m) AS size, max(run - miss) AS hi, min(run - part - miss) AS lo FROM q{mark} GROUP BY 1, 2, 3), es{mark} AS (SELECT contrast, perm, set_id, size, CASE WHEN hi > -lo THEN hi WHEN hi < -lo THEN lo ELSE 0 END AS es FROM g{mark}),
 c{mark} AS (SELECT a.contrast, a.set_id, a.size, a.es, count(*) FILTER (sign(b.es) = sign(a.es) AND abs(b.es) >= abs(a.es)) AS far, count(*) FILTER (sign(b.es) = sign(a.es)) AS same FROM es{mark} a LEFT JOIN es{mark} b ON a.contrast = b.contrast AND a.set_id = b.set_id AND b.perm > 0 WHERE a.perm = 0 GROUP BY 1, 2, 3, 4)"""
 
@@ -240,13 +244,14 @@ def gsea_multilevel_elimination(spark, sf_dir):
     return D.rounded(out, "es", "nes", "pval", "log2err", "fdr", digits=9)
 
 
-@query(f"""{_DEALT}, t AS (SELECT contrast, p_type AS type, p_type || '/' || p_brand AS pair, p_partkey AS member FROM part CROSS JOIN (SELECT DISTINCT contrast FROM stats)), s1 AS (SELECT contrast, pair AS set_id, member FROM t), {_tested('s1', True, '1')},
-s0 AS (SELECT contrast, type AS set_id, member FROM t EXCEPT SELECT t.contrast, type, member FROM t JOIN c1 ON c1.contrast = t.contrast AND c1.set_id = pair WHERE (far + 1) / (same + 1) <= 0.05), {_tested('s0', True, '0')}
+@query(f"""{_dealt(100)}, t AS (SELECT contrast, p_type AS type, p_type || '/' || p_brand AS pair, p_partkey AS member FROM part CROSS JOIN (SELECT DISTINCT contrast FROM stats)), s1 AS (SELECT contrast, pair AS set_id, member FROM t), {_tested('s1', True, '1', 'm >= 5')},
+s0 AS (SELECT contrast, type AS set_id, member FROM t EXCEPT SELECT t.contrast, type, member FROM t JOIN c1 ON c1.contrast = t.contrast AND c1.set_id = pair WHERE (far + 1) / (same + 1) <= 0.05), {_tested('s0', True, '0', 'm >= 5')}
 SELECT contrast, set_id AS term, level, size, round(es, 6) AS es, round((far + 1) / (same + 1), 6) AS pval FROM (SELECT *, 1 AS level FROM c1 UNION ALL SELECT *, 0 FROM c0)""")
 def gsea_elimination(spark, sf_dir):
-    """Brands within a type below types, below all parts."""
+    """Brands within a type below types, below all parts; a type has more parts the larger the tables, so sizes have no upper
+    limit. Of 20 permutations hardly a p-value could be below the threshold, as only those of the same sign count."""
     terms, up = _terms(spark, sf_dir)
-    return D.rounded(E.gsea_elimination(_stats(spark, sf_dir), terms, up, [0, 1], permutations=20), "es", "pval")
+    return D.rounded(E.gsea_elimination(_stats(spark, sf_dir), terms, up, [0, 1], permutations=100, max_size=None), "es", "pval")
 
 
 @query()

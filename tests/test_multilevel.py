@@ -163,3 +163,18 @@ def test_permuted_statistics_are_no_rows(spark, monkeypatch):
     up = spark.createDataFrame([], "term string, ancestor string")
     eliminated = enrichment.gsea_elimination(stats, one, up, [0], 30).collect()
     assert {(r["contrast"], r["term"]): r["pval"] for r in eliminated} == {k: r["pval"] for k, r in got.items()}
+
+
+def test_elimination_of_large_sets(spark):
+    """Without a limit sets of any size are tested; the query has neither a limit nor too few permutations for its threshold."""
+    import inspect
+
+    from helixframe.plans import enrichment as plans
+    from helixframe.plans import registry
+
+    stats = spark.createDataFrame([("c", f, float(700 - f)) for f in range(700)], "contrast string, feature long, stat double")
+    terms = spark.createDataFrame([("low", 1, f) for f in range(20)] + [("high", 0, f) for f in range(620)], "term string, level int, member long")
+    up = spark.createDataFrame([("low", "high")], "term string, ancestor string")
+    got = {r["term"]: r["size"] for r in enrichment.gsea_elimination(stats, terms, up, [0, 1], 100, max_size=None).collect()}
+    assert got == {"low": 20, "high": 600}  # the members of a significant term are gone
+    assert "500" not in registry.oracle_sql()["gsea_elimination"] and "max_size=None" in inspect.getsource(plans.gsea_elimination)
