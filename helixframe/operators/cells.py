@@ -251,9 +251,9 @@ def specific_markers(norm: DataFrame, obs: DataFrame, group: str) -> DataFrame:
     held = values.select("gene", own.alias("own"), *(level(i) for i in every), *(F.sum(f"c{i}").over(whole).alias(f"t{i}") for i in every))
     held = held.select("gene", F.explode(F.filter("own", lambda x: x["c"] > 0)).alias("own"), *(f"b{i}" for i in every), *(f"t{i}" for i in every))
     u = held.groupBy("gene", F.col("own.i").alias("i")).agg(F.sum("own.c").alias("nnz"), *(F.sum(F.col("own.c") * F.col(f"b{i}")).alias(f"u{i}") for i in every), *(F.first(f"t{i}").alias(f"t{i}") for i in every))
-    names, n = F.array(*(F.lit(x) for x, _ in sizes)), F.array(*(F.lit(x) for _, x in sizes))
-    u = u.select("gene", "i", "nnz", F.get(names, "i").alias(group), F.get(n, "i").alias("n"), *(f"u{i}" for i in every), *((F.lit(sizes[i][1]) - F.col(f"t{i}")).alias(f"z{i}") for i in every))
-    auc = lambda i: F.when(F.col("i") != i, (F.col(f"u{i}") + F.col("nnz") * F.col(f"z{i}") + (F.col("n") - F.col("nnz")) * F.col(f"z{i}") / 2) / (F.col("n") * sizes[i][1]))
+    names, n = F.array(*(F.lit(x) for x, _ in sizes)), F.array(*(F.lit(float(x)) for _, x in sizes))  # products of sizes outgrow integers
+    u = u.select("gene", "i", F.col("nnz").cast("double").alias("nnz"), F.get(names, "i").alias(group), F.get(n, "i").alias("n"), *(f"u{i}" for i in every), *((F.lit(float(sizes[i][1])) - F.col(f"t{i}")).alias(f"z{i}") for i in every))
+    auc = lambda i: F.when(F.col("i") != i, (F.col(f"u{i}") + F.col("nnz") * F.col(f"z{i}") + (F.col("n") - F.col("nnz")) * F.col(f"z{i}") / 2) / (F.col("n") * float(sizes[i][1])))
     u = u.withColumn("aucs", F.sort_array(F.array_compact(F.array(*(auc(i) for i in every)))))
     median = (F.get("aucs", F.lit((rivals - 1) // 2)) + F.get("aucs", F.lit(rivals // 2))) / 2
     mean = F.aggregate("aucs", F.lit(0.0), lambda s, x: s + x) / rivals

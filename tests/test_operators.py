@@ -191,3 +191,15 @@ def test_specific_markers_shuffle_counts_once(spark):
         aucs = sorted(sum((x > y) + (x == y) / 2 for x in of(r["grp"]) for y in of(g)) / len(of(r["grp"])) / len(of(g)) for g in "abc" if g != r["grp"])
         assert abs(r["auc_min"] - aucs[0]) < 1e-9 and abs(r["auc_median"] - sum(aucs) / 2) < 1e-9 and abs(r["auc_mean"] - sum(aucs) / 2) < 1e-9 and r["rivals"] == 2
     assert cells.specific_markers(norm, obs.filter("grp = 'a'"), "grp").count() == 0
+
+
+def test_specific_markers_of_large_groups(spark):
+    """Products of the sizes of two groups of 70,000 cells are no integers of 32 bits."""
+    from pyspark.sql import functions as F
+
+    from helixframe.operators import cells
+
+    obs = spark.range(140_000).select(F.col("id").alias("cell"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("grp"))
+    norm = obs.filter("grp = 'a' or cell < 35000").select("cell", F.lit(1).alias("gene"), F.lit(1.0).alias("norm"))
+    got = {r["grp"]: (r["auc_min"], r["auc_mean"]) for r in cells.specific_markers(norm, obs, "grp").collect()}
+    assert got == {"a": (0.875, 0.875), "b": (0.125, 0.125)}
