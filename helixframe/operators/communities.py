@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import deque
 from collections.abc import Sequence
@@ -375,27 +376,29 @@ def privileged_communities(edges: DataFrame, scores: DataFrame, *seeds: DataFram
 
     Communities of over `max_nodes` nodes are divided again, each as a graph of its own at a resolution raised by `step` a
     time, all of them in one pass: with each graph's weights scaled to a sum of one, the sum over their number is what a
-    joint pass at that number times the resolution sees. What is still too large after `most` times is left out, as are
-    nodes that have no edge inside."""
+    joint pass at that number times the resolution sees. After `most` times the raise doubles from time to time, until no
+    community is too large: at a resolution beyond all edges nodes stay alone. Only nodes that have no edge inside the part
+    are left out."""
     before = tables()
     ranked = written(positions(scores.select("node", (-F.col("score")).alias("less")).dropna(), "less", "node"))
     kept = ranked.filter(F.col("position") <= math.ceil(share * ranked.count())).select("node")
     end = lambda c: kept.select(F.col("node").alias(c))
     inner = written(edges.join(end("src"), "src", "left_semi").join(end("dst"), "dst", "left_semi").select("src", "dst", "weight"))
     labels, good = leiden(inner, (resolution,)).select("node", "label"), None
-    for turn in range(1, most + 1):
+    for turn in itertools.count(1):
         sized = written(labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label"))
         small = sized.filter(F.col("size") <= max_nodes)
         good = written(small if good is None else good.unionByName(small))
         big = sized.filter(F.col("size") > max_nodes).select("node", "label")
         graphs = big.select("label").distinct().count()
-        if not graphs or turn == most:
+        if not graphs:
             break
         of = lambda c, l: big.select(F.col("node").alias(c), F.col("label").alias(l))  # noqa: E731, B023
         parts = inner.join(of("src", "a"), "src").join(of("dst", "b"), "dst").filter("a = b and weight > 0")
         total = parts.groupBy("a").agg(F.sum("weight").alias("total"))
         scaled = written(parts.join(total, "a").select("src", "dst", (F.col("weight") / F.col("total")).alias("weight")))
-        labels = leiden(scaled, ((resolution + turn * step) * graphs,)).select("node", "label")
+        raised = step * (turn if turn <= most else most * 2.0 ** (turn - most))
+        labels = leiden(scaled, ((resolution + raised) * graphs,)).select("node", "label")
     told = good
     for i, s in enumerate(seeds, 1):
         told = told.join(s.select("node").distinct().withColumn(f"s{i}", F.lit(1)), "node", "left")

@@ -89,6 +89,16 @@ def test_privileged_communities(spark):
         assert sorted(map(sorted, got.values())) == [list(range(15)), list(range(15, 30))]
 
 
+def test_large_communities_are_divided_to_the_end(spark):
+    """Too few raises of the resolution drop no community: raises double until all are small."""
+    rows = [(8 * g + i, 8 * g + j, 1.0) for g in range(3) for i in range(8) for j in range(i + 1, 8)] + [(0, 8, 0.5), (8, 16, 0.5), (16, 0, 0.5)]
+    edges = spark.createDataFrame(rows, "src long, dst long, weight double")
+    nodes = spark.range(24).select("id")
+    scores, seeds = nodes.selectExpr("id as node", "1.0D as score"), nodes.selectExpr("id as node")
+    out = communities.privileged_communities(edges, scores, seeds, share=1.0, resolution=0.001, max_nodes=10, min_nodes=2, min_seeds=1, step=0.01, most=1).collect()
+    assert sorted(r["node"] for r in out) == list(range(24)) and {r["size"] for r in out} == {8}
+
+
 def test_communities_of_hits(spark):
     hits = spark.createDataFrame([("x", "a", "y", "b", 0.5), ("y", "b", "z", "c", 0.4), ("x", "d", "y", "e", 0.9)], "origin_a string, module_a string, origin_b string, module_b string, similarity double")
     out = communities.hit_communities(hits, (0.5, 1.0)).collect()
