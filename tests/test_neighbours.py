@@ -105,3 +105,23 @@ def test_lists_are_dealt_to_blocks(spark):
     assert sum(sizes.values()) == 1_200 and {each for each, _, _ in dealt} == set(sizes) and max(pieces for _, _, pieces in dealt) > 1
     key = lambda df: sorted((r["id"], r["rank"], r["neighbour"]) for r in df.collect())
     assert key(graphs._of_lists(v, 6, None, centres, 3)) == key(graphs.nearest_neighbours(v, 6))
+
+
+def test_lists_of_a_block_hold_few_neighbours():
+    """What a task of the inverted file holds does not grow with the lists that its queries visit."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    lists, each, asked, k = 300, 12, 1_500, 10
+    x = rng.normal(size=(lists * each + asked, 4)).astype(np.float32)
+    at = [[i // each] for i in range(lists * each)] + [list(range(lists))] * asked
+    table = pa.table({"id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 4).cast(pa.list_(pa.float32())), "q": pa.array(np.arange(len(x)) >= lists * each), "at": pa.array(at, pa.list_(pa.int32()))})
+    tracemalloc.start()
+    got = graphs._of_block(table, k).to_pandas()
+    assert tracemalloc.get_traced_memory()[1] < 150_000_000  # all 4.5 million neighbours of lists take 108 MB before they are sorted
+    tracemalloc.stop()
+    d = ((x[lists * each :, None].astype(np.float64) - x[None, : lists * each]) ** 2).sum(axis=2)
+    near = np.argsort(d, axis=1)[:, :k]
+    assert (np.sort(got["neighbour"].to_numpy().reshape(asked, k), axis=1) == np.sort(near, axis=1)).all()
