@@ -125,3 +125,24 @@ def test_lists_of_a_block_hold_few_neighbours():
     d = ((x[lists * each :, None].astype(np.float64) - x[None, : lists * each]) ** 2).sum(axis=2)
     near = np.argsort(d, axis=1)[:, :k]
     assert (np.sort(got["neighbour"].to_numpy().reshape(asked, k), axis=1) == np.sort(near, axis=1)).all()
+
+
+def test_rounds_in_slices(spark, monkeypatch):
+    """A round in slices gives the same rows as one at once, and leaves neither files of shuffles nor proposals of slices."""
+    from pathlib import Path
+
+    from helixframe import session
+
+    v = session.written(vectors(spark, np.random.default_rng(6).normal(size=(600, 6))))
+    monkeypatch.setattr(neighbours, "START_ROWS", 64)
+    start = neighbours._start(v, 5, 600, 6, 1).groupBy("id").agg(F.collect_list("neighbour").alias("to"), F.collect_list("distance").alias("at"))
+    nothing = {"near": F.array().cast("array<long>"), "far": F.array().cast("array<double>")}
+    state = session.written(neighbours._merged(neighbours._filled(v.withColumns(nothing).join(start, "id", "left")), 5))
+    rows = lambda: sorted((r["id"], r["near"], r["far"]) for r in neighbours._round(state, 5, 10, 0, 1, 48).collect())
+    whole, local = rows(), Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+    held, made = set(local.rglob("shuffle_*.data")), session.tables()
+    monkeypatch.setattr(neighbours, "SLICE_BYTES", 100_000)
+    out = neighbours._round(state, 5, 10, 0, 1, 48)
+    assert not set(local.rglob("shuffle_*.data")) - held and len(session.tables() - made) == 2
+    assert sorted((r["id"], r["near"], r["far"]) for r in out.collect()) == whole
+    monkeypatch.undo()
